@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pageknow.llm.common import table
+from pageknow.llm.common import materialize, table
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,34 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
-QUERIES = {"op2_bpe": op2_bpe}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageknow.llm import quality
+    from pageknow.llm.toxicity import fold, training_rows
+
+    docs, labels, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.Params()
+    model = quality.train(training_rows(docs, labels, "quality", 5, 0, p.max_train_rows), p)
+    scored = quality.mark_by_quantile(quality.score(docs, model, keep=["doc_id"]), p)
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "above_quantile")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageknow.llm.mixing import mix, word_count
+
+    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")), "mix-sizes")
+    mixed = mix(docs, size=F.col("words"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageknow.llm import toxicity
+
+    docs, labels, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.Params()
+    model = toxicity.train(toxicity.training_rows(docs, labels, "toxic", 3, 1, p.max_train_rows), p)
+    held = F.coalesce(toxicity.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op3_quality": op3_quality, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity}
 
 ORACLES: dict[str, str] = {}
