@@ -85,18 +85,27 @@ def mix(docs: DataFrame, source: str = "source", size: Column | None = None, wei
     r, p = ranked.alias("r"), placed.alias("p")
     on = F.col("r.__s").eqNullSafe(F.col("p.__s")) & (F.col("r.__level") == F.col("p.__level")) & (F.col("r.__salt") == F.col("p.__salt"))
     at = r.join(p, on).select("r.__row", "r.__s", "r.__n", "source_size", "target", "rate", (F.col("p.__from") + F.col("r.__rank")).alias("__at"))
+    narrow = materialize(at.drop("__row", "source_size"), "mix-places")
 
-    def copies(start: Column | float) -> Column:
-        at_, rate = F.col("__at").cast("double"), F.col("rate")
-        start = F.lit(start) if isinstance(start, float) else start
-        return F.least(F.floor(start + rate * at_) - F.floor(start + rate * (at_ - 1)), F.lit(repeats)).cast("int")
+    def copies(start: Column) -> Column:
+        x, rate = F.col("__at").cast("double"), F.col("rate")
+        return F.least(F.floor(start + rate * x) - F.floor(start + rate * (x - 1)), F.lit(repeats)).cast("int")
 
     starts = [k / STARTS for k in range(STARTS)]
-    tried = at.groupBy("__s").agg(F.first("target").alias("t"), *[F.sum(copies(s) * F.col("__n")).alias(f"a{k}") for k, s in enumerate(starts)])
-    off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"a{k}") - F.col("t")), F.lit(s).alias("start")) for k, s in enumerate(starts)]))
-    best = materialize(tried.select(F.col("__s").alias("__b"), off["start"].alias("__start")), "mix-starts")
-    out = at.join(best, at["__s"].eqNullSafe(best["__b"]))
-    return out.select(*[F.col("__row")[c].alias(c) for c in rest], F.col("__n").alias("size"), "source_size", "target", "rate", copies(F.col("__start")).alias("copies"))
+    tried = narrow.groupBy("__s").agg(F.first("target").alias("t"), *[F.sum(copies(F.lit(x)) * F.col("__n")).alias(f"a{k}") for k, x in enumerate(starts)])
+    off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"a{k}") - F.col("t")), F.lit(x).alias("start"), (F.col(f"a{k}") - F.col("t")).alias("over")) for k, x in enumerate(starts)]))
+    best = materialize(tried.select(F.col("__s").alias("__b"), off["start"].alias("__start"), off["over"].alias("__over")), "mix-starts")
+
+    def choose(rows_: DataFrame) -> DataFrame:
+        return rows_.join(best, rows_["__s"].eqNullSafe(best["__b"])).withColumn("copies", copies(F.col("__start"))).drop("__b")
+
+    # What is still over or short in a source is made up by one document more or less, the one whose size fits best.
+    left = F.abs(F.col("__over")) - F.abs(F.abs(F.col("__over")) - F.col("__n"))
+    able = F.when(F.col("__over") > 0, F.col("copies") > 0).otherwise((F.col("copies") < repeats) & (F.col("target") > 0))
+    fix = choose(narrow).where(able & (left > 0)).groupBy("__s").agg(F.max_by(F.struct("__at", F.signum("__over").cast("int").alias("d")), F.struct(left, "__at")).alias("f"))
+    fix = materialize(fix.select(F.col("__s").alias("__fs"), F.col("f.__at").alias("__fa"), F.col("f.d").alias("__fd")), "mix-fix")
+    out = choose(at).join(fix, F.col("__s").eqNullSafe(F.col("__fs")) & (F.col("__at") == F.col("__fa")), "left")
+    return out.select(*[F.col("__row")[c].alias(c) for c in rest], F.col("__n").alias("size"), "source_size", "target", "rate", (F.col("copies") - F.coalesce(F.col("__fd"), F.lit(0))).alias("copies"))
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:

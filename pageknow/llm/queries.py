@@ -44,6 +44,29 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_quality": op3_quality, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity}
-
-ORACLES: dict[str, str] = {}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageknow.llm.ngram_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op3_quality": op3_quality, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join}
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g
+  FROM (SELECT doc_id, coalesce(ws, []) AS ws FROM w)
+), e AS (SELECT doc_id, unnest(g) AS g FROM s),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, d.b FROM r JOIN d ON r.v = d.a)
+SELECT n.doc_id, n.n AS n_shingles, min(r.v) AS component_id FROM n JOIN r ON r.u = n.doc_id GROUP BY 1, 2
+"""
+
+ORACLES: dict[str, str] = {"op8_ngram_join": OP8_SQL}

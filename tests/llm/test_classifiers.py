@@ -5,7 +5,7 @@ import numpy as np
 from pageknow.llm import quality, toxicity
 from pageknow.llm.queries import op3_quality, op6_toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def held_out(spark, df, label, of, held, at):
@@ -22,12 +22,12 @@ def held_out(spark, df, label, of, held, at):
 
 def test_toxicity_held_out(spark):
     n, auc = held_out(spark, op6_toxicity(spark, SF), "toxic", 3, 1, 0.7)
-    assert n == 1000 and auc > 0.9
+    assert n == 10_000 and auc > 0.9
 
 
 def test_quality_held_out(spark):
     n, auc = held_out(spark, op3_quality(spark, SF), "quality", 5, 0, 0.3)
-    assert n == 1000 and auc > 0.95
+    assert n == 10_000 and auc > 0.95
 
 
 def test_counterfactuals_lower_the_score_of_neutral_mentions(spark):
