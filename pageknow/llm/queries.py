@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from pageknow.llm.common import materialize, table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageknow.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +33,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "above_quantile")
 
 
+def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageknow.llm.paragraphs import dedup_paragraphs
+
+    out = dedup_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_removed", "removed_words", "kept_doc_ids", F.length("text").alias("n_chars_left"), "text")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pageknow.llm.mixing import mix, word_count
 
@@ -44,13 +57,51 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageknow.llm.embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pageknow.llm.ngram_join import jaccard_classes
 
     return jaccard_classes(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_quality": op3_quality, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op8_ngram_join": op8_ngram_join}
+def op9_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch 1 inserts every document, counted by tokenizer 1; batch 2 counts the English ones again with tokenizer 2;
+    batch 3 deletes those labelled toxic; batch 2 is then played again, which changes nothing."""
+    from pageknow.llm.common import scratch_path
+    from pageknow.llm.rollups import commit, signed, totals
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    english = F.col("lang") == "en"
+    one = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    two = F.coalesce(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]")), F.lit(0))
+    counted = materialize(docs.select("doc_id", "source", "lang", one.alias("one"), F.when(english, two).alias("two")), "rollup-counts")
+    old = F.struct("source", "lang", F.lit("words-1").alias("tokenizer"), F.col("one").alias("tokens")).alias("o")
+    new = F.struct("source", "lang", F.lit("words-marks-2").alias("tokenizer"), F.col("two").alias("tokens")).alias("n")
+    inserted = counted.select(old).select("o.*")
+    revised = counted.where(english).select(old, new).select("n.*", *[F.col(f"o.{c}").alias(f"old_{c}") for c in ("source", "lang", "tokenizer", "tokens")])
+    gone = labels.where("toxic = 1").select("doc_id").distinct()
+    now = F.when(english, F.struct("n.*")).otherwise(F.struct("o.*"))
+    deleted = counted.join(gone, "doc_id", "left_semi").select("lang", old, new).select(now.alias("x")).select("x.*")
+    root = scratch_path(spark, "rollups")
+    commit(signed(inserted=inserted), root, 1)
+    commit(signed(revised=revised), root, 2)
+    commit(signed(deleted=deleted), root, 3)
+    commit(signed(revised=revised), root, 2)
+    return totals(spark, root)
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageknow.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {"op1_html": op1_html, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_paragraphs": op4_paragraphs, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_embeddings": op7_embeddings, "op8_ngram_join": op8_ngram_join, "op9_rollups": op9_rollups, "op10_ann": op10_ann}
 
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
@@ -69,4 +120,24 @@ r AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, d.b FROM r JOIN d
 SELECT n.doc_id, n.n AS n_shingles, min(r.v) AS component_id FROM n JOIN r ON r.u = n.doc_id GROUP BY 1, 2
 """
 
-ORACLES: dict[str, str] = {"op8_ngram_join": OP8_SQL}
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.b FROM r JOIN l ON r.v = l.a),
+c AS (SELECT u AS vec_id, min(v) AS component_id FROM r GROUP BY u),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+OP9_SQL = r"""
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM (
+  SELECT source, lang, CASE WHEN lang = 'en' THEN 'words-marks-2' ELSE 'words-1' END AS tokenizer,
+    CASE WHEN lang = 'en' THEN len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]')) ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS tokens
+  FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)
+) GROUP BY ALL
+"""
+
+ORACLES: dict[str, str] = {"op7_embeddings": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_rollups": OP9_SQL}
