@@ -28,13 +28,28 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 def _digests(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingle_set(t, k) for t in _texts(b)]
-        d = [set_digest(s) if len(s) else (None, None) for s in sets]
+        d = [set_digest(s)[0] if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64())],
-            ["doc_id", "n_shingles", "d1", "d2"],
+            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.int64()), pa.array([counts(s) for s in sets], pa.binary())],
+            ["doc_id", "n_shingles", "d1", "counts"],
         )
 
 
+def counts(s: np.ndarray) -> bytes:
+    """Elements in each of 256 parts of the domain, modulo 256."""
+    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint8).tobytes()
+
+
+def _may_link(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose part counts allow the similarity: sets differ in at least the sum of the counts' differences."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("cx", "cy"))
+        apart = np.abs((x - y).view(np.int8).astype(np.int64)).sum(axis=1)
+        total = b.column("nx").to_numpy() + b.column("ny").to_numpy()
+        ok = den * (total - apart) >= num * (total + apart)  # twice the largest overlap and the least union
+        yield b.select(["a", "b"]).filter(pa.array(ok))
+
+
 def sign_batches(pe: PartEnum, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, id) of each text, id being the first half of the set's digest; copies within a task sign once."""
     seen: set[int] = set()
@@ -114,8 +129,9 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     whole. An empty table gives an empty result.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = materialize(fill_partitions(docs).mapInArrow(lambda it: _digests(k, it), "doc_id long, n_shingles long, d1 long, d2 long"), "ngram-digests")
-    classes = materialize(rows.where("d1 IS NOT NULL").groupBy("d1").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    rows = materialize(fill_partitions(docs).mapInArrow(lambda it: _digests(k, it), "doc_id long, n_shingles long, d1 long, counts binary"), "ngram-digests")
+    classes = rows.where("d1 IS NOT NULL").groupBy("d1").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
+    classes = materialize(classes, "ngram-classes")
     signed = fill_partitions(docs).mapInArrow(lambda it: sign_batches(PartEnum(num, den), k, it), "sig long, id long")
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -125,7 +141,11 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
         return materialize(sets.join(reps.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "ngram-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "ngram-pairs")
+        x = classes.select(F.col("d1").alias("a"), F.col("n").alias("nx"), F.col("counts").alias("cx"))
+        y = classes.select(F.col("d1").alias("b"), F.col("n").alias("ny"), F.col("counts").alias("cy"))
+        near = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
+        met = pairs.join(x, "a").join(y, "b").where(near)
+        pairs = materialize(met.mapInArrow(lambda it: _may_link(num, den, it), "a long, b long"), "ngram-pairs")
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         return verify_pairs(pairs, sets, num, den)
 
@@ -144,7 +164,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
 def one_per_class(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``docs`` without those that are near-copies of another: of each component the row of its name stays (one row, if
     repeated). Documents without words stay."""
-    classes = jaccard_classes(docs, k, num, den).where((F.col("n_shingles") > 0) & (~F.col("doc_id").eqNullSafe(F.col("component_id")))).select("doc_id").distinct()
-    drop = materialize(classes, "ngram-drop")
+    near = jaccard_classes(docs, k, num, den).where((F.col("n_shingles") > 0) & (~F.col("doc_id").eqNullSafe(F.col("component_id")))).select("doc_id").distinct()
+    drop = materialize(near, "ngram-drop")
     kept = docs.join(F.broadcast(drop) if drop.count() <= 500_000 else drop, docs["doc_id"].eqNullSafe(drop["doc_id"]), "left_anti")
     return kept

@@ -1,10 +1,10 @@
 """From signatures to verified links, without all pairs of any group.
 
-Members that share a signature are candidates. In a small bucket (a stated number of members) every pair is verified; in
-a large one each member is verified against the bucket's smallest. Components are then formed, and a large bucket whose
-members all fell into one component is done. The members of those still open are signed anew, by another partition of the
-domain and together with the old signature, and go round again: the candidates get fewer each time while no similar pair
-can get lost. After ``MAX_LEVELS`` rounds what is left is compared in blocks.
+Members that share a signature are candidates. Each is first verified against the smallest member of its bucket.
+Components are then formed, and a bucket whose members all fell into one component is done. In a small bucket that is
+still open (a stated number of members) the pairs across components are verified. The members of the large ones are
+signed anew, by another partition of the domain and together with the old signature, and go round again: the candidates
+get fewer each time while no similar pair can get lost. After ``MAX_LEVELS`` rounds what is left is compared in blocks.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ def shared(signed: DataFrame) -> DataFrame:
 
 
 def _pairs_in(lists: DataFrame) -> DataFrame:
-    """Pairs a < b of short sorted lists ``ids``."""
-    return lists.select("ids", F.explode("ids").alias("a")).select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
+    """Pairs a < b of short sorted lists of (id, c, hub): those of different components that are not yet verified."""
+    x = lists.select("ids", F.explode("ids").alias("x"))
+    y = x.select("x", F.explode(F.filter("ids", lambda m: (m["id"] > F.col("x.id")) & (m["c"] != F.col("x.c")) & (F.col("x.id") != m["hub"]))).alias("y"))
+    return y.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
@@ -50,25 +52,36 @@ def link_buckets(signed: DataFrame, verify: Callable[[DataFrame], DataFrame], si
     ``signed``: (sig, id). ``verify``: candidate pairs (a < b, distinct) to those that link. ``sign_again``: rows (sig, id)
     and a level to rows (sig, id) with new signatures, under which similar members of a bucket again share one.
     """
+    w = W.partitionBy("sig")
     rows = materialize(shared(signed), "shared")
     links = None
+
+    def check(pairs: DataFrame) -> DataFrame:
+        found = materialize(verify(pairs), "links")
+        return found if links is None else links.unionAll(found)
+
+    def open_rows(rows_: DataFrame) -> DataFrame:
+        """Rows of the buckets that still hold several components."""
+        comp = materialize(connected_components(links), "components")
+        named = rows_.select("sig", "id", "n", "hub").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        return materialize(named.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").drop("lo", "hi"), "open")
+
     for level in range(1, MAX_LEVELS + 1):
-        small = rows.where(F.col("n") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        links = check(rows.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+        rows = open_rows(rows)
+        small = rows.where(F.col("n") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("id", "c", "hub"))).alias("ids"))
+        if not small.isEmpty():
+            links = check(_pairs_in(small).distinct())
         large = rows.where(F.col("n") > SMALL)
-        pairs = _pairs_in(small).unionAll(large.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct()
-        found = materialize(verify(pairs), "links")
-        links = found if links is None else links.unionAll(found)
         if large.isEmpty():
             return links
-        comp = materialize(connected_components(links), "components")
-        w = W.partitionBy("sig")
-        c = F.coalesce("component", "id")
-        by = large.join(comp, "id", "left").withColumn("c", c).groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-        left = materialize(large.join(by, "sig", "left_semi").select("sig", "id"), "open")
-        if left.isEmpty():
+        large = open_rows(large)
+        if large.isEmpty():
             return links
         if level == MAX_LEVELS:
-            return links.unionAll(materialize(verify(_blocked(left).distinct()), "links"))
-        rows = materialize(shared(sign_again(left, level)).join(comp, "id", "left").withColumn("c", c)
-                           .withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").select("sig", "id", "n", "hub"), "shared")
+            return check(_blocked(large.select("sig", "id")).distinct())
+        again = shared(sign_again(large.select("sig", "id"), level))
+        rows = open_rows(again)
+        if rows.isEmpty():
+            return links
     return links
