@@ -1,3 +1,5 @@
 """The same queries as DuckDB SQL."""
 
-ORACLES = {}
+from pageknow.plans.queries import AREAS
+
+ORACLES = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}

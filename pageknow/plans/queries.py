@@ -1,3 +1,6 @@
 """Registered queries over the driver tables, one or more per operator."""
 
-QUERIES = {}
+from pageknow.plans import retrieval
+
+AREAS = (retrieval,)
+QUERIES = {name: q for area in AREAS for name, q in area.QUERIES.items()}
