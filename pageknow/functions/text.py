@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ LINE_BREAK = r"\r\n|[\n\r\x{000B}\x{000C}\x{001C}-\x{001E}\x{0085}\x{2028}\x{202
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """White space runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(c, f"{WS}+", " "))
@@ -36,7 +41,7 @@ def lines(c: Column) -> Column:
 
 def drop_repeats(a: Column) -> Column:
     """Array without elements equal to the one before."""
-    return F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
+    return bind(a, lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1))))
 
 
 def normalize_lines(c: Column) -> Column:
@@ -47,15 +52,15 @@ def normalize_lines(c: Column) -> Column:
 
 def truncate(c: Column, n: int) -> Column:
     """Squeezed text, cut with ``...`` to at most n characters."""
-    s = squeeze(text_or_empty(c))
-    return F.when(F.length(s) <= n, s).otherwise(F.concat(F.rtrim(F.left(s, F.lit(n - 3))), F.lit("...")))
+    return bind(squeeze(text_or_empty(c)), lambda s: F.when(F.length(s) <= n, s).otherwise(F.concat(F.rtrim(F.left(s, F.lit(n - 3))), F.lit("..."))))
 
 
 def truncate_at_word(c: Column, n: int) -> Column:
     """Squeezed text, cut with ``...`` after the last whole word that fits; a longer first word is cut as it stands."""
-    s = squeeze(text_or_empty(c))
-    whole = F.regexp_extract(F.left(s, F.lit(n - 2)), r"^(.+) ", 1)
-    return F.when(F.length(s) <= n, s).otherwise(F.concat(F.when(whole != "", F.rtrim(whole)).otherwise(F.left(s, F.lit(n - 3))), F.lit("...")))
+    def cut(s: Column) -> Column:
+        return bind(F.regexp_extract(F.left(s, F.lit(n - 2)), r"^(.+) ", 1), lambda whole: F.when(whole != "", F.rtrim(whole)).otherwise(F.left(s, F.lit(n - 3))))
+
+    return bind(squeeze(text_or_empty(c)), lambda s: F.when(F.length(s) <= n, s).otherwise(F.concat(cut(s), F.lit("..."))))
 
 
 def comparison_key(c: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, one or more per operator."""
 
-from pageknow.plans import retrieval
+from pageknow.plans import pages, retrieval
 
-AREAS = (retrieval,)
+AREAS = (retrieval, pages)
 QUERIES = {name: q for area in AREAS for name, q in area.QUERIES.items()}
