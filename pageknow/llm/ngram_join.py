@@ -36,18 +36,30 @@ def _digests(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def counts(s: np.ndarray) -> bytes:
-    """Elements in each of 256 parts of the domain, modulo 256."""
-    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint8).tobytes()
+    """Elements in each part of the domain, modulo 256; a power of two of parts, about one for two elements."""
+    bits = min(14, max(6, int(len(s) // 2).bit_length()))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the elements in which two sets differ, from their counts; the finer one is folded to the coarser."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) > len(q):
+        p = p[::2] + p[1::2]
+    while len(q) > len(p):
+        q = q[::2] + q[1::2]
+    return int(np.abs((p - q).view(np.int8).astype(np.int64)).sum())
 
 
 def _may_link(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose part counts allow the similarity: sets differ in at least the sum of the counts' differences."""
+    """Pairs whose part counts allow the similarity: at most (total - apart) / 2 in common, at least (total + apart) / 2 in all."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("cx", "cy"))
-        apart = np.abs((x - y).view(np.int8).astype(np.int64)).sum(axis=1)
-        total = b.column("nx").to_numpy() + b.column("ny").to_numpy()
-        ok = den * (total - apart) >= num * (total + apart)  # twice the largest overlap and the least union
-        yield b.select(["a", "b"]).filter(pa.array(ok))
+        cols = [b.column(c).to_pylist() for c in ("cx", "cy", "nx", "ny")]
+        ok = []
+        for x, y, n, m in zip(*cols, strict=True):
+            apart = least_difference(x, y)
+            ok.append(den * (n + m - apart) >= num * (n + m + apart))
+        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def sign_batches(pe: PartEnum, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,8 @@
 """From signatures to verified links, without all pairs of any group.
 
 Members that share a signature are candidates. Each is first verified against the smallest member of its bucket.
-Components are then formed, and a bucket whose members all fell into one component is done. In a small bucket that is
-still open (a stated number of members) the pairs across components are verified. The members of the large ones are
+Components are then formed, and a bucket whose members all fell into one component is done. In a bucket that is
+still open and has a bounded number of pairs across components, those are verified. The members of larger ones are
 signed anew, by another partition of the domain and together with the old signature, and go round again: the candidates
 get fewer each time while no similar pair can get lost. After ``MAX_LEVELS`` rounds what is left is compared in blocks.
 """
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pageknow.llm.common import materialize
 from pageknow.llm.graph import connected_components
 
-SMALL = 16
+#: A bucket with at most so many pairs across components has them verified; a larger one is signed anew.
+SMALL = 20_000
 MAX_LEVELS = 4
 BLOCK = 64
 
@@ -30,11 +31,12 @@ def shared(signed: DataFrame) -> DataFrame:
     return some.withColumns({"n": F.count(F.lit(1)).over(w), "hub": F.min("id").over(w)})
 
 
-def _pairs_in(lists: DataFrame) -> DataFrame:
-    """Pairs a < b of short sorted lists of (id, c, hub): those of different components that are not yet verified."""
-    x = lists.select("ids", F.explode("ids").alias("x"))
-    y = x.select("x", F.explode(F.filter("ids", lambda m: (m["id"] > F.col("x.id")) & (m["c"] != F.col("x.c")) & (F.col("x.id") != m["hub"]))).alias("y"))
-    return y.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs a < b of a bucket's members in different components, but those with the hub, which were verified before."""
+    x = rows.where("id <> hub").select("sig", F.col("id").alias("i"), F.col("c").alias("ci"))
+    y = rows.where("id <> hub").select("sig", F.col("id").alias("j"), F.col("c").alias("cj"))
+    met = x.join(y, "sig").where("ci < cj")
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
@@ -61,26 +63,28 @@ def link_buckets(signed: DataFrame, verify: Callable[[DataFrame], DataFrame], si
         return found if links is None else links.unionAll(found)
 
     def open_rows(rows_: DataFrame) -> DataFrame:
-        """Rows of the buckets that still hold several components."""
+        """Rows of the buckets that still hold several components, with the bucket's number of pairs across components."""
         comp = materialize(connected_components(links), "components")
         named = rows_.select("sig", "id", "n", "hub").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        return materialize(named.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").drop("lo", "hi"), "open")
+        some = named.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").drop("lo", "hi")
+        mates = some.withColumn("mates", F.count(F.lit(1)).over(W.partitionBy("sig", "c")))
+        return materialize(mates.withColumn("across", (F.col("n") * F.col("n") - F.sum("mates").over(w)) / 2).drop("mates"), "open")
 
     for level in range(1, MAX_LEVELS + 1):
         links = check(rows.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
         rows = open_rows(rows)
-        small = rows.where(F.col("n") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("id", "c", "hub"))).alias("ids"))
-        if not small.isEmpty():
-            links = check(_pairs_in(small).distinct())
-        large = rows.where(F.col("n") > SMALL)
-        if large.isEmpty():
+        few = rows.where(F.col("across") <= SMALL)
+        if not few.isEmpty():
+            links = check(_across(few).distinct())
+        many = rows.where(F.col("across") > SMALL)
+        if many.isEmpty():
             return links
-        large = open_rows(large)
-        if large.isEmpty():
+        many = open_rows(many)
+        if many.isEmpty():
             return links
         if level == MAX_LEVELS:
-            return check(_blocked(large.select("sig", "id")).distinct())
-        again = shared(sign_again(large.select("sig", "id"), level))
+            return check(_blocked(many.select("sig", "id")).distinct())
+        again = shared(sign_again(many.select("sig", "id"), level))
         rows = open_rows(again)
         if rows.isEmpty():
             return links

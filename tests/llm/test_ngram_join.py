@@ -6,7 +6,7 @@ import pytest
 
 from pageknow.llm import simjoin
 from pageknow.llm.graph import connected_components
-from pageknow.llm.ngram_join import jaccard_classes, one_per_class
+from pageknow.llm.ngram_join import counts, jaccard_classes, least_difference, one_per_class
 from pageknow.llm.queries import OP8_SQL
 from pageknow.llm.shingles import PartEnum, shingle_set
 
@@ -66,7 +66,7 @@ def test_signatures_are_complete():
             assert set(pe.signatures(a).tolist()) & set(pe.signatures(b).tolist())
 
 
-@pytest.mark.parametrize("small", [16, 3])
+@pytest.mark.parametrize("small", [20_000, 3])
 def test_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(simjoin, "SMALL", small)
     rng = random.Random(5)
@@ -84,6 +84,15 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, jaccard_classes(df).collect())) == brute(rows)
 
 
+def test_counts_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 10, 130, 5000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for share in (0.2, 0.9, 1.0):
+            b = np.unique(np.concatenate([a[rng.random(n) < share], rng.integers(0, 2**64, int(n * (1.4 - share)), dtype=np.uint64)]))
+            assert least_difference(counts(a), counts(b)) <= len(np.setxor1d(a, b))
+
+
 def test_sql_and_real_rows(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(map(tuple, jaccard_classes(df).collect()))
