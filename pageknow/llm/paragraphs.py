@@ -1,11 +1,16 @@
 """Substring dedup: near-repeated paragraphs by MinHash banding.
 
-The units of a text are its lines and, inside long lines, windows of words that start at winnowed places: of every
-``spread`` neighbouring places the one with the least hash of its two words. A passage of at least ``window + spread + 1``
-words is so cut at the same places wherever it stands, and shares at least one window with each of its repeats. Units are
-shingled; equal ones are one class. Bands are tuned so that units at the threshold collide with the wanted probability;
-colliding classes are verified by exact Jaccard similarity and verified links joined into components. In each component
-overlapping units of a text are one place; the first place (smallest doc_id, then position) stays, the others are cut out.
+The paragraphs of a text are its lines of at least ``window`` words. They are shingled; equal ones are one class. Bands are
+tuned so that paragraphs at the threshold collide with the wanted probability; colliding classes are verified by exact
+Jaccard similarity, and verified links are joined into components.
+
+A passage may also repeat inside paragraphs that are otherwise unlike. Long paragraphs are therefore cut into windows of
+words that start at winnowed places: of every ``spread`` neighbouring places the one with the least hash of its two words.
+A passage of at least ``window + spread + 1`` words is cut at the same places wherever it stands, so each of its repeats
+shares a window with it; equal windows are one class, like equal paragraphs.
+
+In each component, overlapping units of a text are one place; the first place (smallest doc_id, then position) stays, the
+others are cut out.
 """
 
 from __future__ import annotations
@@ -20,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import checked_semi, fill_partitions, materialize
+from pageknow.llm.common import BROADCAST_ROWS, fill_partitions, materialize
 from pageknow.llm.graph import connected_components
 from pageknow.llm.ngram_join import _rows, sign_sets_again, verify_pairs
-from pageknow.llm.shingles import mixed, set_digest, shingles_of, word_hashes
+from pageknow.llm.shingles import mixed, word_hashes
 from pageknow.llm.simjoin import link_buckets
 
+#: Words that are worked on at once.
+PART_WORDS = 200_000
+
 WORD = re.compile(rb"[^ \t-\r]+")
 
 
@@ -33,7 +41,7 @@ WORD = re.compile(rb"[^ \t-\r]+")
 class Params:
     window: int = 24  # words of a window; shorter lines are never removed
     spread: int = 24  # of so many neighbouring places one starts a window
-    long_line: int = 50  # windows are taken in lines of so many words
+    long_line: int = 50  # windows are taken in paragraphs of so many words (at least window + spread)
     shingle: int = 5
     num: int = 8  # similarity num / den
     den: int = 10
@@ -53,27 +61,65 @@ def tune_bands(threshold: float, recall: float, rows: int) -> int:
     return b
 
 
-def window_starts(h: np.ndarray, p: Params) -> np.ndarray:
-    """Winnowed starts of windows among the word hashes of a line."""
+@dataclass
+class Layout:
+    """Paragraphs of several texts side by side: word hashes, and of each paragraph its words, text and line."""
+
+    words: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    text: np.ndarray
+    line: np.ndarray
+
+
+def layouts(texts: list[bytes | None], p: Params) -> Iterator[Layout]:
+    """The batch in parts of bounded size (a text is never split)."""
+    words: list[bytes] = []
+    rows: list[tuple[int, int, int, int]] = []
+    for k, text in enumerate(texts):
+        for n, line in enumerate((text or b"").lower().split(b"\n")):
+            w = line.split()
+            if len(w) >= p.window:
+                rows.append((len(words), len(words) + len(w), k, n))
+                words += w
+        if len(words) >= PART_WORDS:
+            yield Layout(word_hashes(words), *np.array(rows, dtype=np.int64).T)
+            words, rows = [], []
+    if rows:
+        yield Layout(word_hashes(words), *np.array(rows, dtype=np.int64).T)
+
+
+def window_starts(at: Layout, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, paragraphs) of the winnowed windows of the long paragraphs."""
+    long = np.flatnonzero(at.stop - at.start >= p.long_line)
+    if not len(long) or len(at.words) < p.window:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        g = mixed(h[:-1] + h[1:] * np.uint64(3))[: len(h) - p.window + 1]
-    if len(g) <= p.spread:
-        return np.array([int(g.argmin())])
-    return np.unique(np.lib.stride_tricks.sliding_window_view(g, p.spread).argmin(axis=1) + np.arange(len(g) - p.spread + 1))
+        g = mixed(at.words[:-1] + at.words[1:] * np.uint64(3))
+    # of each run of `spread` places that lie inside one paragraph, the place with the least hash
+    n = at.stop[long] - at.start[long] - p.window + 1 - p.spread + 1
+    runs = np.repeat(at.start[long] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    view = np.lib.stride_tricks.sliding_window_view(g, p.spread)
+    picked = [view[runs[k : k + 100_000]].argmin(axis=1) + runs[k : k + 100_000] for k in range(0, len(runs), 100_000)]
+    first = np.unique(np.concatenate(picked))
+    return first, np.searchsorted(at.start, first, side="right") - 1
+
+
+def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each place on; the last k - 1 places are not used."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(w), k, dtype=np.uint64)
+        for i in range(k):
+            h[: len(w) - i] = mixed(h[: len(w) - i] * np.uint64(0x9E3779B97F4A7C15) + w[i:])
+    return h
 
 
-def units_of(text: bytes | None, p: Params) -> list[tuple[int, int, int, np.ndarray]]:
-    """(line, first word, end word, hashes of the lower-cased words) of each unit, in order."""
-    out = []
-    for k, line in enumerate((text or b"").lower().split(b"\n")):
-        words = line.split()
-        n = len(words)
-        if n >= p.window:
-            h = word_hashes(words)
-            out.append((k, 0, n, h))
-            if n >= p.long_line:
-                out += [(k, i, i + p.window, h[i : i + p.window]) for i in window_starts(h, p).tolist()]
-    return out
+def digests(g: np.ndarray, first: np.ndarray, stop: np.ndarray, k: int) -> np.ndarray:
+    """Of each run of words one number for its shingles, whatever their order."""
+    with np.errstate(over="ignore"):
+        acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(g), dtype=np.uint64)])
+        n = (stop - first - k + 1).astype(np.uint64)
+        return mixed(acc[stop - k + 1] - acc[first] + n * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _perms(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,70 +127,71 @@ def _perms(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-def band_signatures(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def band_signatures(g: np.ndarray, first: np.ndarray, stop: np.ndarray, k: int, bands: int, rows: int) -> np.ndarray:
+    """(paragraphs, bands): signatures of the shingles ``g[first : stop - k + 1]`` of each paragraph."""
     a, c = _perms(bands * rows)
+    edges = np.stack([first, stop - k + 1], axis=1).ravel()
     with np.errstate(over="ignore"):
-        low = (s[:, None] * a[None, :] + c[None, :]).min(axis=0).reshape(bands, rows)
-        h = np.arange(1, bands + 1, dtype=np.uint64)
-        for r in range(rows):
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
+        h = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], len(first), axis=0)
+        for n in range(bands * rows):
+            low = np.minimum.reduceat(np.append(g * a[n] + c[n], np.uint64(2**64 - 1)), edges)[::2]
+            h[:, n // rows] = mixed(h[:, n // rows] * np.uint64(0x9E3779B97F4A7C15) + low)
     return h
 
 
+def _texts(b: pa.RecordBatch) -> list[bytes | None]:
+    return b.column("text").cast(pa.binary()).to_pylist()
+
+
 def _units(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs and windows: (doc_id, copy, line, start, stop, id, whole)."""
     for b in batches:
-        out = []
-        for d, c, t in zip(b.column("doc_id").to_pylist(), b.column("copy").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            out += [(d, c, k, x, y, set_digest(shingles_of(h, p.shingle))[0]) for k, x, y, h in units_of(t, p)]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], ["doc_id", "copy", "line", "start", "stop", "id"])
+        doc, copy = b.column("doc_id").to_numpy(), b.column("copy").to_numpy()
+        for at in layouts(_texts(b), p):
+            g = shingle_hashes(at.words, p.shingle)
+            first, of = window_starts(at, p)
+            first, stop = np.concatenate([at.start, first]), np.concatenate([at.stop, first + p.window])
+            whole = np.arange(len(first)) < len(at.start)
+            of = np.concatenate([np.arange(len(at.start)), of])
+            ids = digests(g, first, stop, p.shingle).view(np.int64)
+            base = at.start[of]
+            cols = [doc[at.text[of]], copy[at.text[of]], at.line[of].astype(np.int32), (first - base).astype(np.int32), (stop - base).astype(np.int32), ids, whole]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "copy", "line", "start", "stop", "id", "whole"])
 
 
 def _signed(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+    """(sig, id) of the paragraphs; equal ones of a part sign once."""
     bands = p.bands
     for b in batches:
-        sigs, ids, held = [], [], 0
-        for t in b.column("text").cast(pa.binary()).to_pylist():
-            for _, _, _, h in units_of(t, p):
-                s = shingles_of(h, p.shingle)
-                d = set_digest(s)[0]
-                if d in seen:
-                    continue
-                if len(seen) < 2_000_000:
-                    seen.add(d)
-                sigs.append(band_signatures(s, bands, p.rows))
-                ids.append(np.full(bands, d, dtype=np.int64))
-                held += bands
-            if held >= 300_000:
-                yield _rows(sigs, ids)
-                sigs, ids, held = [], [], 0
-        if held:
-            yield _rows(sigs, ids)
+        for at in layouts(_texts(b), p):
+            g = shingle_hashes(at.words, p.shingle)
+            ids, one = np.unique(digests(g, at.start, at.stop, p.shingle), return_index=True)
+            sigs = band_signatures(g, at.start, at.stop, p.shingle, bands, p.rows)[one]
+            yield _rows([sigs.ravel()], [np.repeat(ids.view(np.int64), bands)])
 
 
 def _unit_sets(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, elements) of the paragraphs whose ids a text is asked for."""
     for b in batches:
-        ids, sets = [], []
-        for t in b.column("text").cast(pa.binary()).to_pylist():
-            for _, _, _, h in units_of(t, p):
-                s = shingles_of(h, p.shingle)
-                ids.append(set_digest(s)[0])
-                sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "elements"])
+        asked = b.column("asked").to_pylist()
+        for at in layouts(_texts(b), p):
+            g = shingle_hashes(at.words, p.shingle)
+            ids = digests(g, at.start, at.stop, p.shingle).view(np.int64)
+            take = [i for i, (d, t) in enumerate(zip(ids.tolist(), at.text.tolist(), strict=True)) if d in asked[t]]
+            sets = [np.unique(g[at.start[i] : at.stop[i] - p.shingle + 1]).tobytes() for i in take]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[take], pa.int64()), pa.array(sets, pa.binary())], ["id", "elements"])
 
 
 def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """(id, component) of classes of units that link with another class. Ids are digests of shingle sets."""
-    owners = materialize(units.groupBy("id").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL"), "unit-owners")
+    """(id, component) of classes of paragraphs that link with another class."""
+    owners = materialize(units.where("whole").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "unit-owners")
     signed = fill_partitions(docs).mapInArrow(lambda it: _signed(p, it), "sig long, id long")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         need = materialize(owners.join(ids, "id"), "unit-needed")
-        from_docs = need.select("doc_id").distinct()
-        sets = checked_semi(docs, from_docs, "doc_id", need.count()).mapInArrow(lambda it: _unit_sets(p, it), "id long, elements binary")
-        return materialize(sets.join(need.select("id"), "id", "left_semi").dropDuplicates(["id"]), "unit-sets")
+        asked = need.groupBy("doc_id").agg(F.collect_list("id").alias("asked"))  # at most one document's paragraphs
+        from_docs = docs.join(F.broadcast(asked) if need.count() <= BROADCAST_ROWS else asked, "doc_id").select("text", "asked")
+        return materialize(from_docs.mapInArrow(lambda it: _unit_sets(p, it), "id long, elements binary").dropDuplicates(["id"]), "unit-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "unit-pairs")
@@ -159,7 +206,7 @@ def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
 def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, copy, line, start, stop, kept_doc_id): the units to cut out, as words of a line, and the document whose place
     of the component stays. ``docs``: (doc_id, copy, text), doc_id not null."""
-    units = materialize(fill_partitions(docs).mapInArrow(lambda it: _units(p, it), "doc_id long, copy long, line int, start int, stop int, id long"), "units")
+    units = materialize(fill_partitions(docs).mapInArrow(lambda it: _units(p, it), "doc_id long, copy long, line int, start int, stop int, id long, whole boolean"), "units")
     comp = unit_components(units, docs, p)
     # classes that are alone and have one unit need no further look: only the others are joined
     many = units.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "copy", "line", "start")).alias("own"))

@@ -3,8 +3,7 @@ import random
 import numpy as np
 
 from pageknow.llm import simjoin
-from pageknow.llm.paragraphs import Params, band_signatures, dedup_paragraphs, tune_bands, units_of, window_starts
-from pageknow.llm.shingles import shingles_of, word_hashes
+from pageknow.llm.paragraphs import Params, band_signatures, dedup_paragraphs, layouts, tune_bands, window_starts
 
 P = Params()
 
@@ -19,7 +18,9 @@ def test_bands_reach_the_wanted_recall():
     for _ in range(n):
         a = rng.integers(0, 2**63, 90, dtype=np.uint64)
         b = np.append(a[:80], rng.integers(0, 2**63, 10, dtype=np.uint64))  # similarity 0.8
-        hits += bool(set(band_signatures(a, P.bands, P.rows).tolist()) & set(band_signatures(b, P.bands, P.rows).tolist()))
+        g, edge = np.concatenate([a, b]), np.array([0, 90, 180])
+        sig = band_signatures(g, edge[:2], edge[1:], 1, P.bands, P.rows)
+        hits += bool((sig[0] == sig[1]).any())
     assert hits / n >= 0.96
 
 
@@ -29,13 +30,16 @@ def test_every_passage_of_fifty_words_shares_a_window():
         passage = prose(rng, 50)
         keys = []
         for _ in range(2):
-            line = word_hashes([w.encode() for w in prose(rng, rng.randrange(80)) + passage + prose(rng, rng.randrange(80))])
-            keys.append({line[i : i + P.window].tobytes() for i in window_starts(line, P).tolist()})
+            text = " ".join(prose(rng, rng.randrange(80)) + passage + prose(rng, rng.randrange(80))).encode()
+            (at,) = layouts([b"short", None, text], P)
+            first, of = window_starts(at, P)
+            assert (of == 0).all() and at.text.tolist() == [2]
+            keys.append({at.words[i : i + P.window].tobytes() for i in first.tolist()})
         assert keys[0] & keys[1]
 
 
 def test_planted_repeats(spark, monkeypatch):
-    monkeypatch.setattr(simjoin, "SMALL", 4)
+    monkeypatch.setattr(simjoin, "SMALL", 6)
     rng = random.Random(9)
     passage, para = prose(rng, 60), prose(rng, 120)
     texts = {}
@@ -57,14 +61,19 @@ def test_planted_repeats(spark, monkeypatch):
         elif i % 3 == 1:
             assert r.kept_doc_ids == [1] and " ".join(passage) not in r.text and 24 <= r.removed_words <= 60
         else:
-            assert r.kept_doc_ids == [2] and r.removed_words == 120 and r.text.split("\n") == [x for x in t.split("\n") if "edited" not in x]
+            assert 2 in r.kept_doc_ids and r.removed_words == 120 and r.text.split("\n") == [x for x in t.split("\n") if "edited" not in x]
 
 
 def test_against_all_pairs(spark):
     """Components of line units by brute force on real rows: the cut lines are those of all but the first place."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     p = Params(long_line=10**9, recall=0.99999)
-    units = [(r.doc_id, k, a, b, shingles_of(h, 5)) for r in df.collect() for k, a, b, h in units_of(r.text.encode(), p)]
+    units = []
+    for r in df.collect():
+        for k, line in enumerate(r.text.lower().encode().split(b"\n")):
+            w = line.split()
+            if len(w) >= p.window:
+                units.append((r.doc_id, k, 0, len(w), {tuple(w[i : i + 5]) for i in range(len(w) - 4)}))
     units.sort(key=lambda u: u[:3])
     root = list(range(len(units)))
 
@@ -74,7 +83,7 @@ def test_against_all_pairs(spark):
         return i
 
     seen = {}
-    sets = [set(u[4].tolist()) for u in units]
+    sets = [u[4] for u in units]
     for i, s in enumerate(sets):
         for j in {j for x in s for j in seen.get(x, ())}:
             both = len(s & sets[j])
