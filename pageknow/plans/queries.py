@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, one or more per operator."""
 
-from pageknow.plans import pages, retrieval
+from pageknow.plans import knowledge, pages, retrieval
 
-AREAS = (retrieval, pages)
+AREAS = (retrieval, pages, knowledge)
 QUERIES = {name: q for area in AREAS for name, q in area.QUERIES.items()}

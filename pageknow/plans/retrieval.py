@@ -63,7 +63,7 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    return R.dense_topk(v, v.where("vec_id < 10"), 5, match="label")
+    return R.dense_topk(v, v.where("vec_id % 50 = 0"), 5, match="label")
 
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,7 @@ ORACLES = {
     "sparse_cosine_topk": f"{CHUNKS}, {INDEX} SELECT * FROM cosine",
     "hash_embed": f"""WITH t AS (SELECT doc_id, unnest({sql_index_terms('text')}) AS term FROM documents), n AS (SELECT doc_id, CAST(CAST('0x' || left(md5(term), 8) AS BIGINT) % 64 AS INT) AS slot, count(*) AS n FROM t GROUP BY ALL)
         SELECT doc_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM n""",
-    "dense_topk": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, label FROM embeddings WHERE vec_id < 10),
+    "dense_topk": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, label FROM embeddings WHERE vec_id % 50 = 0),
         s AS (SELECT query_id, vec_id, round(1 / (1 + list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS score FROM embeddings e JOIN q ON e.label = q.label AND e.vec_id <> q.query_id)
         SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 5""",
     "hybrid_retrieve": f"""{CHUNKS}, {INDEX}, {EXPAND}, {KEYWORD},
