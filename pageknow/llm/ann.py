@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pageknow.llm.common import fill_partitions, materialize
-from pageknow.llm.vectors import balanced_kmeans, sample, valid
+from pageknow.llm.vectors import balanced_kmeans, matrix, sample, valid
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def _lists(c: np.ndarray, top: float, p: Params, batches: Iterator[pa.RecordBatc
     for b in batches:
         if not b.num_rows:
             continue
-        v = np.array(b.column("v").to_pylist(), dtype=np.float64)
+        v = matrix(b.column("v"))
         x = np.column_stack([v, np.sqrt(np.maximum(0, top * top - (v * v).sum(1)))])
         d = _distances(x, c)
         first = np.argsort(d, axis=1, kind="stable")[:, : p.copies]
@@ -91,7 +91,7 @@ def _lists(c: np.ndarray, top: float, p: Params, batches: Iterator[pa.RecordBatc
 
 def _probes(c: np.ndarray, graph: list[np.ndarray], ratio: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lists = [walk(np.append(np.array(v, dtype=np.float64), 0.0), c, graph, ratio) for v in b.column("v").to_pylist()]
+        lists = [walk(np.append(v, 0.0), c, graph, ratio) for v in (matrix(b.column("v")) if b.num_rows else ())]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "lists"])
 
 
@@ -110,7 +110,7 @@ def _score_all(queries: np.ndarray, ids: np.ndarray, k: int, batches: Iterator[p
     for b in batches:
         if not b.num_rows:
             continue
-        at, v = b.column("id").to_numpy(), np.array(b.column("v").to_pylist(), dtype=np.float64)
+        at, v = b.column("id").to_numpy(), matrix(b.column("v"))
         s = queries @ v.T
         out = []
         for i, q in enumerate(ids.tolist()):
@@ -123,7 +123,7 @@ def _search(k: int, table: pa.Table) -> pa.Table:
     """Queries against the rows of a block of lists: the best k of each query among the lists it takes."""
     kind = table.column("query").to_numpy()
     ids = table.column("id").to_numpy()
-    x = np.array(table.column("v").to_pylist(), dtype=np.float64)
+    x = matrix(table.column("v"))
     lists = table.column("lists").to_pylist()
     qs, rows = np.flatnonzero(kind), np.flatnonzero(~kind)
     by: dict[int, list[int]] = {}
@@ -194,7 +194,7 @@ def _calibrate(placed: DataFrame, asked: DataFrame, c: np.ndarray, p: Params) ->
     got = asked.orderBy(F.xxhash64("id"), "id").limit(p.probe_sample).toArrow()
     if not got.num_rows:
         return None
-    ids, q = got.column("id").to_numpy(), np.array(got.column("v").to_pylist(), dtype=np.float64)
+    ids, q = got.column("id").to_numpy(), matrix(got.column("v"))
     k = p.k
     best = placed.mapInArrow(lambda it: _score_all(q, ids, k, it), "q int, id long, score double, lists array<int>")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), "id"))

@@ -20,16 +20,16 @@ from pyspark.sql import functions as F
 
 from pageknow.llm.common import fill_partitions, materialize
 from pageknow.llm.graph import connected_components
-from pageknow.llm.vectors import sample, spherical_kmeans, unit, valid
+from pageknow.llm.vectors import matrix, sample, spherical_kmeans, unit, valid
 
 
 @dataclass(frozen=True)
 class Params:
     cosine: float = 0.9
     sample_rows: int = 16_000  # rows the centroids are fitted on (smallest hash first)
-    cell_rows: int = 512  # wanted home rows of a cell
+    cells: int = 0  # number of cells; 0: half the root of the number of rows
     max_cells: int = 4_096
-    z: float = 4.0
+    z: float = 2.5
     block: int = 1_024  # rows on each side of a product
 
 
@@ -39,7 +39,7 @@ def _assign(c: np.ndarray, p: Params, batches: Iterator[pa.RecordBatch]) -> Iter
     for b in batches:
         if not b.num_rows:
             continue
-        v = np.array(b.column("v").to_pylist(), dtype=np.float64)
+        v = matrix(b.column("v"))
         s = unit(v) @ c.T
         home = s.argmax(axis=1)
         near = s[np.arange(len(v)), home][:, None] - s <= u * gaps[home]
@@ -53,11 +53,13 @@ def _compare(cosine: float, table: pa.Table) -> pa.Table:
     cell = table.column("cell")[0].as_py()
     left = table.column("left").to_numpy()
     ids, m, home = (table.column(k).to_numpy() for k in ("id", "m", "home"))
-    x = unit(np.array(table.column("v").to_pylist(), dtype=np.float64))
-    cells = table.column("cells").to_pylist()
+    x = unit(matrix(table.column("v")))
     h, r = np.flatnonzero(left), np.flatnonzero(~left)
-    i, j = np.nonzero(x[h] @ x[r].T >= cosine) if len(h) and len(r) else (np.zeros(0, int), np.zeros(0, int))
+    single = x.astype(np.float32)
+    i, j = np.nonzero(single[h] @ single[r].T >= cosine - 1e-4) if len(h) and len(r) else (np.zeros(0, int), np.zeros(0, int))
     i, j = h[i], r[j]
+    sure = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 100_000]], x[j[k : k + 100_000]]) for k in range(0, len(i), 100_000)]) >= cosine if len(i) else np.zeros(0, bool)
+    i, j = i[sure], j[sure]  # single precision only leaves out what is clearly below
     other = ids[i] != ids[j]
     i, j = i[other], j[other]
     n = np.zeros(len(ids), dtype=np.int64)
@@ -66,7 +68,8 @@ def _compare(cosine: float, table: pa.Table) -> pa.Table:
     lent = home[j] != cell
     if lent.any():
         li, lj = i[lent], j[lent]
-        sees = {k: set(cells[k]) for k in np.unique(li).tolist()}
+        cells = table.column("cells")
+        sees = {k: set(cells[k].as_py()) for k in np.unique(li).tolist()}
         unseen = np.fromiter((hm not in sees[k] for k, hm in zip(li.tolist(), home[lj].tolist(), strict=True)), dtype=bool, count=len(li))
         np.add.at(n, lj[unseen], m[li[unseen]])
     # a spanning set of edges: labels spread along the links until they rest
@@ -117,7 +120,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
 
 
 def _links(classes: DataFrame, n: int, p: Params) -> DataFrame:
-    c = spherical_kmeans(unit(sample(classes, "id", p.sample_rows)), max(1, min(p.max_cells, n // p.cell_rows)))
+    c = spherical_kmeans(unit(sample(classes, "id", p.sample_rows)), p.cells or max(1, min(p.max_cells, round(n**0.5 / 2))))
     placed = fill_partitions(classes.select("id", "m", "v")).mapInArrow(lambda it: _assign(c, p, it), "id long, m long, v array<double>, home int, cells array<int>")
     placed = materialize(placed, "vector-cells")
     # blocks of each cell; the table has at most max_cells rows

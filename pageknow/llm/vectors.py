@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,15 @@ def valid(vector: Column) -> Column:
 
 def sample(vectors: DataFrame, key: str, rows: int) -> np.ndarray:
     """The vectors with the smallest hashes of ``key``, at most ``rows`` of them, as doubles."""
-    got = vectors.select("v", F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(rows).select("v").toArrow().column("v").to_pylist()
-    return np.array(got, dtype=np.float64) if got else np.zeros((0, 0))
+    got = vectors.select("v", F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(rows).select("v").toArrow().column("v")
+    return matrix(got) if len(got) else np.zeros((0, 0))
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length as a matrix of doubles."""
+    n = len(column)
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ def test_links_against_all_pairs(spark):
     x = clusters(1500, 16, 3)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     want_n, want_c = brute_links(x)
-    exact = embed_dedup.Params(z=4.0, cell_rows=60, block=100)
+    exact = embed_dedup.Params(z=4.0, cells=25, block=100)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df, p=exact).collect()}
     assert got == {i: (int(want_n[i]), int(want_c[i]), int(want_c[i]) == i) for i in range(len(x))}
 
