@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import fill_partitions
+from pageknow.llm.common import fill_partitions, slices
 
 #: Characters of a piece; longer texts are cut.
 PIECE_CHARS = 32_768
 #: A word of more characters is encoded by halves and joins instead of in one call.
 LONG_WORD = 512
 #: Entries of the per-worker memo before it is emptied.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -163,7 +163,7 @@ _EMPTY = _digest(b"", b"")
 
 
 def _whole(path: str, batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [
             _EMPTY if t is None else _digest(*encode_words(path, t)) for t in batch.column("__text").cast(pa.binary()).to_pylist()
         ]

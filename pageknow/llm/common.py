@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,13 @@ def fill_partitions(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def checked_semi(df: DataFrame, ids: DataFrame, on: str, n_ids: int) -> DataFrame:
     """Rows of ``df`` whose key is among ``ids`` (distinct). Broadcasts only a counted, small side; else a shuffled join."""
     side = F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids

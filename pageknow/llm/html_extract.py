@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import fill_partitions
+from pageknow.llm.common import fill_partitions, slices
 
 WINDOW = 3
 
@@ -179,7 +179,7 @@ def main_text(html: str | None) -> str:
 
 
 def _extract(keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts = [main_text(h) for h in b.column("__html").to_pylist()]
         yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 

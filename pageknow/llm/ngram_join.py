@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import checked_semi, fill_partitions, materialize
+from pageknow.llm.common import checked_semi, fill_partitions, materialize, slices
 from pageknow.llm.graph import connected_components
 from pageknow.llm.shingles import PartEnum, overlap, set_digest, shingle_set
 from pageknow.llm.simjoin import link_buckets
@@ -26,7 +26,7 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 
 
 def _digests(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         sets = [shingle_set(t, k) for t in _texts(b)]
         d = [set_digest(s)[0] if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
@@ -65,7 +65,7 @@ def _may_link(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator
 def sign_batches(pe: PartEnum, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, id) of each text, id being the first half of the set's digest; copies within a task sign once."""
     seen: set[int] = set()
-    for b in batches:
+    for b in slices(batches):
         sigs, ids, held = [], [], 0
         for t in _texts(b):
             s = shingle_set(t, k)
@@ -92,7 +92,7 @@ def _rows(sigs: list, ids: list) -> pa.RecordBatch:
 
 
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         sets = [shingle_set(t, k) for t in _texts(b)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([set_digest(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"]
@@ -100,7 +100,7 @@ def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _verify(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
         ok = []
         for p, q in zip(x, y, strict=True):

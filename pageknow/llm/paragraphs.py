@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import BROADCAST_ROWS, fill_partitions, materialize
+from pageknow.llm.common import BROADCAST_ROWS, fill_partitions, materialize, slices
 from pageknow.llm.graph import connected_components
 from pageknow.llm.ngram_join import _rows, sign_sets_again, verify_pairs
 from pageknow.llm.shingles import mixed, word_hashes
 from pageknow.llm.simjoin import link_buckets
 
 #: Words that are worked on at once.
-PART_WORDS = 200_000
+PART_WORDS = 100_000
 
 WORD = re.compile(rb"[^ \t-\r]+")
 
@@ -145,7 +145,7 @@ def _texts(b: pa.RecordBatch) -> list[bytes | None]:
 
 def _units(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paragraphs and windows: (doc_id, copy, line, start, stop, id, whole)."""
-    for b in batches:
+    for b in slices(batches):
         doc, copy = b.column("doc_id").to_numpy(), b.column("copy").to_numpy()
         for at in layouts(_texts(b), p):
             g = shingle_hashes(at.words, p.shingle)
@@ -162,7 +162,7 @@ def _units(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def _signed(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, id) of the paragraphs; equal ones of a part sign once."""
     bands = p.bands
-    for b in batches:
+    for b in slices(batches):
         for at in layouts(_texts(b), p):
             g = shingle_hashes(at.words, p.shingle)
             ids, one = np.unique(digests(g, at.start, at.stop, p.shingle), return_index=True)
@@ -172,7 +172,7 @@ def _signed(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _unit_sets(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, elements) of the paragraphs whose ids a text is asked for."""
-    for b in batches:
+    for b in slices(batches):
         asked = b.column("asked").to_pylist()
         for at in layouts(_texts(b), p):
             g = shingle_hashes(at.words, p.shingle)
@@ -240,7 +240,7 @@ def cut_spans(text: bytes, spans: list[tuple[int, int, int]]) -> bytes:
 
 
 def _apply(keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts, removed = [], []
         for t, spans in zip(b.column("__text").cast(pa.binary()).to_pylist(), b.column("__spans").to_pylist(), strict=True):
             s = [(x["line"], x["start"], x["stop"]) for x in spans or []]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import fill_partitions, materialize
+from pageknow.llm.common import fill_partitions, materialize, slices
 
 FEATURES = (
     "log_chars", "log_words", "upper", "digit", "symbol", "mark", "pipe", "space", "newline", "repeat_next",
@@ -66,7 +66,7 @@ def shape(text: bytes | None) -> list[float]:
 
 
 def _vectors(text: str, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         v = [shape(t) for t in b.column(text).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(v, pa.list_(pa.float64()))], [*keep, "v"])
 
@@ -119,7 +119,7 @@ def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _score(model: Model, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         v = np.array([shape(t) for t in b.column("__text").cast(pa.binary()).to_pylist()]).reshape(-1, len(FEATURES))
         k = bin_of(model.cuts, v)
         s = model.weights[np.arange(len(FEATURES)), k].sum(1) if len(v) else np.zeros(0)

@@ -22,7 +22,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h

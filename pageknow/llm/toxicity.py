@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import fill_partitions, materialize
+from pageknow.llm.common import fill_partitions, materialize, slices
 
 #: Lists of terms that may stand for each other; the first of each is neutral. Fixed values.
 IDENTITY_TERMS = (
@@ -70,7 +70,7 @@ class Model:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         for row, (text, y) in enumerate(zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True)):
             f = sorted(text_features(text))
             if f:
@@ -78,7 +78,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _present(chosen: set[str], groups: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         ys, fs, kinds = [], [], []
         for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
             ys.append(y)
@@ -151,7 +151,7 @@ class _Memo(dict):
 
     def __missing__(self, word: str) -> tuple[str, ...]:
         got = tuple(f for f in features_of(word) if f in self.known)
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = got
         return got
@@ -159,7 +159,7 @@ class _Memo(dict):
 
 def _score(model: Model, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo, known = _Memo(model), model.weights
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text in batch.column("__text").to_pylist():
             found: set[str] = set()
