@@ -164,7 +164,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     def again(left: DataFrame, level: int) -> DataFrame:
         return sign_sets_again(left, sets_of(left.select("id").distinct()), num, den, level)
 
-    links = link_buckets(signed, verify, again)
+    links = link_buckets(signed, verify, sets_of, again, num, den)
     comp = connected_components(links)
     named = classes.join(comp, classes["d1"] == comp["id"], "left").withColumn("root", F.coalesce("component", "d1"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -200,7 +200,7 @@ def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     def again(left: DataFrame, level: int) -> DataFrame:
         return sign_sets_again(left, sets_of(left.select("id").distinct()), p.num, p.den, level)
 
-    return connected_components(link_buckets(signed, verify, again))
+    return connected_components(link_buckets(signed, verify, sets_of, again, p.num, p.den))
 
 
 def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:

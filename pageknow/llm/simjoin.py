@@ -1,16 +1,19 @@
-"""From signatures to verified links, without all pairs of any group.
+"""From signatures to verified links, without emitting the pairs of any group.
 
 Members that share a signature are candidates. Each is first verified against the smallest member of its bucket.
-Components are then formed, and a bucket whose members all fell into one component is done. In a bucket that is
-still open and has a bounded number of pairs across components, those are verified. The members of larger ones are
-signed anew, by another partition of the domain and together with the old signature, and go round again: the candidates
-get fewer each time while no similar pair can get lost. After ``MAX_LEVELS`` rounds what is left is compared in blocks.
+Components are then formed, and a bucket whose members all fell into one component is done. Members of the buckets that
+are still open form clumps (what open buckets connect). A clump is compared in blocks of bounded size, once for all of its
+buckets: a task counts the common elements of two blocks by a matrix product over the elements that occur twice, and
+returns a spanning set of the links. Members of very large clumps are signed anew before, by another partition of the
+domain and together with the old signature, so that only what still shares a bucket is compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,74 +21,115 @@ from pyspark.sql import functions as F
 from pageknow.llm.common import materialize
 from pageknow.llm.graph import connected_components
 
-#: A bucket with at most so many pairs across components has them verified; a larger one is signed anew.
-SMALL = 20_000
-MAX_LEVELS = 4
-BLOCK = 64
+BLOCK = 512
+#: Clumps of more members are signed anew, at most so often.
+CLUMP = 20_000
+MAX_LEVELS = 3
+#: Cells of the matrices that a task holds.
+CELLS = 20_000_000
 
 
 def shared(signed: DataFrame) -> DataFrame:
-    """(sig, id, n, hub): distinct members of signatures that at least two ids share."""
+    """(sig, id, hub): distinct members of signatures that at least two ids share."""
     w = W.partitionBy("sig")
-    some = signed.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo <> hi").select("sig", "id").distinct()
-    return some.withColumns({"n": F.count(F.lit(1)).over(w), "hub": F.min("id").over(w)})
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs a < b of a bucket's members in different components, but those with the hub, which were verified before."""
-    x = rows.where("id <> hub").select("sig", F.col("id").alias("i"), F.col("c").alias("ci"))
-    y = rows.where("id <> hub").select("sig", F.col("id").alias("j"), F.col("c").alias("cj"))
-    met = x.join(y, "sig").where("ci < cj")
-    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-
-
-def _blocked(rows: DataFrame) -> DataFrame:
-    """All pairs of the rest, a block of members against a block of members per row, then exploded; bounded work per task."""
-    w = W.partitionBy("sig").orderBy("id")
-    blocks = rows.withColumn("blk", F.floor((F.row_number().over(w) - 1) / BLOCK)).groupBy("sig", "blk").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.blk") <= F.col("y.blk"))).select(F.col("x.ids").alias("p"), F.col("y.ids").alias("ids"))
-    return met.select("ids", F.explode("p").alias("a")).select("a", F.explode("ids").alias("b")).where("a < b")
-
-
-def link_buckets(signed: DataFrame, verify: Callable[[DataFrame], DataFrame], sign_again: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    some = signed.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo <> hi")
+    return some.select("sig", "id", F.col("lo").alias("hub")).distinct()
+
+
+def spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between positions i and j a set of edges (id, smallest id) that connects the same."""
+    label = ids.copy()
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        if (new == label).all():
+            break
+        label = new
+    at = np.unique(np.concatenate([i, j])) if len(i) else np.zeros(0, dtype=int)
+    at = at[ids[at] != label[at]]
+    return label[at], ids[at]
+
+
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of common elements of the sets at ``left`` and at ``right``."""
+    sizes = np.array([len(s) for s in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, at, n = np.unique(every, return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(n > 1)
+    column = np.full(len(n), -1)
+    column[twice] = np.arange(len(twice))
+    col = column[at]
+    owner, col = owner[col >= 0], col[col >= 0]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    width = max(1, CELLS // max(1, len(sets)))
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    for a in range(0, len(twice), width):
+        lo, hi = np.searchsorted(col, [a, a + width])
+        m = np.zeros((len(sets), min(width, len(twice) - a)), dtype=np.float32)
+        m[owner[lo:hi], col[lo:hi] - a] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def _compare(num: int, den: int, table: pa.Table) -> pa.Table:
+    block = table.column("block").to_numpy()
+    ids = table.column("id").to_numpy()
+    sets = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
+    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    if not len(left) or not len(right):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    both = common(sets, left, right)
+    n = np.array([len(s) for s in sets])
+    total = n[left][:, None] + n[right][None, :]
+    i, j = np.nonzero(den * both >= num * (total - both))
+    a, b = spanning(ids, left[i], right[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def link_clumps(clumps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) inside clumps (id, clump) by exact similarity of their sets (id, elements), as spanning edges."""
+    blocks = clumps.groupBy("clump").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    x = clumps.join(blocks, "clump").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).join(sets, "id")
+    x = x.select("clump", "id", "elements", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    x = x.select("clump", "id", "elements", "block", F.greatest("block", "o").alias("p"), F.least("block", "o").alias("q"))
+    return x.groupBy("clump", "p", "q").applyInArrow(lambda t: _compare(num, den, t), "a long, b long")
+
+
+def link_buckets(signed: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], sign_again: Callable[[DataFrame, int], DataFrame], num: int, den: int) -> DataFrame:
     """Links (a, b) that hold all connections between similar ids.
 
-    ``signed``: (sig, id). ``verify``: candidate pairs (a < b, distinct) to those that link. ``sign_again``: rows (sig, id)
-    and a level to rows (sig, id) with new signatures, under which similar members of a bucket again share one.
+    ``signed``: (sig, id). ``verify``: candidate pairs (a < b, distinct) to those that link. ``sets_of``: distinct (id) to
+    (id, elements). ``sign_again``: rows (sig, id) and a level to rows (sig, id) with new signatures, under which similar
+    members of a bucket again share one.
     """
     w = W.partitionBy("sig")
-    rows = materialize(shared(signed), "shared")
-    links = None
 
-    def check(pairs: DataFrame) -> DataFrame:
-        found = materialize(verify(pairs), "links")
-        return found if links is None else links.unionAll(found)
+    def check(rows_: DataFrame) -> DataFrame:
+        return materialize(verify(rows_.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), "links")
 
-    def open_rows(rows_: DataFrame) -> DataFrame:
-        """Rows of the buckets that still hold several components, with the bucket's number of pairs across components."""
-        comp = materialize(connected_components(links), "components")
-        named = rows_.select("sig", "id", "n", "hub").join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        some = named.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").drop("lo", "hi")
-        mates = some.withColumn("mates", F.count(F.lit(1)).over(W.partitionBy("sig", "c")))
-        return materialize(mates.withColumn("across", (F.col("n") * F.col("n") - F.sum("mates").over(w)) / 2).drop("mates"), "open")
+    def open_rows(rows_: DataFrame, links_: DataFrame) -> DataFrame:
+        """Rows of the buckets that still hold several components."""
+        comp = connected_components(links_)
+        named = rows_.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
+        return materialize(named.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").select("sig", "id", "hub"), "open")
 
+    rows = materialize(shared(signed), "shared")
+    links = check(rows)
+    rows = open_rows(rows, links)
     for level in range(1, MAX_LEVELS + 1):
-        links = check(rows.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-        rows = open_rows(rows)
-        few = rows.where(F.col("across") <= SMALL)
-        if not few.isEmpty():
-            links = check(_across(few).distinct())
-        many = rows.where(F.col("across") > SMALL)
-        if many.isEmpty():
-            return links
-        many = open_rows(many)
-        if many.isEmpty():
-            return links
-        if level == MAX_LEVELS:
-            return check(_blocked(many.select("sig", "id")).distinct())
-        again = shared(sign_again(many.select("sig", "id"), level))
-        rows = open_rows(again)
         if rows.isEmpty():
             return links
-    return links
+        clumps = materialize(connected_components(rows.where("id <> hub").select("hub", "id").distinct(), "hub", "id").withColumnRenamed("component", "clump"), "clumps")
+        large = materialize(clumps.groupBy("clump").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CLUMP).select("clump"), "large-clumps")
+        if level == MAX_LEVELS or large.isEmpty():
+            break
+        of = clumps.join(large, "clump", "left_semi").select("id")
+        again = materialize(shared(sign_again(rows.join(of, "id", "left_semi").select("sig", "id"), level)), "shared")
+        links = links.unionAll(check(again))
+        rows = open_rows(rows.join(of, "id", "left_anti").select("sig", "id", "hub").unionAll(again.select("sig", "id", "hub")), links)
+    found = link_clumps(clumps, sets_of(clumps.select("id")), num, den)
+    return links.unionAll(materialize(found, "links"))

@@ -66,9 +66,10 @@ def test_signatures_are_complete():
             assert set(pe.signatures(a).tolist()) & set(pe.signatures(b).tolist())
 
 
-@pytest.mark.parametrize("small", [20_000, 3])
-def test_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(simjoin, "SMALL", small)
+@pytest.mark.parametrize("clump", [20_000, 3])
+def test_against_brute_force(spark, monkeypatch, clump):
+    monkeypatch.setattr(simjoin, "CLUMP", clump)
+    monkeypatch.setattr(simjoin, "BLOCK", 7)
     rng = random.Random(5)
     texts = [None, "", " \n", "one", "One", "a b c", "a b c d", "a B c d e", "A b c d e"]
     for s, size in enumerate([8, 15, 30, 60, 150, 150, 400]):
@@ -84,6 +85,14 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, jaccard_classes(df).collect())) == brute(rows)
 
 
+def test_common_elements():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(9)]
+    left, right = np.array([0, 1, 2, 8]), np.array([3, 8, 5])
+    got = simjoin.common(sets, left, right)
+    assert got.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+
+
 def test_counts_bound_the_difference():
     rng = np.random.default_rng(4)
     for n in (1, 10, 130, 5000):

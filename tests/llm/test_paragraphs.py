@@ -39,7 +39,7 @@ def test_every_passage_of_fifty_words_shares_a_window():
 
 
 def test_planted_repeats(spark, monkeypatch):
-    monkeypatch.setattr(simjoin, "SMALL", 6)
+    monkeypatch.setattr(simjoin, "BLOCK", 6)
     rng = random.Random(9)
     passage, para = prose(rng, 60), prose(rng, 120)
     texts = {}
