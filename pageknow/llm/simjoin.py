@@ -1,8 +1,8 @@
 """From signatures to verified links, without emitting the pairs of any group.
 
 Members that share a signature are candidates. Each is first verified against the smallest member of its bucket.
-Components are then formed, and a bucket whose members all fell into one component is done. Members of the buckets that
-are still open form clumps (what open buckets connect). A clump is compared in blocks of bounded size, once for all of its
+Components are then formed, and a bucket whose members all fell into one component is done. An open bucket with a bounded
+number of pairs across components has those verified. Members of the buckets that are larger form clumps (what open buckets connect). A clump is compared in blocks of bounded size, once for all of its
 buckets: a task counts the common elements of two blocks by a matrix product over the elements that occur twice, and
 returns a spanning set of the links. Members of very large clumps are signed anew before, by another partition of the
 domain and together with the old signature, so that only what still shares a bucket is compared.
@@ -22,6 +22,8 @@ from pageknow.llm.common import materialize
 from pageknow.llm.graph import connected_components
 
 BLOCK = 512
+#: An open bucket with at most so many pairs across components has them verified one by one.
+FEW = 2_000
 #: Clumps of more members are signed anew, at most so often.
 CLUMP = 20_000
 MAX_LEVELS = 3
@@ -99,6 +101,13 @@ def link_clumps(clumps: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return x.groupBy("clump", "p", "q").applyInArrow(lambda t: _compare(num, den, t), "a long, b long")
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs a < b of a bucket's members in different components, but those with the hub, which were verified before."""
+    x = rows.where("id <> hub").select("sig", F.col("id").alias("i"), F.col("c").alias("ci"))
+    y = rows.where("id <> hub").select("sig", F.col("id").alias("j"), F.col("c").alias("cj"))
+    return x.join(y, "sig").where("ci < cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+
+
 def link_buckets(signed: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], sign_again: Callable[[DataFrame, int], DataFrame], num: int, den: int) -> DataFrame:
     """Links (a, b) that hold all connections between similar ids.
 
@@ -115,11 +124,17 @@ def link_buckets(signed: DataFrame, verify: Callable[[DataFrame], DataFrame], se
         """Rows of the buckets that still hold several components."""
         comp = connected_components(links_)
         named = rows_.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
-        return materialize(named.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi").select("sig", "id", "hub"), "open")
+        some = named.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi")
+        mates = some.withColumns({"n": F.count(F.lit(1)).over(w), "mates": F.count(F.lit(1)).over(W.partitionBy("sig", "c"))})
+        across = (F.col("n") * F.col("n") - F.sum("mates").over(w)) / 2
+        return materialize(mates.withColumn("across", across).select("sig", "id", "hub", "c", "across"), "open")
 
     rows = materialize(shared(signed), "shared")
     links = check(rows)
     rows = open_rows(rows, links)
+    few = rows.where(F.col("across") <= FEW)
+    links = links.unionAll(materialize(verify(_across(few).distinct()), "links"))
+    rows = rows.where(F.col("across") > FEW).select("sig", "id", "hub")
     for level in range(1, MAX_LEVELS + 1):
         if rows.isEmpty():
             return links
@@ -130,6 +145,6 @@ def link_buckets(signed: DataFrame, verify: Callable[[DataFrame], DataFrame], se
         of = clumps.join(large, "clump", "left_semi").select("id")
         again = materialize(shared(sign_again(rows.join(of, "id", "left_semi").select("sig", "id"), level)), "shared")
         links = links.unionAll(check(again))
-        rows = open_rows(rows.join(of, "id", "left_anti").select("sig", "id", "hub").unionAll(again.select("sig", "id", "hub")), links)
+        rows = open_rows(rows.join(of, "id", "left_anti").select("sig", "id", "hub").unionAll(again.select("sig", "id", "hub")), links).select("sig", "id", "hub")
     found = link_clumps(clumps, sets_of(clumps.select("id")), num, den)
     return links.unionAll(materialize(found, "links"))

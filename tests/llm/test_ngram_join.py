@@ -70,6 +70,7 @@ def test_signatures_are_complete():
 def test_against_brute_force(spark, monkeypatch, clump):
     monkeypatch.setattr(simjoin, "CLUMP", clump)
     monkeypatch.setattr(simjoin, "BLOCK", 7)
+    monkeypatch.setattr(simjoin, "FEW", 10)
     rng = random.Random(5)
     texts = [None, "", " \n", "one", "One", "a b c", "a b c d", "a B c d e", "A b c d e"]
     for s, size in enumerate([8, 15, 30, 60, 150, 150, 400]):
