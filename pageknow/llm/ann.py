@@ -119,8 +119,19 @@ def _score_all(queries: np.ndarray, ids: np.ndarray, k: int, batches: Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], t) for n, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int32())))], ["q", "id", "score", "lists"])
 
 
+def inner(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of ``q`` with each row, summed from the first component to the last: a pair has one score in every block."""
+    out = np.zeros(len(rows))
+    for j in range(rows.shape[1]):
+        out += rows[:, j] * q[j]
+    return out
+
+
 def _search(k: int, table: pa.Table) -> pa.Table:
-    """Queries against the rows of a block of lists: the best k of each query among the lists it takes."""
+    """Queries against the rows of a block of lists: the best k rows of each query among the lists it takes, each row once.
+
+    The block products only choose: all rows within their rounding of a list's k-th score are scored again by ``inner``.
+    """
     kind = table.column("query").to_numpy()
     ids = table.column("id").to_numpy()
     x = matrix(table.column("v"))
@@ -130,23 +141,31 @@ def _search(k: int, table: pa.Table) -> pa.Table:
     for r in rows.tolist():
         for name in lists[r]:
             by.setdefault(name, []).append(r)
-    found: dict[int, list] = {q: [] for q in qs.tolist()}
+    found: dict[int, list[np.ndarray]] = {q: [] for q in qs.tolist()}
     asks: dict[int, list[int]] = {}
     for q in qs.tolist():
         for name in lists[q]:
             asks.setdefault(name, []).append(q)
+    norms = np.sqrt((x * x).sum(1))
     for name, members in by.items():
         asking = asks.get(name)
         if not asking:
             continue
         at = np.array(members)
         s = x[asking] @ x[at].T
+        slack = 4 * x.shape[1] * np.finfo(float).eps * norms[at].max()
         for i, q in enumerate(asking):
             row = np.where(ids[at] == ids[q], -np.inf, s[i])
-            keep = _best(row, ids[at], k)
-            found[q] += [(float(row[j]), int(ids[at[j]])) for j in keep.tolist() if row[j] != -np.inf]
-    out = [(int(ids[q]), v, s) for q, f in found.items() for s, v in sorted(set(f), key=lambda t: (-t[0], t[1]))[:k]]
-    return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
+            cut = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+            found[q].append(at[(row >= cut - slack * norms[q]) & (row != -np.inf)])
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for q, f in found.items():
+        at = np.unique(np.concatenate(f)) if f else np.zeros(0, np.int64)
+        s = inner(x[q], x[at])
+        keep = _best(s, ids[at], k)
+        out.append((np.full(len(keep), ids[q]), ids[at[keep]], s[keep]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
 
 def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", p: Params = Params()) -> DataFrame:
@@ -184,7 +203,8 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     right = member.join(F.broadcast(size), "g").select("g", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.pmod(h, "vb").cast("int").alias("b"), F.lit(False).alias("query"), "id", "v", "lists")
     left = ask.join(F.broadcast(size), "g").select("g", F.pmod(h, F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("b"), F.lit(True).alias("query"), "id", "v", "lists")
     k = p.k
-    found = left.unionAll(right).groupBy("g", "qb", "b").applyInArrow(lambda t: _search(k, t), "query_id long, vec_id long, score double").distinct()
+    found = left.unionAll(right).groupBy("g", "qb", "b").applyInArrow(lambda t: _search(k, t), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a row of several groups is found in each
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

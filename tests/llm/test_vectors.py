@@ -2,6 +2,7 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,24 @@ def test_search_recall_and_scores(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def test_a_row_of_several_lists_is_found_once(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = [[j for j in range(7) if i < 30 or j == i % 7 or rng.random() < 0.5] for i in range(400)]
+    table = pa.table({"query": [i < 30 for i in range(400)], "id": list(range(400)), "v": pa.array(x.tolist()), "lists": pa.array(lists)})
+    got = {}
+    for r in ann._search(20, table).to_pylist():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    for q in range(30):
+        want = [(-np.cumsum(x[q] * x[i])[-1], i) for i in range(30, 400)]  # summed in order
+        assert got[q] == sorted(want)[:20]
+    seen = {}
+    for r in op10_ann(spark, "/root/testdata/sf0.1").collect():
+        seen.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(v) == len(set(v)) == 20 for v in seen.values())
+
+
 def test_recall_with_lists_pruned(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4000, 8)) * rng.uniform(0.5, 2, size=(4000, 1))
