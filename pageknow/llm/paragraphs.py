@@ -4,13 +4,14 @@ The paragraphs of a text are its lines of at least ``window`` words. They are sh
 tuned so that paragraphs at the threshold collide with the wanted probability; colliding classes are verified by exact
 Jaccard similarity, and verified links are joined into components.
 
-A passage may also repeat inside paragraphs that are otherwise unlike. Long paragraphs are therefore cut into windows of
-words that start at winnowed places: of every ``spread`` neighbouring places the one with the least hash of its two words.
-A passage of at least ``window + spread + 1`` words is cut at the same places wherever it stands, so each of its repeats
-shares a window with it; equal windows are one class, like equal paragraphs.
+A passage may also repeat inside paragraphs that are otherwise unlike, or be wrapped into other lines. Texts are therefore
+cut, across line ends, into windows of words that start at winnowed places: of every ``spread`` neighbouring places the one
+with the least hash of its two words. A passage of at least ``window + spread + 1`` words is cut at the same places wherever
+it stands, so each of its repeats shares a window with it; equal windows are one class, like equal paragraphs.
 
 In each component, overlapping units of a text are one place; the first place (smallest doc_id, then position) stays, the
-others are cut out.
+others are cut out. A window is cut together with all words around it that are the same, word by word, around the first
+place of its class.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import BROADCAST_ROWS, fill_partitions, materialize, slices
+from pageknow.llm.common import BROADCAST_ROWS, checked_semi, fill_partitions, materialize, slices
 from pageknow.llm.graph import connected_components
 from pageknow.llm.ngram_join import _rows, sign_sets_again, verify_pairs
 from pageknow.llm.shingles import mixed, word_hashes
@@ -39,9 +40,9 @@ WORD = re.compile(rb"[^ \t-\r]+")
 
 @dataclass(frozen=True)
 class Params:
-    window: int = 24  # words of a window; shorter lines are never removed
+    window: int = 24  # words of a window; shorter lines are not units of their own
     spread: int = 24  # of so many neighbouring places one starts a window
-    long_line: int = 50  # windows are taken in paragraphs of so many words (at least window + spread)
+    long_line: int = 50  # windows are taken in texts of so many words (at least window + spread)
     shingle: int = 5
     num: int = 8  # similarity num / den
     den: int = 10
@@ -63,46 +64,57 @@ def tune_bands(threshold: float, recall: float, rows: int) -> int:
 
 @dataclass
 class Layout:
-    """Paragraphs of several texts side by side: word hashes, and of each paragraph its words, text and line."""
+    """Texts side by side: word hashes, of each paragraph its words, text and the text's first word, of each long text its words and number."""
 
     words: np.ndarray
     start: np.ndarray
     stop: np.ndarray
     text: np.ndarray
-    line: np.ndarray
+    base: np.ndarray
+    long_start: np.ndarray
+    long_stop: np.ndarray
+    long_text: np.ndarray
 
 
 def layouts(texts: list[bytes | None], p: Params) -> Iterator[Layout]:
     """The batch in parts of bounded size (a text is never split)."""
     words: list[bytes] = []
     rows: list[tuple[int, int, int, int]] = []
+    long: list[tuple[int, int, int]] = []
+
+    def part() -> Layout:
+        return Layout(word_hashes(words), *np.array(rows, dtype=np.int64).reshape(-1, 4).T, *np.array(long, dtype=np.int64).reshape(-1, 3).T)
+
     for k, text in enumerate(texts):
-        for n, line in enumerate((text or b"").lower().split(b"\n")):
+        base = len(words)
+        for line in (text or b"").lower().split(b"\n"):
             w = line.split()
             if len(w) >= p.window:
-                rows.append((len(words), len(words) + len(w), k, n))
-                words += w
+                rows.append((len(words), len(words) + len(w), k, base))
+            words += w
+        if len(words) - base >= p.long_line:
+            long.append((base, len(words), k))
         if len(words) >= PART_WORDS:
-            yield Layout(word_hashes(words), *np.array(rows, dtype=np.int64).T)
-            words, rows = [], []
-    if rows:
-        yield Layout(word_hashes(words), *np.array(rows, dtype=np.int64).T)
+            if rows or long:
+                yield part()
+            words, rows, long = [], [], []
+    if rows or long:
+        yield part()
 
 
 def window_starts(at: Layout, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, paragraphs) of the winnowed windows of the long paragraphs."""
-    long = np.flatnonzero(at.stop - at.start >= p.long_line)
-    if not len(long) or len(at.words) < p.window:
+    """(first words, places among the long texts) of the winnowed windows of the long texts."""
+    if not len(at.long_start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         g = mixed(at.words[:-1] + at.words[1:] * np.uint64(3))
-    # of each run of `spread` places that lie inside one paragraph, the place with the least hash
-    n = at.stop[long] - at.start[long] - p.window + 1 - p.spread + 1
-    runs = np.repeat(at.start[long] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    # of each run of `spread` places that lie inside one text, the place with the least hash
+    n = at.long_stop - at.long_start - p.window + 1 - p.spread + 1
+    runs = np.repeat(at.long_start - np.cumsum(n) + n, n) + np.arange(n.sum())
     view = np.lib.stride_tricks.sliding_window_view(g, p.spread)
     picked = [view[runs[k : k + 100_000]].argmin(axis=1) + runs[k : k + 100_000] for k in range(0, len(runs), 100_000)]
     first = np.unique(np.concatenate(picked))
-    return first, np.searchsorted(at.start, first, side="right") - 1
+    return first, np.searchsorted(at.long_start, first, side="right") - 1
 
 
 def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
@@ -144,7 +156,7 @@ def _texts(b: pa.RecordBatch) -> list[bytes | None]:
 
 
 def _units(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs and windows: (doc_id, copy, line, start, stop, id, whole)."""
+    """Paragraphs and windows: (doc_id, copy, start, stop, id, whole); start and stop count the words of the text."""
     for b in slices(batches):
         doc, copy = b.column("doc_id").to_numpy(), b.column("copy").to_numpy()
         for at in layouts(_texts(b), p):
@@ -152,11 +164,10 @@ def _units(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             first, of = window_starts(at, p)
             first, stop = np.concatenate([at.start, first]), np.concatenate([at.stop, first + p.window])
             whole = np.arange(len(first)) < len(at.start)
-            of = np.concatenate([np.arange(len(at.start)), of])
+            text, base = np.concatenate([at.text, at.long_text[of]]), np.concatenate([at.base, at.long_start[of]])
             ids = digests(g, first, stop, p.shingle).view(np.int64)
-            base = at.start[of]
-            cols = [doc[at.text[of]], copy[at.text[of]], at.line[of].astype(np.int32), (first - base).astype(np.int32), (stop - base).astype(np.int32), ids, whole]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "copy", "line", "start", "stop", "id", "whole"])
+            cols = [doc[text], copy[text], (first - base).astype(np.int32), (stop - base).astype(np.int32), ids, whole]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "copy", "start", "stop", "id", "whole"])
 
 
 def _signed(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +175,8 @@ def _signed(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     bands = p.bands
     for b in slices(batches):
         for at in layouts(_texts(b), p):
+            if not len(at.start):
+                continue
             g = shingle_hashes(at.words, p.shingle)
             ids, one = np.unique(digests(g, at.start, at.stop, p.shingle), return_index=True)
             sigs = band_signatures(g, at.start, at.stop, p.shingle, bands, p.rows)[one]
@@ -203,36 +216,79 @@ def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     return connected_components(link_buckets(signed, verify, sets_of, again, p.num, p.den))
 
 
+def same_spans(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """Of windows that start at words i of ``x`` and j of ``y``: the longest spans of ``x`` around them whose words are those
+    of ``y`` at the same distance. A window that is not the same word by word is a span of its own."""
+    out: set[tuple[int, int]] = set()
+    by: dict[int, list[int]] = {}
+    for i, j in seeds:
+        by.setdefault(j - i, []).append(i)
+    for d, starts in by.items():
+        lo, hi = max(0, -d), min(len(x), len(y) - d)
+        other = np.concatenate([[lo - 1], lo + np.flatnonzero(x[lo:hi] != y[lo + d : hi + d]), [hi]])
+        for i in starts:
+            k = int(np.searchsorted(other, i))
+            a, b = int(other[k - 1]) + 1, int(other[k])
+            out.add((a, b) if b >= i + window else (i, i + window))
+    return sorted(out)
+
+
+def _extend(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        x, y = ([word_hashes((t or b"").lower().split()) for t in b.column(c).cast(pa.binary()).to_pylist()] for c in ("x", "y"))
+        spans = [same_spans(p, q, [(s["i"], s["j"]) for s in seeds], window) for p, q, seeds in zip(x, y, b.column("seeds").to_pylist(), strict=True)]
+        at = pa.array(np.repeat(np.arange(len(spans)), [len(s) for s in spans]), pa.int64())
+        cols = [b.column(c).take(at) for c in ("doc_id", "copy")] + [pa.array([e[n] for s in spans for e in s], pa.int32()) for n in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*cols, b.column("first_doc").take(at)], ["doc_id", "copy", "start", "stop", "kept_doc_id"])
+
+
+def extended(windows: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """``windows``: (doc_id, copy, start, first), first being another place (doc_id, copy, start) of the same words. The spans
+    of words (doc_id, copy, start, stop, kept_doc_id) around them that are the same there."""
+    seeds = windows.groupBy("doc_id", "copy", F.col("first.doc_id").alias("first_doc"), F.col("first.copy").alias("first_copy")).agg(
+        F.collect_list(F.struct(F.col("start").alias("i"), F.col("first.start").alias("j"))).alias("seeds"),  # at most the windows of a text
+    )
+    seeds = materialize(seeds, "unit-seeds")
+    need = materialize(seeds.select(F.explode(F.array("doc_id", "first_doc")).alias("doc_id")).distinct(), "unit-extended")
+    texts = materialize(checked_semi(docs, need, "doc_id", need.count()).dropDuplicates(["doc_id", "copy"]), "unit-texts")
+    x = texts.select("doc_id", "copy", F.col("text").alias("x"))
+    y = texts.select(F.col("doc_id").alias("first_doc"), F.col("copy").alias("first_copy"), F.col("text").alias("y"))
+    met = seeds.join(x, ["doc_id", "copy"]).join(y, ["first_doc", "first_copy"]).select("doc_id", "copy", "first_doc", "seeds", "x", "y")
+    return met.mapInArrow(lambda it: _extend(p.window, it), "doc_id long, copy long, start int, stop int, kept_doc_id long")
+
+
 def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, copy, line, start, stop, kept_doc_id): the units to cut out, as words of a line, and the document whose place
-    of the component stays. ``docs``: (doc_id, copy, text), doc_id not null."""
-    units = materialize(fill_partitions(docs).mapInArrow(lambda it: _units(p, it), "doc_id long, copy long, line int, start int, stop int, id long, whole boolean"), "units")
+    """(doc_id, copy, start, stop, kept_doc_id): the spans to cut out, as words of the text, and a document that holds the
+    words at an earlier place. ``docs``: (doc_id, copy, text), doc_id not null."""
+    units = materialize(fill_partitions(docs).mapInArrow(lambda it: _units(p, it), "doc_id long, copy long, start int, stop int, id long, whole boolean"), "units")
     comp = unit_components(units, docs, p)
     # classes that are alone and have one unit need no further look: only the others are joined
-    many = units.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "copy", "line", "start")).alias("own"))
+    many = units.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "copy", "start")).alias("first"))
     many = materialize(many.join(comp, "id", "left").where("k > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id")), "unit-classes")
-    top = many.groupBy("component").agg(F.min("own").alias("own"))
-    classes = materialize(many.select("id", "component").join(top, "component"), "unit-kept")
+    top = many.groupBy("component").agg(F.min("first").alias("own"))
+    classes = materialize(many.select("id", "component", "first").join(top, "component"), "unit-kept")
     found = units.join(F.broadcast(classes) if classes.count() <= 200_000 else classes, "id")
-    place = W.partitionBy("component", "doc_id", "copy").orderBy("line", "start", F.col("stop").desc())
-    reach = F.max(F.struct("line", "stop")).over(place.rowsBetween(W.unboundedPreceding, -1))
-    apart = reach.isNull() | (reach["line"] != F.col("line")) | (reach["stop"] <= F.col("start"))
+    place = W.partitionBy("component", "doc_id", "copy").orderBy("start", F.col("stop").desc())
+    reach = F.max("stop").over(place.rowsBetween(W.unboundedPreceding, -1))
+    apart = reach.isNull() | (reach <= F.col("start"))
     found = found.withColumn("apart", apart.cast("int")).withColumn("place", F.sum("apart").over(place.rowsBetween(W.unboundedPreceding, 0)))
     stays = (F.col("place") == 1) & (F.col("doc_id") == F.col("own.doc_id")) & (F.col("copy") == F.col("own.copy"))
-    return found.where(~stays).select("doc_id", "copy", "line", "start", "stop", F.col("own.doc_id").alias("kept_doc_id"))
-
-
-def cut_spans(text: bytes, spans: list[tuple[int, int, int]]) -> bytes:
-    """``text`` without the words (line, first, end); a line that loses all of its words goes."""
-    by: dict[int, list[tuple[int, int]]] = {}
-    for line, a, b in spans:
-        by.setdefault(line, []).append((a, b))
-    out = []
-    for k, line in enumerate(text.split(b"\n")):
-        if k in by:
-            words = WORD.findall(line)
-            gone = {i for a, b in by[k] for i in range(a, b)}
-            line = b" ".join([w for i, w in enumerate(words) if i not in gone])
+    gone = materialize(found.where(~stays).select("doc_id", "copy", "start", "stop", "whole", "first", F.col("own.doc_id").alias("kept_doc_id")), "unit-gone")
+    alone = F.col("whole") | (F.col("first") == F.struct("doc_id", "copy", "start"))
+    spans = gone.where(alone).select("doc_id", "copy", "start", "stop", "kept_doc_id")
+    return spans.unionAll(extended(gone.where(~alone).select("doc_id", "copy", "start", "first"), docs, p))
+
+
+def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without the words (first, end); a line that loses all of its words goes."""
+    gone = {i for a, b in spans for i in range(a, b)}
+    out, at = [], 0
+    for line in text.split(b"\n"):
+        words = WORD.findall(line)
+        left = [w for i, w in enumerate(words, at) if i not in gone]
+        at += len(words)
+        if len(left) < len(words):
+            line = b" ".join(left)
             if not line:
                 continue
         out.append(line)
@@ -243,7 +299,7 @@ def _apply(keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     for b in slices(batches):
         texts, removed = [], []
         for t, spans in zip(b.column("__text").cast(pa.binary()).to_pylist(), b.column("__spans").to_pylist(), strict=True):
-            s = [(x["line"], x["start"], x["stop"]) for x in spans or []]
+            s = [(x["start"], x["stop"]) for x in spans or []]
             new = cut_spans(t, s) if s else t
             texts.append(None if new is None else new.decode())
             removed.append(0 if t is None else len(t.split()) - len(new.split()))
@@ -251,7 +307,7 @@ def _apply(keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 
 def dedup_paragraphs(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cut, and n_removed (units), removed_words, kept_doc_ids (documents that hold
+    """All columns of ``docs`` with ``text`` cut, and n_removed (spans), removed_words, kept_doc_ids (documents that hold
     what was cut here).
 
     Null texts stay null and empty ones empty. A row without doc_id keeps its text and lends none. Equal rows keep
@@ -266,7 +322,7 @@ def dedup_paragraphs(docs: DataFrame, p: Params = Params()) -> DataFrame:
     base = base.withColumn("__copy", F.xxhash64("__text"))
     plain = base.where("__id IS NOT NULL AND __text IS NOT NULL").select(F.col("__id").alias("doc_id"), F.col("__copy").alias("copy"), F.col("__text").alias("text"))
     cut = removals(plain, p).groupBy("doc_id", "copy").agg(
-        F.sort_array(F.collect_set(F.struct("line", "start", "stop"))).alias("__spans"), F.sort_array(F.collect_set("kept_doc_id")).alias("kept_doc_ids"),
+        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("__spans"), F.sort_array(F.collect_set("kept_doc_id")).alias("kept_doc_ids"),
     )
     cut = materialize(cut, "unit-cuts")
     n = cut.agg(F.coalesce(F.sum(F.size("__spans") + F.size("kept_doc_ids")), F.lit(0))).first()[0]

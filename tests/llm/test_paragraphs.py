@@ -65,6 +65,22 @@ def test_planted_repeats(spark, monkeypatch):
             assert 2 in r.kept_doc_ids and r.removed_words == 120 and r.text.split("\n") == [x for x in t.split("\n") if "edited" not in x]
 
 
+def test_whole_passages_go_across_line_ends(spark):
+    """All words of a repeated passage go, also where it is wrapped into short lines, otherwise in each text."""
+    rng = random.Random(5)
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    passage, texts, want = [prose(rng, n) for n in (50, 60, 55)], {}, {}
+    for i in range(24):
+        k, n = i % 3, (9, 13, 40, 500)[i % 4]
+        before, after = prose(rng, rng.randrange(5, 90)), prose(rng, rng.randrange(5, 90))
+        texts[i] = wrap(before + passage[k] + after, n)
+        want[i] = before + (passage[k] if i < 3 else []) + after
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in dedup_paragraphs(df).collect():
+        assert r.text.split() == want[r.doc_id] and (r.n_removed > 0) == (r.doc_id > 2)
+        assert r.kept_doc_ids == ([r.doc_id % 3] if r.doc_id > 2 else None)
+
+
 def test_against_all_pairs(spark):
     """Components of line units by brute force on real rows: the cut lines are those of all but the first place."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
