@@ -276,3 +276,15 @@ def test_schema_dictionary_and_manifest(spark, tmp_path):
     assert m.row_count == 5 and m.file_count >= 1 and m.newest is not None
     d = tables.schema_dictionary({"t": spark.createDataFrame([], StructType([StructField("a", StringType()), StructField("b", LongType())]))}, {"t": {"b"}})
     assert [(r.column, r.required) for r in d.collect()] == [("a", "no"), ("b", "yes")]
+
+
+def test_dense_topk_in_blocks_of_queries(spark, monkeypatch):
+    from pageknow.operators import retrieval
+
+    v = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5)], i % 2) for i in range(40)], "vec_id long, embedding array<double>, m2 int")
+    for match in (None, "m2"):
+        want = sorted(map(tuple, retrieval.dense_topk(v, v.where("vec_id % 2 = 0"), 3, match=match).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "MAX_QUERY_ROWS", 8)
+            got = sorted(map(tuple, retrieval.dense_topk(v, v.where("vec_id % 2 = 0"), 3, match=match).collect()))
+        assert got == want and len(want) == 60
