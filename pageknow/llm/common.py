@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has at most this many (narrow) rows.
@@ -46,11 +46,32 @@ def fill_partitions(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that a worker holds few texts as Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches (of ``size`` bytes, if they are not single rows), so that a worker holds few texts
+    as Python objects at a time."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+            left = [b.slice(k, rows)]
+            while left:
+                x = left.pop()
+                if x.num_rows > 1 and x.nbytes > size:
+                    half = x.num_rows // 2
+                    left += [x.slice(half), x.slice(0, half)]
+                else:
+                    yield x
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart by their text; not null."""
+    return F.xxhash64(text.cast("string"))
+
+
+def without(docs: DataFrame, drop: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Rows of ``docs`` whose doc_id and ``text_key`` are not among ``drop`` (doc_id, key; distinct), or with "left_semi"
+    those that are. Broadcasts only a counted, small side; else a shuffled join."""
+    drop = drop.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"))
+    side = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+    return docs.join(side, docs["doc_id"].eqNullSafe(drop["__d"]) & (text_key(docs["text"]) == drop["__k"]), how)
 
 
 def checked_semi(df: DataFrame, ids: DataFrame, on: str, n_ids: int) -> DataFrame:

@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import materialize
+from pageknow.llm.common import BROADCAST_ROWS, materialize
 
 
-def _least(e: DataFrame) -> DataFrame:
-    """Of each u the least v; combined map-side, so a hub's many edges do not meet in one task."""
-    return e.groupBy("u").agg(F.min("v").alias("m"))
+#: An id with so many edges is a hub; in large tables more are needed, so that there are at most BROADCAST_ROWS hubs.
+HUB = 1_000
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _met(e: DataFrame, rows: int) -> DataFrame:
+    """``e`` (u, v) with m, of each u the least v. The least of a hub is broadcast to its edges where they are, so they do
+    not meet in one task; the others are joined by u."""
+    at = max(HUB, 2 * rows // BROADCAST_ROWS)  # every edge counts at most twice
+    m = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    if rows < at:  # too few edges for a hub
+        return e.join(m.select("u", "m"), "u")
+    m = materialize(m, "least")
+    hubs = m.where(F.col("n") >= at).select("u", "m")
+    tried = e.join(F.broadcast(hubs), "u", "left")
+    light = tried.where("m IS NULL").select("u", "v").join(m.where(F.col("n") < at).select("u", "m"), "u")
+    return tried.where("m IS NOT NULL").select("u", "v", "m").unionAll(light.select("u", "v", "m"))
+
+
+def _large_star(e: DataFrame, rows: int) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = _least(both).select(F.col("u"), F.least("u", "m").alias("m"))
-    return both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _met(both, rows).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, rows: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    m = _least(down)
-    moved = down.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(m.select("u", F.col("m").alias("v")))
+    met = _met(down, rows)
+    return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(met.where("v = m").select("u", "v"))
 
 
 def _are_stars(e: DataFrame) -> bool:
@@ -38,8 +49,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     loops = e.where("u = v").select("u", "v")
     e = materialize(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    rows = e.count()
     for _ in range(max_rounds):
-        e = materialize(_small_star(_large_star(e)).where("u <> v").distinct(), "stars")
+        e = _large_star(e, rows).where("u <> v").distinct()
+        e = materialize(_small_star(e if rows < HUB else materialize(e, "stars"), rows).where("u <> v").distinct(), "stars")
         if _are_stars(e):
             break
     else:

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import checked_semi, fill_partitions, materialize, slices
+from pageknow.llm.common import checked_semi, fill_partitions, materialize, slices, text_key, without
 from pageknow.llm.graph import connected_components
-from pageknow.llm.shingles import PartEnum, overlap, set_digest, shingle_set
-from pageknow.llm.simjoin import link_buckets
+from pageknow.llm.shingles import PartEnum, overlap, set_digest, shingle_sets
+from pageknow.llm.simjoin import SAMPLE, link_buckets
 
 CHUNK = 400_000
 
@@ -27,11 +27,11 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 
 def _digests(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        sets = [shingle_set(t, k) for t in _texts(b)]
+        sets = shingle_sets(_texts(b), k)
         d = [set_digest(s)[0] if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.int64()), pa.array([counts(s) for s in sets], pa.binary())],
-            ["doc_id", "n_shingles", "d1", "counts"],
+            [b.column("doc_id"), b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.int64()), pa.array([counts(s) for s in sets], pa.binary())],
+            ["doc_id", "key", "n_shingles", "d1", "counts"],
         )
 
 
@@ -66,25 +66,16 @@ def sign_batches(pe: PartEnum, k: int, batches: Iterator[pa.RecordBatch]) -> Ite
     """(sig, id) of each text, id being the first half of the set's digest; copies within a task sign once."""
     seen: set[int] = set()
     for b in slices(batches):
-        sigs, ids, held = [], [], 0
-        for t in _texts(b):
-            s = shingle_set(t, k)
-            if not len(s):
-                continue
-            d = set_digest(s)[0]
-            if d in seen:
-                continue
-            if len(seen) < 2_000_000:
-                seen.add(d)
-            g = pe.signatures(s)
-            sigs.append(g)
-            ids.append(np.full(len(g), d, dtype=np.int64))
-            held += len(g)
-            if held >= CHUNK:
-                yield _rows(sigs, ids)
-                sigs, ids, held = [], [], 0
-        if held:
-            yield _rows(sigs, ids)
+        fresh = {}
+        for s in shingle_sets(_texts(b), k):
+            if len(s) and (d := set_digest(s)[0]) not in seen:
+                fresh[d] = s
+                if len(seen) < 2_000_000:
+                    seen.add(d)
+        ids = np.array(list(fresh), dtype=np.int64)
+        sigs, at = pe.sign(list(fresh.values()))
+        for c in range(0, len(sigs), CHUNK):
+            yield _rows([sigs[c : c + CHUNK]], [ids[at[c : c + CHUNK]]])
 
 
 def _rows(sigs: list, ids: list) -> pa.RecordBatch:
@@ -93,7 +84,7 @@ def _rows(sigs: list, ids: list) -> pa.RecordBatch:
 
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        sets = [shingle_set(t, k) for t in _texts(b)]
+        sets = [s for s in shingle_sets(_texts(b), k) if len(s)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([set_digest(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"]
         )
@@ -119,64 +110,73 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return met.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(num, den, it), "a long, b long")
 
 
-def _sign_sets(pe: PartEnum, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pageknow.llm.shingles import mixed
-
-    for b in batches:
-        for sig, i, e in zip(b.column("sig").to_pylist(), b.column("id").to_pylist(), b.column("elements").to_pylist(), strict=True):
-            g = mixed(pe.signatures(np.frombuffer(e, np.uint64)) + mixed(np.array([sig], dtype=np.int64).view(np.uint64)))
-            if len(g):
-                yield _rows([g], [np.full(len(g), i, dtype=np.int64)])
-
-
-def sign_sets_again(rows: DataFrame, sets: DataFrame, num: int, den: int, level: int) -> DataFrame:
-    return rows.join(sets, "id").select("sig", "id", "elements").mapInArrow(lambda it: _sign_sets(PartEnum(num, den, seed=level), it), "sig long, id long")
-
-
-def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text; other columns are ignored).
-
-    Null or empty texts have no shingles and link with nothing (their component is their own id). A null doc_id keeps its
-    row and joins the component of equal sets, but is never a component's name. Repeated rows repeat. Long texts are used
-    whole. An empty table gives an empty result.
-    """
+def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text): its rows (doc_id, key, n_shingles, d1), d1 being null without words, and the classes
+    (d1, root, component_id), root being the same for all classes that are reachable by links."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = materialize(fill_partitions(docs).mapInArrow(lambda it: _digests(k, it), "doc_id long, n_shingles long, d1 long, counts binary"), "ngram-digests")
+    keyed = docs.withColumn("key", text_key(F.col("text")))
+    rows = materialize(fill_partitions(keyed).mapInArrow(lambda it: _digests(k, it), "doc_id long, key long, n_shingles long, d1 long, counts binary"), "ngram-digests")
     classes = rows.where("d1 IS NOT NULL").groupBy("d1").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
     classes = materialize(classes, "ngram-classes")
-    signed = fill_partitions(docs).mapInArrow(lambda it: sign_batches(PartEnum(num, den), k, it), "sig long, id long")
+
+    def signed(some: DataFrame) -> DataFrame:
+        return fill_partitions(some).mapInArrow(lambda it: sign_batches(PartEnum(num, den), k, it), "sig long, id long")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        reps = materialize(classes.join(ids, classes["d1"] == ids["id"]).select(F.col("rep").alias("doc_id"), "id").where("doc_id IS NOT NULL"), "ngram-needed")
-        texts = checked_semi(docs, reps.select("doc_id").distinct(), "doc_id", reps.count())
+        reps = materialize(classes.join(ids, classes["d1"] == ids["id"]).select(F.col("rep").alias("doc_id"), "id"), "ngram-needed")
+        n = reps.agg(F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("all")).first()
+        texts = checked_semi(docs, reps.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", n.known)
+        if n.known < n.all:  # classes of rows without a doc_id
+            texts = texts.unionByName(docs.where("doc_id IS NULL"))
         sets = texts.mapInArrow(lambda it: _sets(k, it), "id long, elements binary")
-        return materialize(sets.join(reps.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "ngram-sets")
+        return materialize(sets.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"]), "ngram-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x = classes.select(F.col("d1").alias("a"), F.col("n").alias("nx"), F.col("counts").alias("cx"))
-        y = classes.select(F.col("d1").alias("b"), F.col("n").alias("ny"), F.col("counts").alias("cy"))
+        pairs = materialize(pairs, "ngram-candidates")
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct(), "ngram-candidate-ids")
+        some = checked_semi(classes, ids, "d1", ids.count())
+        x = some.select(F.col("d1").alias("a"), F.col("n").alias("nx"), F.col("counts").alias("cx"))
+        y = some.select(F.col("d1").alias("b"), F.col("n").alias("ny"), F.col("counts").alias("cy"))
         near = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
         met = pairs.join(x, "a").join(y, "b").where(near)
         pairs = materialize(met.mapInArrow(lambda it: _may_link(num, den, it), "a long, b long"), "ngram-pairs")
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         return verify_pairs(pairs, sets, num, den)
 
-    def again(left: DataFrame, level: int) -> DataFrame:
-        return sign_sets_again(left, sets_of(left.select("id").distinct()), num, den, level)
-
-    links = link_buckets(signed, verify, sets_of, again, num, den)
+    sample = signed(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0))
+    links = link_buckets(signed(docs), sample, verify, sets_of, num, den)
     comp = connected_components(links)
     named = classes.join(comp, classes["d1"] == comp["id"], "left").withColumn("root", F.coalesce("component", "d1"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = materialize(named.select("d1", "root").join(names, "root").select("d1", "component_id"), "ngram-components")
-    out = rows.where("d1 IS NOT NULL").join(of, "d1", "left").select("doc_id", "n_shingles", "component_id")
+    return rows, materialize(named.select("d1", "root").join(names, "root").select("d1", "root", "component_id"), "ngram-components")
+
+
+def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Null or empty texts have no shingles and link with nothing (their component is their own id). Rows with a null doc_id
+    link like others, but are never a component's name; a component of such rows alone has none. Repeated rows repeat;
+    rows of one doc_id with several texts are judged each. Long texts are used whole. An empty table gives an empty result.
+    """
+    rows, classes = _components(docs, k, num, den)
+    out = rows.where("d1 IS NOT NULL").join(classes, "d1", "left").select("doc_id", "n_shingles", "component_id")
     return out.unionAll(rows.where("d1 IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_per_class(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """``docs`` without those that are near-copies of another: of each component the row of its name stays (one row, if
-    repeated). Documents without words stay."""
-    near = jaccard_classes(docs, k, num, den).where((F.col("n_shingles") > 0) & (~F.col("doc_id").eqNullSafe(F.col("component_id")))).select("doc_id").distinct()
-    drop = materialize(near, "ngram-drop")
-    kept = docs.join(F.broadcast(drop) if drop.count() <= 500_000 else drop, docs["doc_id"].eqNullSafe(drop["doc_id"]), "left_anti")
-    return kept
+    """``docs`` without those that are near-copies of another: of each component one row stays, the one with the smallest
+    doc_id (those without come last; of several texts of a doc_id the one with the smallest hash). Rows without words stay.
+    Rows are told apart by doc_id and text, whatever the other columns hold."""
+    rows, classes = _components(docs, k, num, den)
+    full = rows.where("d1 IS NOT NULL").join(classes, "d1").select("root", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key").alias("row"))
+    many = full.groupBy("root", "row").agg(F.count(F.lit(1)).alias("k"))
+    first = many.groupBy("root").agg(F.min("row").alias("first"), F.sum("k").alias("n")).where("n > 1")
+    some = materialize(many.join(first, "root").select("row.doc_id", "row.key", (F.col("row") == F.col("first")).alias("stays"), "k"), "ngram-drop")
+    again = some.where("stays AND k > 1")
+    kept = without(docs, some.where("NOT stays OR k > 1"))
+    if again.isEmpty():
+        return kept
+    held = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = without(docs, again, "left_semi").select(docs["doc_id"], docs["text"], F.struct(F.lit(0), *[docs[c] for c in held]).alias("__held"))
+    one = one.groupBy("doc_id", "text").agg(F.first("__held").alias("__held"))
+    return kept.unionByName(one.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__held")[c].alias(c) for c in docs.columns]))

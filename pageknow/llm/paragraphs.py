@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from pageknow.llm.common import BROADCAST_ROWS, checked_semi, fill_partitions, materialize, slices
 from pageknow.llm.graph import connected_components
-from pageknow.llm.ngram_join import _rows, sign_sets_again, verify_pairs
+from pageknow.llm.ngram_join import _rows, verify_pairs
 from pageknow.llm.shingles import mixed, word_hashes
-from pageknow.llm.simjoin import link_buckets
+from pageknow.llm.simjoin import SAMPLE, link_buckets
 
 #: Words that are worked on at once.
 PART_WORDS = 100_000
@@ -198,7 +198,9 @@ def _unit_sets(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """(id, component) of classes of paragraphs that link with another class."""
     owners = materialize(units.where("whole").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "unit-owners")
-    signed = fill_partitions(docs).mapInArrow(lambda it: _signed(p, it), "sig long, id long")
+
+    def signed(some: DataFrame) -> DataFrame:
+        return fill_partitions(some).mapInArrow(lambda it: _signed(p, it), "sig long, id long")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         need = materialize(owners.join(ids, "id"), "unit-needed")
@@ -210,10 +212,8 @@ def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
         pairs = materialize(pairs, "unit-pairs")
         return verify_pairs(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), p.num, p.den)
 
-    def again(left: DataFrame, level: int) -> DataFrame:
-        return sign_sets_again(left, sets_of(left.select("id").distinct()), p.num, p.den, level)
-
-    return connected_components(link_buckets(signed, verify, sets_of, again, p.num, p.den))
+    sample = signed(docs.where(F.pmod(F.xxhash64("doc_id", "copy"), F.lit(SAMPLE)) == 0))
+    return connected_components(link_buckets(signed(docs), sample, verify, sets_of, p.num, p.den))
 
 
 def same_spans(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:

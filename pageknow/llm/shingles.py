@@ -55,6 +55,30 @@ def shingles_of(w: np.ndarray, k: int) -> np.ndarray:
     return np.unique(h)
 
 
+def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
+    """``shingle_set`` of many texts at once."""
+    words = [(t or b"").lower().split() for t in texts]
+    w = word_hashes([x for ws in words for x in ws])
+    g = np.zeros(0, dtype=np.uint64)
+    if len(w) >= k:
+        with np.errstate(over="ignore"):
+            g = np.full(len(w) - k + 1, k, dtype=np.uint64)
+            for i in range(k):
+                g = mixed(g * _A + w[i : len(w) - k + 1 + i])
+    out, at = [], 0
+    for ws in words:
+        n = len(ws)
+        s = np.sort(g[at : at + n - k + 1]) if n >= k else shingles_of(w[at : at + n], k)
+        if n > k:
+            new = np.empty(len(s), dtype=bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            s = s[new]
+        out.append(s)
+        at += n
+    return out
+
+
 def set_digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, as two signed numbers."""
     d = xxhash.xxh3_128_digest(s.tobytes())
@@ -78,8 +102,8 @@ class PartEnum:
 
     GROWTH = 1.3
 
-    def __init__(self, num: int, den: int, seed: int = 0):
-        self.num, self.den, self.seed = num, den, np.uint64(seed)
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
 
     @lru_cache(maxsize=100_000)  # noqa: B019  one object per job
     def band(self, size: int) -> tuple[int, int]:
@@ -96,6 +120,7 @@ class PartEnum:
         slack = 2 * (base // 16)
         return base + slack, slack
 
+    @lru_cache(maxsize=100_000)  # noqa: B019
     def bands_of(self, size: int) -> list[tuple[int, int]]:
         out, (i, r) = [], self.band(size)
         while True:
@@ -105,25 +130,33 @@ class PartEnum:
             i, r = self.band(r + 1)
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        if not n:
-            return s
-        if self.seed:
-            s = np.sort(mixed(s ^ mixed(self.seed.reshape(1))))
-        return np.concatenate([self._sign(s, i, r) for i, r in self.bands_of(n)])
-
-    def _sign(self, s: np.ndarray, band: int, r: int) -> np.ndarray:
+        return self.sign([s])[0]
+
+    def sign(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, places of their sets in the list)."""
+        by: dict[tuple[int, int], list[int]] = {}
+        for n, s in enumerate(sets):
+            for band in self.bands_of(len(s)) if len(s) else ():
+                by.setdefault(band, []).append(n)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        got = [none, *(self._sign([sets[n] for n in at], np.array(at), i, r) for (i, r), at in by.items())]
+        return np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+
+    def _sign(self, sets: list[np.ndarray], at: np.ndarray, band: int, r: int) -> tuple[np.ndarray, np.ndarray]:
         first, slack = self.plan(r)
         parts = 3 * first
+        s = np.concatenate(sets)
         with np.errstate(over="ignore"):
-            at = ((s >> _S32) * np.uint64(parts)) >> _S32  # rises with s
-            edge = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
+            part = ((s >> _S32) * np.uint64(parts)) >> _S32  # rises with the elements of a set
+            part += np.repeat(np.arange(len(sets), dtype=np.uint64) * np.uint64(parts), [len(x) for x in sets])
+            edge = np.searchsorted(part, np.arange(parts * len(sets) + 1, dtype=np.uint64))
             acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s + _A), dtype=np.uint64)])
             total, count = acc[edge[1:]] - acc[edge[:-1]], np.diff(edge)
-            h = mixed(total + count.astype(np.uint64) * _A).reshape(first, 3)
-            c = count.reshape(first, 3)
-            weak = (c.sum(1) - c.max(1)) < 2
-            use = ~weak if slack and weak.sum() <= slack // 2 else np.ones(first, dtype=bool)
-            tag = np.uint64(band) * np.uint64(1 << 40) + np.arange(first, dtype=np.uint64) * np.uint64(4) + self.seed * _M2
-            out = [mixed(mixed(h[:, i] + tag + np.uint64(d)) * _A + h[:, j]) for d, (i, j) in enumerate(((1, 2), (0, 2), (0, 1)))]
-        return np.stack(out, axis=1)[use].ravel()
+            h = mixed(total + count.astype(np.uint64) * _A).reshape(len(sets), first, 3)
+            c = count.reshape(len(sets), first, 3)
+            weak = (c.sum(2) - c.max(2)) < 2
+            spare = (weak.sum(1) <= slack // 2) if slack else np.zeros(len(sets), dtype=bool)
+            use = ~(weak & spare[:, None])
+            tag = np.uint64(band) * np.uint64(1 << 40) + np.arange(first, dtype=np.uint64) * np.uint64(4)
+            out = [mixed(mixed(h[:, :, i] + tag + np.uint64(d)) * _A + h[:, :, j]) for d, (i, j) in enumerate(((1, 2), (0, 2), (0, 1)))]
+        return np.stack(out, axis=2)[use].ravel(), np.repeat(at, 3 * use.sum(1))

@@ -2,15 +2,17 @@
 
 Members that share a signature are candidates. Each is first verified against the smallest member of its bucket.
 Components are then formed, and a bucket whose members all fell into one component is done. An open bucket with a bounded
-number of pairs across components has those verified. Members of the buckets that are larger form clumps (what open buckets connect). A clump is compared in blocks of bounded size, once for all of its
-buckets: a task counts the common elements of two blocks by a matrix product over the elements that occur twice, and
-returns a spanning set of the links. Members of very large clumps are signed anew before, by another partition of the
-domain and together with the old signature, so that only what still shares a bucket is compared.
+number of pairs across components has those verified. The members of larger open buckets are signed anew, once each, by
+their first elements: sets of similarity t share an element among the first ``(1 - t) * size + 1`` of either, in any order
+that is the same for all. In the order used here the elements of the open buckets' smallest members come last, those of
+the most rows at the very end, so sets that only have a passage or a template in common no longer meet. What is open after
+that is compared in blocks of bounded size: a task counts the common elements of two blocks by a matrix product over the elements that occur
+twice, and returns a spanning set of the links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +20,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import materialize
+from pageknow.llm.common import BROADCAST_ROWS, materialize, slices
 from pageknow.llm.graph import connected_components
 
 BLOCK = 512
 #: An open bucket with at most so many pairs across components has them verified one by one.
-FEW = 2_000
-#: Clumps of more members are signed anew, at most so often.
-CLUMP = 20_000
-MAX_LEVELS = 3
+FEW = 1_000
 #: Cells of the matrices that a task holds.
 CELLS = 20_000_000
-
-
-def shared(signed: DataFrame) -> DataFrame:
-    """(sig, id, hub): distinct members of signatures that at least two ids share."""
-    w = W.partitionBy("sig")
-    some = signed.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("lo <> hi")
-    return some.select("sig", "id", F.col("lo").alias("hub")).distinct()
+#: One document of so many is signed beforehand to find the hot signatures, those that hold at least HOT rows of it.
+SAMPLE = 64
+HOT = 64
+#: At most so many signatures are hot.
+MOST_HOT = 100_000
+#: Rows of a hot signature are dealt into so many cells.
+SALTS = 64
+
+
+def hot_signatures(sample: DataFrame) -> DataFrame:
+    """(sig): those with very many rows, judged by the signed rows of a sample; the more rows, the more a hot one has."""
+    n = sample.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
+    return n.orderBy(F.col("n").desc(), "sig").limit(MOST_HOT).select("sig")
+
+
+def shared(signed: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """(sig, id, hub): distinct members of signatures that at least two ids share, and the smallest one. A hot signature is
+    dealt into cells, whose smallest members are joined afterwards."""
+    hot = materialize(hot_signatures(signed if sample is None else sample), "hot").withColumn("hot", F.lit(True))
+    dealt = signed.join(F.broadcast(hot), "sig", "left").withColumn("cell", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    w = W.partitionBy("sig", "cell")
+    some = dealt.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("hot OR lo <> hi")
+    some = materialize(some.select("sig", "cell", "id", F.col("lo").alias("hub"), "hot").distinct(), "met")
+    split = some.where("hot")
+    hubs = split.groupBy("sig").agg(F.min("hub").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("sig", F.col("lo").alias("hub"))
+    return some.where("hot IS NULL").select("sig", "id", "hub").unionAll(split.select("sig", "id").join(F.broadcast(hubs), "sig").select("sig", "id", "hub"))
 
 
 def spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,43 +126,78 @@ def _across(rows: DataFrame) -> DataFrame:
     return x.join(y, "sig").where("ci < cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
-def link_buckets(signed: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], sign_again: Callable[[DataFrame, int], DataFrame], num: int, den: int) -> DataFrame:
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        sets = [np.frombuffer(e, np.int64) for e in b.column("elements").to_pylist()]
+        at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), b.column("weight").take(pa.array(at))], ["element", "weight"])
+
+
+def common_elements(rows: DataFrame, sets: DataFrame) -> np.ndarray:
+    """Elements of the smallest members of buckets (sig, id, hub), the rarest first, by the rows of their buckets. At most
+    MOST_HOT of them reach the driver, those of the most rows; which these are has no effect on any result."""
+    weight = rows.groupBy(F.col("hub").alias("id")).agg(F.count(F.lit(1)).alias("weight"))
+    e = sets.join(weight, "id").mapInArrow(_explode, "element long, weight long")
+    e = e.groupBy("element").agg(F.sum("weight").alias("weight")).orderBy(F.col("weight").desc(), "element").limit(MOST_HOT)
+    return np.array([r.element for r in e.collect()][::-1], dtype=np.int64).view(np.uint64)
+
+
+def first_elements(s: np.ndarray, last: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first ``size - ceil(size * num / den) + 1`` elements of a set, those among ``last`` (sorted, with ranks) at the end."""
+    n = len(s) - -(-len(s) * num // den) + 1
+    at = np.minimum(np.searchsorted(last, s), max(0, len(last) - 1))
+    is_last = last[at] == s if len(last) else np.zeros(len(s), dtype=bool)
+    first = s[~is_last][:n]
+    if len(first) < n:
+        late = s[is_last]
+        first = np.concatenate([first, late[np.argsort(rank[at[is_last]], kind="stable")][: n - len(first)]])
+    return first
+
+
+def _sign_first(late: np.ndarray, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rank = np.argsort(late, kind="stable")
+    last = late[rank]
+    for b in slices(batches):
+        sigs = [first_elements(np.frombuffer(e, np.uint64), last, rank, num, den) for e in b.column("elements").to_pylist()]
+        at = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), b.column("id").take(pa.array(at))], ["sig", "id"])
+
+
+def link_buckets(signed: DataFrame, sample: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """Links (a, b) that hold all connections between similar ids.
 
-    ``signed``: (sig, id). ``verify``: candidate pairs (a < b, distinct) to those that link. ``sets_of``: distinct (id) to
-    (id, elements). ``sign_again``: rows (sig, id) and a level to rows (sig, id) with new signatures, under which similar
-    members of a bucket again share one.
+    ``signed``: (sig, id), ``sample``: the same of a sample. ``verify``: candidate pairs (a < b, distinct) to those that
+    link. ``sets_of``: distinct (id) to (id, elements).
     """
-    w = W.partitionBy("sig")
-
     def check(rows_: DataFrame) -> DataFrame:
         return materialize(verify(rows_.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), "links")
 
     def open_rows(rows_: DataFrame, links_: DataFrame) -> DataFrame:
-        """Rows of the buckets that still hold several components."""
-        comp = connected_components(links_)
-        named = rows_.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
-        some = named.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).where("lo <> hi")
-        mates = some.withColumns({"n": F.count(F.lit(1)).over(w), "mates": F.count(F.lit(1)).over(W.partitionBy("sig", "c"))})
-        across = (F.col("n") * F.col("n") - F.sum("mates").over(w)) / 2
-        return materialize(mates.withColumn("across", across).select("sig", "id", "hub", "c", "across"), "open")
-
-    rows = materialize(shared(signed), "shared")
-    links = check(rows)
-    rows = open_rows(rows, links)
-    few = rows.where(F.col("across") <= FEW)
-    links = links.unionAll(materialize(verify(_across(few).distinct()), "links"))
-    rows = rows.where(F.col("across") > FEW).select("sig", "id", "hub")
-    for level in range(1, MAX_LEVELS + 1):
-        if rows.isEmpty():
-            return links
-        clumps = materialize(connected_components(rows.where("id <> hub").select("hub", "id").distinct(), "hub", "id").withColumnRenamed("component", "clump"), "clumps")
-        large = materialize(clumps.groupBy("clump").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CLUMP).select("clump"), "large-clumps")
-        if level == MAX_LEVELS or large.isEmpty():
-            break
-        of = clumps.join(large, "clump", "left_semi").select("id")
-        again = materialize(shared(sign_again(rows.join(of, "id", "left_semi").select("sig", "id"), level)), "shared")
-        links = links.unionAll(check(again))
-        rows = open_rows(rows.join(of, "id", "left_anti").select("sig", "id", "hub").unionAll(again.select("sig", "id", "hub")), links).select("sig", "id", "hub")
+        """Rows of the buckets that still hold several components, and the number of pairs across these."""
+        comp = materialize(connected_components(links_), "components")
+        named = rows_.join(F.broadcast(comp) if comp.count() <= BROADCAST_ROWS else comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        mates = named.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
+        some = mates.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across")).where("lo <> hi")
+        return materialize(named.join(some.select("sig", "across"), "sig").select("sig", "id", "hub", "c", "across"), "open")
+
+    def settle(rows_: DataFrame, links_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links so far and the rows of the buckets that are open with too many pairs."""
+        links_ = links_.unionAll(check(rows_))
+        rows_ = open_rows(rows_, links_)
+        links_ = links_.unionAll(materialize(verify(_across(rows_.where(F.col("across") <= FEW)).distinct()), "links"))
+        return rows_.where(F.col("across") > FEW).select("sig", "id", "hub"), links_
+
+    none = signed.sparkSession.createDataFrame([], "a long, b long")
+    rows, links = settle(materialize(shared(signed, sample), "shared"), none)
+    if rows.isEmpty():
+        return links
+    sets = sets_of(rows.select("id").distinct())
+    late = common_elements(rows, sets)
+    again = materialize(sets.mapInArrow(lambda it: _sign_first(late, num, den, it), "sig long, id long"), "signed-again")
+    rows, links = settle(materialize(shared(again), "shared"), links)
+    if rows.isEmpty():
+        return links
+    clumps = connected_components(rows.where("id <> hub").select("hub", "id").distinct(), "hub", "id").withColumnRenamed("component", "clump")
+    clumps = materialize(clumps, "clumps")
     found = link_clumps(clumps, sets_of(clumps.select("id")), num, den)
     return links.unionAll(materialize(found, "links"))

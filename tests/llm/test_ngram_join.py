@@ -4,11 +4,11 @@ import duckdb
 import numpy as np
 import pytest
 
-from pageknow.llm import simjoin
+from pageknow.llm import graph, ngram_join, simjoin
 from pageknow.llm.graph import connected_components
 from pageknow.llm.ngram_join import counts, jaccard_classes, least_difference, one_per_class
 from pageknow.llm.queries import OP8_SQL
-from pageknow.llm.shingles import PartEnum, shingle_set
+from pageknow.llm.shingles import PartEnum, shingle_set, shingle_sets
 
 
 def brute(rows, k=4, num=85, den=100):
@@ -64,13 +64,61 @@ def test_signatures_are_complete():
                     break
                 b = c
             assert set(pe.signatures(a).tolist()) & set(pe.signatures(b).tolist())
+            sigs, at = pe.sign([a, b[:0], b])
+            assert sorted(sigs[at == 2].tolist()) == sorted(pe.signatures(b).tolist()) and not (at == 1).any()
+
+
+def test_sets_of_many_texts():
+    texts = [None, "", "a", "a b c", "A b c d", "a b c d", "x y " * 9, "q" * 50, " a  b\tc\nd e f ", *near_copies(5, 40, 9, 2)]
+    enc = [None if t is None else t.encode() for t in texts]
+    for part in ([], enc[:3], enc, [None], [b"a b"]):
+        assert [s.tolist() for s in shingle_sets(part, 4)] == [shingle_set(t, 4).tolist() for t in part]
+
+
+def test_first_elements_meet():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 400, 300))
+    sets = [np.unique(np.concatenate([rng.choice(base, int(len(base) * s), replace=False), rng.integers(0, 900, 12)])).astype(np.uint64) for s in rng.uniform(0.8, 1, 40)]
+    for late in (np.zeros(0, np.uint64), rng.permutation(base)[:120].astype(np.uint64)):
+        rank = np.argsort(late, kind="stable")
+        first = [set(simjoin.first_elements(s, late[rank], rank, 85, 100).tolist()) for s in sets]
+        assert all(f <= set(s.tolist()) and len(f) == len(s) - -(-len(s) * 85 // 100) + 1 for f, s in zip(first, sets, strict=True))
+        pairs = 0
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 85 * (len(a) + len(b) - both):
+                    pairs += 1
+                    assert first[i] & first[j]
+        assert pairs > 20
+    late = np.array([5, 3, 8], dtype=np.uint64)
+    rank = np.argsort(late, kind="stable")
+    assert simjoin.first_elements(np.arange(10, dtype=np.uint64), late[rank], rank, 1, 10).tolist() == [0, 1, 2, 4, 6, 7, 9, 5, 3, 8]
+
+
+def test_rows_without_ids_and_ids_with_two_texts(spark):
+    """Near copies link and bridge without a doc_id; of a component one row stays, whatever shares its doc_id."""
+    chain = [f"c{i}" for i in range(120)]
+    a, b, c = (" ".join(chain[i : i + 100]) for i in (0, 6, 12))  # a and c link only through b
+    rows = [(1, a), (None, b), (2, c), (None, "q r s t u"), (7, "u v w x y z"), (7, a), (9, "lone words here now"), (9, "lone words here now"), (None, None), (3, "")]
+    df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, key int")
+    got = {tuple(r) for r in jaccard_classes(df).collect()}
+    assert got == {(1, 97, 1), (None, 97, 1), (2, 97, 1), (None, 2, None), (7, 3, 7), (7, 97, 1), (9, 1, 9), (None, 0, None), (3, 0, 3)}
+    kept = one_per_class(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (None, "q r s t u"), (7, "u v w x y z"), (9, "lone words here now"), (None, None), (3, "")], key=str)
+    assert one_per_class(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("clump", [20_000, 3])
-def test_against_brute_force(spark, monkeypatch, clump):
-    monkeypatch.setattr(simjoin, "CLUMP", clump)
+@pytest.mark.parametrize("small", [False, True])
+def test_against_brute_force(spark, monkeypatch, small):
+    """Also with bounds so small that hot signatures, hubs and blocks of open buckets all occur."""
     monkeypatch.setattr(simjoin, "BLOCK", 7)
-    monkeypatch.setattr(simjoin, "FEW", 10)
+    monkeypatch.setattr(simjoin, "FEW", 3 if small else 10)
+    if small:
+        monkeypatch.setattr(simjoin, "HOT", 2)
+        monkeypatch.setattr(ngram_join, "SAMPLE", 2)
+        monkeypatch.setattr(graph, "HUB", 4)
     rng = random.Random(5)
     texts = [None, "", " \n", "one", "One", "a b c", "a b c d", "a B c d e", "A b c d e"]
     for s, size in enumerate([8, 15, 30, 60, 150, 150, 400]):
