@@ -3,8 +3,10 @@
 Features are the distinct lower-case words of a text and their first letters. Feature counts by class are taken over the
 labelled rows by Spark; the features that separate best are kept (bounded number), and a logistic model is fitted on a
 bounded sample of labelled rows. Sentences that name a group give counterfactuals: the group term is swapped for the
-others of its list (the neutral term first), and the squared change of the logit is penalised, so that naming a group
-does not itself raise the score.
+others of its list, and the squared change of the logit is penalised, so that naming a group does not itself raise the
+score. Terms to swap also come from the data: words that toxic rows hold more often than others, though most rows that
+hold them are not toxic, are swapped for words of like frequency that both classes use alike. The bias stays at or below
+the log odds of the base rate, so what the penalty takes from a term does not come back for every text.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ class Params:
     counterfactual: float = 10.0
     steps: int = 300
     groups: tuple = field(default=IDENTITY_TERMS)
+    mined_terms: int = 64  # terms to swap that are found in the data, at most
+    mined_rows: int = 20  # rows of the sample that hold such a term, at least
+    mined_share: float = 0.3  # of them less than this share is toxic
+    max_swaps: int = 20_000  # different changes of features by swaps that are penalised, the most frequent ones
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -51,15 +57,21 @@ def text_features(text: str | None) -> set[str]:
     return {f for w in set(WORD.findall((text or "").lower())) for f in features_of(w)}
 
 
-def counterfactual_pairs(text: str | None, groups: tuple = IDENTITY_TERMS) -> list[tuple[set[str], set[str]]]:
-    """(features of a sentence, features with its group term swapped) for sentences that name a group."""
-    other = {t: g for g in groups for t in g}
+def swaps_of(groups: tuple) -> dict[str, tuple[str, ...]]:
+    """Of each term the others of its list."""
+    return {t: tuple(u for u in g if u != t) for g in groups for t in g}
+
+
+def counterfactual_pairs(text: str | None, others: dict[str, tuple[str, ...]]) -> list[tuple[set[str], set[str]]]:
+    """(features lost, features gained) by swapping a term, for each sentence that holds one and each other term."""
     out = []
     for sentence in re.split(r"(?<=[.!?])\s+|\n", (text or "").lower()):
         words = set(WORD.findall(sentence))
-        for t in sorted(words & other.keys()):
+        for t in sorted(words & others.keys()):
             own = {f for w in words for f in features_of(w)}
-            out += [(own, {f for w in (words - {t}) | {u} for f in features_of(w)}) for u in other[t] if u != t]
+            for u in others[t]:
+                new = {f for w in (words - {t}) | {u} for f in features_of(w)}
+                out.append((own - new, new - own))
     return out
 
 
@@ -67,6 +79,7 @@ def counterfactual_pairs(text: str | None, groups: tuple = IDENTITY_TERMS) -> li
 class Model:
     weights: dict[str, float]
     bias: float
+    n_swaps: int = 0  # sentences and swaps that were penalised
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,19 +90,26 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(f), pa.array([y] * len(f), pa.int32())], ["feature", "y"])
 
 
-def _present(chosen: set[str], groups: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _present(chosen: set[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        ys, fs, kinds = [], [], []
-        for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-            ys.append(y)
-            fs.append(sorted(text_features(text) & chosen))
-            kinds.append(0)
-            for a, c in counterfactual_pairs(text, groups):
-                if (a ^ c) & chosen:
-                    ys += [0, 0]
-                    fs += [sorted((a - c) & chosen), sorted((c - a) & chosen)]
-                    kinds += [1, 2]
-        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(fs, pa.list_(pa.string())), pa.array(kinds, pa.int32())], ["y", "f", "kind"])
+        fs = [sorted(text_features(t) & chosen) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(fs, pa.list_(pa.string()))], ["y", "f"])
+
+
+def _swapped(chosen: set[str], others: dict[str, tuple[str, ...]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, rows=64):
+        pairs = [(sorted(a & chosen), sorted(c & chosen)) for t in b.column("text").to_pylist() for a, c in counterfactual_pairs(t, others) if (a | c) & chosen]
+        kind = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], kind), pa.array([c for _, c in pairs], kind)], ["lost", "gained"])
+
+
+def mined_swaps(counts: DataFrame, p: Params) -> dict[str, tuple[str, ...]]:
+    """Swaps found in the data, from (feature, a, k, z): of words that are toxic above chance but mostly in rows that are
+    not, the three nearest in frequency of the words that both classes use alike. Bounded by ``mined_terms``."""
+    words = counts.where((F.col("k") >= p.mined_rows) & ~F.col("feature").endswith("*"))
+    found = words.where((F.col("z") >= 3) & (F.col("a") < p.mined_share * F.col("k"))).orderBy(F.col("z").desc(), "feature").limit(p.mined_terms).collect()
+    alike = words.where(F.abs("z") < 1).orderBy(F.col("k").desc(), "feature").limit(4 * p.mined_terms).collect()
+    return {t.feature: tuple(u.feature for u in sorted(alike, key=lambda u: (abs(u.k - t.k), u.feature))[:3]) for t in found}
 
 
 def train(labelled: DataFrame, p: Params = Params()) -> Model:
@@ -104,22 +124,21 @@ def train(labelled: DataFrame, p: Params = Params()) -> Model:
     # two-proportion z score with one added row on each side
     pa_, pb = (F.col("a") + 0.5) / (pos + 1), (F.col("k") - F.col("a") + 0.5) / (neg + 1)
     z = (pa_ - pb) / F.sqrt(pa_ * (1 - pa_) / pos + pb * (1 - pb) / neg)
-    best = counts.where(F.col("k") >= p.min_rows).select("feature", z.alias("z")).where(F.abs("z") >= 3).orderBy(F.abs("z").desc(), "feature").limit(p.max_features)
+    counts = materialize(counts.where(F.col("k") >= p.min_rows).select("feature", "a", "k", z.alias("z")), "toxicity-counts")
+    best = counts.where(F.abs("z") >= 3).orderBy(F.abs("z").desc(), "feature").limit(p.max_features)
     index = {r.feature: i for i, r in enumerate(best.collect())}
+    prior = float(np.log(pos / neg))
     if not index:
-        return Model({}, float(np.log(pos / neg)))
-    chosen, groups = set(index), p.groups
-    got = rows.mapInArrow(lambda it: _present(chosen, groups, it), "y int, f array<string>, kind int").toArrow()
-    kind = got.column("kind").to_numpy()
-    f = got.column("f").to_pylist()
-    y = got.column("y").to_numpy().astype(float)
-    base = np.flatnonzero(kind == 0)
-    i, j = _coordinates([f[r] for r in base], index)
-    # each counterfactual is two rows that follow each other: features lost and features gained
-    swaps = np.flatnonzero(kind == 1)
-    lost, gained = _coordinates([f[r] for r in swaps], index), _coordinates([f[r + 1] for r in swaps], index)
-    w, b = fit(i, j, y[base], len(index), lost, gained, len(swaps), p)
-    return Model({k: float(w[n]) for k, n in index.items() if abs(w[n]) > 1e-4}, float(b))
+        return Model({}, prior)
+    chosen, others = set(index), mined_swaps(counts, p) | swaps_of(p.groups)
+    got = rows.mapInArrow(lambda it: _present(chosen, it), "y int, f array<string>").toArrow()
+    i, j = _coordinates(got.column("f").to_pylist(), index)
+    swaps = rows.mapInArrow(lambda it: _swapped(chosen, others, it), "lost array<string>, gained array<string>").groupBy("lost", "gained").agg(F.count(F.lit(1)).alias("n"))
+    swaps = swaps.orderBy(F.col("n").desc(), "lost", "gained").limit(p.max_swaps).collect()
+    lost, gained = _coordinates([r.lost for r in swaps], index), _coordinates([r.gained for r in swaps], index)
+    often = np.array([r.n for r in swaps], dtype=float)
+    w, b = fit(i, j, got.column("y").to_numpy().astype(float), len(index), prior, lost, gained, often, p)
+    return Model({k: float(w[n]) for k, n in index.items() if abs(w[n]) > 1e-4}, float(b), int(often.sum()))
 
 
 def _coordinates(rows: list[list[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,20 +146,22 @@ def _coordinates(rows: list[list[str]], index: dict[str, int]) -> tuple[np.ndarr
     return (np.array([a for a, _ in at], dtype=int), np.array([b for _, b in at], dtype=int))
 
 
-def fit(i: np.ndarray, j: np.ndarray, y: np.ndarray, width: int, lost: tuple, gained: tuple, n_swaps: int, p: Params) -> tuple[np.ndarray, float]:
-    """Logistic loss + L2 + mean squared logit change over the swaps, by Adam on full gradients."""
-    w, b, n = np.zeros(width), float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6))), len(y)
+def fit(i: np.ndarray, j: np.ndarray, y: np.ndarray, width: int, prior: float, lost: tuple, gained: tuple, often: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
+    """Weights and bias by logistic loss + L2 + mean squared logit change over the swaps (each so often), by Adam on full
+    gradients; the bias is held at or below ``prior``."""
+    w, b, n, k = np.zeros(width), prior, len(y), len(often)
     m, v = np.zeros(width + 1), np.zeros(width + 1)
+    share = often / max(1.0, often.sum())
     for t in range(1, p.steps + 1):
         s = np.bincount(i, w[j], minlength=n) + b
         e = 1 / (1 + np.exp(-np.clip(s, -30, 30))) - y
         g = np.append(np.bincount(j, e[i], minlength=width) / n + p.l2 * w / 100, e.mean())
-        if n_swaps:
-            d = np.bincount(lost[0], w[lost[1]], minlength=n_swaps) - np.bincount(gained[0], w[gained[1]], minlength=n_swaps)
-            g[:-1] += 2 * p.counterfactual / n_swaps * (np.bincount(lost[1], d[lost[0]], minlength=width) - np.bincount(gained[1], d[gained[0]], minlength=width))
+        if k:
+            d = share * (np.bincount(lost[0], w[lost[1]], minlength=k) - np.bincount(gained[0], w[gained[1]], minlength=k))
+            g[:-1] += 2 * p.counterfactual * (np.bincount(lost[1], d[lost[0]], minlength=width) - np.bincount(gained[1], d[gained[0]], minlength=width))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = w - step[:-1], min(prior, b - step[-1])
     return w, b
 
 
