@@ -12,13 +12,13 @@ from pageknow.functions.text import text_or_empty, truncate
 FIELDS = {"deadline": "official_deadline_evidence", "required_document": "official_document_evidence", "action_instruction": "official_action_evidence", "action_url": "official_action_urls", "fee_amount": "official_fee_evidence"}
 
 
-def decided(evidence: DataFrame, quality: DataFrame | None, key: str = "evidence_id") -> DataFrame:
-    """``evidence`` + decision: keep without an audit, ``missing`` for an id the audit lacks. Of an id given twice the last row
-    (by seq, if there is one) counts."""
+def decided(evidence: DataFrame, quality: DataFrame | None, key: str = "evidence_id", order: str = "seq") -> DataFrame:
+    """``evidence`` + decision: keep without an audit, ``missing`` for an id the audit lacks. Decisions count without case and
+    outer blanks. Of an id given twice the last row by ``order`` counts; rows with a blank id count for none."""
     if quality is None:
         return evidence.withColumn("decision", F.lit("keep"))
-    order = "seq" if "seq" in quality.columns else "quality_decision"
-    last = quality.groupBy(key).agg(F.max_by("quality_decision", order).alias("__d"))
+    rows = quality.where(F.trim(text_or_empty(F.col(key).cast("string"))) != "")
+    last = rows.groupBy(key).agg(F.max_by(F.lower(F.trim("quality_decision")), order).alias("__d"))
     return evidence.join(last, key, "left").withColumn("decision", F.coalesce("__d", F.lit("missing"))).drop("__d")
 
 

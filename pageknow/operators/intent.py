@@ -51,16 +51,19 @@ def stage_scores(text: Column, stages: L.Lexicon = L.STAGE_WORDS, actions: L.Lex
 
 
 def route(messages: DataFrame, text: str = "text", aliases: L.Lexicon = L.SCHOOL_ALIASES, stages: L.Lexicon = L.STAGE_WORDS, actions: L.Lexicon = L.PENDING_ACTIONS, plan: tuple[str, ...] = L.PLAN_WORDS, risk: tuple[str, ...] = L.RISK_WORDS,
-          default: str | None = None, pending: tuple[str, ...] = L.PENDING_WORDS) -> DataFrame:
-    """``messages`` + school, stage, intent, confidence, matched: risk and plan words outrank the stage."""
+          default: str | None = None, pending: tuple[str, ...] = L.PENDING_WORDS, page_types: L.Lexicon = L.STAGE_PAGE_TYPES) -> DataFrame:
+    """``messages`` + school, stage, page_types, intent, confidence, matched (words, then ``pending:stage`` for what is said to
+    be open): risk and plan words outrank the stage."""
     x = messages.withColumn("__t", F.lower(squeeze(text_or_empty(F.col(text)))))
     t = F.col("__t")
     x = x.withColumns({"school": entity(t, aliases, F.col(default) if default else None), "__b": stage_scores(t, stages, actions, pending=pending), "__plan": contains_any(t, plan), "__risk": contains_any(t, risk)})
     stage = F.coalesce("__b.stage", F.lit(""))
     intent = F.when(F.col("__risk"), "risk_check").when(F.col("__plan"), "task_plan").when(stage == "faq", "faq").when(stage != "", "question_answering").otherwise("general_guidance")
     conf = 0.25 + F.least(F.lit(0.4), F.coalesce("__b.score", F.lit(0)) * 0.12) + F.when(F.col("school") != "", 0.15).otherwise(0.0) + F.when(F.col("__plan"), 0.1).otherwise(0.0) + F.when(F.col("__risk"), 0.1).otherwise(0.0)
-    words = F.array_distinct(F.flatten(F.array(*[found(t, w) for w in stages.values()])))
-    return x.withColumns({"stage": stage, "intent": intent, "confidence": F.round(F.least(conf, F.lit(0.95)), 2), "matched": F.array_join(words, "; ")}).drop("__t", "__b", "__plan", "__risk")
+    open_ = [F.when(t.rlike(pending_pattern(w, actions.get(g, ("完成",)), pending)), F.array(F.lit(f"pending:{g}"))).otherwise(F.array().cast("array<string>")) for g, w in stages.items()]
+    words = F.array_distinct(F.flatten(F.array(*[found(t, w) for w in stages.values()], *open_)))
+    types = F.coalesce(*[F.when(stage == k, F.array(*[F.lit(v) for v in vs])) for k, vs in page_types.items()], F.array().cast("array<string>"))
+    return x.withColumns({"stage": stage, "page_types": types, "intent": intent, "confidence": F.round(F.least(conf, F.lit(0.95)), 2), "matched": F.array_join(words, "; ")}).drop("__t", "__b", "__plan", "__risk")
 
 
 def completion_flags(message: Column, patterns: L.Lexicon = L.COMPLETION) -> Column:
@@ -76,6 +79,19 @@ def tri_state(positive: Column, negative: Column) -> Column:
     return F.when(positive & negative, F.raise_error(F.lit("conflicting condition flags")).cast("boolean")).when(positive, True).when(negative, False)
 
 
+def build_profiles(messages: DataFrame, text: str = "text", school: str = "school", given: dict[str, Column] | None = None, positive: Column | None = None, negative: Column | None = None,
+                   patterns: L.Lexicon = L.COMPLETION, conditional: tuple[str, ...] = ("conditional", "条件")) -> DataFrame:
+    """``messages`` + completed_flags (found in the text or ``given`` as true) and has_conditional_offer: as stated by
+    ``positive`` or ``negative``, else true if the text has one of the words, else null."""
+    none = F.array().cast("array<string>")
+    said = [F.when(F.coalesce(c, F.lit(False)), F.array(F.lit(k))).otherwise(none) for k, c in (given or {}).items()]
+    flags = F.array_sort(F.array_distinct(F.concat(completion_flags(F.col(text), patterns), *said)))
+    no = F.lit(False)
+    stated = tri_state(F.coalesce(positive, no) if positive is not None else no, F.coalesce(negative, no) if negative is not None else no)
+    hinted = F.when(contains_any(F.lower(text_or_empty(F.col(text))), conditional), True)
+    return messages.withColumns({"completed_flags": flags, "has_conditional_offer": F.coalesce(stated, hinted), school: text_or_empty(F.col(school))})
+
+
 def merge_profiles(stored: DataFrame, current: DataFrame, key: str, texts: list[str], flags: str = "completed_flags", tri: str = "has_conditional_offer") -> DataFrame:
     """Every profile of either side: current values where they are not empty, flags of both, a current tri-state that is not null."""
     s, c = stored.alias("s"), current.alias("c")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageknow.functions.text import text_or_empty
+from pageknow.functions.text import text_or_empty, to_int
 
 RISK_BASE = {"high": 50.0, "medium": 30.0, "low": 15.0}
 LEVELS = ("high", "medium", "low")
@@ -65,13 +65,15 @@ def priority(stage_order: dict[str, int], asked_stage: str = "asked_stage", boos
 
 def overlay(tasks: DataFrame, states: DataFrame, user: str) -> DataFrame:
     """Personal states on tasks, by task_id else by code; done and skipped tasks go, a deadline adds 8 to the score.
-    ``states``: (user, key, status, deadline_at), one row per user and key."""
-    by = lambda n: states.select(F.col(user), F.col("key").alias(f"__k{n}"), F.struct("status", "deadline_at").alias(f"__s{n}"))
+    ``states``: (user, key, status, deadline_at, and any of the zone, reminder and note columns), one row per user and key;
+    each comes as ``user_`` column."""
+    fields = [c for c in ("status", "deadline_at", "deadline_timezone", "reminder_at", "reminder_timezone", "reminder_status", "notes") if c in states.columns]
+    by = lambda n: states.select(F.col(user), F.col("key").alias(f"__k{n}"), F.struct(*fields).alias(f"__s{n}"))
     j = tasks.join(by(1).withColumnRenamed(user, "__u1"), (F.col(user) == F.col("__u1")) & (F.col("task_id") == F.col("__k1")), "left")
     j = j.join(by(2).withColumnRenamed(user, "__u2"), (F.col(user) == F.col("__u2")) & (F.col("task_code") == F.col("__k2")), "left")
     j = j.withColumn("__s", F.coalesce("__s1", "__s2")).where(~F.coalesce(F.col("__s.status").isin("done", "skipped"), F.lit(False)))
     late = text_or_empty(F.col("__s.deadline_at")) != ""
-    return j.withColumns({"user_status": text_or_empty(F.col("__s.status")), "user_deadline_at": text_or_empty(F.col("__s.deadline_at")), "priority_score": F.round(F.col("priority_score") + F.when(late, 8.0).otherwise(0.0), 2)}).drop("__s", "__s1", "__s2", "__k1", "__k2", "__u1", "__u2")
+    return j.withColumns({**{f"user_{c}": text_or_empty(F.col(f"__s.{c}")) for c in fields}, "priority_score": F.round(F.col("priority_score") + F.when(late, 8.0).otherwise(0.0), 2)}).drop("__s", "__s1", "__s2", "__k1", "__k2", "__u1", "__u2")
 
 
 def top_plan(tasks: DataFrame, user: str, stage_order: dict[str, int], n: int = 6) -> DataFrame:
@@ -87,6 +89,20 @@ def note_counts(reason: Column, found: Column, usable: Column, review: Column, r
     return F.concat_ws("；", reason, F.when(found > 0, F.format_string("%d pieces of evidence", found)), more)
 
 
+def plan_rows(tasks: DataFrame, reason: str = "reason") -> DataFrame:
+    """Rows of a task table as rows of a plan: counts as integers (0 if they are none; the usable ones default to all found),
+    the reason with what the evidence is worth, the first of the official urls where the task has none, and as source the
+    task's own, else that url. Missing columns count as empty."""
+    have = lambda c: text_or_empty(F.col(c).cast("string")) if c in tasks.columns else F.lit("")
+    count = lambda c, d: F.when(F.trim(have(c)) == "", d).otherwise(to_int(have(c)))
+    out = tasks.withColumn("evidence_count", count("evidence_count", F.lit(0)))
+    n = F.col("evidence_count")
+    out = out.withColumns({f"{k}_evidence_count": count(f"{k}_evidence_count", n if k in ("candidate", "usable") else F.lit(0)) for k in ("candidate", "usable", "review", "rejected")})
+    url = F.coalesce(F.nullif(have("action_url"), F.lit("")), F.trim(F.element_at(F.split(have("official_action_urls"), "[|]"), 1)))
+    out = out.withColumns({"action_url": url, "risk_level": F.coalesce(F.nullif(have("risk_level"), F.lit("")), F.lit("medium")), reason: note_counts(F.col(reason), n, F.col("usable_evidence_count"), F.col("review_evidence_count"), F.col("rejected_evidence_count"), have("enrichment_status"))})
+    return out.withColumn("source_url", F.coalesce(F.nullif(have("source_url"), F.lit("")), F.col("action_url")))
+
+
 def first_source(tasks: DataFrame, evidence: DataFrame, user: str) -> DataFrame:
     """(user, sources map stage -> url): of each stage the first url, tasks before evidence. Both: (user, stage, url, ord)."""
     every = tasks.select(user, "stage", "url", F.struct(F.lit(0), F.col("ord").cast("long")).alias("o")).unionAll(evidence.select(user, "stage", "url", F.struct(F.lit(1), F.col("ord").cast("long")).alias("o")))

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageknow.functions.lexicon import HIGH_VALUE_TERMS, INDEX_STOPWORDS, SEARCH_STOPWORDS
+from pageknow.functions.lexicon import HIGH_VALUE_TERMS, INDEX_STOPWORDS, QUERY_EXPANSIONS, SEARCH_STOPWORDS
 from pageknow.functions.text import terms, text_or_empty
 
 
-def expand_queries(queries: DataFrame, dictionary: DataFrame, phrases: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+def expand_queries(queries: DataFrame, dictionary: DataFrame | None = None, phrases: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """``queries`` + terms: distinct search terms of the text, of the expansions of every dictionary key it contains and of
-    the fixed phrases. ``dictionary``: (key, expansion), small by nature (its size is checked before it is broadcast)."""
+    the fixed phrases. ``dictionary``: (key, expansion), small by nature (its size is checked before it is broadcast); without one the fixed word list is used."""
+    if dictionary is None:
+        dictionary = queries.sparkSession.createDataFrame([(k, " ".join(v)) for k, v in QUERY_EXPANSIONS.items()], "key string, expansion string")
     if (n := dictionary.limit(10_001).count()) > 10_000:
         raise ValueError(f"the dictionary has {n} or more rows; expansion is for word lists")
     low = F.lower(text_or_empty(F.col(text)))

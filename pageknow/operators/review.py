@@ -37,9 +37,8 @@ def queue(enriched: DataFrame, always: tuple[str, ...], order: list[str] | None
     return out.orderBy("review_priority", *order) if order else out
 
 
-def _last(decisions: DataFrame, key: str) -> DataFrame:
-    """Of a key given twice the last row (by seq, if there is one)."""
-    order = "seq" if "seq" in decisions.columns else "reviewer_decision"
+def _last(decisions: DataFrame, key: str, order: str = "seq") -> DataFrame:
+    """Of a key given twice the last row by ``order``, a column that the decisions must have."""
     x = decisions.where(F.trim(text_or_empty(F.col(key).cast("string"))) != "")
     return x.groupBy(key).agg(F.max_by(F.struct(*[c for c in x.columns if c != key]), order).alias("d"))
 
@@ -83,9 +82,10 @@ def pending_summary(queue_: DataFrame, decisions: DataFrame, key: str, owner: st
     return q.join(_last(decisions, key), key, "left").groupBy(owner, "review_priority").agg(F.count(F.lit(1)).alias("total_review_rows"), F.count_if(~d.isin(*n.values())).alias("pending_count"), *[F.count_if(d == v).alias(k) for k, v in n.items()])
 
 
-def pending(queue_: DataFrame, decisions: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
-    """Rows of the queue without a decision, with the notes made so far, sorted by priority."""
-    j = queue_.join(_last(decisions, key), key, "left").where(F.lower(F.trim(text_or_empty(F.col("d.reviewer_decision")))) == "")
+def pending(queue_: DataFrame, decisions: DataFrame, key: str, order: list[str] | None = None, owner: str = "owner", only: str | None = None) -> DataFrame:
+    """Rows of the queue without a decision, with the notes made so far, sorted by priority. ``only``: one owner, any case."""
+    q = queue_ if only is None else queue_.where(F.upper(owner) == only.upper())
+    j = q.join(_last(decisions, key), key, "left").where(F.lower(F.trim(text_or_empty(F.col("d.reviewer_decision")))) == "")
     out = j.withColumn("reviewer_notes", text_or_empty(F.col("d.reviewer_notes"))).drop("d")
     rank = F.when(F.col("review_priority") == "high", 0).when(F.col("review_priority") == "medium", 1).when(F.col("review_priority") == "low", 2).when(F.col("review_priority") == "", 9).otherwise(8)
     out = out.withColumn("priority_rank", rank)

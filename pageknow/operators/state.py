@@ -45,13 +45,28 @@ def lookup(states: DataFrame, fields: list[str], user: str = "user_id", seq: str
     return by_id.unionByName(by_code).groupBy(user, "key").agg(F.min_by("r", "level").alias("r")).select(user, "key", "r.*")
 
 
-def visible(states: DataFrame, completed: bool = False, statuses: list[str] | None = None) -> DataFrame:
-    """States that are shown: done and skipped ones on request only, and only the statuses asked for."""
-    out = states if completed else states.where(~F.col("status").isin("done", "skipped"))
-    return out.where(F.col("status").isin(statuses)) if statuses else out
-
-
-def inferred_owner(states: DataFrame, owner: str, user: str = "user_id", seq: str = "seq") -> DataFrame:
-    """(user, owner): of the first state that has one."""
-    x = states.where(F.trim(text_or_empty(F.col(owner))) != "")
-    return x.groupBy(user).agg(F.min_by(owner, seq).alias(owner))
+def visible(states: DataFrame, completed: bool = False, statuses: list[str] | None = None, user: str = "user_id", seq: str = "seq", order: bool = False) -> DataFrame:
+    """States that are shown: of each key (the task_id, else the code) the first; done and skipped ones on request only, and
+    only the statuses asked for. ``order``: sorted by the deadline, else the reminder, those without either last."""
+    key = F.coalesce(F.nullif(F.col("task_id"), F.lit("")), F.col("task_code"))
+    rest = [c for c in states.columns if c != user]
+    out = states.withColumn("__key", key).where(text_or_empty(F.col("__key")) != "").groupBy(user, "__key").agg(F.min_by(F.struct(*rest), seq).alias("__s"))
+    out = out.select(user, "__s.*").select(*states.columns)
+    out = out if completed else out.where(~F.col("status").isin("done", "skipped"))
+    out = out.where(F.col("status").isin(statuses)) if statuses else out
+    return out.orderBy(*shown_order()) if order else out
+
+
+def shown_order() -> list[Column]:
+    """Deadline, else reminder, the blank ones last; then task_id and code."""
+    at = F.nullif(F.coalesce(F.nullif(F.col("deadline_at"), F.lit("")), F.col("reminder_at")), F.lit(""))
+    return [at.asc_nulls_last(), F.col("task_id"), F.col("task_code")]
+
+
+def inferred_owner(states: DataFrame, owner: str, user: str = "user_id", seq: str = "seq", profiles: DataFrame | None = None) -> DataFrame:
+    """(user, owner): of the first state that has one; for other users that of their profile (user, owner), if it has one."""
+    named = lambda x: x.where(F.trim(text_or_empty(F.col(owner))) != "")
+    first = named(states).groupBy(user).agg(F.min_by(owner, seq).alias(owner))
+    if profiles is None:
+        return first
+    return first.unionByName(named(profiles).select(user, owner).join(first, user, "left_anti"))

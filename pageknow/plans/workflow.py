@@ -31,7 +31,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     return li.select(
         F.col("l_orderkey").alias("task_key"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("evidence_id"), _kind().alias("evidence_type"), F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string"), F.lit(" by "), day).alias("evidence_text"),
-        F.concat(F.lit("https://s.example/"), F.col("l_suppkey").cast("string")).alias("normalized_value"), F.when(F.col("l_quantity") > 40, "high").when(F.col("l_quantity") > 15, "medium").otherwise("low").alias("confidence"), day.alias("updated_at"),
+        F.concat(F.lit("https://s.example/"), F.col("l_suppkey").cast("string")).alias("normalized_value"), F.when(F.col("l_quantity") > 40, "high").when(F.col("l_quantity") > 15, "medium").otherwise("low").alias("confidence"), day.alias("updated_at"), F.struct("l_extendedprice", "l_discount").alias("seq"),
         F.when(F.col("l_discount") > 0.07, "reject").when(F.col("l_discount") > 0.02, "keep").when(F.col("l_discount") > 0.01, "review").alias("quality_decision"),
     )
 
@@ -40,7 +40,7 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _evidence(spark, sf_dir)
     tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_key"), F.concat(F.lit("o-"), F.when(F.col("o_orderpriority").startswith("1"), "pay_deposit").otherwise("other")).alias("task_id"))
     tasks = tasks.withColumn("task_code", N.code_of(F.col("task_id"), F.lit(""), {}))
-    return N.enrich(tasks, e.drop("quality_decision"), ["task_key"], e.where("quality_decision IS NOT NULL").select("evidence_id", "quality_decision"))
+    return N.enrich(tasks, e.drop("quality_decision", "seq"), ["task_key"], e.where("quality_decision IS NOT NULL").select("evidence_id", "quality_decision", "seq"))
 
 
 def enrich_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     d = F.when(F.col("o_orderstatus") == "F", F.when(F.col("o_totalprice") > 200000, "approve_with_edits").otherwise("Approve ")).when(F.col("o_orderstatus") == "P", "reject").otherwise("")
     edit = F.when(F.col("o_totalprice") > 200000, F.concat(F.lit("edited "), F.col("o_orderkey").cast("string"))).otherwise("")
-    return o.select(F.col("o_orderkey").alias("task_key"), d.alias("reviewer_decision"), edit.alias("reviewed_deadline_evidence"), *[F.lit("").alias(c) for c in list(R.REVIEWED.values())[1:]], F.col("o_orderpriority").alias("reviewer_notes"), F.lit("").alias("reviewed_at"))
+    return o.select(F.col("o_orderkey").alias("task_key"), d.alias("reviewer_decision"), edit.alias("reviewed_deadline_evidence"), *[F.lit("").alias(c) for c in list(R.REVIEWED.values())[1:]], F.col("o_orderpriority").alias("reviewer_notes"), F.lit("").alias("reviewed_at"), F.col("o_orderkey").alias("seq"))
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,7 @@ def entity_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = I.route(table(spark, sf_dir, "conversations"), "text", ALIASES, STAGES, ACTIONS, PLAN, RISK, pending=PENDING)
-    return r.select("conv_id", "turn", "school", "stage", "intent", "confidence", "matched")
+    return r.select("conv_id", "turn", "school", "stage", F.array_join("page_types", "; ").alias("page_types"), "intent", "confidence", "matched")
 
 
 def completion_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,11 +339,11 @@ def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.schema_dictionary({t: table(spark, sf_dir, t) for t in TABLES})
+    return T.schema_dictionary({t: table(spark, sf_dir, t) for t in TABLES}, described={"doc_id": "number of the document"})
 
 
 def artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.manifest({t: table(spark, sf_dir, t) for t in TABLES}).select("dataset", "row_count")
+    return T.manifest({**{t: table(spark, sf_dir, t) for t in TABLES}, "absent": None}).select("dataset", "exists", "row_count", (F.col("newest").isNotNull() & (F.col("file_count") > 0)).alias("has_files"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -353,8 +353,10 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _KIND = "CASE WHEN l_shipdate < '1996-01-01' THEN 'fee_amount' WHEN l_linenumber > 5 THEN 'action_url' " + " ".join(f"WHEN l_returnflag = '{k}' THEN '{v}'" for k, v in KIND.items()) + " ELSE 'deadline' END"
-EVID = f"""ev AS (SELECT l_orderkey AS task_key, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS evidence_id, {_KIND} AS evidence_type, 'Supplier ' || l_suppkey || ' by ' || strftime(l_shipdate, '%Y-%m-%d') AS evidence_text, 'https://s.example/' || l_suppkey AS nv,
-  CASE WHEN l_quantity > 40 THEN 0 WHEN l_quantity > 15 THEN 1 ELSE 2 END AS rk, strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN l_discount > 0.07 THEN 'reject' WHEN l_discount > 0.02 THEN 'keep' WHEN l_discount > 0.01 THEN 'review' ELSE 'missing' END AS d FROM lineitem)"""
+EVID = f"""er AS (SELECT l_orderkey AS task_key, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS evidence_id, {_KIND} AS evidence_type, 'Supplier ' || l_suppkey || ' by ' || strftime(l_shipdate, '%Y-%m-%d') AS evidence_text, 'https://s.example/' || l_suppkey AS nv,
+  CASE WHEN l_quantity > 40 THEN 0 WHEN l_quantity > 15 THEN 1 ELSE 2 END AS rk, strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN l_discount > 0.07 THEN 'reject' WHEN l_discount > 0.02 THEN 'keep' WHEN l_discount > 0.01 THEN 'review' END AS own, l_extendedprice AS price, l_discount AS off FROM lineitem),
+  du AS (SELECT evidence_id, own FROM er WHERE own IS NOT NULL QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY price DESC, off DESC) = 1),
+  ev AS (SELECT er.*, coalesce(du.own, 'missing') AS d FROM er LEFT JOIN du USING (evidence_id))"""
 ENRICHED = f"""{EVID}, cnt AS (SELECT task_key, count(*) AS c, count(*) FILTER (d = 'keep') AS u, count(*) FILTER (d = 'reject') AS r, coalesce(array_to_string(list_sort(list(DISTINCT evidence_type) FILTER (d = 'keep')), ', '), '') AS types FROM ev GROUP BY 1),
   val AS (SELECT task_key, evidence_type, CASE WHEN evidence_type = 'action_url' THEN nv ELSE evidence_text END AS v, rk, day, evidence_id FROM ev WHERE d = 'keep'),
   one AS (SELECT *, row_number() OVER (PARTITION BY task_key, evidence_type, lower(v) ORDER BY rk, day, evidence_id) AS f FROM val), few AS (SELECT * FROM one WHERE f = 1 QUALIFY row_number() OVER (PARTITION BY task_key, evidence_type ORDER BY rk, day, evidence_id) <= 3),
@@ -381,7 +383,8 @@ def _said(w: str) -> str:
 
 _ENTITY = "CASE " + " ".join(f"WHEN {' OR '.join(_said(w) for w in (n, *ws))} THEN '{n}'" for n, ws in sorted(ALIASES.items(), key=lambda kv: -len(kv[0]))) + " ELSE "
 _SC = ", ".join(f"{{'s': {sql_hits('t', ws)} + CASE WHEN regexp_matches(t, '{I.pending_pattern(ws, ACTIONS.get(g, ('完成',)), PENDING)}') THEN 4 ELSE 0 END, 'p': {len(STAGES) - i}, 'g': '{g}'}}" for i, (g, ws) in enumerate(STAGES.items()))
-_FOUND = "list_concat(" + ", ".join(sql_found("t", w) for w in STAGES.values()) + ")"
+_FOUND = "list_concat(" + ", ".join([*(sql_found("t", w) for w in STAGES.values()), *(f"CASE WHEN regexp_matches(t, '{I.pending_pattern(ws, ACTIONS.get(g, ('完成',)), PENDING)}') THEN ['pending:{g}'] ELSE [] END" for g, ws in STAGES.items())]) + ")"
+_TYPES = " ".join(f"WHEN '{k}' THEN '{'; '.join(v)}'" for k, v in L.STAGE_PAGE_TYPES.items())
 
 
 def _flag_case(flag: str, patterns: tuple[str, ...]) -> str:
@@ -433,7 +436,7 @@ ORACLES = {
           CASE WHEN source = 'src3' THEN 'latest crawl status is failed' WHEN source = 'src4' THEN 'raw text file is missing' WHEN n_chars < 100 THEN 'raw text is too short' WHEN chunk_count = 0 THEN 'no retrieval chunks generated' WHEN n_chars < 800 THEN 'source text is short' WHEN lang <> 'en' AND source_count = 3 THEN 'no task mapped to this source' WHEN lang = 'en' AND label_count = 0 THEN 'FAQ page has no extracted candidates' ELSE '' END AS note FROM x""",
     "entity_detect": f"SELECT conv_id, turn, {_ENTITY} role END AS entity FROM (SELECT *, lower(text) AS t FROM conversations)",
     "intent_route": f"""WITH m AS (SELECT conv_id, turn, lower({sql_squeeze('text')}) AS t FROM conversations), b AS (SELECT *, list_sort(list_filter([{_SC}], lambda z: z.s > 0))[-1] AS b, {_ENTITY} '' END AS school, {sql_contains('t', PLAN)} AS pl, {sql_contains('t', RISK)} AS rk, {_FOUND} AS f FROM m)
-        SELECT conv_id, turn, school, coalesce(b.g, '') AS stage, CASE WHEN rk THEN 'risk_check' WHEN pl THEN 'task_plan' WHEN b.g = 'faq' THEN 'faq' WHEN b.g IS NOT NULL THEN 'question_answering' ELSE 'general_guidance' END AS intent,
+        SELECT conv_id, turn, school, coalesce(b.g, '') AS stage, CASE coalesce(b.g, '') {_TYPES} ELSE '' END AS page_types, CASE WHEN rk THEN 'risk_check' WHEN pl THEN 'task_plan' WHEN b.g = 'faq' THEN 'faq' WHEN b.g IS NOT NULL THEN 'question_answering' ELSE 'general_guidance' END AS intent,
           round(least(CAST(0.25 AS DOUBLE) + least(CAST(0.4 AS DOUBLE), coalesce(b.s, 0) * CAST(0.12 AS DOUBLE)) + CASE WHEN school <> '' THEN CAST(0.15 AS DOUBLE) ELSE 0 END + CASE WHEN pl THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CASE WHEN rk THEN CAST(0.1 AS DOUBLE) ELSE 0 END, 0.95), 2) AS confidence, array_to_string(f, '; ') AS matched FROM b""",
     "completion_flags": f"SELECT conv_id, turn, array_to_string(list_filter([{', '.join(_flag_case(k, ps) for k, ps in FLAGS.items())}], lambda z: z IS NOT NULL), ';') AS flags FROM (SELECT *, lower({sql_squeeze('text')}) AS t FROM conversations)",
     "profile_merge": f"""WITH {PROFILES} SELECT coalesce(c_custkey, user_id) AS user_id, coalesce(origin, '') AS origin, CASE WHEN coalesce(c_mktsegment, '') <> '' THEN c_mktsegment ELSE coalesce(asked, '') END AS asked_stage,
@@ -470,6 +473,6 @@ ORACLES = {
     "source_select": "SELECT c_custkey AS o_custkey, c_nationkey AS priority, c_mktsegment, 'yes' AS need_dynamic FROM customer WHERE c_nationkey <= 12 AND lower(c_mktsegment) IN ('building', 'machinery') AND c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')",
     "sink_roundtrip": f"WITH RECURSIVE {sql_chunks('documents')} SELECT k AS doc_id, count(*) AS n, sum(length(text)) AS n_chars FROM chunks GROUP BY 1",
     "log_append": "SELECT event_type, count(*) AS n, count(props) FILTER (event_type = 'click') AS with_props, count(value) FILTER (event_type <> 'click') AS with_value FROM events GROUP BY 1",
-    "schema_dictionary": "SELECT table_name AS dataset, column_name AS column, CAST(ordinal_position - 1 AS INT) AS position, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>' ELSE 'timestamp_ntz' END AS type, 'no' AS required FROM information_schema.columns WHERE table_name IN (" + quoted(TABLES) + ")",
-    "artifact_manifest": " UNION ALL ".join(f"SELECT '{t}' AS dataset, count(*) AS row_count FROM {t}" for t in TABLES),
+    "schema_dictionary": "SELECT table_name AS dataset, column_name AS column, CAST(ordinal_position - 1 AS INT) AS position, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>' ELSE 'timestamp_ntz' END AS type, 'no' AS required, CASE column_name WHEN 'doc_id' THEN 'number of the document' ELSE '' END AS description FROM information_schema.columns WHERE table_name IN (" + quoted(TABLES) + ")",
+    "artifact_manifest": " UNION ALL ".join(f"SELECT '{t}' AS dataset, true AS exists, count(*) AS row_count, true AS has_files FROM {t}" for t in TABLES) + " UNION ALL SELECT 'absent', false, 0, false",
 }

@@ -108,20 +108,26 @@ def append_log(log: DataFrame, new: DataFrame) -> DataFrame:
     return log.unionByName(new, allowMissingColumns=True)
 
 
-def schema_dictionary(tables: dict[str, DataFrame], required: dict[str, set[str]] | None = None) -> DataFrame:
-    """(dataset, column, position, type, required): one row per column, small by nature."""
+def schema_dictionary(tables: dict[str, DataFrame], required: dict[str, set[str]] | None = None, described: dict[str, str] | None = None) -> DataFrame:
+    """(dataset, column, position, type, required, description): one row per column, small by nature. ``described``: texts by
+    column name; else the comment of the column, if it has one."""
     spark = next(iter(tables.values())).sparkSession
-    rows = [(n, f.name, i, f.dataType.simpleString(), "yes" if f.name in (required or {}).get(n, set()) else "no") for n, df in sorted(tables.items()) for i, f in enumerate(df.schema)]
-    return spark.createDataFrame(rows, "dataset string, column string, position int, type string, required string")
+    rows = [(n, f.name, i, f.dataType.simpleString(), "yes" if f.name in (required or {}).get(n, set()) else "no", (described or {}).get(f.name, f.metadata.get("comment", ""))) for n, df in sorted(tables.items()) for i, f in enumerate(df.schema)]
+    return spark.createDataFrame(rows, "dataset string, column string, position int, type string, required string, description string")
 
 
-def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(dataset, rows, files, newest): counts by Spark, files and their newest change from the file metadata."""
+def manifest(tables: dict[str, DataFrame | None]) -> DataFrame:
+    """(dataset, exists, row_count, file_count, newest): counts by Spark, files and their newest change from the file
+    metadata; a dataset given as None does not exist and counts nothing."""
+    spark = next(df for df in tables.values() if df is not None).sparkSession
     out = None
     for n, df in sorted(tables.items()):
         m = F.col("_metadata")
-        one = df.select(m["file_path"].alias("f"), m["file_modification_time"].alias("t")).agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("f").alias("file_count"), F.max("t").alias("newest"))
-        one = one.select(F.lit(n).alias("dataset"), "row_count", "file_count", "newest")
+        if df is None:
+            one = spark.range(1).select(F.lit(0).cast("long").alias("row_count"), F.lit(0).cast("long").alias("file_count"), F.lit(None).cast("timestamp").alias("newest"))
+        else:
+            one = df.select(m["file_path"].alias("f"), m["file_modification_time"].alias("t")).agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("f").alias("file_count"), F.max("t").alias("newest"))
+        one = one.select(F.lit(n).alias("dataset"), F.lit(df is not None).alias("exists"), "row_count", "file_count", "newest")
         out = one if out is None else out.unionByName(one)
     return out
 

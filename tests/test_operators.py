@@ -136,7 +136,7 @@ def test_enrich_and_review(spark):
     tasks = spark.createDataFrame([("A", "apply_student_visa", "A-1"), ("A", "pay_deposit", "A-2"), ("B", "none", "B-1")], "school string, task_code string, task_id string")
     ev = spark.createDataFrame([("A", "apply_student_visa", "k", "deadline", "By July", "", "medium", "1"), ("A", "apply_student_visa", "r", "deadline", "rejected text", "", "high", "1"), ("A", "apply_student_visa", "d", "deadline", "by july", "", "high", "2"), ("A", "pay_deposit", "m", "fee_amount", "HK$1", "", "low", "1")],
                                "school string, task_code string, evidence_id string, evidence_type string, evidence_text string, normalized_value string, confidence string, updated_at string")
-    q = spark.createDataFrame([("k", "reject", 1), ("k", "keep", 2), ("r", "reject", 3), ("d", "keep", 4)], "evidence_id string, quality_decision string, seq int")
+    q = spark.createDataFrame([("k", "reject", 1), ("k", " Keep ", 2), (" ", "keep", 9), (None, "keep", 9), ("r", "reject", 3), ("d", "keep", 4)], "evidence_id string, quality_decision string, seq int")
     e = enrich.enrich(tasks, ev, ["school", "task_code"], q)
     got = {r.task_id: r for r in e.collect()}
     assert (got["A-1"].candidate_evidence_count, got["A-1"].usable_evidence_count, got["A-1"].rejected_evidence_count, got["A-1"].official_deadline_evidence) == (3, 2, 1, "by july")
@@ -144,7 +144,8 @@ def test_enrich_and_review(spark):
     queue = review.queue(e, ("pay_deposit",))
     assert {r.task_id: r.review_priority for r in queue.collect()} == {"A-1": "medium", "A-2": "high"}
     dec = spark.createDataFrame([("A-2", "approve_with_edits", "HK$5", "n", "")], "task_id string, reviewer_decision string, reviewed_fee_evidence string, reviewer_notes string, reviewed_at string")
-    dec = dec.withColumns({c: F.lit("") for c in review.REVIEWED.values() if c != "reviewed_fee_evidence"})
+    dec = dec.withColumns({c: F.lit("") for c in review.REVIEWED.values() if c != "reviewed_fee_evidence"}).withColumn("seq", F.lit(2))
+    dec = dec.unionByName(dec.withColumns({"reviewer_decision": F.lit("reject"), "seq": F.lit(1)}))  # the later row counts
     out = {r.task_id: r for r in review.apply_decisions(e, queue, dec, "task_id", "2026-07-01").collect()}
     assert out["A-2"].official_fee_evidence == "HK$5" and out["A-2"].human_review_status == "review_approved_with_edits"
     assert out["A-1"].official_deadline_evidence == "" and out["A-1"].usable_evidence_count == 0 and out["B-1"].human_review_status == "not_required"
@@ -288,3 +289,49 @@ def test_dense_topk_in_blocks_of_queries(spark, monkeypatch):
             m.setattr(retrieval, "MAX_QUERY_ROWS", 8)
             got = sorted(map(tuple, retrieval.dense_topk(v, v.where("vec_id % 2 = 0"), 3, match=match).collect()))
         assert got == want and len(want) == 60
+
+
+def test_fixed_words(spark):
+    q = spark.createDataFrame([(1, "学生签证怎么办理"), (2, "plain words")], "id int, text string")
+    terms = {r.id: r.terms for r in retrieval.expand_queries(q).collect()}
+    assert {"visa", "entry", "permit", "immigration"} <= set(terms[1]) and terms[2] == ["plain", "words"]
+    m = spark.createDataFrame([(1, "the chinese university sent an offer"), (2, "UST science and technology"), (3, "just a question"), (4, "我还没有申请签证")], "id int, text string")
+    got = {r.id: r for r in intent.route(m).collect()}
+    assert (got[1].school, got[2].school, got[3].school) == ("CUHK", "HKUST", "")
+    assert got[4].stage == "visa" and "pending:visa" in got[4].matched and got[4].page_types == ["visa", "faq"] and got[3].page_types == ["faq"]
+
+
+def test_profiles(spark):
+    m = spark.createDataFrame([(1, "I paid the deposit", "HKU", True, False), (2, "my conditional offer", None, False, False), (3, "conditional", None, False, True), (4, None, None, None, None)], "id int, text string, school string, yes boolean, no boolean")
+    got = {r.id: r for r in intent.build_profiles(m, given={"registered": F.col("id") == 2}, positive=F.col("yes"), negative=F.col("no")).collect()}
+    assert [(got[i].completed_flags, got[i].has_conditional_offer) for i in (1, 2, 3, 4)] == [(["paid_deposit"], True), (["registered"], True), ([], False), ([], None)]
+    with pytest.raises(Exception, match="conflicting"):
+        intent.build_profiles(m, positive=F.lit(True), negative=F.lit(True)).collect()
+
+
+def test_sources_of_all_tables(spark):
+    task = spark.createDataFrame([(1, 1, " https://a | |https://b"), (1, 2, None)], "q int, ord int, urls string")
+    risk = spark.createDataFrame([(1, 1, "https://b"), (2, 1, "https://r")], "q int, ord int, urls string")
+    assert {r.q: r.urls for r in prompts.all_citations([task, risk, risk.limit(0)], "q").collect()} == {1: ["https://a", "https://b"], 2: ["https://r"]}
+    ans = spark.createDataFrame([(1, "官方来源 names it"), (2, "none  ")], "q int, a string")
+    got = {r.q: r.a for r in prompts.ensure_cited(ans, prompts.all_citations([task, risk], "q"), "q", "a").collect()}
+    assert got == {1: "官方来源 names it", 2: "none\n\nSources:\n- https://r"}
+    q = spark.createDataFrame([(1, "why"), (2, None)], "q int, t string")
+    ev = spark.createDataFrame([(1, 1, "faq", "text")], "q int, rank int, label string, body string")
+    lists = {"Tasks": (spark.createDataFrame([(1, k, f"t{k}") for k in range(1, 11)], "q int, rank int, line string"), 8)}
+    made = {r.q: r.prompt for r in prompts.assemble(q, ev, "q", "t", "rank", "label", "body", lists=lists).collect()}
+    assert "- t8\nEvidence:\n[1] (faq) text" in made[1] and "t9" not in made[1] and "Tasks:\n(none)" in made[2]
+
+
+def test_plan_rows_and_shown_states(spark):
+    t = spark.createDataFrame([("a", "r", "2", "x", "1", "", "https://u | https://v", "found"), ("b", "r", "", "", "", "https://own", "", "none")], "id string, reason string, evidence_count string, review_evidence_count string, rejected_evidence_count string, action_url string, official_action_urls string, enrichment_status string")
+    got = {r.id: r for r in planning.plan_rows(t).collect()}
+    assert (got["a"].usable_evidence_count, got["a"].review_evidence_count, got["a"].action_url, got["a"].source_url) == (2, 0, "https://u", "https://u")
+    assert got["a"].reason == "r；2 pieces of evidence；audit: 2 usable, 0 open, 1 rejected" and got["b"].reason == "r；status: none" and got["b"].action_url == "https://own"
+    st = spark.createDataFrame([(1, "t1", "c1", "waiting", "", "", "", 1), (1, "t1", "c2", "blocked", "2026-01-01", "", "", 2), (1, "", "c9", "waiting", "", "2025-01-01", "Ann", 3), (1, "t3", "", "done", "2020-01-01", "", "", 4)],
+                               "user_id int, task_id string, task_code string, status string, deadline_at string, reminder_at string, owner string, seq int")
+    assert [(r.task_id, r.task_code) for r in state.visible(st, order=True).collect()] == [("", "c9"), ("t1", "c1")]
+    assert [r.task_id for r in state.visible(st, completed=True, statuses=["done"], order=True).collect()] == ["t3"]
+    pro = spark.createDataFrame([(1, "Bob"), (2, "Cid"), (3, " ")], "user_id int, owner string")
+    assert {tuple(r) for r in state.inferred_owner(st, "owner", profiles=pro).collect()} == {(1, "Ann"), (2, "Cid")}
+    assert review.pending(spark.createDataFrame([("k", "HKU", "high")], "k string, owner string, review_priority string"), spark.createDataFrame([], "k string, reviewer_decision string, reviewer_notes string, seq int"), "k", only="hku").count() == 1
