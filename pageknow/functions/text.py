@@ -99,7 +99,9 @@ def to_int(c: Column, default: int = 0) -> Column:
 
 def terms(c: Column, stopwords: Iterable[str], least: int = 2, digits: bool = True) -> Column:
     """Lower-case ASCII word tokens of at least ``least`` characters without stopwords (and, on request, without numbers)."""
-    stop = F.array(*[F.lit(s) for s in stopwords]) if stopwords else None
-    got = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit("[a-z0-9]+"), 0)
-    keep = lambda x: (F.length(x) >= least) & (~F.array_contains(stop, x) if stop is not None else F.lit(True)) & (F.lit(True) if digits else ~x.rlike("^[0-9]+$"))
+    stop = tuple(stopwords)
+    got = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(f"[a-z0-9]{{{least},}}"), 0)
+    if not stop and digits:
+        return got
+    keep = lambda x: (~x.isin(*stop) if stop else F.lit(True)) & (F.lit(True) if digits else ~x.rlike("^[0-9]+$"))
     return F.filter(got, keep)

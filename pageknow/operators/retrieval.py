@@ -36,29 +36,38 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score:
     columns]). Ties: smaller chunk_index, then chunk_key.
     """
     filters = filters or {}
-    q = queries.select("query_id", *filters, F.explode("terms").alias("term"))
+    q = queries.select("query_id", F.explode("terms").alias("term"))
     cols = [c for c in chunks.columns if c in {"page_type", *[c for c, _ in filters.values()]}]
-    c = chunks.select("chunk_key", "chunk_index", *cols, F.explode(F.array_distinct(terms(F.col("text"), SEARCH_STOPWORDS))).alias("term"))
-    high = F.col("term").isin(*HIGH_VALUE_TERMS)
-    got = q.alias("q").join(c.alias("c"), "term").groupBy("query_id", "chunk_key", "chunk_index").agg(
-        F.count(F.lit(1)).alias("matched"), F.count_if(high).alias("high"), *[F.first(F.col(f"q.{a}")).alias(f"q_{a}") for a in filters], *[F.first(F.col(f"c.{x}")).alias(f"c_{x}") for x in cols],
-    )
-    score = F.col("matched") + 0.4 * F.col("high")
+    c = chunks.select("chunk_key", "chunk_index", F.explode(F.array_distinct(terms(F.col("text"), SEARCH_STOPWORDS))).alias("term"))
+    c = c.join(q.select("term").distinct(), "term", "left_semi")
+    base = F.count(F.lit(1)) + 0.4 * F.count_if(F.col("term").isin(*HIGH_VALUE_TERMS))
+    got = q.join(c, "term").groupBy("query_id", "chunk_key", "chunk_index").agg(F.count(F.lit(1)).alias("matched"), base.cast("double").alias("base"))
+    # Only candidates that the bonuses can still lift among the first k go on to the joins for them.
+    most = sum(max(0.0, bonus) for _, bonus in filters.values()) + (0.6 if "page_type" in cols else 0.0)
+    kth = F.nth_value("base", k).over(W.partitionBy("query_id").orderBy(F.col("base").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    got = got.where(F.col("base") + most + 1e-6 >= min_score).withColumn("kth", kth).where(F.col("kth").isNull() | (F.col("base") + most + 1e-6 >= F.col("kth")))
+    if filters:
+        got = got.join(queries.select("query_id", *[F.col(a).alias(f"q_{a}") for a in filters]), "query_id")
+    if cols:
+        got = got.join(chunks.select("chunk_key", "chunk_index", *[F.col(x).alias(f"c_{x}") for x in cols]), ["chunk_key", "chunk_index"])
+    score = F.col("base")
     for a, (b, bonus) in filters.items():
         score = score + F.when(F.lower(f"q_{a}") == F.lower(f"c_{b}"), bonus).otherwise(0.0)
     if "page_type" in cols:
         score = score + F.when(F.col("c_page_type") == "faq_cleaned", 0.6).when(F.col("c_page_type") == "faq", 0.3).otherwise(0.0)
-    got = got.withColumn("score", F.round(score.cast("double"), 6)).where(F.col("score") >= min_score)
+    got = got.withColumn("score", F.round(score, 6)).where(F.col("score") >= min_score)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_index", "chunk_key")
     return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_key", "chunk_index", "score", "matched")
 
 
 def sparse_index(chunks: DataFrame, keys: list[str], text: str = "text", max_terms: int = 80) -> DataFrame:
-    """(keys, term, tf) of the ``max_terms`` commonest terms of each chunk; equal counts by first place."""
+    """(keys, term, tf, r, norm) of the ``max_terms`` commonest terms of each chunk; equal counts by first place; norm is the
+    length of the chunk's vector, got in the same pass."""
     t = F.posexplode(terms(F.col(text), INDEX_STOPWORDS, digits=False)).alias("pos", "term")
     tf = chunks.select(*keys, t).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
     w = W.partitionBy(*keys).orderBy(F.col("tf").desc(), "pos")
-    return tf.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_terms).select(*keys, "term", "tf", "r")
+    few = tf.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_terms)
+    return few.select(*keys, "term", "tf", "r", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy(*keys))).alias("norm"))
 
 
 def sparse_vectors(index: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,12 +78,10 @@ def sparse_vectors(index: DataFrame, keys: list[str]) -> DataFrame:
 def cosine_topk(query_index: DataFrame, index: DataFrame, query_key: str, keys: list[str], k: int = 5) -> DataFrame:
     """(query, rank, keys, score): k chunks of the largest cosine over shared terms, score above 0, rounded to 6 places; ties
     by keys. Terms are joined on their hash partitions; common terms are the skew that adaptive execution splits."""
-    norm = lambda df, by, name: df.groupBy(*by).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias(name))
-    q = query_index.select(query_key, "term", F.col("tf").alias("tq"))
-    c = index.select(*keys, "term", F.col("tf").alias("tc"))
-    dot = q.join(c, "term").groupBy(query_key, *keys).agg(F.sum(F.col("tq") * F.col("tc")).alias("dot"))
-    nq, nc = norm(query_index, [query_key], "nq"), norm(index, keys, "nc")
-    got = dot.join(nq, query_key).join(nc, keys).withColumn("score", F.round(F.col("dot") / (F.col("nq") * F.col("nc")), 6)).where("score > 0")
+    q = query_index.select(query_key, "term", F.col("tf").alias("tq"), F.col("norm").alias("nq"))
+    c = index.select(*keys, "term", F.col("tf").alias("tc"), F.col("norm").alias("nc"))
+    dot = q.join(c, "term").groupBy(query_key, *keys).agg(F.sum(F.col("tq") * F.col("tc")).alias("dot"), F.max("nq").alias("nq"), F.max("nc").alias("nc"))
+    got = dot.withColumn("score", F.round(F.col("dot") / (F.col("nq") * F.col("nc")), 6)).where("score > 0")
     w = W.partitionBy(query_key).orderBy(F.col("score").desc(), *keys)
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_key, "rank", *keys, "score")
 
@@ -87,7 +94,8 @@ def term_slot(term: Column, dimensions: int) -> Column:
 def hash_embed(docs: DataFrame, keys: list[str], text: str = "text", dimensions: int = 64) -> DataFrame:
     """(keys, slot, weight): hashed word counts, L2-normalised, in coordinate form."""
     t = docs.select(*keys, F.explode(terms(F.col(text), INDEX_STOPWORDS, digits=False)).alias("term"))
-    n = t.groupBy(*keys, term_slot(F.col("term"), dimensions).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    each = t.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    n = each.groupBy(*keys, term_slot(F.col("term"), dimensions).alias("slot")).agg(F.sum("n").alias("n"))
     size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(*keys)))
     return n.select(*keys, "slot", (F.col("n") / size).alias("weight"))
 

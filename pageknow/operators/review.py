@@ -53,11 +53,16 @@ def decision_rows(queue_: DataFrame, existing: DataFrame, key: str, pending_only
     return j.select(key, "review_priority", "review_reason", old("reviewer_decision").alias("reviewer_decision"), *[F.coalesce(F.nullif(old(d), F.lit("")), text_or_empty(F.col(t))).alias(d) for t, d in REVIEWED.items()], old("reviewer_notes").alias("reviewer_notes"), old("reviewed_at").alias("reviewed_at"))
 
 
-def apply_decisions(enriched: DataFrame, queue_: DataFrame, decisions: DataFrame, key: str, as_of: str = "") -> DataFrame:
+def apply_decisions(enriched: DataFrame, queue_: DataFrame | None, decisions: DataFrame, key: str, as_of: str = "", always: tuple[str, ...] = ()) -> DataFrame:
     """The reviewed table. Approved rows take the edits, rejected and undecided ones lose their evidence, rows that need no
-    review stay. An unknown decision raises when the row is read."""
-    q = queue_.select(key, F.col("review_priority").alias("__p"), F.col("review_reason").alias("__r"))
-    j = enriched.join(q, key, "left").join(_last(decisions, key), key, "left")
+    review stay. An unknown decision raises when the row is read. Without a queue each row is assessed where it is (see
+    ``queue``), so the enriched table is read once."""
+    if queue_ is None:
+        p, r, _ = assess(always)
+        j = enriched.withColumns({"__p": F.nullif(p, F.lit("none")), "__r": r}).withColumn("__r", F.when(F.col("__p").isNotNull(), F.col("__r")))
+    else:
+        j = enriched.join(queue_.select(key, F.col("review_priority").alias("__p"), F.col("review_reason").alias("__r")), key, "left")
+    j = j.join(_last(decisions, key), key, "left")
     given = F.lower(F.trim(text_or_empty(F.col("d.reviewer_decision"))))
     checked = F.when(given.isin(*DECISIONS), given).otherwise(F.raise_error(F.concat(F.lit("invalid reviewer_decision: "), given)))
     j = j.withColumns({"review_priority": text_or_empty(F.col("__p")), "review_reason": text_or_empty(F.col("__r")), "review_decision": checked, "review_notes": F.trim(text_or_empty(F.col("d.reviewer_notes")))})

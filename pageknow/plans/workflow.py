@@ -84,7 +84,7 @@ def review_init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = R.apply_decisions(_enriched(spark, sf_dir), _queue(spark, sf_dir), _decisions(spark, sf_dir), "task_key", "2026-01-01")
+    r = R.apply_decisions(_enriched(spark, sf_dir), None, _decisions(spark, sf_dir), "task_key", "2026-01-01", always=("pay_deposit", "submit_conditions"))
     return r.select("task_key", "human_review_status", "review_decision", "official_deadline_evidence", "official_action_evidence", "usable_evidence_count", "evidence_quality_status", "reviewed_at")
 
 
