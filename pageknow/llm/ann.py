@@ -5,7 +5,7 @@ queries. Balanced k-means (fitted on a bounded sample) gives the centroids; ever
 centroid and, near a border, to further lists too. A query walks a graph of the centroids held in memory, from near to
 farther ones, and takes the lists whose distance is within a ratio of the nearest. The ratio is calibrated: for a bounded
 sample of queries the true neighbours are found by comparing with all rows, and the ratio is set so that the lists taken
-hold the wanted share of them. Lists are scored in groups and blocks of bounded size.
+hold the wanted share of them. Each list is scored for its own queries in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -34,8 +34,7 @@ class Params:
     probe_sample: int = 128  # queries the ratio is calibrated on
     recall: float = 0.98  # share of their true neighbours in the lists taken
     degree: int = 16  # neighbours of a centroid in the graph
-    groups: int = 16
-    block: int = 32_768  # rows of a group compared at once
+    block: int = 32_768  # rows of a list compared at once
     query_block: int = 2_048
 
 
@@ -172,16 +171,22 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     """(query_id, rank, vec_id, score): of each query row the k rows found with the largest inner product, its own left out.
 
     ``is_query``: a condition on the column vec_id. Null, empty, zero and non-finite vectors and rows without vec_id take no
-    part. A repeated vec_id counts once, with the smallest of its vectors; vectors of another length than the commonest take
-    no part. Ties go to the smaller vec_id. Fewer candidates than k give fewer rows; an empty table gives an empty result.
+    part. A repeated vec_id counts once, with the smallest of its vectors; queries meet the vectors of their own length. Ties
+    go to the smaller vec_id. Fewer candidates than k give fewer rows; an empty table gives an empty result.
     """
     rows = vectors.select(vectors[vec_id].cast("long").alias("id"), vectors[vector].cast("array<double>").alias("v")).where(valid(F.col("v")) & F.col("id").isNotNull())
     rows = materialize(rows.groupBy("id").agg(F.min("v").alias("v")), "ann-rows")
-    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "dim").first()
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if dims is None:
-        return empty
-    rows, n = rows.where(F.size("v") == dims.dim), dims.n
+    found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for r in rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():  # one row a length
+        found = found.unionAll(_found(rows.where(F.size("v") == r.dim), r.n, is_query, p))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a row of several lists is found in each
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(rows: DataFrame, n: int, is_query: Column, p: Params) -> DataFrame:
+    """(query_id, vec_id, score) of the best rows of each list that a query takes. A list meets its own queries only, both in
+    blocks of bounded size."""
     top = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     s = sample(rows, "id", p.sample_rows)
     c = balanced_kmeans(np.column_stack([s, np.sqrt(np.maximum(0, top * top - (s * s).sum(1)))]), max(1, min(p.max_lists, round(n**0.5 / 2))))
@@ -190,23 +195,16 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     graph = centroid_graph(c, p.degree)
     ratio = _calibrate(placed, asked, c, p)
     if ratio is None:
-        return empty
+        return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     probes = materialize(fill_partitions(asked).mapInArrow(lambda it: _probes(c, graph, ratio, it), "id long, v array<double>, lists array<int>"), "ann-probes")
-
-    groups = F.array_distinct(F.transform("lists", lambda x: F.pmod(x, F.lit(p.groups))))
-    in_group = F.filter("lists", lambda x: F.pmod(x, F.lit(p.groups)) == F.col("g"))
-    member = placed.select("id", "v", "lists", F.explode(groups).alias("g")).select("id", "v", "g", in_group.alias("lists"))
-    ask = probes.select("id", "v", "lists", F.explode(groups).alias("g")).select("id", "v", "g", in_group.alias("lists"))
-    size = materialize(member.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / p.block)).cast("int").alias("vb")), "ann-blocks")  # one row a group
-    n_q = max(1, -(-asked.count() // p.query_block))
+    member, ask = (x.select("id", "v", F.explode("lists").alias("l")) for x in (placed, probes))
+    blocks = lambda x, size, name: x.groupBy("l").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    size = materialize(blocks(member, p.block, "vb").join(blocks(ask, p.query_block, "qb"), "l"), "ann-blocks")  # one row a list
     h = F.xxhash64("id")
-    right = member.join(F.broadcast(size), "g").select("g", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.pmod(h, "vb").cast("int").alias("b"), F.lit(False).alias("query"), "id", "v", "lists")
-    left = ask.join(F.broadcast(size), "g").select("g", F.pmod(h, F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("b"), F.lit(True).alias("query"), "id", "v", "lists")
+    right = member.join(F.broadcast(size), "l").select("l", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.pmod(h, "vb").cast("int").alias("b"), F.lit(False).alias("query"), "id", "v", F.array("l").alias("lists"))
+    left = ask.join(F.broadcast(size), "l").select("l", F.pmod(h, "qb").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("b"), F.lit(True).alias("query"), "id", "v", F.array("l").alias("lists"))
     k = p.k
-    found = left.unionAll(right).groupBy("g", "qb", "b").applyInArrow(lambda t: _search(k, t), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a row of several groups is found in each
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.unionAll(right).groupBy("l", "q", "b").applyInArrow(lambda t: _search(k, t), "query_id long, vec_id long, score double")
 
 
 def _calibrate(placed: DataFrame, asked: DataFrame, c: np.ndarray, p: Params) -> float | None:

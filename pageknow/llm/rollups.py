@@ -1,18 +1,22 @@
 """Token counts as delta-maintained rollups.
 
 Changes of documents (inserts, deletes, revised counts) become signed rows, are summed by source, language and tokenizer
-version, and are written as the delta of one batch. A batch is committed by a marker written after its delta; a batch that
-is written again replaces its own delta, so a replay or a retry after a failure changes nothing. Totals are the sum of
-committed deltas; compaction folds them into one.
+version, and are written as the delta of one batch, each attempt into a folder of its own. A batch is committed by a
+marker that names the attempt, written after its delta. A batch that is committed is never written again, and an attempt
+that no marker names counts for nothing, so a replay, a retry or a crash at any point changes nothing and readers never see
+half a batch. Totals are the sum of committed deltas; compaction folds them into one.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
+MARKER = "batch long, attempt string"
 
 
 def signed(inserted: DataFrame | None = None, deleted: DataFrame | None = None, revised: DataFrame | None = None) -> DataFrame:
@@ -28,19 +32,31 @@ def signed(inserted: DataFrame | None = None, deleted: DataFrame | None = None,
     return out
 
 
+def _markers(spark: SparkSession, root: str) -> DataFrame:
+    """(batch, attempt) of what is committed; of a batch with several markers the smallest attempt. One row a batch."""
+    spark.createDataFrame([], MARKER).write.mode("ignore").parquet(f"{root}/commits")  # the folder may not be there yet
+    return spark.read.schema(MARKER).parquet(f"{root}/commits").groupBy("batch").agg(F.min("attempt").alias("attempt"))
+
+
 def commit(changes: DataFrame, root: str, batch: int) -> None:
-    """Write the batch's delta, then its marker. Safe to repeat; usable in ``foreachBatch`` with the batch's number."""
-    delta = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-    delta.write.mode("overwrite").parquet(f"{root}/deltas/batch={int(batch)}")
+    """Write the batch's delta, then its marker; does nothing for a batch that is committed. Columns other than those of
+    ``signed`` are ignored; a batch without rows is committed as well. Usable in ``foreachBatch`` with the batch's number."""
     spark = changes.sparkSession
-    spark.range(1).select(F.lit(int(batch)).cast("long").alias("committed")).write.mode("overwrite").parquet(f"{root}/commits/batch={int(batch)}")
+    if not _markers(spark, root).where(F.col("batch") == int(batch)).isEmpty():
+        return
+    attempt = uuid.uuid4().hex
+    delta = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    delta.write.parquet(f"{root}/deltas/batch={int(batch)}/attempt={attempt}")
+    spark.createDataFrame([(int(batch), attempt)], MARKER).coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
 
 def totals(spark: SparkSession, root: str) -> DataFrame:
     """(source, lang, tokenizer, docs, tokens) over the committed batches; keys whose documents are all gone have no row."""
-    deltas = spark.read.schema(DELTA + ", batch long").option("basePath", f"{root}/deltas").parquet(f"{root}/deltas")
-    done = spark.read.schema("committed long").parquet(f"{root}/commits").select(F.col("committed").alias("batch")).distinct()
-    sums = deltas.join(F.broadcast(done), "batch", "left_semi").groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    done = _markers(spark, root)
+    if done.isEmpty():
+        return spark.createDataFrame([], DELTA)
+    deltas = spark.read.schema(DELTA + ", batch long, attempt string").option("basePath", f"{root}/deltas").parquet(f"{root}/deltas")
+    sums = deltas.join(done, ["batch", "attempt"], "left_semi").groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     return sums.where("docs <> 0 OR tokens <> 0")
 
 

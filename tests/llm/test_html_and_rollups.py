@@ -54,11 +54,15 @@ def test_rollups_sql(spark):
 
 def test_rollups_idempotent(spark):
     root = scratch_path(spark, "t")
+    assert totals(spark, root).count() == 0
     rows = spark.createDataFrame([("s", "en", "1", 5, 9), (None, None, "1", None, 9), ("s", "en", "1", 2, 9)], "source string, lang string, tokenizer string, tokens int, docs int")
+    commit(signed(inserted=rows).withColumn("batch", F.lit(5)), root, 1)
     commit(signed(inserted=rows), root, 1)
-    commit(signed(inserted=rows), root, 1)
     assert sorted(map(tuple, totals(spark, root).collect()), key=str) == sorted([("s", "en", "1", 2, 7), (None, None, "1", 1, 0)], key=str)
-    signed(inserted=rows).withColumn("docs", F.col("docs") * 100).write.parquet(f"{root}/deltas/batch=7")  # written, never committed
+    signed(inserted=rows).withColumn("docs", F.col("docs") * 100).write.parquet(f"{root}/deltas/batch=7/attempt=x")  # written, never committed
+    signed(inserted=rows).write.parquet(f"{root}/deltas/batch=1/attempt=x")  # an attempt of a batch that another one committed
+    commit(signed(inserted=rows.unionAll(rows)), root, 1)  # other rows under the number of a committed batch
+    assert sorted(map(tuple, totals(spark, root).collect()), key=str) == sorted([("s", "en", "1", 2, 7), (None, None, "1", 1, 0)], key=str)
     rev = rows.limit(1).withColumns({"old_source": F.lit("s"), "old_lang": F.lit("en"), "old_tokenizer": F.lit("1"), "old_tokens": F.lit(5), "tokenizer": F.lit("2")})
     commit(signed(revised=rev), root, 2)
     commit(signed(deleted=rows.where("source IS NULL")), root, 3)

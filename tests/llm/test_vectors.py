@@ -100,7 +100,7 @@ def test_recall_with_lists_pruned(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4000, 8)) * rng.uniform(0.5, 2, size=(4000, 1))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    p = ann.Params(k=10, groups=4, block=700, query_block=30)
+    p = ann.Params(k=10, block=70, query_block=5)
     got = {}
     for r in ann.search(df, F.col("vec_id") % 50 == 0, p=p).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
@@ -119,3 +119,11 @@ def test_search_edges(spark):
     assert got == [(20, 1, 2, 1.0), (20, 2, 3, 1.0), (20, 3, 40, 0.5), (40, 1, 2, 0.5), (40, 2, 3, 0.5), (40, 3, 20, 0.5)]
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.search(df, F.col("vec_id") % 1000 == 999).count() == 0
+
+
+def test_search_by_length(spark):
+    """Queries meet the vectors of their own length, whichever is the commoner."""
+    rows = [(20, [1.0, 0.0]), (1, [0.9, 0.1]), (40, [1.0, 2.0, 3.0]), (2, [3.0, 0.0, 0.0]), (3, [0.0, 0.0, 1.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0).collect()))
+    assert got == [(20, 1, 1, 0.9), (40, 1, 3, 4.5), (40, 2, 2, 3.0)]
