@@ -36,8 +36,8 @@ def _digests(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def counts(s: np.ndarray) -> bytes:
-    """Elements in each part of the domain, modulo 256; a power of two of parts, about one for two elements."""
-    bits = min(14, max(6, int(len(s) // 2).bit_length()))
+    """Elements in each part of the domain, modulo 256; a power of two of parts, about one for five elements."""
+    bits = min(14, max(5, int(len(s) // 5).bit_length()))
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
 
 
@@ -122,14 +122,15 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     def signed(some: DataFrame) -> DataFrame:
         return fill_partitions(some).mapInArrow(lambda it: sign_batches(PartEnum(num, den), k, it), "sig long, id long")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame, once: bool = True) -> DataFrame:
         reps = materialize(classes.join(ids, classes["d1"] == ids["id"]).select(F.col("rep").alias("doc_id"), "id"), "ngram-needed")
         n = reps.agg(F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("all")).first()
         texts = checked_semi(docs, reps.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", n.known)
         if n.known < n.all:  # classes of rows without a doc_id
             texts = texts.unionByName(docs.where("doc_id IS NULL"))
         sets = texts.mapInArrow(lambda it: _sets(k, it), "id long, elements binary")
-        return materialize(sets.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"]), "ngram-sets")
+        sets = sets.join(reps.select("id"), "id", "left_semi")
+        return materialize(sets.dropDuplicates(["id"]), "ngram-sets") if once else sets
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "ngram-candidates")

@@ -24,15 +24,16 @@ from pageknow.llm.common import BROADCAST_ROWS, materialize, slices
 from pageknow.llm.graph import connected_components
 
 BLOCK = 512
-#: An open bucket with at most so many pairs across components has them verified one by one.
-FEW = 1_000
+#: An open bucket with at most so many pairs across components has them verified one by one, before and after its members
+#: are signed anew.
+FEW = (200, 1_000)
 #: Cells of the matrices that a task holds.
 CELLS = 20_000_000
 #: One document of so many is signed beforehand to find the hot signatures, those that hold at least HOT rows of it.
 SAMPLE = 64
 HOT = 64
 #: At most so many signatures are hot.
-MOST_HOT = 100_000
+MOST_HOT = 50_000
 #: Rows of a hot signature are dealt into so many cells.
 SALTS = 64
 
@@ -139,7 +140,7 @@ def common_elements(rows: DataFrame, sets: DataFrame) -> np.ndarray:
     weight = rows.groupBy(F.col("hub").alias("id")).agg(F.count(F.lit(1)).alias("weight"))
     e = sets.join(weight, "id").mapInArrow(_explode, "element long, weight long")
     e = e.groupBy("element").agg(F.sum("weight").alias("weight")).orderBy(F.col("weight").desc(), "element").limit(MOST_HOT)
-    return np.array([r.element for r in e.collect()][::-1], dtype=np.int64).view(np.uint64)
+    return e.select("element").toArrow().column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def first_elements(s: np.ndarray, last: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -163,11 +164,11 @@ def _sign_first(late: np.ndarray, num: int, den: int, batches: Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), b.column("id").take(pa.array(at))], ["sig", "id"])
 
 
-def link_buckets(signed: DataFrame, sample: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def link_buckets(signed: DataFrame, sample: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[..., DataFrame], num: int, den: int) -> DataFrame:
     """Links (a, b) that hold all connections between similar ids.
 
     ``signed``: (sig, id), ``sample``: the same of a sample. ``verify``: candidate pairs (a < b, distinct) to those that
-    link. ``sets_of``: distinct (id) to (id, elements).
+    link. ``sets_of``: distinct (id) to (id, elements), written; with ``once=False`` not written, and ids may repeat.
     """
     def check(rows_: DataFrame) -> DataFrame:
         return materialize(verify(rows_.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), "links")
@@ -180,21 +181,21 @@ def link_buckets(signed: DataFrame, sample: DataFrame, verify: Callable[[DataFra
         some = mates.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across")).where("lo <> hi")
         return materialize(named.join(some.select("sig", "across"), "sig").select("sig", "id", "hub", "c", "across"), "open")
 
-    def settle(rows_: DataFrame, links_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def settle(rows_: DataFrame, links_: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
         """Links so far and the rows of the buckets that are open with too many pairs."""
         links_ = links_.unionAll(check(rows_))
         rows_ = open_rows(rows_, links_)
-        links_ = links_.unionAll(materialize(verify(_across(rows_.where(F.col("across") <= FEW)).distinct()), "links"))
-        return rows_.where(F.col("across") > FEW).select("sig", "id", "hub"), links_
+        links_ = links_.unionAll(materialize(verify(_across(rows_.where(F.col("across") <= few)).distinct()), "links"))
+        return rows_.where(F.col("across") > few).select("sig", "id", "hub"), links_
 
     none = signed.sparkSession.createDataFrame([], "a long, b long")
-    rows, links = settle(materialize(shared(signed, sample), "shared"), none)
+    rows, links = settle(materialize(shared(signed, sample), "shared"), none, FEW[0])
     if rows.isEmpty():
         return links
-    sets = sets_of(rows.select("id").distinct())
-    late = common_elements(rows, sets)
+    late = common_elements(rows, sets_of(rows.select(F.col("hub").alias("id")).distinct()))
+    sets = sets_of(rows.select("id").distinct(), once=False)
     again = materialize(sets.mapInArrow(lambda it: _sign_first(late, num, den, it), "sig long, id long"), "signed-again")
-    rows, links = settle(materialize(shared(again), "shared"), links)
+    rows, links = settle(materialize(shared(again), "shared"), links, FEW[1])
     if rows.isEmpty():
         return links
     clumps = connected_components(rows.where("id <> hub").select("hub", "id").distinct(), "hub", "id").withColumnRenamed("component", "clump")

@@ -46,7 +46,7 @@ class Params:
     mined_terms: int = 64  # terms to swap that are found in the data, at most
     mined_rows: int = 20  # rows of the sample that hold such a term, at least
     mined_share: float = 0.3  # of them less than this share is toxic
-    max_swaps: int = 20_000  # different changes of features by swaps that are penalised, the most frequent ones
+    max_swaps: int = 5_000  # different changes of features by swaps that are penalised, the most frequent ones
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -90,16 +90,18 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(f), pa.array([y] * len(f), pa.int32())], ["feature", "y"])
 
 
-def _present(chosen: set[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _present(index: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        fs = [sorted(text_features(t) & chosen) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(fs, pa.list_(pa.string()))], ["y", "f"])
+        fs = [sorted(index[f] for f in text_features(t) & index.keys()) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(fs, pa.list_(pa.int32()))], ["y", "f"])
 
 
-def _swapped(chosen: set[str], others: dict[str, tuple[str, ...]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _swapped(index: dict[str, int], others: dict[str, tuple[str, ...]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = lambda fs: sorted(index[f] for f in fs & index.keys())
     for b in slices(batches, rows=64):
-        pairs = [(sorted(a & chosen), sorted(c & chosen)) for t in b.column("text").to_pylist() for a, c in counterfactual_pairs(t, others) if (a | c) & chosen]
-        kind = pa.list_(pa.string())
+        pairs = [(at(a), at(c)) for t in b.column("text").to_pylist() for a, c in counterfactual_pairs(t, others)]
+        pairs = [(a, c) for a, c in pairs if a or c]
+        kind = pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], kind), pa.array([c for _, c in pairs], kind)], ["lost", "gained"])
 
 
@@ -130,20 +132,22 @@ def train(labelled: DataFrame, p: Params = Params()) -> Model:
     prior = float(np.log(pos / neg))
     if not index:
         return Model({}, prior)
-    chosen, others = set(index), mined_swaps(counts, p) | swaps_of(p.groups)
-    got = rows.mapInArrow(lambda it: _present(chosen, it), "y int, f array<string>").toArrow()
-    i, j = _coordinates(got.column("f").to_pylist(), index)
-    swaps = rows.mapInArrow(lambda it: _swapped(chosen, others, it), "lost array<string>, gained array<string>").groupBy("lost", "gained").agg(F.count(F.lit(1)).alias("n"))
-    swaps = swaps.orderBy(F.col("n").desc(), "lost", "gained").limit(p.max_swaps).collect()
-    lost, gained = _coordinates([r.lost for r in swaps], index), _coordinates([r.gained for r in swaps], index)
-    often = np.array([r.n for r in swaps], dtype=float)
+    others = mined_swaps(counts, p) | swaps_of(p.groups)
+    got = rows.mapInArrow(lambda it: _present(index, it), "y int, f array<int>").toArrow()
+    i, j = _coordinates(got.column("f"))
+    swaps = rows.mapInArrow(lambda it: _swapped(index, others, it), "lost array<int>, gained array<int>").groupBy("lost", "gained").agg(F.count(F.lit(1)).alias("n"))
+    swaps = swaps.orderBy(F.col("n").desc(), "lost", "gained").limit(p.max_swaps).toArrow()
+    lost, gained = _coordinates(swaps.column("lost")), _coordinates(swaps.column("gained"))
+    often = swaps.column("n").to_numpy().astype(float)
     w, b = fit(i, j, got.column("y").to_numpy().astype(float), len(index), prior, lost, gained, often, p)
     return Model({k: float(w[n]) for k, n in index.items() if abs(w[n]) > 1e-4}, float(b), int(often.sum()))
 
 
-def _coordinates(rows: list[list[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    at = [(r, index[x]) for r, fs in enumerate(rows) for x in fs]
-    return (np.array([a for a, _ in at], dtype=int), np.array([b for _, b in at], dtype=int))
+def _coordinates(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, features) of the lists of features of some rows."""
+    each = rows.combine_chunks()
+    n = np.diff(each.offsets.to_numpy())
+    return np.repeat(np.arange(len(n)), n), each.flatten().to_numpy().astype(np.int64)
 
 
 def fit(i: np.ndarray, j: np.ndarray, y: np.ndarray, width: int, prior: float, lost: tuple, gained: tuple, often: np.ndarray, p: Params) -> tuple[np.ndarray, float]:

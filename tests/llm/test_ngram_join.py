@@ -114,7 +114,7 @@ def test_rows_without_ids_and_ids_with_two_texts(spark):
 def test_against_brute_force(spark, monkeypatch, small):
     """Also with bounds so small that hot signatures, hubs and blocks of open buckets all occur."""
     monkeypatch.setattr(simjoin, "BLOCK", 7)
-    monkeypatch.setattr(simjoin, "FEW", 3 if small else 10)
+    monkeypatch.setattr(simjoin, "FEW", (3, 3) if small else (10, 10))
     if small:
         monkeypatch.setattr(simjoin, "HOT", 2)
         monkeypatch.setattr(ngram_join, "SAMPLE", 2)
