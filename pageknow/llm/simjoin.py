@@ -4,9 +4,9 @@ Members that share a signature are candidates. Each is first verified against th
 Components are then formed, and a bucket whose members all fell into one component is done. An open bucket with a bounded
 number of pairs across components has those verified. The members of larger open buckets are signed anew, once each, by
 their first elements: sets of similarity t share an element among the first ``(1 - t) * size + 1`` of either, in any order
-that is the same for all. In the order used here the elements of the open buckets' smallest members come last, those of
-the most rows at the very end, so sets that only have a passage or a template in common no longer meet. What is open after
-that is compared in blocks of bounded size: a task counts the common elements of two blocks by a matrix product over the elements that occur
+that is the same for all. In the order used here the elements that many of these sets hold come last, the commonest at the
+very end, so sets that only have a passage or a template in common no longer meet. What is open after that is compared in
+blocks of bounded size: a task counts the common elements of two blocks by a matrix product over the elements that occur
 twice, and returns a spanning set of the links.
 """
 
@@ -34,6 +34,8 @@ SAMPLE = 64
 HOT = 64
 #: At most so many signatures are hot.
 MOST_HOT = 50_000
+#: Elements that are put last when sets are signed anew, at most.
+LATE = 200_000
 #: Rows of a hot signature are dealt into so many cells.
 SALTS = 64
 
@@ -127,20 +129,20 @@ def _across(rows: DataFrame) -> DataFrame:
     return x.join(y, "sig").where("ci < cj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(element, n) of the elements that several sets of a batch hold."""
     for b in slices(batches):
-        sets = [np.frombuffer(e, np.int64) for e in b.column("elements").to_pylist()]
-        at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), b.column("weight").take(pa.array(at))], ["element", "weight"])
+        if b.num_rows:
+            e, n = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in b.column("elements").to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(e[n > 1]), pa.array(n[n > 1])], ["element", "n"])
 
 
-def common_elements(rows: DataFrame, sets: DataFrame) -> np.ndarray:
-    """Elements of the smallest members of buckets (sig, id, hub), the rarest first, by the rows of their buckets. At most
-    MOST_HOT of them reach the driver, those of the most rows; which these are has no effect on any result."""
-    weight = rows.groupBy(F.col("hub").alias("id")).agg(F.count(F.lit(1)).alias("weight"))
-    e = sets.join(weight, "id").mapInArrow(_explode, "element long, weight long")
-    e = e.groupBy("element").agg(F.sum("weight").alias("weight")).orderBy(F.col("weight").desc(), "element").limit(MOST_HOT)
-    return e.select("element").toArrow().column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
+def common_elements(sets: DataFrame) -> np.ndarray:
+    """The elements that most sets (id, elements) hold, the rarer first. At most LATE of them reach the driver, and only what
+    repeats within a batch is counted: which ones these are decides what the work costs, not what it results in."""
+    e = sets.mapInArrow(_frequent, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+    e = e.orderBy(F.col("n").desc(), "element").limit(LATE).select("element")
+    return e.toArrow().column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def first_elements(s: np.ndarray, last: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -192,8 +194,8 @@ def link_buckets(signed: DataFrame, sample: DataFrame, verify: Callable[[DataFra
     rows, links = settle(materialize(shared(signed, sample), "shared"), none, FEW[0])
     if rows.isEmpty():
         return links
-    late = common_elements(rows, sets_of(rows.select(F.col("hub").alias("id")).distinct()))
-    sets = sets_of(rows.select("id").distinct(), once=False)
+    sets = sets_of(materialize(rows.select("id").distinct(), "open-ids"), once=False)
+    late = common_elements(sets)
     again = materialize(sets.mapInArrow(lambda it: _sign_first(late, num, den, it), "sig long, id long"), "signed-again")
     rows, links = settle(materialize(shared(again), "shared"), links, FEW[1])
     if rows.isEmpty():
