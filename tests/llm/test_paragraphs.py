@@ -40,7 +40,7 @@ def test_every_passage_of_fifty_words_shares_a_window():
 
 def test_planted_repeats(spark, monkeypatch):
     monkeypatch.setattr(simjoin, "BLOCK", 6)
-    monkeypatch.setattr(simjoin, "FEW", 5)
+    monkeypatch.setattr(simjoin, "FEW", (5, 5))
     rng = random.Random(9)
     passage, para = prose(rng, 60), prose(rng, 120)
     texts = {}
