@@ -129,3 +129,23 @@ def test_edges(spark):
     assert by[None][0].text == line and by[3][0].text == "" and [r.text for r in by[2]] == [line, line]
     assert by[5][0].text is None and by[6][0].text == "" and by[8][0].text == "" and len(by[7]) == 1
     assert dedup_paragraphs(df.limit(0)).count() == 0
+
+
+def fifty_word_runs(texts):
+    """Runs of 50 words that several documents hold, with these documents."""
+    held = {}
+    for doc, text in texts.items():
+        w = (text or "").lower().encode().split()
+        for k in range(len(w) - 49):
+            held.setdefault(tuple(w[k : k + 50]), set()).add(doc)
+    return {run: docs for run, docs in held.items() if len(docs) > 1}
+
+
+def test_no_run_of_fifty_words_is_left_in_two_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    out = dedup_paragraphs(df).select("doc_id", "text", "n_removed").collect()
+    later = {doc for docs in fifty_word_runs(before).values() for doc in docs - {min(docs)}}
+    assert later and later <= {r.doc_id for r in out if r.n_removed}
+    assert fifty_word_runs({r.doc_id: r.text for r in out}) == {}
+    assert all(r.text == before[r.doc_id] for r in out if not r.n_removed)
