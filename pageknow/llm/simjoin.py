@@ -32,6 +32,8 @@ CELLS = 20_000_000
 #: One document of so many is signed beforehand to find the hot signatures, those that hold at least HOT rows of it.
 SAMPLE = 64
 HOT = 64
+#: The same for the members of open buckets, of which one in so many is signed anew beforehand.
+SAMPLE_AGAIN, HOT_AGAIN = 8, 16
 #: At most so many signatures are hot.
 MOST_HOT = 50_000
 #: Elements that are put last when sets are signed anew, at most.
@@ -40,23 +42,23 @@ LATE = 200_000
 SALTS = 64
 
 
-def hot_signatures(sample: DataFrame) -> DataFrame:
-    """(sig): those with very many rows, judged by the signed rows of a sample; the more rows, the more a hot one has."""
-    n = sample.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
+def hot_signatures(sample: DataFrame, least: int) -> DataFrame:
+    """(sig): those with at least ``least`` signed rows in a sample."""
+    n = sample.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return n.orderBy(F.col("n").desc(), "sig").limit(MOST_HOT).select("sig")
 
 
-def shared(signed: DataFrame, sample: DataFrame | None = None) -> DataFrame:
-    """(sig, id, hub): distinct members of signatures that at least two ids share, and the smallest one. A hot signature is
-    dealt into cells, whose smallest members are joined afterwards."""
-    hot = materialize(hot_signatures(signed if sample is None else sample), "hot").withColumn("hot", F.lit(True))
+def shared(signed: DataFrame, sample: DataFrame, least: int) -> DataFrame:
+    """(sig, id, hub, hot): distinct members of signatures that at least two ids share, and the smallest one. A hot signature
+    is dealt into cells, whose smallest members are joined afterwards."""
+    hot = materialize(hot_signatures(sample, least), "hot").withColumn("hot", F.lit(True))
     dealt = signed.join(F.broadcast(hot), "sig", "left").withColumn("cell", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     w = W.partitionBy("sig", "cell")
     some = dealt.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("hot OR lo <> hi")
     some = materialize(some.select("sig", "cell", "id", F.col("lo").alias("hub"), "hot").distinct(), "met")
     split = some.where("hot")
     hubs = split.groupBy("sig").agg(F.min("hub").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("sig", F.col("lo").alias("hub"))
-    return some.where("hot IS NULL").select("sig", "id", "hub").unionAll(split.select("sig", "id").join(F.broadcast(hubs), "sig").select("sig", "id", "hub"))
+    return some.where("hot IS NULL").select("sig", "id", "hub", "hot").unionAll(split.select("sig", "id", "hot").join(F.broadcast(hubs), "sig").select("sig", "id", "hub", "hot"))
 
 
 def spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,25 +181,36 @@ def link_buckets(signed: DataFrame, sample: DataFrame, verify: Callable[[DataFra
         """Rows of the buckets that still hold several components, and the number of pairs across these."""
         comp = materialize(connected_components(links_), "components")
         named = rows_.join(F.broadcast(comp) if comp.count() <= BROADCAST_ROWS else comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        mates = named.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
-        some = mates.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across")).where("lo <> hi")
-        return materialize(named.join(some.select("sig", "across"), "sig").select("sig", "id", "hub", "c", "across"), "open")
+        one, all_ = W.partitionBy("sig", "c"), W.partitionBy("sig")
+        cold = named.where("hot IS NULL").repartition("sig").withColumn("k", F.count(F.lit(1)).over(one))
+        cold = cold.withColumn("across", ((F.count(F.lit(1)).over(all_) * F.count(F.lit(1)).over(all_) - F.sum("k").over(all_)) / 2))
+        split = named.where("hot")
+        mates = split.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k"))
+        mates = mates.groupBy("sig").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across"))
+        kept = ["sig", "id", "hub", "hot", "c", "across"]
+        both = cold.select(*kept).unionAll(split.join(F.broadcast(mates), "sig").select(*kept))
+        return materialize(both.where("across > 0"), "open")
 
     def settle(rows_: DataFrame, links_: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
         """Links so far and the rows of the buckets that are open with too many pairs."""
         links_ = links_.unionAll(check(rows_))
         rows_ = open_rows(rows_, links_)
         links_ = links_.unionAll(materialize(verify(_across(rows_.where(F.col("across") <= few)).distinct()), "links"))
-        return rows_.where(F.col("across") > few).select("sig", "id", "hub"), links_
+        return rows_.where(F.col("across") > few).select("sig", "id", "hub", "hot"), links_
 
     none = signed.sparkSession.createDataFrame([], "a long, b long")
-    rows, links = settle(materialize(shared(signed, sample), "shared"), none, FEW[0])
+    rows, links = settle(shared(signed, sample, HOT), none, FEW[0])
     if rows.isEmpty():
         return links
-    sets = sets_of(materialize(rows.select("id").distinct(), "open-ids"), once=False)
+    ids = materialize(rows.select("id").distinct(), "open-ids")
+    sets = sets_of(ids, once=False)
     late = common_elements(sets)
-    again = materialize(sets.mapInArrow(lambda it: _sign_first(late, num, den, it), "sig long, id long"), "signed-again")
-    rows, links = settle(materialize(shared(again), "shared"), links, FEW[1])
+
+    def again(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(lambda it: _sign_first(late, num, den, it), "sig long, id long")
+
+    some = sets_of(ids.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_AGAIN)) == 0), once=False)
+    rows, links = settle(shared(again(sets), again(some), HOT_AGAIN), links, FEW[1])
     if rows.isEmpty():
         return links
     clumps = connected_components(rows.where("id <> hub").select("hub", "id").distinct(), "hub", "id").withColumnRenamed("component", "clump")
