@@ -14,6 +14,7 @@ the joined sequence lies inside the left side, the window or the right side.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +112,35 @@ def tree_join(path: str, parts: list[tuple[str, list]]) -> list[tuple[int, int,
     return parts[0][1]
 
 
+#: The normalizer under which a word of printable ASCII and U+00C0 to U+00FF is only lower-cased.
+LOWERING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+#: Words of these characters, in UTF-8; without "<" they hold no added token.
+PLAIN_WORD = re.compile(rb"(?:[!-;=-~]|\xc3[\x80-\xbf])+")
+
+
+@lru_cache(maxsize=1)
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: printable ones stand for themselves, the others, in order,
+    are the letters from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+@lru_cache(maxsize=4)
+def _splitter(path: str) -> regex.Pattern | None:
+    """The pattern whose matches in a lower-cased plain word are the pieces that the model encodes, if the tokenizer's file
+    says that they are; else None, and words go through the library whole."""
+    with open(path, encoding="utf-8") as f:
+        conf = json.load(f)
+    steps = (conf.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if conf.get("normalizer") != LOWERING or [x["type"] for x in steps] != ["Split", "ByteLevel"] or any("<" not in t["content"] for t in conf["added_tokens"]):
+        return None
+    split, level = steps
+    plain = split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"] and not level["add_prefix_space"] and not level["use_regex"]
+    return regex.compile(split["pattern"]["Regex"]) if plain else None
+
+
 def _safe_to_halve(word: str) -> bool:
     """Parts of a composed text are composed, so normalization is the same in parts; added tokens are encoded whole."""
     return "<|" not in word and unicodedata.is_normalized("NFC", word)
@@ -122,18 +153,35 @@ class _Memo(dict):
         super().__init__()
         self.path = path
         self.names = _pieces_of(path)
+        self.codes = [i.to_bytes(4, "little") for i in range(len(self.names))]
+        self.splitter, self.model, self.letters = _splitter(path), _tokenizer(path).model, _byte_letters()
+        self.runs: dict[str, tuple[bytes, bytes]] = {}
+
+    def run(self, piece: str) -> tuple[bytes, bytes]:
+        """The same of a piece that the pre-tokenizer leaves whole; words share such pieces."""
+        got = self.runs.get(piece)
+        if got is None:
+            if len(self.runs) > MEMO_WORDS:
+                self.runs.clear()
+            letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            got = self.runs[piece] = self.pack([t.id for t in self.model.tokenize(letters)])
+        return got
 
     def __missing__(self, word: bytes):
         text = word.decode()
         if len(text) > LONG_WORD and _safe_to_halve(text):
             return self.pack([t for t, _, _ in tree_encode(self.path, text)])
-        got = self.pack(_tokenizer(self.path).encode(text, add_special_tokens=False).ids)
+        if self.splitter is not None and len(text) <= 64 and PLAIN_WORD.fullmatch(word):
+            parts = [self.run(x) for x in self.splitter.findall(text.lower())]
+            got = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts]))
+        else:
+            got = self.pack(_tokenizer(self.path).encode(text, add_special_tokens=False).ids)
         if len(text) <= 64:
             self[word] = got
         return got
 
     def pack(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.asarray(ids, dtype="<u4").tobytes(), b" ".join(map(self.names.__getitem__, ids))
+        return b"".join(map(self.codes.__getitem__, ids)), b" ".join(map(self.names.__getitem__, ids))
 
 
 _MEMOS: dict[str, _Memo] = {}

@@ -34,6 +34,17 @@ def test_words_equal_library(text):
     assert dec.decode() == TOK.decode(w, skip_special_tokens=False)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abstrevmdlASTZ'.,!09<|>-ÀÉßçéþÿ×÷½µ²ı ", max_size=60))
+def test_words_of_shared_pieces_equal_library(text):
+    """Words that the piece memo encodes, and neighbours of theirs that go through the library."""
+    assert bpe._splitter(PATH) is not None
+    ids, dec = bpe.encode_words(PATH, text.encode())
+    w = TOK.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, "<u4").tolist() == w
+    assert dec.decode() == TOK.decode(w, skip_special_tokens=False)
+
+
 def test_long_words_and_pieces(spark):
     rng = np.random.default_rng(3)
     run = "".join(rng.choice(list("thequickbrownfox'x!"), 9000))
