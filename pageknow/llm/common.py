@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 500_000
+#: Rows that a Python worker is sent at a time when a table is written; rows may hold whole texts or sets.
+BATCH_ROWS = 1_000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,7 +35,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    usual = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +54,7 @@ def fill_partitions(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches (of ``size`` bytes, if they are not single rows), so that a worker holds few texts
     as Python objects at a time."""
     for b in batches:
