@@ -117,6 +117,8 @@ def test_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(simjoin, "FEW", (3, 3) if small else (10, 10))
     if small:
         monkeypatch.setattr(simjoin, "HOT", 2)
+        monkeypatch.setattr(simjoin, "HOT_AGAIN", 2)
+        monkeypatch.setattr(simjoin, "SAMPLE_AGAIN", 2)
         monkeypatch.setattr(ngram_join, "SAMPLE", 2)
         monkeypatch.setattr(graph, "HUB", 4)
     rng = random.Random(5)
