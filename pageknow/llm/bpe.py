@@ -17,7 +17,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,25 @@ LONG_WORD = 512
 #: Entries of the per-worker memo before it is emptied.
 MEMO_WORDS = 250_000
 
-RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+@dataclass(frozen=True)
+class Outcome:
+    """What a row gets of its text: a function of the ids (little-endian, unsigned 32-bit) and the decoded text, and the name,
+    Spark type and Arrow type of each of its values."""
+
+    of: Callable[[bytes, bytes], tuple]
+    fields: tuple[tuple[str, str, pa.DataType], ...]
+
+    @property
+    def names(self) -> list[str]:
+        return [f[0] for f in self.fields]
+
+    @property
+    def ddl(self) -> str:
+        return ", ".join(f"{name} {kind}" for name, kind, _ in self.fields)
+
+    def columns(self, rows: list[tuple]) -> list[pa.Array]:
+        return [pa.array([r[k] for r in rows], f[2]) for k, f in enumerate(self.fields)]
 
 
 @lru_cache(maxsize=4)
@@ -207,17 +226,14 @@ def _digest(ids: bytes, decoded: bytes) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-_EMPTY = _digest(b"", b"")
+#: The number of tokens and digests of the ids and of the decoded text.
+DIGESTS = Outcome(_digest, (("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())))
 
 
-def _whole(path: str, batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _whole(path: str, batches: Iterator[pa.RecordBatch], keep: list[str], outcome: Outcome) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        rows = [
-            _EMPTY if t is None else _digest(*encode_words(path, t)) for t in batch.column("__text").cast(pa.binary()).to_pylist()
-        ]
-        cols = [batch.column(c) for c in keep]
-        cols += [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-        yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        rows = [outcome.of(*encode_words(path, t or b"")) for t in batch.column("__text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *outcome.columns(rows)], [*keep, *outcome.names])
 
 
 def _encode_pieces(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +254,7 @@ def _encode_pieces(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays(cols, ["__key", "no", "head", "ids", "decoded", "tail", "cut"])
 
 
-def _assemble(path: str, table: pa.Table) -> pa.Table:
+def _assemble(path: str, table: pa.Table, outcome: Outcome) -> pa.Table:
     """Pieces of one text in order: the open ends meet across the cut and are encoded as the one word they are."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("no", "head", "ids", "decoded", "tail", "cut")), strict=True))
     memo, ids, decoded, open_word = _memo(path), [], [], []
@@ -267,25 +283,28 @@ def _assemble(path: str, table: pa.Table) -> pa.Table:
             tokens = np.frombuffer(i, dtype="<i8").reshape(-1, 3).tolist()
             open_word.append((head, [tuple(t) for t in tokens] if tokens else None))
     close()
-    n, a, b = _digest(b"".join(ids), b" ".join(decoded))
-    return pa.table({"__key": [table.column("__key")[0].as_py()], "n_tokens": pa.array([n], pa.int64()), "ids_sha256": [a], "decoded_sha256": [b]})
+    got = outcome.columns([outcome.of(b"".join(ids), b" ".join(decoded))])
+    return pa.table([pa.array([table.column("__key")[0].as_py()]), *got], ["__key", *outcome.names])
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """One row per row of ``docs``: the columns ``keep`` (default: all), n_tokens, ids_sha256, decoded_sha256.
+def encode_documents(
+    docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, piece_chars: int = PIECE_CHARS, outcome: Outcome = DIGESTS
+) -> DataFrame:
+    """One row per row of ``docs``: the columns ``keep`` (default: all), and what ``outcome`` makes of the ids and the decoded
+    text, by default n_tokens, ids_sha256, decoded_sha256.
 
     Nulls: a null text encodes as the empty text (0 tokens, digests of nothing); nulls elsewhere pass through.
     Very long texts: cut into pieces of ``piece_chars`` encoded by separate tasks, equal long texts once; a run
     without white space goes through :func:`tree_encode`. Repeated rows give repeated results, an empty table an
     empty result. Columns of ``docs`` named like a result column are replaced by it.
     """
-    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    new = outcome.names
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     held = [f"k{i}" for i in range(len(keep))]  # inner names cannot clash
     base = docs.select(*[docs[c].alias(h) for c, h in zip(keep, held, strict=True)], docs[text].cast("string").alias("__text"))
     kinds = ", ".join(f"{h} {base.schema[h].dataType.simpleString()}" for h in held)
     is_long = F.coalesce(F.length("__text"), F.lit(0)) > piece_chars
-    short = fill_partitions(base.where(~is_long)).mapInArrow(lambda it: _whole(path, it, held), f"{kinds}{', ' * bool(held)}{RESULT}")
+    short = fill_partitions(base.where(~is_long)).mapInArrow(lambda it: _whole(path, it, held, outcome), f"{kinds}{', ' * bool(held)}{outcome.ddl}")
 
     long = base.where(is_long).withColumn("__key", F.sha2("__text", 256))
     pieces = (
@@ -297,7 +316,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[
     )
     done = (
         pieces.mapInArrow(lambda it: _encode_pieces(path, it), "__key string, no int, head string, ids binary, decoded binary, tail string, cut boolean")
-        .groupBy("__key").applyInArrow(lambda t: _assemble(path, t), f"__key string, {RESULT}")
+        .groupBy("__key").applyInArrow(lambda t: _assemble(path, t, outcome), f"__key string, {outcome.ddl}")
     )
     joined = long.drop("__text").join(done, "__key").select(*held, *new)
     return short.unionByName(joined).select(*[F.col(h).alias(c) for c, h in zip(keep, held, strict=True)], *new)

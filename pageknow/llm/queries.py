@@ -101,7 +101,28 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pageknow.llm.packing import CRC32, pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id",), payload=CRC32)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageknow.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageknow.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {"op1_html": op1_html, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_paragraphs": op4_paragraphs, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_embeddings": op7_embeddings, "op8_ngram_join": op8_ngram_join, "op9_rollups": op9_rollups, "op10_ann": op10_ann}
+QUERIES |= {"op11_packing": op11_packing, "op12_divergence": op12_divergence, "op13_whitening": op13_whitening}
 
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
@@ -140,4 +161,35 @@ SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS
 ) GROUP BY ALL
 """
 
-ORACLES: dict[str, str] = {"op7_embeddings": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_rollups": OP9_SQL}
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), e AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM e GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM e JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+m AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (
+  SELECT m.lang, m.source, k.term, coalesce(n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1) // (total + v) AS p
+  FROM m JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term
+), q AS (
+  SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 1) // (max(total) + max(v)) AS q
+  FROM c JOIN (SELECT lang, sum(n) AS total FROM c GROUP BY 1) USING (lang) JOIN v USING (lang) GROUP BY 1, 2
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // y.p) AS f
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+) WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES: dict[str, str] = {"op7_embeddings": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_rollups": OP9_SQL, "op12_divergence": OP12_SQL}
