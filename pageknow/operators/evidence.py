@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pageknow.functions import lexicon as L
 from pageknow.functions.text import bind, comparison_key, contains_any, found, hits, squeeze, text_or_empty
 from pageknow.operators.rules import best_label, clamp
+from pageknow.sources.commits import written
 
 URL = r"(?i)https?://[^\s),;]+"
 FEE = r"(?i)(?:^|[^A-Za-z0-9_])((?:HK\$|HKD\s*)[0-9,]+(?:\.[0-9]+)?)"
@@ -73,26 +74,52 @@ def weaker(a: Column, b: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in CONFIDENCE]), F.least(rank(a), rank(b)))
 
 
+def in_sequence(rows: DataFrame, pair: list[str], position: str, group: list[str], key: str, most: int) -> DataFrame:
+    """(pair, position) of the rows that are taken if pairs are gone through in order, and the rows of a pair by position: a
+    row is passed over if one with its key was taken before in its group, and a pair ends with its ``most``-th taken row, so
+    what comes after counts neither as taken nor as met.
+
+    Rounds: of the rows that are not behind an end the first of each key is new; new rows set the ends; ends that moved may let
+    in a row of a later pair. The first pairs of a group are settled first, the others after them; a round works on the groups
+    in which an end moved in the one before, and is written. Keys are met by an aggregation, so a key of a third of all rows is no
+    hot task."""
+    place = F.struct(*pair, position)
+    within = W.partitionBy(*group, *pair).orderBy(position)
+    before = F.coalesce(F.sum("new").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    todo = written(rows.select(*group, *pair, position, key, F.lit(False).alias("over")), "sequence")
+    done = None
+    while True:
+        first = todo.where("NOT over").groupBy(*group, key).agg(F.min(place).alias("at")).select(*[F.col(g).alias(f"__{g}") for g in group], *[F.col(f"at.{c}").alias(f"__{c}") for c in (*pair, position)])
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*group, *pair, position)]
+        met = todo.join(first.withColumn("new", F.lit(1)), same, "left").select(*todo.columns, F.coalesce("new", F.lit(0)).alias("new"))
+        now = met.withColumn("before", before).withColumn("ends", F.col("before") >= most)
+        moved = F.max((F.col("ends") != F.col("over")).cast("int")).over(W.partitionBy(*group))
+        now = written(now.select(*group, *pair, position, key, F.col("ends").alias("over"), ((F.col("new") == 1) & ~F.col("ends")).alias("taken"), moved.alias("moved")), "sequence")
+        settled = now.where("moved = 0 AND taken").select(*pair, position)
+        done = settled if done is None else done.unionAll(settled)
+        todo = now.where("moved = 1").select(*group, *pair, position, key, "over")
+        if todo.isEmpty():
+            return done
+
+
 def extract(pairs: DataFrame, owner: str, order: list[str], per_question: int = 8, tasks: dict = L.TASKS, excluded: tuple | None = ("application fee", ("deposit", "tuition")), **words) -> DataFrame:  # noqa: ANN003
-    """Evidence rows of ``pairs`` (question, answer, category, source_url, owner, order columns).
+    """Evidence rows of ``pairs`` (question, answer, category, source_url, owner, order columns, which number the pairs).
 
-    A candidate equal to an earlier one (owner, task, type, value and text compared by letters and digits) is dropped, then
-    the first ``per_question`` of each pair are kept. Taken pair by pair in sequence, a candidate beyond the limit would not
-    count as seen; here it does, which differs only where such a candidate is repeated by a later pair. The id is a hash of
-    the content.
+    Pair by pair in order, a candidate equal to one taken before (owner, task, type, value and text compared by letters and
+    digits) is passed over, and a pair ends with its ``per_question``-th row; see ``in_sequence``. The id is a hash of the content.
     """
     t = task_of(F.col("question"), F.col("answer"), F.col("category"), tasks, excluded)
     x = pairs.withColumn("__t", t).where("__t.task_code <> ''")
     x = x.select(*pairs.columns, "__t", F.posexplode(candidates(F.col("question"), F.col("answer"), F.col("__t.task_code"), **words)).alias("__n", "__c"))
     key = comparison_key(F.col("__c.evidence_text"))
-    first = W.partitionBy(owner, "__t.task_code", "__c.evidence_type", "__c.normalized_value", key).orderBy(*order, "__n")
-    x = x.withColumn("__r", F.row_number().over(first)).where("__r = 1")
-    x = x.withColumn("__k", F.row_number().over(W.partitionBy(*order).orderBy("__n"))).where(F.col("__k") <= per_question)
+    same = F.sha2(F.concat_ws("\u0000", "__c.evidence_type", "__c.normalized_value", key), 256)
     ident = F.concat_ws("__", F.lower(F.col(owner).cast("string")), "__t.task_code", "__c.evidence_type", F.left(F.sha1(F.concat_ws("|", "__c.normalized_value", key)), F.lit(12)))
-    return x.select(
+    x = written(x.select(
         *order, F.col(owner), ident.alias("evidence_id"), F.col("__t.task_code").alias("task_code"), F.col("__t.stage").alias("stage"), "__c.evidence_type", "__c.evidence_text", "__c.normalized_value",
-        F.col("question").alias("source_question"), "source_url", weaker(F.col("__t.confidence"), F.col("__c.confidence")).alias("confidence"), F.col("__n").alias("candidate"),
-    )
+        F.col("question").alias("source_question"), "source_url", weaker(F.col("__t.confidence"), F.col("__c.confidence")).alias("confidence"), F.col("__n").alias("candidate"), same.alias("__same"),
+    ), "evidence")
+    taken = in_sequence(x, order, "candidate", [owner, "task_code"], "__same", per_question)
+    return x.drop("__same").join(taken, [*order, "candidate"], "left_semi")
 
 
 def source_catalog(registry: DataFrame, owner: str, url: str, page_type: str, stage: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pageknow.functions.lexicon import INDEX_STOPWORDS, SEARCH_STOPWORDS
 from pageknow.functions.text import LINE_BREAK, NOT_WORD, WS
+from pageknow.sources.commits import scratch
+
+__all__ = ["quoted", "scratch", "sql_chunks", "sql_contains", "sql_found", "sql_hits", "sql_index_terms", "sql_key", "sql_lines", "sql_split", "sql_squeeze", "sql_strip", "sql_terms", "sql_truncate", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -166,8 +166,15 @@ EVIDENCE = f"""
     FROM (SELECT *, list_transform(regexp_extract_all(text, '(?i)https?://[^\\s),;]+'), lambda u: regexp_replace(u, '[.]+$', '')) AS list_distinct_ordered FROM eu)),
   em AS (SELECT *, CASE WHEN len(l) = 0 AND text <> '' THEN [{{'k': 'source_context', 'x': 'Q: ' || question || ' A: ' || left(text, 500), 'v': '', 'f': 1}}] ELSE l END AS m FROM el),
   ex AS (SELECT doc_id, owner, question, source_url, t, unnest(range(0, len(m))) AS n, unnest(m) AS c FROM em),
-  ef AS (SELECT *, {sql_key('c.x')} AS key FROM ex QUALIFY row_number() OVER (PARTITION BY owner, t.c, c.k, c.v, {sql_key('c.x')} ORDER BY doc_id, n) = 1),
-  ek AS (SELECT * FROM ef QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) <= 8),
+  ef AS (SELECT *, {sql_key('c.x')} AS key, t.c AS tc, md5(c.k || chr(1) || c.v || chr(1) || {sql_key('c.x')}) AS h, row_number() OVER (PARTITION BY owner, t.c ORDER BY doc_id, n) AS i FROM ex),
+  wk AS (
+    SELECT owner, tc, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS d, CAST(0 AS BIGINT) AS k, false AS taken FROM ef GROUP BY ALL
+    UNION ALL
+    SELECT owner, tc, i, CASE WHEN ok THEN list_append(seen, h) ELSE seen END, doc_id, CASE WHEN ok THEN k + 1 ELSE k END, ok FROM (
+      SELECT *, k < 8 AND NOT list_contains(seen, h) AS ok FROM (
+        SELECT wk.owner, wk.tc, ef.i, wk.seen, ef.doc_id, ef.h, CASE WHEN wk.d = ef.doc_id THEN wk.k ELSE 0 END AS k FROM wk JOIN ef ON ef.owner IS NOT DISTINCT FROM wk.owner AND ef.tc = wk.tc AND ef.i = wk.i + 1))
+  ),
+  ek AS (SELECT ef.* FROM ef JOIN wk ON ef.owner IS NOT DISTINCT FROM wk.owner AND ef.tc = wk.tc AND ef.i = wk.i WHERE taken),
   ev AS (SELECT doc_id, owner, lower(owner) || '__' || t.c || '__' || c.k || '__' || left(sha1(c.v || '|' || key), 12) AS evidence_id, t.c AS task_code, {STAGE} AS stage, c.k AS evidence_type, c.x AS evidence_text, c.v AS normalized_value, question AS source_question, source_url, ['low', 'medium', 'high'][least({LEVEL}, c.f)] AS confidence, n AS candidate FROM ek)"""
 _TH = "CASE task_code " + " ".join(f"WHEN '{c}' THEN {sql_hits('tx', w)}" for c, (_, w) in TASKS.items()) + " ELSE 0 END"
 _FH = "CASE evidence_type " + " ".join(f"WHEN '{c}' THEN {sql_hits('tx', w)}" for c, w in FIELD_WORDS.items()) + " ELSE 0 END"
@@ -197,9 +204,9 @@ ORACLES = {
         SELECT doc_id, array_to_string(list_filter(u, lambda x, i: list_position(u, x) = i), ' ') AS urls, array_to_string(regexp_extract_all(text, '{FEE}', 1), ' ') AS numbers, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), ' ') AS mails FROM d""",
     "sentence_flags": f"""WITH x AS (SELECT doc_id, CAST(unnest(range(0, len(l))) AS INT) AS pos, unnest(l) AS s FROM (SELECT doc_id, {SENT} AS l FROM documents)),
         f AS (SELECT doc_id, pos, {sql_contains('lower(s)', DEADLINES)} AS deadline, {sql_contains('lower(s)', DOCUMENTS)} AS document, {sql_contains('lower(s)', ACTIONS)} AS action, md5({_HINT}) AS hint_md5 FROM x) SELECT * FROM f WHERE deadline OR document OR action""",
-    "evidence_extract": f"WITH {EVIDENCE} SELECT doc_id, evidence_id, task_code, stage, evidence_type, md5(normalized_value) AS value_md5, confidence, CAST(candidate AS INT) AS candidate FROM ev",
+    "evidence_extract": f"WITH RECURSIVE {EVIDENCE} SELECT doc_id, evidence_id, task_code, stage, evidence_type, md5(normalized_value) AS value_md5, confidence, CAST(candidate AS INT) AS candidate FROM ev",
     "source_catalog": "SELECT CAST(user_id AS VARCHAR) AS owner, 'u' || (event_id % 7) AS url, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS page_types, array_to_string(list_sort(list(DISTINCT strftime(ts, '%Y-%m'))), ';') AS stages FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2",
-    "evidence_audit": f"""WITH {EVIDENCE},
+    "evidence_audit": f"""WITH RECURSIVE {EVIDENCE},
         cat AS (SELECT lower(source) AS o, 'https://docs.example/' || source AS url, list_sort(list(DISTINCT CASE WHEN lang = 'de' THEN 'faq' ELSE source END)) AS p, list_sort(list(DISTINCT CASE WHEN lang = 'es' THEN 'offer_acceptance' ELSE 'general' END)) AS st FROM documents WHERE lang <> 'fr' GROUP BY ALL),
         a AS (SELECT ev.*, coalesce(p, []) AS p, coalesce(st, []) AS st, lower(evidence_text || ' ' || normalized_value || ' ' || source_question) AS tx FROM ev LEFT JOIN cat ON lower(ev.owner) = cat.o AND ev.source_url = cat.url),
         b AS (SELECT *, {_TH} AS th, {_FH} AS fh, CASE WHEN list_has_any(p, {_PT}) OR (stage <> '' AND list_contains(st, stage)) THEN 'yes' WHEN list_contains(p, 'faq') OR (len(p) = 0 AND len(st) = 0) THEN 'partial' ELSE 'no' END AS mt FROM a),

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pageknow.functions.lexicon import INDEX_STOPWORDS, SEARCH_STOPWORDS
 from pageknow.functions.text import terms
 from pageknow.operators import chunks as C
+from pageknow.operators import dense_index as D
 from pageknow.operators import prompts as P
 from pageknow.operators import retrieval as R
-from pageknow.plans.common import quoted, sql_chunks, sql_index_terms, sql_squeeze, sql_terms, sql_truncate, table
+from pageknow.operators import term_index as T
+from pageknow.plans.common import quoted, scratch, sql_chunks, sql_index_terms, sql_squeeze, sql_terms, sql_truncate, table
 
 KEY = ["doc_id", "chunk_index"]
 #: A dictionary of search expansions drawn from the prose of the driver tables.
@@ -40,8 +42,12 @@ def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries(spark, sf_dir).select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
+def _keyed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).withColumn("chunk_key", F.concat_ws("_", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_index").cast("string"), 6, "0"))).withColumn("page_type", F.when(F.col("lang") == "en", "faq").otherwise("page"))
+
+
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir).withColumn("chunk_key", F.concat_ws("_", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_index").cast("string"), 6, "0"))).withColumn("page_type", F.when(F.col("lang") == "en", "faq").otherwise("page"))
+    c = _keyed_chunks(spark, sf_dir)
     q = _queries(spark, sf_dir).withColumn("want", F.concat(F.lit("SRC"), (F.col("query_id") % 20).cast("string")))
     return R.keyword_search(q, c, k=5, min_score=2.0, filters={"want": ("source", 4.0)})
 
@@ -66,6 +72,30 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_topk(v, v.where("vec_id % 50 = 0"), 5, match="label")
 
 
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of the same label, by the stored hash index."""
+    v, root = table(spark, sf_dir, "embeddings"), scratch(spark, "dense-index")
+    D.build(v, root, metadata=("label",))
+    return D.search(spark, root, v.where("vec_id % 50 = 0"), 5, match="label")
+
+
+def term_index_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``sparse_cosine_topk``, by the stored index."""
+    root = scratch(spark, "cosine-index")
+    T.write_cosine(R.sparse_index(_chunks(spark, sf_dir), KEY), root, KEY)
+    q = T.cosine_queries(R.sparse_index(table(spark, sf_dir, "benchmark"), ["item_id"]), "item_id")
+    return T.search(spark, root, q, KEY, 5, 1e-6).select(F.col("id").alias("item_id"), "rank", *KEY, "score")
+
+
+def term_index_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``keyword_search``, by the stored index."""
+    root, key = scratch(spark, "keyword-index"), ["chunk_index", "chunk_key"]
+    T.write_keywords(_keyed_chunks(spark, sf_dir), root, key, ("source",))
+    q = _queries(spark, sf_dir).withColumn("want", F.concat(F.lit("SRC"), (F.col("query_id") % 20).cast("string")))
+    got = T.search(spark, root, T.keyword_queries(q, wanted=("want",)), key, 5, 2.0, (4.0,))
+    return got.select(F.col("id").alias("query_id"), "rank", "chunk_key", "chunk_index", "score", "matched")
+
+
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic hits of at least 0.2, with keyword hits for the passages that have none."""
     first = sparse_cosine_topk(spark, sf_dir).where("score >= 0.2").select(F.col("item_id").alias("query_id"), "rank", F.concat_ws("_", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")).alias("chunk_key"), "score")
@@ -96,7 +126,7 @@ def prompt_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.assemble(q, hits.withColumnRenamed("text", "chunk"), "item_id", "text", "rank", "source", "chunk", 10, 900).select("item_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, tokenize_terms, query_expand, keyword_search, sparse_index, sparse_cosine_topk, hash_embed, dense_topk, hybrid_retrieve, chunk_qa, citations, prompt_assemble)}
+QUERIES = {f.__name__: f for f in (chunk_documents, tokenize_terms, query_expand, keyword_search, sparse_index, sparse_cosine_topk, hash_embed, dense_topk, dense_index_topk, term_index_cosine, term_index_keyword, hybrid_retrieve, chunk_qa, citations, prompt_assemble)}
 
 CHUNKS = "WITH RECURSIVE " + sql_chunks("documents")
 INDEX = f"""
@@ -126,7 +156,28 @@ KEYWORD = f"""
   kr AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, chunk_key) AS INT) AS rank, chunk_key, chunk_index, CAST(score AS DOUBLE) AS score, matched FROM ks WHERE score >= 2 QUALIFY rank <= 5)"""
 QA = "qa AS (SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user' AND nr = 'assistant')"
 
+def _dense_index_sql(most_bits: int = 13) -> str:
+    """The index search in SQL, with the planes as literals: of ``most_bits`` a table, which are enough for 500,000 rows."""
+    p = D.Params()
+    planes = [[[int(x) for x in plane] for plane in table_] for table_ in D.plane_signs(p.tables, most_bits, 64)]
+    return f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        n AS (SELECT greatest({D.LEAST_BITS}, CAST(floor(log2(greatest(count(*) // {p.bucket_rows}, 1))) AS INT)) AS bits FROM v),
+        pl AS (SELECT t, unnest(ps) AS plane, unnest(range(0, {most_bits})) AS j FROM (SELECT unnest(range(0, {p.tables})) AS t, unnest(CAST({planes} AS DOUBLE[][][])) AS ps)),
+        sd AS (SELECT vec_id, label, t, list(list_dot_product(v, plane) ORDER BY j) AS s FROM v, pl, n WHERE j < bits GROUP BY vec_id, label, t),
+        c AS (SELECT *, CAST(list_sum(list_transform(s, lambda x, i: CASE WHEN x >= 0 THEN 1 << (i - 1) ELSE 0 END)) AS BIGINT) AS code FROM sd),
+        near AS (SELECT *, list_sort(list_transform(s, lambda x, i: {{'a': abs(x), 'j': i - 1}}))[1:{D.CROSSED}] AS o FROM c WHERE vec_id % 50 = 0),
+        sub AS (SELECT vec_id, label, t, code, list_filter(list_transform(o, lambda e, i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN e END), lambda e: e IS NOT NULL) AS f, m FROM near, range(0, {1 << D.CROSSED}) r(m) WHERE m < 1 << len(o)),
+        pr AS (SELECT vec_id AS query_id, label, t, code + coalesce(CAST(list_sum(list_transform(f, lambda e: CASE WHEN (code >> e.j) & 1 = 1 THEN -(1 << e.j) ELSE 1 << e.j END)) AS BIGINT), 0) AS code FROM sub
+          QUALIFY row_number() OVER (PARTITION BY vec_id, label, t ORDER BY coalesce(list_sum(list_transform(f, lambda e: e.a * e.a)), 0), m) <= {p.probes}),
+        k AS (SELECT DISTINCT query_id, c.vec_id FROM pr JOIN c USING (t, code) WHERE pr.label = c.label AND c.vec_id <> query_id),
+        s AS (SELECT query_id, k.vec_id, round(1 / (1 + list_sum(list_transform(list_zip(x.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS score FROM k JOIN v x ON x.vec_id = k.vec_id JOIN v q ON q.vec_id = query_id)
+        SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 5"""
+
+
 ORACLES = {
+    "dense_index_topk": _dense_index_sql(),
+    "term_index_cosine": f"{CHUNKS}, {INDEX} SELECT * FROM cosine",
+    "term_index_keyword": f"{CHUNKS}, {EXPAND}, {KEYWORD} SELECT * FROM kr",
     "chunk_documents": f"{CHUNKS} SELECT k AS doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(length(text) AS INT) AS n_chars, md5(text) AS text_md5 FROM chunks",
     "tokenize_terms": f"SELECT doc_id, CAST(len(a) AS INT) AS n_search, CAST(len(list_distinct(a)) AS INT) AS n_distinct, CAST(len(b) AS INT) AS n_index, md5(array_to_string(a, ' ')) AS terms_md5 FROM (SELECT doc_id, {sql_terms('text')} AS a, {sql_index_terms('text')} AS b FROM documents)",
     "query_expand": f"WITH {EXPAND} SELECT query_id, array_to_string(terms, ' ') AS terms FROM qe",

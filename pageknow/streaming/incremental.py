@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pageknow.operators.fetchlog import OK, aggregates, time_order
 from pageknow.operators.state import replay, upsert
+from pageknow.sources.commits import scratch
 
 
 def stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -51,10 +50,4 @@ def state_upsert(log: DataFrame, root: str, checkpoint: str, user: str = "user_i
     return spark.read.schema(log.schema).parquet(f"{root}/version={head}")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's shared one, or under the warehouse where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 __all__ = ["latest_status", "replay", "run", "scratch", "state_upsert", "stream"]

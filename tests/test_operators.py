@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -125,11 +126,27 @@ def test_evidence(spark):
 
 
 def test_cap_of_evidence_in_sequence(spark):
-    """The cap counts what is left after global duplicates; sequence and sets agree where no dropped ninth candidate repeats later."""
+    """What comes after the last row of a pair does not count as met, so a later pair may still take it."""
     answer = " ".join(f"You must submit visa form number {i} by July." for i in range(12))
     df = spark.createDataFrame([(1, "q", answer, "visa", "A", "u"), (2, "q", answer, "visa", "A", "u")], "n int, question string, answer string, category string, school string, source_url string")
     got = evidence.extract(df, "school", ["n"]).groupBy("n").count().collect()
-    assert {r.n: r["count"] for r in got} == {1: 8}
+    assert {r.n: r["count"] for r in got} == {1: 8, 2: 8}
+
+
+def test_sequence_against_a_loop(spark):
+    """Random groups, pairs and keys, null groups too; and a chain in which each pair pushes a row out to the next."""
+    rng = np.random.default_rng(11)
+    rows = [(None if g == 0 else g, p, n, int(rng.integers(0, 9))) for p in range(120) for g in [int(rng.integers(0, 4))] for n in range(int(rng.integers(0, 9)))]
+    rows += [(9, 1000 + p, n, 100 + (p + n) % 40) for p in range(30) for n in range(5)]
+    want, seen, count = set(), set(), {}
+    for g, p, n, k in sorted(rows, key=lambda r: (r[1], r[2])):
+        if count.get(p, 0) < 3 and (g, k) not in seen:
+            seen.add((g, k))
+            count[p] = count.get(p, 0) + 1
+            want.add((p, n))
+    df = spark.createDataFrame(rows, "g int, p int, n int, k int")
+    assert {tuple(r) for r in evidence.in_sequence(df, ["p"], "n", ["g"], "k", 3).collect()} == want
+    assert evidence.in_sequence(df.limit(0), ["p"], "n", ["g"], "k", 3).count() == 0
 
 
 def test_enrich_and_review(spark):
