@@ -28,9 +28,9 @@ CROSSED = 6
 
 @dataclass(frozen=True)
 class Params:
-    tables: int = 16
+    tables: int = 24
     probes: int = 24
-    bucket_rows: int = 32  # of a bucket, about; sets the number of planes
+    bucket_rows: int = 16  # of a bucket, about; sets the number of planes
     bits: int = 0  # planes of a table; 0: by the number of rows
 
 
@@ -113,11 +113,12 @@ def _ddl(df: DataFrame, columns: list[str]) -> str:
 def build(vectors: DataFrame, root: str, id_: str = "vec_id", vector: str = "embedding", metadata: tuple[str, ...] = (), p: Params = Params()) -> int:
     """Write the next version of the index of (id, vector, metadata) under ``root`` and return its number.
 
-    Rows whose vector is null, empty, not finite or not of the commonest length are left out. Repeated ids are rows each.
+    Rows without an id and those whose vector is null, empty, not finite or not of the commonest length are left out. Repeated
+    ids are rows each.
     An empty table gives an index without rows. The buckets and the vectors are written first and count from the moment the
     version's description is committed."""
     spark, keep = vectors.sparkSession, [id_, *metadata]
-    rows = vectors.where(usable(vectors[vector])).select(*[vectors[c] for c in keep], vectors[vector].alias("v"))
+    rows = vectors.where(usable(vectors[vector]) & vectors[id_].isNotNull()).select(*[vectors[c] for c in keep], vectors[vector].alias("v"))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "d").limit(1).collect()
     d, n = (sizes[0].d, sizes[0].n) if sizes else (1, 0)
     rows, bits = rows.where(F.size("v") == d), bits_for(n, p)
@@ -139,20 +140,20 @@ def candidates(spark: SparkSession, root: str, queries: DataFrame, id_: str = "v
     metadata column equals the query's."""
     a = about(spark, root)
     on = ["tab", "bucket", *([match] if match else [])]
-    q = queries.where(usable(queries[vector], a.dimensions)).select(queries[id_].alias("query_id"), *([queries[match]] if match else []), queries[vector].alias("v"))
+    q = queries.where(usable(queries[vector], a.dimensions) & queries[id_].isNotNull()).select(queries[id_].alias("query_id"), *([queries[match]] if match else []), queries[vector].alias("v"))
     carry = ["query_id", *([match] if match else [])]
     asked = q.mapInArrow(lambda it: _probes(a.tables, a.bits, probes or a.probes, carry, it), _ddl(q, carry))
     held = current(spark, root + "/buckets", version=a.buckets).withColumnRenamed(a.id, "__id")
-    met = asked.join(held, on).where(~F.col("query_id").eqNullSafe(F.col("__id")))
+    met = asked.join(held, on).where(F.col("query_id") != F.col("__id"))
     return met.select("query_id", F.col("__id").alias(a.id)).distinct()
 
 
 def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", match: str | None = None, probes: int | None = None) -> DataFrame:
     """(query_id, rank, id, score) of the ``k`` nearest found, by exact squared distance d: score 1 / (1 + d) rounded to 6 places,
-    ties by id. Queries of another length, null or not finite find nothing; of queries with one id each finds its own."""
+    ties by id. Queries without an id, of another length, null or not finite find nothing."""
     a = about(spark, root)
     met = candidates(spark, root, queries, id_, vector, match, probes)
-    q = queries.where(usable(queries[vector], a.dimensions)).select(queries[id_].alias("query_id"), queries[vector].alias("q"))
+    q = queries.where(usable(queries[vector], a.dimensions) & queries[id_].isNotNull()).select(queries[id_].alias("query_id"), queries[vector].alias("q"))
     rows = current(spark, root + "/rows", version=a.rows).select(a.id, "v")
     d = F.aggregate(F.zip_with("v", "q", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
     got = met.join(rows, a.id).join(q, "query_id").select("query_id", a.id, F.round(1 / (1 + d), 6).alias("score"))

@@ -10,22 +10,34 @@ from pyspark.sql import functions as F
 
 from pageknow.functions.lexicon import HIGH_VALUE_TERMS, INDEX_STOPWORDS, QUERY_EXPANSIONS, SEARCH_STOPWORDS
 from pageknow.functions.text import terms, text_or_empty
+from pageknow.operators.words import find
 
 
-def expand_queries(queries: DataFrame, dictionary: DataFrame | None = None, phrases: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+#: A dictionary of at most so many keys is looked for key by key; a larger one by ``words.find``.
+FEW_KEYS = 1_000
+
+
+def expand_queries(queries: DataFrame, dictionary: DataFrame | None = None, phrases: tuple[str, ...] = (), text: str = "text", few_keys: int = FEW_KEYS) -> DataFrame:
     """``queries`` + terms: distinct search terms of the text, of the expansions of every dictionary key it contains and of
-    the fixed phrases. ``dictionary``: (key, expansion), small by nature (its size is checked before it is broadcast); without one the fixed word list is used."""
+    the fixed phrases. ``dictionary``: (key, expansion), of any size; without one the fixed word list is used."""
     if dictionary is None:
         dictionary = queries.sparkSession.createDataFrame([(k, " ".join(v)) for k, v in QUERY_EXPANSIONS.items()], "key string, expansion string")
-    if (n := dictionary.limit(10_001).count()) > 10_000:
-        raise ValueError(f"the dictionary has {n} or more rows; expansion is for word lists")
     low = F.lower(text_or_empty(F.col(text)))
     base = [c for c in queries.columns if c != "terms"]
-    words = dictionary.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.lower("key").alias("k"), terms(F.col("expansion"), SEARCH_STOPWORDS).alias("t")))).alias("__d"))
-    extra = F.flatten(F.transform(F.filter("__d", lambda d: F.contains(low, d["k"])), lambda d: d["t"]))
-    more = F.flatten(F.array(*[F.when(F.contains(low, F.lit(p)), F.array(*[F.lit(x) for x in p.split()])).otherwise(F.array().cast("array<string>")) for p in phrases])) if phrases else F.array().cast("array<string>")
-    out = queries.crossJoin(F.broadcast(words)).withColumn("terms", F.array_sort(F.array_distinct(F.concat(terms(F.col(text), SEARCH_STOPWORDS), extra, more))))
-    return out.select(*base, "terms")
+    none = F.array().cast("array<string>")
+    more = F.flatten(F.array(*[F.when(F.contains(low, F.lit(p)), F.array(*[F.lit(x) for x in p.split()])).otherwise(none) for p in phrases])) if phrases else none
+    told = dictionary.select(F.lower("key").alias("k"), terms(F.col("expansion"), SEARCH_STOPWORDS).alias("t"))
+    if dictionary.limit(few_keys + 1).count() <= few_keys:
+        words = told.groupBy().agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("__d"))
+        out = queries.crossJoin(F.broadcast(words))  # one row
+        extra = F.flatten(F.transform(F.filter("__d", lambda d: F.contains(low, d["k"])), lambda d: d["t"]))
+    else:
+        texts = find(queries.select(low.alias("__low")).distinct(), told, "__low", "k")
+        met = texts.select("__low", F.explode("found").alias("k")).join(told.select("k", F.explode("t").alias("x")), "k")
+        met = met.groupBy("__low").agg(F.collect_set("x").alias("__x"))
+        out = queries.join(met, low == met["__low"], "left")
+        extra = F.coalesce("__x", none)
+    return out.withColumn("terms", F.array_sort(F.array_distinct(F.concat(terms(F.col(text), SEARCH_STOPWORDS), extra, more)))).select(*base, "terms")
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 1.0, filters: dict[str, tuple[str, float]] | None = None) -> DataFrame:

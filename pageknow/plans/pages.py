@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageknow.functions.text import lines, normalize_lines, truncate, truncate_at_word
 from pageknow.operators import chunks as C
+from pageknow.operators import markup as M
 from pageknow.operators import pages as P
 from pageknow.plans.common import quoted, sql_chunks, sql_contains, sql_lines, sql_split, sql_squeeze, sql_strip, sql_truncate, table
 from pageknow.sources import archive as A
@@ -34,6 +35,19 @@ def html_links_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", F.md5(P.html_with_links(html, F.col("url"))).alias("text_md5"))
 
 
+def html_clean_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in which the advert is marked as a cookie notice, with a list in it, so that nested noise is there to drop."""
+    html = F.replace("html", F.lit('<div class="ad">'), F.lit('<div id="x" class="Cookie-Bar"><div><p>more<ul><li>'))
+    return _pages(spark, sf_dir).select("page_id", M.clean_exact(html).alias("text"))
+
+
+def html_links_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with menus renamed as in ``html_links_text``, their links with nested marks, adverts hidden."""
+    html = F.replace(F.replace("html", F.lit("<nav>"), F.lit("<article><div>")), F.lit("</nav>"), F.lit("</div>"))
+    html = F.replace(F.replace(html, F.lit("</a>"), F.lit("<b> x<i>y</i></b></a>")), F.lit('<div class="ad">'), F.lit('<div class="box sr-only"><p>'))
+    return _pages(spark, sf_dir).select("page_id", F.md5(M.links_exact(html, F.col("url"))).alias("text_md5"))
+
+
 def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pages(spark, sf_dir).select("page_id", "url", F.posexplode(P.anchors(F.col("html"))).alias("pos", "a"))
     return p.select("page_id", "pos", F.col("a.text").alias("link_text"), P.resolve(F.col("a.href"), F.col("url")).alias("link_url"))
@@ -102,7 +116,7 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk_table(p, size=600, overlap=60).select("page_id", "chunk_index", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (html_clean, text_normalize, html_links_text, link_extract, manual_text_normalize, block_detect, archive_parse, archive_index, archive_validate, fetch_outcome, richer_text, stable_ids, snippet_truncate, faq_like_lines, chunk_pages)}
+QUERIES = {f.__name__: f for f in (html_clean, text_normalize, html_links_text, html_clean_exact, html_links_exact, link_extract, manual_text_normalize, block_detect, archive_parse, archive_index, archive_validate, fetch_outcome, richer_text, stable_ids, snippet_truncate, faq_like_lines, chunk_pages)}
 
 
 def _un(x: str) -> str:
@@ -161,7 +175,48 @@ _MOJI = f"replace({_MOJI}, '. ', '.' || chr(10) || chr(10) || chr(10) || ' ')"
 for _bad, _good in P.MOJIBAKE.items():
     _MOJI = f"replace({_MOJI}, {quoted([_bad])}, {quoted([_good])})"
 
+
+
+def _walk(dropped: tuple[str, ...], noisy: str, links: bool) -> str:
+    """CTEs ``tk`` (tokens of ``src``: page_id, url, html), ``wk`` (a walk over them) and ``fx`` (page_id, url, ps: pieces of the root)."""
+    q = lambda x: x.replace("'", "''")
+    bits = "CAST(CASE WHEN list_contains(open, 'main') THEN 1 ELSE 0 END + CASE WHEN list_contains(open, 'article') THEN 2 ELSE 0 END + CASE WHEN list_contains(open, 'body') THEN 4 ELSE 0 END AS VARCHAR)"
+    started = f"tag AND n <> '' AND NOT starts_with(t, '</') AND n NOT IN ({quoted(M.VOID)}) AND NOT ends_with(t, '/>')"
+    ended = "tag AND n <> '' AND starts_with(t, '</') AND k > 0"
+    link = "link[1] || chr(2) || href || chr(2) || array_to_string(link[2:], ' ')"
+    gone = f"({ended} AND href IS NOT NULL AND len(open) - k < lv)" if links else "false"
+    begun = f"({started} AND n = 'a' AND href IS NULL AND noise = 0 AND NOT bad)" if links else "false"
+    held = "href IS NOT NULL" if links else "false"
+    href = _un(f"(regexp_extract(t, '{q(M.HREF)}', 1) || regexp_extract(t, '{q(M.HREF)}', 2) || regexp_extract(t, '{q(M.HREF)}', 3))")
+    of = lambda b: f"list_filter(ps, lambda p: (CAST(left(p, 1) AS INT) & {b}) > 0)"
+    last = f"CASE WHEN href IS NOT NULL THEN list_append(o, {link}) ELSE o END"
+    return f"""tk AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '{q(M.OPAQUE)}', '<br>', 'g'), '{q(M.TOKEN)}') AS l FROM src),
+      wk AS (
+        SELECT page_id, url, l, 0 AS i, CAST([] AS VARCHAR[]) AS open, 0 AS noise, CAST(NULL AS VARCHAR) AS href, CAST([] AS VARCHAR[]) AS link, 0 AS lv, CAST([] AS VARCHAR[]) AS o FROM tk
+        UNION ALL
+        SELECT page_id, url, l, i + 1, CASE WHEN {ended} THEN open[1:len(open) - k] WHEN {started} THEN list_append(open, n) ELSE open END,
+          CASE WHEN {ended} THEN CASE WHEN len(open) - k < noise THEN 0 ELSE noise END WHEN {started} AND noise = 0 AND bad THEN len(open) + 1 ELSE noise END,
+          CASE WHEN {gone} THEN NULL WHEN {begun} THEN {href} ELSE href END, CASE WHEN {begun} THEN [{bits}] WHEN NOT tag AND noise = 0 AND {held} THEN list_append(link, t) ELSE link END,
+          CASE WHEN {begun} THEN len(open) + 1 ELSE lv END, CASE WHEN {gone} THEN list_append(o, {link}) WHEN NOT tag AND noise = 0 AND NOT ({held}) THEN list_append(o, {bits} || t) ELSE o END
+        FROM (SELECT *, coalesce(list_position(list_reverse(open), n), 0) AS k, n IN ({quoted((*dropped, 'head', 'title'))}) OR ({noisy}) AS bad
+          FROM (SELECT *, l[i + 1] AS t, lower(regexp_extract(l[i + 1], '{q(M.NAME)}', 1)) AS n, regexp_matches(l[i + 1], '^<[!/?A-Za-z]') AS tag FROM wk WHERE i < len(l)))
+      ),
+      fx AS (SELECT page_id, url, list_transform(CASE WHEN len({of(1)}) > 0 THEN {of(1)} WHEN len({of(2)}) > 0 THEN {of(2)} WHEN len({of(4)}) > 0 THEN {of(4)} ELSE ps END, lambda p: substr(p, 2)) AS ps FROM (SELECT page_id, url, {last} AS ps FROM wk WHERE i = len(l)))"""
+
+
+_MARKED = f"CASE WHEN tag THEN {sql_contains('lower(array_to_string(regexp_extract_all(t, ' + quoted([M.MARKS]) + ', 1), chr(32)))', P.NOISE)} ELSE false END"
+_SHOWN = f"CASE WHEN t = '' OR h = '' OR regexp_matches(lower(trim(h)), '^(javascript|mailto|tel):') OR starts_with(trim(h), '#') OR contains(t, u) THEN t ELSE t || ' (' || u || ')' END"
+
 ORACLES = {
+    "html_clean_exact": f"""WITH RECURSIVE src AS (SELECT page_id, url, replace(html, '<div class="ad">', '<div id="x" class="Cookie-Bar"><div><p>more<ul><li>') AS html FROM pages), {_walk(P.DROPPED, _MARKED, False)}
+        SELECT page_id, {_norm("j")} AS text FROM (SELECT page_id, array_to_string(list_transform(ps, lambda x: {_un('x')}), chr(10)) AS j FROM fx)""",
+    "html_links_exact": f"""WITH RECURSIVE src AS (SELECT page_id, url, replace(replace(replace(replace(html, '<nav>', '<article><div>'), '</nav>', '</div>'), '</a>', '<b> x<i>y</i></b></a>'), '<div class="ad">', '<div class="box sr-only"><p>') AS html FROM pages),
+        {_walk(M.LINK_DROPPED, "CASE WHEN tag THEN regexp_matches(t, " + quoted([M.HIDDEN]) + ") ELSE false END", True)},
+        pc AS (SELECT page_id, url, unnest(range(0, len(ps))) AS pos, unnest(ps) AS p FROM fx),
+        lk AS (SELECT page_id, pos, url, contains(p, chr(2)) AS is_link, {_un('p')} AS plain, split_part(p, chr(2), 2) AS h, {sql_squeeze(_un("split_part(p, chr(2), 3)"))} AS t FROM pc),
+        sh AS (SELECT page_id, pos, CASE WHEN is_link THEN {_SHOWN} ELSE plain END AS x FROM (SELECT *, {_resolve('trim(h)', 'url')} AS u FROM lk)),
+        j AS (SELECT p.page_id, coalesce(string_agg(x, chr(10) ORDER BY pos), '') AS j FROM src p LEFT JOIN sh USING (page_id) GROUP BY 1)
+        SELECT page_id, md5({_norm('j')}) AS text_md5 FROM j""",
     "html_clean": f"WITH {CLEANED} SELECT page_id, title, text FROM cl",
     "text_normalize": f"SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, {_norm('text')} AS t FROM documents)",
     "html_links_text": f"""WITH RECURSIVE p AS (SELECT page_id, url, replace(replace(html, '<nav>', '<article><div>'), '</nav>', '</div>') AS html FROM pages),

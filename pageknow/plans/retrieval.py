@@ -13,6 +13,7 @@ from pageknow.operators import dense_index as D
 from pageknow.operators import prompts as P
 from pageknow.operators import retrieval as R
 from pageknow.operators import term_index as T
+from pageknow.operators import words as W_
 from pageknow.plans.common import quoted, scratch, sql_chunks, sql_index_terms, sql_squeeze, sql_terms, sql_truncate, table
 
 KEY = ["doc_id", "chunk_index"]
@@ -96,6 +97,36 @@ def term_index_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("query_id"), "rank", "chunk_key", "chunk_index", "score", "matched")
 
 
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark passages, labelled by their first letter, numbered in alphabetical order."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(terms(F.col("text"), SEARCH_STOPWORDS)).alias("word")).distinct()
+    return w.select(F.left("word", F.lit(1)).alias("label"), "word", F.conv(F.hex(F.left("word", F.lit(2))), 16, 10).cast("int").alias("seq"))
+
+
+def word_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the lexicon that are in each document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    got = W_.find(d, _lexicon(spark, sf_dir))
+    return got.select("doc_id", F.size("found").alias("n_words"), F.md5(F.array_join("found", " ")).alias("words_md5"))
+
+
+def word_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label with the most words in each document, and the first one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    h = W_.label_hits(d, _lexicon(spark, sf_dir), ["doc_id"])
+    return h.groupBy("doc_id").agg(F.max(F.struct("hits", "label")).alias("m"), F.min(F.struct("first", "label")).alias("f"), F.sum("hits").alias("hits")).select("doc_id", F.col("m.label").alias("label"), F.col("m.hits").alias("label_hits"), F.col("f.label").alias("first_label"), "hits")
+
+
+def query_expand_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns with a dictionary of all part and customer words, of any size: a key is in the text or not."""
+    parts = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("key"))
+    keys = parts.unionAll(_lexicon(spark, sf_dir).select("word")).distinct().where("length(key) > 2")
+    d = keys.select("key", F.concat(F.lit("x"), F.left(F.md5("key"), F.lit(6))).alias("expansion"))
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    got = R.expand_queries(q, d, few_keys=0)
+    return got.select("conv_id", "turn", F.size("terms").alias("n_terms"), F.md5(F.array_join("terms", " ")).alias("terms_md5"))
+
+
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic hits of at least 0.2, with keyword hits for the passages that have none."""
     first = sparse_cosine_topk(spark, sf_dir).where("score >= 0.2").select(F.col("item_id").alias("query_id"), "rank", F.concat_ws("_", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")).alias("chunk_key"), "score")
@@ -126,7 +157,7 @@ def prompt_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.assemble(q, hits.withColumnRenamed("text", "chunk"), "item_id", "text", "rank", "source", "chunk", 10, 900).select("item_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, tokenize_terms, query_expand, keyword_search, sparse_index, sparse_cosine_topk, hash_embed, dense_topk, dense_index_topk, term_index_cosine, term_index_keyword, hybrid_retrieve, chunk_qa, citations, prompt_assemble)}
+QUERIES = {f.__name__: f for f in (chunk_documents, tokenize_terms, query_expand, keyword_search, sparse_index, sparse_cosine_topk, hash_embed, dense_topk, dense_index_topk, term_index_cosine, term_index_keyword, word_find, word_labels, query_expand_large, hybrid_retrieve, chunk_qa, citations, prompt_assemble)}
 
 CHUNKS = "WITH RECURSIVE " + sql_chunks("documents")
 INDEX = f"""
@@ -174,7 +205,15 @@ def _dense_index_sql(most_bits: int = 13) -> str:
         SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 5"""
 
 
+LEXICON = f"""lx AS (SELECT DISTINCT unnest({sql_terms('text')}) AS word FROM benchmark), lb AS (SELECT left(word, 1) AS label, word, CAST('0x' || hex(left(word, 2)) AS INT) AS seq FROM lx)"""
+
 ORACLES = {
+    "word_find": f"WITH {LEXICON}, h AS (SELECT doc_id, list(word ORDER BY word) AS l FROM documents JOIN lb ON contains(lower(text), word) GROUP BY doc_id) SELECT doc_id, CAST(coalesce(len(l), 0) AS INT) AS n_words, md5(coalesce(array_to_string(l, ' '), '')) AS words_md5 FROM documents LEFT JOIN h USING (doc_id)",
+    "word_labels": f"""WITH {LEXICON}, h AS (SELECT doc_id, label, count(*) AS n, min(seq) AS f FROM documents JOIN lb ON contains(lower(text), word) GROUP BY ALL)
+        SELECT doc_id, max({{'n': n, 'l': label}}).l AS label, max({{'n': n, 'l': label}}).n AS label_hits, min({{'f': f, 'l': label}}).l AS first_label, CAST(sum(n) AS BIGINT) AS hits FROM h GROUP BY doc_id""",
+    "query_expand_large": f"""WITH {LEXICON}, k AS (SELECT DISTINCT key FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS key FROM part UNION ALL SELECT word FROM lx) WHERE length(key) > 2),
+        h AS (SELECT conv_id, turn, text, list('x' || left(md5(key), 6)) FILTER (key IS NOT NULL) AS x FROM conversations LEFT JOIN k ON contains(lower(text), key) GROUP BY ALL),
+        e AS (SELECT conv_id, turn, list_sort(list_distinct(list_concat({sql_terms('text')}, coalesce(x, [])))) AS t FROM h) SELECT conv_id, turn, CAST(len(t) AS INT) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5 FROM e""",
     "dense_index_topk": _dense_index_sql(),
     "term_index_cosine": f"{CHUNKS}, {INDEX} SELECT * FROM cosine",
     "term_index_keyword": f"{CHUNKS}, {EXPAND}, {KEYWORD} SELECT * FROM kr",
