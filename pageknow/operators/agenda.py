@@ -49,12 +49,15 @@ def reminders(states: DataFrame, tasks: DataFrame, user: str = "user_id") -> Dat
     return j.select("s.*", F.coalesce("n1", "n2", F.nullif(F.col("s.task_code"), F.lit("")), F.col("s.task_id")).alias("task_name"))
 
 
-def summary(states: DataFrame, agenda_rows: DataFrame, user: str = "user_id") -> DataFrame:
-    """Counts per user: states, completed, with reminder, and agenda rows by bucket; hints where there is nothing."""
+def summary(states: DataFrame, agenda_rows: DataFrame, user: str = "user_id", users: DataFrame | None = None) -> DataFrame:
+    """Counts per user: states, completed, with reminder, and agenda rows by bucket; hints where there is nothing. With
+    ``users`` (user) each of these has a row, also without a state."""
     s = states.groupBy(user).agg(F.count(F.lit(1)).alias("state_count"), F.count_if(F.col("status").isin("done", "skipped")).alias("completed_count"), F.count_if((text_or_empty(F.col("reminder_at")) != "") | (text_or_empty(F.col("deadline_at")) != "")).alias("reminder_count"))
     buckets = ("overdue", "today", "upcoming", "later")
     a = agenda_rows.groupBy(user).agg(*[F.count_if(F.col("bucket") == b).alias(f"{b}_count") for b in buckets])
-    out = s.join(a, user, "left").na.fill(0, [f"{b}_count" for b in buckets])
+    if users is not None:
+        s = s.join(users.select(user).where(F.col(user).isNotNull()).distinct(), user, "full")
+    out = s.join(a, user, "left").na.fill(0, ["state_count", "completed_count", "reminder_count", *[f"{b}_count" for b in buckets]])
     due = F.col("overdue_count") + F.col("today_count") + F.col("upcoming_count") + F.col("later_count")
     hints = F.array_compact(F.array(F.when(F.col("state_count") == 0, F.lit("no_states")), F.when(F.col("reminder_count") == 0, F.lit("no_reminders")), F.when(due == 0, F.lit("no_agenda"))))
     return out.withColumn("hints", F.array_join(hints, "; "))

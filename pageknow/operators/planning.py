@@ -23,14 +23,19 @@ class Template:
     risk: str
     done_by: tuple[str, ...]
     url_keys: tuple[str, ...] = ()
+    description: str = ""
+    trigger_condition: str = ""
+    deadline: str = ""
+    required_documents: str = ""
 
 
 def template_table(like: DataFrame, templates: list[Template]) -> DataFrame:
     """Templates as a table with their position; a small list by nature, its length is checked because it is broadcast."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    rows = [(i, t.code, t.stage, t.name, t.risk, list(t.done_by), list(t.url_keys)) for i, t in enumerate(templates)]
-    return like.sparkSession.createDataFrame(rows, "template_pos int, task_code string, stage string, task_name string, risk_level string, done_by array<string>, url_keys array<string>")
+    rows = [(i, t.code, t.stage, t.name, t.risk, list(t.done_by), list(t.url_keys), t.description, t.trigger_condition, t.deadline, t.required_documents) for i, t in enumerate(templates)]
+    kinds = "template_pos int, task_code string, stage string, task_name string, risk_level string, done_by array<string>, url_keys array<string>"
+    return like.sparkSession.createDataFrame(rows, f"{kinds}, description string, trigger_condition string, deadline string, required_documents string")
 
 
 def seed_tasks(entities: DataFrame, key: str, templates: list[Template], urls: str | None = None) -> DataFrame:

@@ -58,6 +58,20 @@ def first_of_key(pairs: DataFrame, owner: str, order: list[str], question: str =
     return pairs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def faq_items(pages: DataFrame, key: str, owner: str, include_all: bool = False, owners: list[str] | None = None, lexicon: L.Lexicon = L.CATEGORIES, **pairs) -> DataFrame:  # noqa: ANN003
+    """(key, pos, question, answer, owner, stage, category, risk_level, source_url) of pages (key, owner, page_type, stage,
+    source_url, final_url, text): of FAQ pages, or of all, and of the owners asked for in lower case. Of each owner, whatever its case, a
+    question counts once, where it stands first. The stage is the page's, else its type, and the category if no word tells."""
+    some = pages if include_all else pages.where(F.col("page_type") == "faq")
+    if owners is not None:
+        some = some.where(F.lower(text_or_empty(F.col(owner))).isin([o.lower() for o in owners]))
+    filled = lambda a, b: F.coalesce(F.nullif(text_or_empty(F.col(a)), F.lit("")), text_or_empty(F.col(b)))
+    about = some.select(key, F.col(owner).alias("owner"), F.lower(text_or_empty(F.col(owner))).alias("__o"), filled("stage", "page_type").alias("stage"), filled("source_url", "final_url").alias("source_url"))
+    got = first_of_key(extract_pairs(some.select(key, "text"), key, **pairs).join(about, key), "__o", [key, "pos"])
+    told = F.coalesce(F.nullif(category(F.col("question"), F.col("answer"), lexicon, ""), F.lit("")), F.col("stage"))
+    return got.withColumn("category", told).withColumn("risk_level", risk_level(F.col("question"), F.col("answer"), F.col("category"))).select(key, "pos", "question", "answer", F.col("owner").alias(owner), "stage", "category", "risk_level", "source_url")
+
+
 def category(question: Column, answer: Column, lexicon: L.Lexicon = L.CATEGORIES, default: str = "general") -> Column:
     return first_label(F.lower(F.concat_ws(" ", text_or_empty(question), text_or_empty(answer))), lexicon, default)
 

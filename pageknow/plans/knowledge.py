@@ -40,6 +40,13 @@ def faq_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.first_of_key(pairs, "source", ["doc_id", "pos"]).select("doc_id", "pos", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"), F.length("answer").alias("n_chars"))
 
 
+def faq_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of the documents of four sources that count as FAQ pages, by their language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")).alias("source"), F.when(F.col("lang") == "en", "faq").otherwise("page").alias("page_type"), F.lit("").alias("stage"), F.lit("").alias("source_url"), F.concat(F.lit("https://f.example/"), "doc_id").alias("final_url"), "text")
+    got = Q.faq_items(d, "doc_id", "source", owners=["src1", "SRC2", "src3", "src4"], lexicon={k: (*v, *L.CATEGORIES[k]) for k, v in CATEGORIES.items()}, starters=STARTERS, starters_zh=("ción",), most=120)
+    return got.select("doc_id", "pos", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"), "source", "stage", "category", "source_url")
+
+
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _qa(spark, sf_dir).withColumns({"owner": (F.col("conv_id") % 5).cast("string"), "source_url": F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("https://c.example/"), F.col("conv_id").cast("string"))).otherwise("")})
     p = p.withColumn("question", F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("Q1: "), "question", F.lit("?"))).otherwise(F.col("question")))
@@ -110,7 +117,7 @@ def evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", "evidence_id", "task_keyword_hit_count", "field_keyword_hit_count", "source_stage_match", "source_page_type", "low_quality_flags", "quality_score", "quality_decision")
 
 
-QUERIES = {f.__name__: f for f in (question_lines, faq_extract, qa_quality, qa_quality_counts, keyword_category, argmax_label, sentence_split, pattern_extract, sentence_flags, evidence_extract, source_catalog, evidence_audit)}
+QUERIES = {f.__name__: f for f in (question_lines, faq_extract, faq_items, qa_quality, qa_quality_counts, keyword_category, argmax_label, sentence_split, pattern_extract, sentence_flags, evidence_extract, source_catalog, evidence_audit)}
 
 
 def _prefix(x: str) -> str:
@@ -193,6 +200,12 @@ ORACLES = {
         c AS (SELECT doc_id, source, pos, question, left({sql_squeeze("coalesce(a, '')")}, 1600) AS answer FROM b),
         d AS (SELECT * FROM c WHERE length(answer) >= 30 AND length(question) >= 5 QUALIFY row_number() OVER (PARTITION BY source, {sql_key('question')} ORDER BY doc_id, pos) = 1)
         SELECT doc_id, CAST(pos AS INT) AS pos, md5(question) AS question_md5, md5(answer) AS answer_md5, CAST(length(answer) AS INT) AS n_chars FROM d""",
+    "faq_items": f"""WITH {LINES.replace("source, unnest(range", "CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS source, unnest(range").replace("AS l FROM documents)", "AS l FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3', 'src4'))")}, g AS (SELECT *, sum(CAST(q AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS grp, NOT q AND NOT {NAV} AS u FROM z),
+        h AS (SELECT *, coalesce(sum(CAST(u AS INT)) OVER w, 0) AS n, coalesce(sum(CASE WHEN u THEN length(line) + 1 ELSE 0 END) OVER w, 0) - 1 AS ch FROM g WHERE grp > 0 WINDOW w AS (PARTITION BY doc_id, grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        b AS (SELECT doc_id, any_value(source) AS source, min(pos) FILTER (q) AS pos, min(s) FILTER (q) AS question, string_agg(line, ' ' ORDER BY pos) FILTER (u AND n < 14 AND ch < 1400) AS a FROM h GROUP BY doc_id, grp),
+        c AS (SELECT doc_id, source, pos, question, left({sql_squeeze("coalesce(a, '')")}, 1600) AS answer FROM b),
+        d AS (SELECT *, lower(question || ' ' || answer) AS t FROM c WHERE length(answer) >= 30 AND length(question) >= 5 QUALIFY row_number() OVER (PARTITION BY lower(source), {sql_key('question')} ORDER BY doc_id, pos) = 1)
+        SELECT doc_id, CAST(pos AS INT) AS pos, md5(question) AS question_md5, md5(answer) AS answer_md5, source, 'faq' AS stage, CASE {' '.join(f"WHEN {sql_contains('t', (*v, *L.CATEGORIES[k]))} THEN '{k}'" for k, v in CATEGORIES.items())} ELSE 'faq' END AS category, 'https://f.example/' || doc_id AS source_url FROM d""",
     "qa_quality": f"WITH {REPORT} SELECT conv_id, turn, md5(q) AS q_md5, md5(a) AS a_md5, CAST(score AS INT) AS quality_score, decision, array_to_string(CASE WHEN again THEN list_append(notes, 'duplicate_question_for_school') ELSE notes END, '; ') AS quality_notes FROM rep",
     "qa_quality_counts": f"WITH {REPORT} SELECT owner, decision, count(*) AS n, CAST(min(score) AS INT) AS least, CAST(max(score) AS INT) AS most FROM rep GROUP BY ALL",
     "keyword_category": f"""WITH x AS (SELECT doc_id, lower(split_part(text, chr(10), 1) || ' ' || text) AS t, lower(' ' || text) AS u FROM documents), c AS (SELECT doc_id, u, CASE {' '.join(f"WHEN {sql_contains('t', (*v, *L.CATEGORIES[k]))} THEN '{k}'" for k, v in CATEGORIES.items())} ELSE 'general' END AS category FROM x)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageknow.functions import lexicon as L
+from pageknow.functions import templates as FIXED
 from pageknow.operators import agenda as G
 from pageknow.operators import chunks as C
 from pageknow.operators import enrich as N
@@ -15,6 +16,8 @@ from pageknow.operators import planning as PL
 from pageknow.operators import review as R
 from pageknow.operators import state as S
 from pageknow.plans.common import quoted, sql_chunks, sql_contains, sql_found, sql_hits, sql_squeeze, table
+from pageknow.sources import archive as A
+from pageknow.sources import commits as K
 from pageknow.sources import tables as T
 from pageknow.streaming import incremental as X
 
@@ -184,6 +187,16 @@ def seed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PL.seed_tasks(n, "n_name", TEMPLATES, "urls").select("n_nationkey", "task_id", "stage", "risk_level", "action_url")
 
 
+def seed_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight fixed tasks of every supplier, with the link that its catalogue has for each."""
+    kinds = ("offer_holder", "visa", "accommodation", "tuition", "admitted_student", "official_website")
+    keep = lambda i: F.when(F.col("s_suppkey") % (i + 2) != 0, F.concat(F.lit(f"https://{kinds[i]}.example/"), F.col("s_suppkey"))).otherwise("")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), keep(i))]).alias("urls"))
+    t = PL.eligible(PL.seed_tasks(s, "s_suppkey", list(FIXED.TASKS), "urls").withColumns({"completed_flags": F.array().cast("array<string>"), "has_conditional_offer": F.lit(None).cast("boolean")}))
+    text = F.md5(F.concat_ws("|", "task_name", "description", "trigger_condition", "deadline", "required_documents"))
+    return t.select("s_suppkey", "task_id", "stage", "risk_level", "action_url", text.alias("texts_md5"))
+
+
 def _done(f: str) -> Column:
     return F.array_contains("completed_flags", F.lit(f))
 
@@ -254,6 +267,13 @@ def agenda_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _agenda(spark, sf_dir)[0].select("user_id", "task_id", "anchor_kind", F.date_format("anchor_at", "yyyy-MM-dd HH:mm:ss").alias("anchor_at"), "bucket")
 
 
+def dashboard_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all customers, and for suppliers, who have no states."""
+    a, st = _agenda(spark, sf_dir)
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).unionAll(table(spark, sf_dir, "supplier").select(-F.col("s_suppkey")))
+    return G.summary(st, a, users=users)
+
+
 def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, st = _agenda(spark, sf_dir)
     return G.summary(st, a)
@@ -301,6 +321,38 @@ def capture_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.match_captures(cap, reg)
 
 
+def scan_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV, every 17th line damaged, and read back: good rows, and damaged lines as they stand."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    path = X.scratch(spark, "csv")
+    line = F.concat_ws(",", F.when(F.col("c_custkey") % 17 == 0, F.concat(F.lit("x"), F.col("c_custkey"))).otherwise(F.col("c_custkey").cast("string")), "c_name", F.col("c_nationkey").cast("string"))
+    c.select(line.alias("value")).write.text(path)
+    good, bad = T.scan_rescued(spark, path, "c_custkey long, c_name string, c_nationkey int", header=False)
+    return good.select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("what"), F.lit("row").alias("kind")).unionAll(bad.select(F.regexp_extract("line", "^x([0-9]+)", 1), "line", F.lit("reject")))
+
+
+def archive_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archive files, a file a page, some without a header and some without a url, read back and parsed."""
+    p, path = table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").alias("n")), X.scratch(spark, "archive")
+    head = {"page": F.col("page_id").cast("string"), "url": F.col("url")}
+    raw = F.when(F.col("page_id") % 11 == 0, F.col("url")).when(F.col("page_id") % 7 == 0, A.to_archive({"page": head["page"]}, F.lit("x"))).otherwise(A.to_archive(head, F.concat(F.lit("Body of "), F.col("n"))))
+    p.select("page_id", raw.alias("value")).repartition(8, "page_id").write.partitionBy("page_id").text(path)
+    pages, rejects = A.read_parsed(spark, path, ["page", "url"])
+    number = F.regexp_extract("raw_file", "page_id=([0-9]+)", 1).cast("long").alias("page_id")
+    return pages.select(number, "url", F.trim(F.replace("body", F.lit("\n"), F.lit(""))).alias("body"), F.lit("").alias("error")).unionAll(rejects.select(number, F.lit(""), F.lit(""), "error"))
+
+
+def capture_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a registry, each conversation turn as a capture: pages imported, their log rows, and rejects."""
+    reg = table(spark, sf_dir, "pages").select(F.concat(F.lit("S"), (F.col("page_id") % 40).cast("string")).alias("school"), F.when(F.col("page_id") % 3 == 0, "FAQ").otherwise("page").alias("page_type"), F.lit("general").alias("stage"), "url")
+    c = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn", "role").alias("capture_id"), F.concat(F.lit("s"), (F.col("conv_id") % 45).cast("string")).alias("school"), F.when(F.col("turn") % 2 == 0, "faq").otherwise("PAGE").alias("page_type"),
+        F.lit("").alias("url"), F.when(F.col("turn") > 1, "  Given ").otherwise("").alias("title"), F.concat(F.lit(" a\t b\u00a0c \n\n\nlast "), F.col("turn")).alias("text"))
+    some = reg.where("page_type = 'page' OR school < 'S3'").groupBy("school", "page_type", "stage").agg(F.min("url").alias("url"))
+    _, log, rejects = T.import_captures(c, some.unionByName(reg.where("school = 'S7'")), "2026-01-01")
+    return log.select(F.substring_index("error", "=", -1).alias("capture_id"), "source_url", "title", "raw_file", "char_count", F.lit("").alias("error")).unionAll(rejects.select("capture_id", F.lit(""), F.lit(""), F.lit(""), F.lit(0), "error"))
+
+
 def layer_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     first, second = o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("reviewed").alias("note")), o.where("o_orderpriority < '3'").select("o_orderkey", F.lit("enriched").alias("note"))
@@ -326,15 +378,20 @@ def source_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks published as a version of a stage table and read back."""
     path = X.scratch(spark, "stage")
-    T.write_stage(C.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text")), path, ["doc_id", "chunk_index", "text"])
-    return spark.read.parquet(path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    K.publish(C.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "text"), path)
+    return K.current(spark, path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     old, new = e.where("event_type <> 'click'").drop("props"), e.where("event_type = 'click'").drop("value")
-    x = T.append_log(old, new)
+    root = X.scratch(spark, "events")
+    K.append(old, root, 1)
+    K.append(new, root, 2)
+    K.append(new, root, 2)  # played again: nothing
+    x = K.read(spark, root)
     return x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("props").alias("with_props"), F.count("value").alias("with_value"))
 
 
@@ -348,7 +405,7 @@ def artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     enrich_entities, ordered_topn_agg, code_infer, trace_summary, review_queue, review_init, review_apply, review_summary, review_pending, latest_status, coverage_report, entity_detect, intent_route, completion_flags, profile_merge,
-    seed_tasks, plan_tasks, risk_flags, state_upsert, state_lookup, reminders, agenda_buckets, dashboard_summary, stream_latest_status, stream_state_upsert, scan_lenient, registry_validate, capture_match, layer_fallback, url_catalog,
+    seed_tasks, seed_templates, plan_tasks, risk_flags, state_upsert, state_lookup, reminders, agenda_buckets, dashboard_summary, dashboard_users, stream_latest_status, stream_state_upsert, scan_lenient, registry_validate, scan_rescued, archive_read, capture_import, capture_match, layer_fallback, url_catalog,
     alias_canonical, source_select, sink_roundtrip, log_append, schema_dictionary, artifact_manifest,
 )}
 
@@ -412,7 +469,21 @@ _RISKS = (
     ("NOT list_contains(flags, 'registered')", 1, "medium", "not_registered", "'registration'"), ("asked <> '' AND nev = 0", 1, "medium", "no_evidence_found", "asked"),
 )
 LATEST_COLS = "la.event_type AS latest_event_type, round(la.value, 4) AS latest_value, us.event_type AS usable_event_type"
+_SEEDED = ("offer_holder", "visa", "accommodation", "tuition", "admitted_student", "official_website")
+
+
+def _seed_url(keys: tuple[str, ...]) -> str:
+    have = [f"CASE WHEN s_suppkey % {_SEEDED.index(k) + 2} <> 0 THEN 'https://{k}.example/' || s_suppkey END" for k in keys if k in _SEEDED]
+    return f"coalesce({', '.join(have)}, '')"
+
+
+_SEEDS = " UNION ALL ".join(
+    f"SELECT s_suppkey, s_suppkey || '-{t.code}' AS task_id, '{t.stage}' AS stage, '{t.risk}' AS risk_level, {_seed_url(t.url_keys)} AS action_url, md5({quoted(['|'.join((t.name, t.description, t.trigger_condition, t.deadline, t.required_documents))])}) AS texts_md5 FROM supplier"
+    for t in FIXED.TASKS
+)
+
 ORACLES = {
+    "seed_templates": _SEEDS,
     "enrich_entities": f"WITH {ENRICHED} SELECT * FROM en",
     "ordered_topn_agg": f"""WITH {EVID}, one AS (SELECT *, row_number() OVER (PARTITION BY task_key, evidence_type, lower(evidence_text) ORDER BY day, evidence_id) AS f FROM ev), few AS (SELECT * FROM one WHERE f = 1 QUALIFY row_number() OVER (PARTITION BY task_key, evidence_type ORDER BY day, evidence_id) <= 2)
         SELECT task_key, evidence_type, string_agg(evidence_text, ' | ' ORDER BY day, evidence_id) AS joined FROM few GROUP BY 1, 2""",
@@ -459,12 +530,22 @@ ORACLES = {
         WHERE status NOT IN ('done', 'skipped') AND (deadline_at <> '' OR reminder_at <> '')""",
     "agenda_buckets": f"WITH {AGENDA} SELECT user_id, task_id, kind AS anchor_kind, strftime(tm, '%Y-%m-%d %H:%M:%S') AS anchor_at, bucket FROM ab",
     "dashboard_summary": f"""WITH {AGENDA} SELECT user_id, count(*) AS state_count, count(*) FILTER (done) AS completed_count, count(*) AS reminder_count, {', '.join(f"count(*) FILTER (bucket = '{b}') AS {b}_count" for b in ('overdue', 'today', 'upcoming', 'later'))}, '' AS hints FROM ab GROUP BY 1""",
+    "dashboard_users": f"""WITH {AGENDA}, x AS (SELECT user_id, count(*) AS n, count(*) FILTER (done) AS d, {', '.join(f"count(*) FILTER (bucket = '{b}') AS {b}_count" for b in ('overdue', 'today', 'upcoming', 'later'))} FROM ab GROUP BY 1)
+        SELECT coalesce(c_custkey, user_id) AS user_id, coalesce(n, 0) AS state_count, coalesce(d, 0) AS completed_count, coalesce(n, 0) AS reminder_count, {', '.join(f"coalesce({b}_count, 0) AS {b}_count" for b in ('overdue', 'today', 'upcoming', 'later'))},
+          CASE WHEN n IS NULL THEN '{"; ".join(('no_states', 'no_reminders', 'no_agenda'))}' ELSE '' END AS hints FROM (SELECT c_custkey FROM customer UNION SELECT -s_suppkey FROM supplier) FULL JOIN x ON c_custkey = user_id""",
     "stream_latest_status": f"WITH {LATEST} SELECT la.user_id AS c_custkey, {LATEST_COLS}, n AS attempt_count, k AS success_count FROM la LEFT JOIN us ON us.user_id IS NOT DISTINCT FROM la.user_id JOIN ct ON ct.user_id IS NOT DISTINCT FROM la.user_id",
     "stream_state_upsert": f"WITH {UPDATES} SELECT user_id, task_id, task_code, status, seq FROM st",
     "scan_lenient": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, coalesce(c_name, '') AS c_name, '' AS c_acctbal, coalesce(c_mktsegment, '') AS c_mktsegment, '' AS c_remark FROM customer",
     "registry_validate": "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(url, 'http', 'ftp') ELSE url END AS url, CAST(CASE WHEN page_id % 3 = 0 THEN 3 ELSE page_id % 4 END AS INT) AS priority, CASE WHEN page_id % 2 = 0 THEN 'yes' ELSE '' END AS need_dynamic, page_id % 5 <> 0 AS valid_url FROM pages",
     "capture_match": """WITH r AS (SELECT lower(regexp_extract(url, '[.]([a-z]+)[.](?:com|net|org)', 1) || '-' || regexp_extract(url, '/(en|de|fr|es)/', 1)) AS s, CASE WHEN regexp_matches(url, '[.]html') THEN 'page' ELSE 'faq' END AS p, url FROM pages), g AS (SELECT s, p, count(*) AS n, min(url) AS url FROM r GROUP BY 1, 2)
         SELECT doc_id AS capture_id, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN g.url ELSE '' END AS url, CASE WHEN n IS NULL THEN 'no_source' WHEN n > 1 THEN 'several_sources' ELSE '' END AS error FROM documents LEFT JOIN g ON g.s = 'example-' || lang AND g.p = CASE WHEN source = 'src1' THEN 'page' ELSE 'faq' END""",
+    "scan_rescued": "SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 17 = 0 THEN 'x' || c_custkey || ',' || c_name || ',' || c_nationkey ELSE c_name END AS what, CASE WHEN c_custkey % 17 = 0 THEN 'reject' ELSE 'row' END AS kind FROM customer",
+    "archive_read": "SELECT page_id, CASE WHEN page_id % 11 = 0 OR page_id % 7 = 0 THEN '' ELSE url END AS url, CASE WHEN page_id % 11 = 0 OR page_id % 7 = 0 THEN '' ELSE 'Body of ' || length(html) END AS body, CASE WHEN page_id % 11 = 0 THEN 'no_header' WHEN page_id % 7 = 0 THEN 'missing: url' ELSE '' END AS error FROM pages",
+    "capture_import": """WITH r AS (SELECT 'S' || (page_id % 40) AS s, CASE WHEN page_id % 3 = 0 THEN 'FAQ' ELSE 'page' END AS p, url FROM pages), g AS (SELECT s, p, min(url) AS url FROM r WHERE p = 'page' OR s < 'S3' GROUP BY 1, 2 UNION ALL SELECT * FROM r WHERE s = 'S7'),
+        k AS (SELECT lower(s) AS ls, lower(p) AS lp, count(*) AS n, any_value(s) AS s, any_value(p) AS p, min(url) AS url FROM g GROUP BY 1, 2),
+        c AS (SELECT concat_ws('-', conv_id, turn, role) AS capture_id, 's' || (conv_id % 45) AS ls, CASE WHEN turn % 2 = 0 THEN 'faq' ELSE 'page' END AS lp, turn, coalesce(n, 0) AS n, s, p, url FROM conversations LEFT JOIN k ON k.ls = 's' || (conv_id % 45) AND k.lp = CASE WHEN turn % 2 = 0 THEN 'faq' ELSE 'page' END)
+        SELECT capture_id, CASE WHEN n = 1 THEN url ELSE '' END AS source_url, CASE WHEN n <> 1 THEN '' WHEN turn > 1 THEN 'Given' ELSE s || ' ' || p || ' manual capture' END AS title,
+          CASE WHEN n = 1 THEN lower(s) || '__' || lower(p) || '__' || left(sha1(url), 10) || '.txt' ELSE '' END AS raw_file, CAST(CASE WHEN n = 1 THEN 12 + length(CAST(turn AS VARCHAR)) ELSE 0 END AS INT) AS char_count, CASE n WHEN 0 THEN 'no_source' WHEN 1 THEN '' ELSE 'several_sources' END AS error FROM c""",
     "layer_fallback": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'reviewed' WHEN o_orderpriority < '3' THEN 'enriched' ELSE o_orderpriority END AS note, 'reviewed' AS requested_layer, CASE WHEN o_orderstatus = 'F' THEN 'reviewed' WHEN o_orderpriority < '3' THEN 'enriched' ELSE 'built_in' END AS effective_layer FROM orders",
     "url_catalog": """WITH s AS (SELECT s_nationkey AS k, CASE WHEN s_acctbal > 3000 THEN 'visa' ELSE 'pay' END AS pt, CASE WHEN s_acctbal > 6000 THEN 'pay' ELSE 'general' END AS sg, 'https://s.example/' || s_suppkey AS url, s_suppkey AS q FROM supplier),
         e AS (SELECT n_nationkey AS k, 'offer' AS kind, 'https://a.example/' || n_name AS url, 0 AS l FROM nation UNION ALL SELECT n_nationkey, 'visa', CASE WHEN n_regionkey = 2 THEN '' ELSE 'https://b.example/' || n_name END, 0 FROM nation UNION ALL SELECT k, pt, arg_max(url, q), 1 FROM s GROUP BY 1, 2 UNION ALL SELECT k, sg, arg_min(url, q), 2 FROM s GROUP BY 1, 2)

@@ -16,6 +16,18 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("raw_file"), F.col("value").alias("raw"))
 
 
+def read_parsed(spark: SparkSession, path: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pages, rejects) of a folder of archived pages: (raw_file, fields .., body), and (raw_file, error) of files without a
+    header or without one of the fields."""
+    header, body = parse(F.col("raw"))
+    x = read_archive(spark, path).withColumns({"__h": header, "body": body})
+    lacking = F.array_compact(F.array(*[F.when(F.element_at("__h", f).isNull(), F.lit(f)) for f in fields]))
+    error = F.when(F.size("__h") == 0, "no_header").when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.array_join(lacking, ", "))).otherwise("")
+    x = x.withColumn("error", error)
+    pages = x.where("error = ''").select("raw_file", *[F.element_at("__h", f).alias(f) for f in fields], "body")
+    return pages, x.where("error <> ''").select("raw_file", "error")
+
+
 def to_archive(header: dict[str, Column], body: Column) -> Column:
     """The archive text of a page."""
     lines = [F.concat(F.lit(f"{k}: "), F.regexp_replace(text_or_empty(c), LINE_BREAK, " ")) for k, c in header.items()]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from pageknow.functions.text import text_or_empty, to_int
+from pageknow.sources.commits import written
 
 
 def conform(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,12 +90,42 @@ def canonical(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
 
 def match_captures(captures: DataFrame, registry: DataFrame) -> DataFrame:
     """Captured pages and their registry row: (capture_id, matches, url, error). Exactly one row must match by school and page
-    type, and by url where the capture names one."""
-    c, r = captures.alias("c"), registry.alias("r")
-    on = (F.lower("c.school") == F.lower("r.school")) & (F.lower("c.page_type") == F.lower("r.page_type")) & ((text_or_empty(F.col("c.url")) == "") | (F.col("c.url") == F.col("r.url")))
-    got = c.join(r, on, "left").groupBy("c.capture_id").agg(F.count("r.url").alias("matches"), F.min("r.url").alias("url"))
+    type, and by url where the capture names one. The registry is counted by its keys first, so each capture meets one row."""
+    keyed = registry.select(F.lower("school").alias("__s"), F.lower("page_type").alias("__p"), "url")
+    pages = keyed.groupBy("__s", "__p").agg(F.count("url").alias("n"), F.min("url").alias("u"))
+    exact = keyed.groupBy("__s", "__p", F.col("url").alias("__u")).agg(F.count("url").alias("k"))
+    c = captures.select("capture_id", F.lower("school").alias("__s"), F.lower("page_type").alias("__p"), text_or_empty(F.col("url")).alias("__u"))
+    got = c.join(pages, ["__s", "__p"], "left").join(exact, ["__s", "__p", "__u"], "left")
+    got = got.withColumn("matches", F.coalesce(F.when(F.col("__u") == "", F.col("n")).otherwise(F.col("k")), F.lit(0).cast("long")))
     error = F.when(F.col("matches") == 0, "no_source").when(F.col("matches") > 1, "several_sources").otherwise("")
-    return got.select("capture_id", "matches", F.when(F.col("matches") == 1, F.col("url")).otherwise("").alias("url"), error.alias("error"))
+    url = F.when(F.col("matches") == 1, F.when(F.col("__u") == "", F.col("u")).otherwise(F.col("__u"))).otherwise("")
+    return got.select("capture_id", "matches", url.alias("url"), error.alias("error"))
+
+
+def import_captures(captures: DataFrame, registry: DataFrame, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, log, rejects) of captured pages (capture_id, school, page_type, url, title, text). Pages: the registry's school,
+    page type, stage and url, a title, and the text repaired; log: a row a page as a fetch writes it; rejects: (capture_id, error) of
+    captures that match no registry row or several. ``registry``: (school, page_type, stage, url)."""
+    from pageknow.operators.pages import raw_filename, repair_pasted
+
+    matched = match_captures(captures, registry)
+    rejects = matched.where("error <> ''").select("capture_id", "error")
+    rows = registry.select(F.lower("school").alias("__s"), F.lower("page_type").alias("__p"), F.col("url").alias("__u"), F.col("school").alias("r_school"), F.col("page_type").alias("r_type"), F.col("stage").alias("r_stage"))
+    c = captures.select("capture_id", F.lower("school").alias("__s"), F.lower("page_type").alias("__p"), "title", "text").join(matched.where("error = ''").select("capture_id", F.col("url").alias("__u")), "capture_id")
+    j = c.join(rows, ["__s", "__p", "__u"])
+    title = F.coalesce(F.nullif(F.trim(text_or_empty(F.col("title"))), F.lit("")), F.concat_ws(" ", "r_school", "r_type", F.lit("manual capture")))
+    pages = j.select("capture_id", F.col("r_school").alias("school"), F.col("r_type").alias("page_type"), F.col("r_stage").alias("stage"), F.col("__u").alias("source_url"), title.alias("title"), repair_pasted(F.col("text")).alias("text"))
+    log = pages.select("school", "page_type", "stage", "source_url", F.col("source_url").alias("final_url"), F.lit("success").alias("status"), "title", F.lit(at).alias("crawled_at"), raw_filename(F.col("school"), F.col("page_type"), F.col("source_url")).alias("raw_file"),
+                       F.lit("text/plain").alias("content_type"), F.length("text").alias("char_count"), F.concat(F.lit("manual_capture_from="), F.col("capture_id").cast("string")).alias("error"))
+    return pages, log, rejects
+
+
+def scan_rescued(spark: SparkSession, path: str, schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of CSV files: rows that fit the schema, and (file, line) of those that do not, which are kept
+    as they stand. Quoted values may not span lines, as a damaged quote would then swallow the rows after it."""
+    whole = spark.read.schema(f"{schema}, __line string").options(header=header, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="__line").csv(path)
+    read = written(whole.withColumn("__file", F.col("_metadata.file_path")), "scan")  # parsed once, for both
+    return read.where("__line IS NULL").drop("__line", "__file"), read.where("__line IS NOT NULL").select(F.col("__file").alias("file"), F.col("__line").alias("line"))
 
 
 def write_stage(df: DataFrame, path: str, columns: list[str], format: str = "parquet") -> None:  # noqa: A002

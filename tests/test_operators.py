@@ -259,6 +259,71 @@ def test_state_replay_twin(spark, tmp_path):
         state.with_ids(df.withColumn("status", F.lit("odd"))).collect()
 
 
+def test_states_in_buckets(spark, tmp_path):
+    """A batch of one user rewrites one bucket; a batch played again, or one that died before its manifest, changes nothing."""
+    df, _ = updates(spark)
+    log, root = state.with_ids(df), f"file://{tmp_path}/states"
+    assert incremental.put_states(log.where("seq < 200"), 0, root, buckets=16)
+    before = incremental._manifest(spark, root)[1]
+    one = log.where("seq >= 200 AND user_id = 2")
+    assert incremental.put_states(one, 1, root, buckets=16)
+    after = incremental._manifest(spark, root)[1]
+    assert sum(before.get(b) != after.get(b) for b in before.keys() | after.keys()) == 1
+    want = sorted(map(tuple, state.upsert(state.replay(log.where("seq < 200")), one).collect()))
+    assert sorted(map(tuple, incremental.current_states(spark, root, log.schema).collect())) == want
+    assert not incremental.put_states(one, 1, root, buckets=16) and not incremental.put_states(log, 0, root, buckets=16)
+    one.write.parquet(f"{root}/attempts/{2:020d}-died")
+    assert sorted(map(tuple, incremental.current_states(spark, root, log.schema).collect())) == want
+    gone = incremental.collect_old_states(spark, root)
+    assert f"{2:020d}-died" in gone and sorted(map(tuple, incremental.current_states(spark, root, log.schema).collect())) == want
+    assert incremental.put_states(one.limit(0), 3, root, buckets=16) and incremental._manifest(spark, root)[1] == after
+
+
+def test_status_of_changed_keys(spark, tmp_path):
+    """The second batch writes its own sources only; a log row sent twice counts once."""
+    kind = "school string, status string, at timestamp, seq long"
+    t = lambda h: dt.datetime(2026, 1, 1, h)
+    path, once, out = str(tmp_path / "log"), f"file://{tmp_path}/once", f"file://{tmp_path}/out"
+    parts = [[("A", "success", t(1), 1), ("B", "error", t(1), 2)], [("B", "success", t(2), 3), ("A", "success", t(1), 1)], [("B", "success", t(2), 3)]]
+    sizes = []
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+        schema = incremental.without_repeats(incremental.stream(spark, path, spark.createDataFrame([], kind).schema), once, str(tmp_path / "cp1"), ["seq"], "at")
+        got = incremental.latest_status(incremental.stream(spark, f"{tmp_path}/once/attempts/*", schema), out, str(tmp_path / "cp2"), ["school"], ["status"], "status", "at", "seq")
+        sizes.append(incremental.commits.read(spark, out).count())
+    by = {r.school: (r.latest.status, r.attempt_count, r.success_count) for r in got.collect()}
+    assert by == {"A": ("success", 1, 1), "B": ("success", 2, 1)}
+    assert sizes == [2, 3, 3]
+    # a batch that runs again after its commit writes nothing
+    assert not incremental.commits.append(got, out, 0)
+    assert incremental.current_status(spark, f"file://{tmp_path}/none", ["school"]) is None
+
+
+def test_captures(spark):
+    reg = spark.createDataFrame([("A", "faq", "visa", "u1"), ("A", "faq", "visa", "u2"), ("B", "page", "housing", "u3"), ("B", "page", "housing", "u3b"), ("C", "page", "x", "u4")], "school string, page_type string, stage string, url string")
+    rows = [(1, "a", "FAQ", "", "", "t"), (2, "a", "faq", "u2", "T", " x\u00a0 y \n\n\ny\ny"), (3, "c", "Page", None, "", None), (4, "d", "page", "", "", "t"), (5, "b", "page", "zzz", "", "t"), (6, None, None, None, None, None)]
+    cap = spark.createDataFrame(rows, "capture_id int, school string, page_type string, url string, title string, text string")
+    pages_, log, rejects = tables.import_captures(cap, reg, "now")
+    assert {tuple(r) for r in rejects.collect()} == {(1, "several_sources"), (4, "no_source"), (5, "no_source"), (6, "no_source")}
+    got = {r.capture_id: r for r in pages_.collect()}
+    assert (got[2].text, got[2].title, got[2].stage, got[2].source_url) == ("x y\n\ny", "T", "visa", "u2") and got[3].title == "C page manual capture" and got[3].text == ""
+    assert {(r.source_url, r.char_count, r.error) for r in log.collect()} == {("u2", 6, "manual_capture_from=2"), ("u4", 0, "manual_capture_from=3")}
+
+
+def test_damaged_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,s\n1,"x ""y"""\noops\n2,z\nq,w\n')
+    good, bad = tables.scan_rescued(spark, f"file://{tmp_path}/a.csv", "n int, s string")
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 'x "y"'), (2, "z")] and sorted(r.line for r in bad.collect()) == ["oops", "q,w"]
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    (folder / "1.txt").write_text("a: 1\nb: 2\n---\nbody\n---\nmore")
+    (folder / "2.txt").write_text("no header at all")
+    (folder / "3.txt").write_text("a: 1\n---\n")
+    ok, rejects = archive.read_parsed(spark, f"file://{folder}", ["a", "b"])
+    assert [(r.a, r.b, r.body) for r in ok.collect()] == [("1", "2", "body\n---\nmore")]
+    assert sorted(r.error for r in rejects.collect()) == ["missing: b", "no_header"]
+
+
 def test_profiles(spark):
     a = spark.createDataFrame([(1, "x", ["f"], True), (2, "y", None, None)], "u int, o string, completed_flags array<string>, has_conditional_offer boolean")
     b = spark.createDataFrame([(1, "", ["g"], None), (3, "z", [], False)], "u int, o string, completed_flags array<string>, has_conditional_offer boolean")
@@ -318,6 +383,71 @@ def test_fixed_words(spark):
     assert got[4].stage == "visa" and "pending:visa" in got[4].matched and got[4].page_types == ["visa", "faq"] and got[3].page_types == ["faq"]
 
 
+def test_states_in_buckets(spark, tmp_path):
+    """A batch of one user rewrites one bucket; a batch played again, or one that died before its manifest, changes nothing."""
+    df, _ = updates(spark)
+    log, root = state.with_ids(df), f"file://{tmp_path}/states"
+    assert incremental.put_states(log.where("seq < 200"), 0, root, buckets=16)
+    before = incremental._manifest(spark, root)[1]
+    one = log.where("seq >= 200 AND user_id = 2")
+    assert incremental.put_states(one, 1, root, buckets=16)
+    after = incremental._manifest(spark, root)[1]
+    assert sum(before.get(b) != after.get(b) for b in before.keys() | after.keys()) == 1
+    want = sorted(map(tuple, state.upsert(state.replay(log.where("seq < 200")), one).collect()))
+    assert sorted(map(tuple, incremental.current_states(spark, root, log.schema).collect())) == want
+    assert not incremental.put_states(one, 1, root, buckets=16) and not incremental.put_states(log, 0, root, buckets=16)
+    one.write.parquet(f"{root}/attempts/{2:020d}-died")
+    assert sorted(map(tuple, incremental.current_states(spark, root, log.schema).collect())) == want
+    gone = incremental.collect_old_states(spark, root)
+    assert f"{2:020d}-died" in gone and sorted(map(tuple, incremental.current_states(spark, root, log.schema).collect())) == want
+    assert incremental.put_states(one.limit(0), 3, root, buckets=16) and incremental._manifest(spark, root)[1] == after
+
+
+def test_status_of_changed_keys(spark, tmp_path):
+    """The second batch writes its own sources only; a log row sent twice counts once."""
+    kind = "school string, status string, at timestamp, seq long"
+    t = lambda h: dt.datetime(2026, 1, 1, h)
+    path, once, out = str(tmp_path / "log"), f"file://{tmp_path}/once", f"file://{tmp_path}/out"
+    parts = [[("A", "success", t(1), 1), ("B", "error", t(1), 2)], [("B", "success", t(2), 3), ("A", "success", t(1), 1)], [("B", "success", t(2), 3)]]
+    sizes = []
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+        schema = incremental.without_repeats(incremental.stream(spark, path, spark.createDataFrame([], kind).schema), once, str(tmp_path / "cp1"), ["seq"], "at")
+        got = incremental.latest_status(incremental.stream(spark, f"{tmp_path}/once/attempts/*", schema), out, str(tmp_path / "cp2"), ["school"], ["status"], "status", "at", "seq")
+        sizes.append(incremental.commits.read(spark, out).count())
+    by = {r.school: (r.latest.status, r.attempt_count, r.success_count) for r in got.collect()}
+    assert by == {"A": ("success", 1, 1), "B": ("success", 2, 1)}
+    assert sizes == [2, 3, 3]
+    # a batch that runs again after its commit writes nothing
+    assert not incremental.commits.append(got, out, 0)
+    assert incremental.current_status(spark, f"file://{tmp_path}/none", ["school"]) is None
+
+
+def test_captures(spark):
+    reg = spark.createDataFrame([("A", "faq", "visa", "u1"), ("A", "faq", "visa", "u2"), ("B", "page", "housing", "u3"), ("B", "page", "housing", "u3b"), ("C", "page", "x", "u4")], "school string, page_type string, stage string, url string")
+    rows = [(1, "a", "FAQ", "", "", "t"), (2, "a", "faq", "u2", "T", " x\u00a0 y \n\n\ny\ny"), (3, "c", "Page", None, "", None), (4, "d", "page", "", "", "t"), (5, "b", "page", "zzz", "", "t"), (6, None, None, None, None, None)]
+    cap = spark.createDataFrame(rows, "capture_id int, school string, page_type string, url string, title string, text string")
+    pages_, log, rejects = tables.import_captures(cap, reg, "now")
+    assert {tuple(r) for r in rejects.collect()} == {(1, "several_sources"), (4, "no_source"), (5, "no_source"), (6, "no_source")}
+    got = {r.capture_id: r for r in pages_.collect()}
+    assert (got[2].text, got[2].title, got[2].stage, got[2].source_url) == ("x y\n\ny", "T", "visa", "u2") and got[3].title == "C page manual capture" and got[3].text == ""
+    assert {(r.source_url, r.char_count, r.error) for r in log.collect()} == {("u2", 6, "manual_capture_from=2"), ("u4", 0, "manual_capture_from=3")}
+
+
+def test_damaged_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,s\n1,"x ""y"""\noops\n2,z\nq,w\n')
+    good, bad = tables.scan_rescued(spark, f"file://{tmp_path}/a.csv", "n int, s string")
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 'x "y"'), (2, "z")] and sorted(r.line for r in bad.collect()) == ["oops", "q,w"]
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    (folder / "1.txt").write_text("a: 1\nb: 2\n---\nbody\n---\nmore")
+    (folder / "2.txt").write_text("no header at all")
+    (folder / "3.txt").write_text("a: 1\n---\n")
+    ok, rejects = archive.read_parsed(spark, f"file://{folder}", ["a", "b"])
+    assert [(r.a, r.b, r.body) for r in ok.collect()] == [("1", "2", "body\n---\nmore")]
+    assert sorted(r.error for r in rejects.collect()) == ["missing: b", "no_header"]
+
+
 def test_profiles(spark):
     m = spark.createDataFrame([(1, "I paid the deposit", "HKU", True, False), (2, "my conditional offer", None, False, False), (3, "conditional", None, False, True), (4, None, None, None, None)], "id int, text string, school string, yes boolean, no boolean")
     got = {r.id: r for r in intent.build_profiles(m, given={"registered": F.col("id") == 2}, positive=F.col("yes"), negative=F.col("no")).collect()}
