@@ -28,6 +28,43 @@ def test_parts_of_a_page():
     assert len(main_text("<article>" + "<p>word</p>" * 50_000 + "</article>").split("\n")) == 50_000
 
 
+P1, P2, P3 = "First long paragraph of the text, with words.", "Second long paragraph, which goes on as well.", "Third one, of about the same length as others."
+
+
+def test_forms_of_pages():
+    """Siblings, marked wrappers, links, pages without an article: none loses its text, none gains boilerplate."""
+    both, menu, foot = f"{P1}\n{P2}", "<nav><a href=1>Home</a><a href=2>News</a></nav>", "<footer>&copy; us</footer>"
+    side, comments = "<div class='sidebar'><p>Some side text here, not very short.</p></div>", "<section class='comments'><p>A reader writes something quite long about all of it here.</p></section>"
+    body = f"<p>{P1}</p><p>{P2}</p>"
+    for html in (
+        f"{menu}<article><p>{P1}</p></article><article><p>{P2}</p></article>{foot}",
+        f"{menu}<div class='layout with-sidebar'><article>{body}</article>{side}</div>{foot}",
+        f"<div class='content comments-open'><article>{body}</article>{comments}</div>{foot}",
+        f"{menu}<main class='search-results'>{body}</main>{foot}",
+        f"{menu}<div id='share-price-report'>{body}</div>{foot}",
+        f"{menu}<div id='sidebar-page'><div class='ad-free social'><article>{body}</article></div></div>{side}",
+        f"{menu}<section><p>{P1}</p></section><div class='ad'><p>Buy this thing now, it is very good.</p></div><section><p>{P2}</p></section>{foot}",
+        f"{menu}<div><p>{P1}</p></div><div class='advert'>Buy this</div><div><p>{P2}</p></div><div class='related'><article><p>Card</p></article></div>",
+        f"<div class='post'>{body}</div>{comments}{side}{foot}",
+        f"<article>{body}</article><section class='comments'>" + "<article class='comment'><p>A comment that is longer than the text itself, by far, and more.</p></article>" * 9 + "</section>",
+        f"<article>{body}</article><aside><p>{P3}</p></aside><div class='related'>" + "<article><p>Teaser text of a card.</p></article>" * 3 + "</div>",
+        f"<table><tr><td>{menu}</td><td>{body}</td></tr></table>",
+    ):
+        assert main_text(html) == both, html
+    assert main_text("<article><a href=x>All of the text is one link</a></article>") == "All of the text is one link"
+    three = f"<div><p>{P1}</p></div><div class='ad'>x</div><div><p>{P2}</p></div><div class='banner'>y</div><div><p>{P3}</p></div>"
+    assert main_text(three) == f"{P1}\n{P2}\n{P3}"
+    assert main_text(f"<div class='cookie-banner'><p>{P3}{P3}{P3}</p></div><h1>Title</h1>{body}") == f"Title\n{both}"
+    assert main_text(f"<div>{body * 4}</div><article><p>tiny</p></article>") == "\n".join([both] * 4)
+
+
+def test_surge_and_dive_without_marks():
+    """Nothing but the lengths of lines: leading and trailing lines of links fall out, short lines between stay."""
+    links = "".join(f"<div><a href=x>Link {i}</a></div>" for i in range(6))
+    assert main_text(f"<body>{links}<h2>Head</h2><p>{P1}</p><p>No.</p><p>{P2}</p>{links}</body>") == f"Head\n{P1}\nNo.\n{P2}"
+    assert stretches([1, 1, 1, 90, 90, 0, 80, 1, 1, 1], 5) == [(1, 7)]
+
+
 def test_pages_against_article_elements(spark):
     import re
     from html import unescape
@@ -71,5 +108,16 @@ def test_rollups_idempotent(spark):
     other = scratch_path(spark, "t2")
     compact(spark, root, other, 3)
     assert sorted(map(tuple, totals(spark, other).collect())) == want
+    for n in (1, 2, 3):  # played again on the folded ones: nothing
+        commit(signed(inserted=rows), other, n)
+    compact(spark, root, other, 3)
+    assert sorted(map(tuple, totals(spark, other).collect())) == want
+    part = scratch_path(spark, "t3")
+    compact(spark, root, part, 1)  # later batches are not folded, and can follow
+    assert sorted(map(tuple, totals(spark, part).collect()), key=str) == sorted(map(tuple, totals(spark, root, 1).collect()), key=str) != want
+    commit(signed(inserted=rows), part, 1)
+    assert sorted(map(tuple, totals(spark, part).collect()), key=str) == sorted(map(tuple, totals(spark, root, 1).collect()), key=str)
+    compact(spark, root, part, 3)  # refused: batch 1 is there
+    assert sorted(map(tuple, totals(spark, part).collect()), key=str) == sorted(map(tuple, totals(spark, root, 1).collect()), key=str)
     commit(signed(inserted=rows.limit(0)), root, 4)
     assert sorted(map(tuple, totals(spark, root).collect())) == want
