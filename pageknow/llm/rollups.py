@@ -50,9 +50,11 @@ def commit(changes: DataFrame, root: str, batch: int) -> None:
     spark.createDataFrame([(int(batch), attempt)], MARKER).coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
 
-def totals(spark: SparkSession, root: str) -> DataFrame:
-    """(source, lang, tokenizer, docs, tokens) over the committed batches; keys whose documents are all gone have no row."""
+def totals(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
+    """(source, lang, tokenizer, docs, tokens) over the committed batches, or those up to a number; keys whose documents are all
+    gone have no row."""
     done = _markers(spark, root)
+    done = done if upto is None else done.where(F.col("batch") <= int(upto))
     if done.isEmpty():
         return spark.createDataFrame([], DELTA)
     deltas = spark.read.schema(DELTA + ", batch long, attempt string").option("basePath", f"{root}/deltas").parquet(f"{root}/deltas")
@@ -61,5 +63,12 @@ def totals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, root: str, new_root: str, upto: int) -> None:
-    """Fold the committed deltas into one batch of another folder, numbered as the last one folded."""
-    commit(totals(spark, root), new_root, upto)
+    """Fold the deltas of the batches committed up to ``upto`` into one of another folder, under the last one's number. The
+    numbers of all of them are committed there, so a batch of them that is played again on the new folder changes nothing,
+    and later ones go on. The markers are written at once and last; a compaction that died before counts for nothing."""
+    folded = [r.batch for r in _markers(spark, root).where(F.col("batch") <= int(upto)).select("batch").collect()]  # one number a batch
+    if not folded or not _markers(spark, new_root).where(F.col("batch").isin(folded)).isEmpty():
+        return
+    last, attempt = max(folded), uuid.uuid4().hex
+    totals(spark, root, upto).write.parquet(f"{new_root}/deltas/batch={last}/attempt={attempt}")
+    spark.createDataFrame([(n, attempt if n == last else "folded") for n in sorted(folded)], MARKER).coalesce(1).write.mode("append").parquet(f"{new_root}/commits")
