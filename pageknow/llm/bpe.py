@@ -35,15 +35,18 @@ PIECE_CHARS = 32_768
 LONG_WORD = 512
 #: Entries of the per-worker memo before it is emptied.
 MEMO_WORDS = 250_000
+#: The same where texts are not decoded; entries are smaller.
+IDS_WORDS = 250_000
 
 
 @dataclass(frozen=True)
 class Outcome:
     """What a row gets of its text: a function of the ids (little-endian, unsigned 32-bit) and the decoded text, and the name,
-    Spark type and Arrow type of each of its values."""
+    Spark type and Arrow type of each of its values. Without ``decoded`` texts are not decoded, and the function gets b""."""
 
     of: Callable[[bytes, bytes], tuple]
     fields: tuple[tuple[str, str, pa.DataType], ...]
+    decoded: bool = True
 
     @property
     def names(self) -> list[str]:
@@ -136,6 +139,10 @@ LOWERING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Repla
 #: Words of these characters, in UTF-8; without "<" they hold no added token.
 PLAIN_WORD = re.compile(rb"(?:[!-;=-~]|\xc3[\x80-\xbf])+")
 
+#: Fixed value: the pattern of a pre-tokenizer under which letters and then marks, without an apostrophe, are two pieces.
+LETTERS_THEN_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+
 
 @lru_cache(maxsize=1)
 def _byte_letters() -> list[str]:
@@ -174,6 +181,7 @@ class _Memo(dict):
         self.names = _pieces_of(path)
         self.codes = [i.to_bytes(4, "little") for i in range(len(self.names))]
         self.splitter, self.model, self.letters = _splitter(path), _tokenizer(path).model, _byte_letters()
+        self.two_pieces = self.splitter is not None and self.splitter.pattern == LETTERS_THEN_MARKS
         self.runs: dict[str, tuple[bytes, bytes]] = {}
 
     def run(self, piece: str) -> tuple[bytes, bytes]:
@@ -182,10 +190,13 @@ class _Memo(dict):
         if got is None:
             if len(self.runs) > MEMO_WORDS:
                 self.runs.clear()
-            letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            got = self.runs[piece] = self.pack([t.id for t in self.model.tokenize(letters)])
+            got = self.runs[piece] = self.pack(self.piece_ids(piece))
         return got
 
+    def piece_ids(self, piece: str) -> list[int]:
+        letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return [t.id for t in self.model.tokenize(letters)]
+
     def __missing__(self, word: bytes):
         text = word.decode()
         if len(text) > LONG_WORD and _safe_to_halve(text):
@@ -203,7 +214,43 @@ class _Memo(dict):
         return b"".join(map(self.codes.__getitem__, ids)), b" ".join(map(self.names.__getitem__, ids))
 
 
+class _Ids(dict):
+    """word -> ids, for texts that are not decoded."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.memo = _memo(path)
+        self.runs: dict[str, bytes] = {}
+
+    def run(self, piece: str) -> bytes:
+        got = self.runs.get(piece)
+        if got is None:
+            if len(self.runs) > IDS_WORDS:
+                self.runs.clear()
+            got = self.runs[piece] = b"".join(map(self.memo.codes.__getitem__, self.memo.piece_ids(piece)))
+        return got
+
+    def of_letters(self, word: bytes) -> bytes | None:
+        """Ids of a word of letters and then marks; None of another."""
+        if not word.isascii() and not PLAIN_WORD.fullmatch(word):
+            return None
+        low = word.decode().lower()
+        letters = low.rstrip(MARKS)
+        if not letters.isalpha():
+            return None
+        return self.run(letters) if len(letters) == len(low) else self.run(letters) + self.run(low[len(letters) :])
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.of_letters(word) if self.memo.two_pieces and len(word) <= 64 else None
+        if ids is None:
+            ids = self.memo[word][0]
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 _MEMOS: dict[str, _Memo] = {}
+_IDS: dict[str, _Ids] = {}
 
 
 def _memo(path: str) -> _Memo:
@@ -222,6 +269,20 @@ def encode_words(path: str, text: bytes) -> tuple[bytes, bytes]:
     return b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])
 
 
+def _ids_memo(path: str) -> _Ids:
+    memo = _IDS.get(path)
+    if memo is None:
+        memo = _IDS[path] = _Ids(path)
+    if len(memo) > IDS_WORDS:
+        memo.clear()
+    return memo
+
+
+def encode_ids(path: str, text: bytes) -> bytes:
+    """Ids of one text, as bytes."""
+    return b"".join(map(_ids_memo(path).__getitem__, text.split()))
+
+
 def _digest(ids: bytes, decoded: bytes) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
@@ -232,11 +293,12 @@ DIGESTS = Outcome(_digest, (("n_tokens", "long", pa.int64()), ("ids_sha256", "st
 
 def _whole(path: str, batches: Iterator[pa.RecordBatch], keep: list[str], outcome: Outcome) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        rows = [outcome.of(*encode_words(path, t or b"")) for t in batch.column("__text").cast(pa.binary()).to_pylist()]
+        texts = [t or b"" for t in batch.column("__text").cast(pa.binary()).to_pylist()]
+        rows = [outcome.of(*encode_words(path, t)) if outcome.decoded else outcome.of(encode_ids(path, t), b"") for t in texts]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *outcome.columns(rows)], [*keep, *outcome.names])
 
 
-def _encode_pieces(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode_pieces(path: str, batches: Iterator[pa.RecordBatch], decoded: bool) -> Iterator[pa.RecordBatch]:
     """Each piece: the words between its first and last white space, and the two open ends. A piece without white space
     is all open; it is encoded here, so that the parts of long unsplit text are encoded in parallel, as (ids, starts, ends)."""
     for batch in batches:
@@ -245,7 +307,8 @@ def _encode_pieces(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             found = [m.start() for m in (re.search(r"[ \t-\r]", text), re.search(r"[ \t-\r][^ \t-\r]*\Z", text)) if m]
             if found:
                 head, body, tail = text[: found[0]], text[found[0] : found[1] + 1], text[found[1] + 1 :]
-                out.append((head, *encode_words(path, body.encode()), tail, True))
+                done = encode_words(path, body.encode()) if decoded else (encode_ids(path, body.encode()), b"")
+                out.append((head, *done, tail, True))
             else:
                 tokens = tree_encode(path, text) if _safe_to_halve(text) else []
                 out.append((text, np.asarray(tokens, dtype="<i8").tobytes(), b"", "", False))
@@ -315,7 +378,7 @@ def encode_documents(
         )).alias("no", "piece"))
     )
     done = (
-        pieces.mapInArrow(lambda it: _encode_pieces(path, it), "__key string, no int, head string, ids binary, decoded binary, tail string, cut boolean")
+        pieces.mapInArrow(lambda it: _encode_pieces(path, it, outcome.decoded), "__key string, no int, head string, ids binary, decoded binary, tail string, cut boolean")
         .groupBy("__key").applyInArrow(lambda t: _assemble(path, t, outcome), f"__key string, {outcome.ddl}")
     )
     joined = long.drop("__text").join(done, "__key").select(*held, *new)

@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, path: str, keep: list[str], p: Params = Params(), pa
     """Pieces of the encoded documents: the columns ``keep``, piece, start, length and the payload of the piece's ids."""
     name, kind, arrow, of = payload
     held = {c: f"c{i}" for i, c in enumerate(keep)}
-    outcome = Outcome(lambda ids, text: _cut(p, of, ids, text), (("n_all", "long", pa.int64()), ("cuts", f"array<{kind}>", pa.list_(arrow))))
+    outcome = Outcome(lambda ids, text: _cut(p, of, ids, text), (("n_all", "long", pa.int64()), ("cuts", f"array<{kind}>", pa.list_(arrow))), decoded=False)
     coded = encode_documents(docs.select(*[docs[c].alias(h) for c, h in held.items()], docs["text"]), path, keep=list(held.values()), outcome=outcome)
     cut = coded.select(*held.values(), "n_all", F.posexplode("cuts").alias("piece", "payload"))
     start = F.col("piece").cast("long") * p.size
