@@ -5,17 +5,17 @@ each term, term prefixes of ``first`` bytes are counted by distinct documents, t
 all terms under them, and the others are extended to twice the length, until only complete terms remain.
 
 Documents are first folded into blocks. A block holds of each (lang, term) at most ``least`` of its documents: to know whether
-a prefix reaches the threshold, more are never needed, as a block with a shortened list reaches it alone. A block also holds
-the occurrences of each (lang, source, term).
+a prefix reaches the threshold, more are never needed, as a block with a shortened list reaches it alone. It also holds the
+occurrences of the term in each of its sources.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -29,12 +29,12 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 NO_TERM = re.compile(rb"[^a-z\x80-\xff]")
 #: Bytes of a text that are split into terms at once.
 SLICE = 1 << 20
-#: A block ends after so many bytes of text or entries.
-BLOCK_BYTES, BLOCK_ENTRIES = 64 << 20, 600_000
+#: A block ends after so many words, or distinct terms.
+BLOCK_WORDS, BLOCK_TERMS = 8_000_000, 600_000
 #: Rows of a batch that leaves a block.
 OUT_ROWS = 50_000
-BLOCKS = "block long, lang string, source string, term binary, n long, docs array<int>"
-FIELDS = {"block": pa.int64(), "lang": pa.string(), "source": pa.string(), "term": pa.binary(), "n": pa.int64(), "docs": pa.list_(pa.int32())}
+BLOCKS = "block long, lang string, term binary, docs array<int>, groups array<int>, counts array<long>"
+NAMES = ["block", "lang", "term", "docs", "groups", "counts"]
 
 
 @dataclass(frozen=True)
@@ -55,65 +55,89 @@ def term_lists(text: bytes) -> Iterator[list[bytes]]:
         at = stop
 
 
+class _Terms(dict):
+    """term -> number in order of arrival."""
+
+    def __missing__(self, term: bytes) -> int:
+        n = self[term] = len(self)
+        return n
+
+
 class _Block:
-    def __init__(self, least: int):
-        self.least = least
-        self.counts: dict[tuple[str, str], Counter] = {}
-        self.docs: dict[str, dict[bytes, list[int]]] = {}
-        self.done: dict[str, set[bytes]] = {}  # terms that have enough documents
-        self.n_docs = self.n_bytes = 0
-
-    def add(self, lang: str, source: str, text: bytes) -> None:
-        counts = self.counts.setdefault((lang, source), Counter())
-        docs, done = self.docs.setdefault(lang, {}), self.done.setdefault(lang, set())
-        fresh: set[bytes] = set()
-        for words in term_lists(text):
-            counts.update(words)
-            fresh.update(set(words).difference(done))
-        for w in fresh:
-            held = docs.setdefault(w, [])
-            held.append(self.n_docs)
-            if len(held) == self.least:
-                done.add(w)
-        self.n_docs += 1
-        self.n_bytes += len(text)
-
-    def full(self) -> bool:
-        return self.n_bytes >= BLOCK_BYTES or sum(map(len, self.counts.values())) + sum(map(len, self.docs.values())) >= BLOCK_ENTRIES
-
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
-        for lang, docs in self.docs.items():
-            yield from _batches(block, lang, None, sorted(docs.items()), False)
-        for (lang, source), counts in self.counts.items():
-            yield from _batches(block, lang, source, sorted(counts.items()), True)
-
-
-def _batches(block: int, lang: str, source: str | None, items: list[tuple[bytes, object]], counted: bool) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(items), OUT_ROWS):
-        terms, values = zip(*items[k : k + OUT_ROWS], strict=True)
-        m = len(terms)
-        got = {"block": [block] * m, "lang": [lang] * m, "source": [source] * m, "term": terms, "n": values if counted else [None] * m, "docs": [None] * m if counted else values}
-        yield pa.RecordBatch.from_arrays([pa.array(got[c], t) for c, t in FIELDS.items()], list(FIELDS))
+    """Documents of one language: the numbers of their terms, and by document its group."""
+
+    def __init__(self) -> None:
+        self.terms, self.ids, self.sizes, self.groups = _Terms(), [], [], []
+
+    def add(self, group: int, text: bytes) -> int:
+        got = [np.fromiter(map(self.terms.__getitem__, words), np.int32, len(words)) for words in term_lists(text)]
+        n = sum(map(len, got))
+        if n:
+            self.ids += got
+            self.sizes.append(n)
+            self.groups.append(group)
+        return n
+
+    def rows(self, block: int, lang: str, least: int) -> Iterator[pa.RecordBatch]:
+        if not self.sizes:
+            return
+        ids, n = np.concatenate(self.ids), len(self.terms)
+        docs = _first_docs(ids, np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes), n, least)
+        names, at = np.unique(self.groups, return_inverse=True)
+        held, counts = _pairs(ids.astype(np.int64) * len(names) + np.repeat(at, self.sizes), n * len(names))
+        ends = np.searchsorted(held // len(names), np.arange(n + 1))
+        cols = [
+            pa.array(list(self.terms), pa.binary()),
+            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((docs >= 0).sum(axis=1))).astype(np.int32)), pa.array(docs[docs >= 0])),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(names[held % len(names)].astype(np.int32))),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(counts.astype(np.int64))),
+        ]
+        whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(self.terms), block)), pa.array([lang] * len(self.terms)), *cols], NAMES)
+        for k in range(0, whole.num_rows, OUT_ROWS):
+            yield whole.slice(k, OUT_ROWS)
+
+
+def _first_docs(ids: np.ndarray, docs: np.ndarray, n: int, least: int) -> np.ndarray:
+    """(n, least): of each term its first documents, then -1. Documents stand in rising order."""
+    out = np.full((n, least), -1, dtype=np.int32)
+    for k in range(least):
+        out[ids[::-1], k] = docs[::-1]  # the last one written is the first of the term
+        left = docs != out[ids, k]
+        ids, docs = ids[left], docs[left]
+    return out
+
+
+def _pairs(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below n, in order, and how often they occur."""
+    if n > 4 * len(keys) + 1_000_000:
+        return np.unique(keys, return_counts=True)
+    counts = np.bincount(keys, minlength=n)
+    held = np.flatnonzero(counts)
+    return held, counts[held]
 
 
 def _blocks(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, block = TaskContext.get().partitionId() << 32, _Block(least)
+    at, words, by_lang = TaskContext.get().partitionId() << 32, 0, {}
     for b in slices(batches):
-        for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            block.add(lang, source, text)
-        if block.full():
-            yield from block.rows(at)
-            at, block = at + 1, _Block(least)
-    yield from block.rows(at)
+        for lang, group, text in zip(b.column("lang").to_pylist(), b.column("number").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            words += by_lang.setdefault(lang, _Block()).add(group, text)
+        if words >= BLOCK_WORDS or sum(len(x.terms) for x in by_lang.values()) >= BLOCK_TERMS:
+            for lang, block in by_lang.items():
+                yield from block.rows(at, lang, least)
+            at, words, by_lang = at + 1, 0, {}
+    for lang, block in by_lang.items():
+        yield from block.rows(at, lang, least)
 
 
 def kept_terms(blocks: DataFrame, p: Params = Params()) -> DataFrame:
     """(lang, term): terms in at least ``least`` documents of the language. ``blocks``: (block, lang, term, docs), docs being
-    numbers of documents of the block, all or ``least`` of them."""
+    numbers of documents of the language in the block, all or ``least`` of them."""
     found, length, live = None, p.first, blocks.select("block", "lang", "term", "docs")
+    # a term with enough documents in a block counts for all of them at once
+    each = F.explode(F.when(F.size("docs") >= p.least, F.array(F.lit(-1))).otherwise(F.col("docs"))).alias("doc")
     while True:
-        met = live.select("lang", F.substring("term", 1, length).alias("prefix"), (F.octet_length("term") <= length).alias("complete"), "block", F.explode("docs").alias("doc"))
-        counted = met.distinct().groupBy("lang", "prefix", "complete").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= p.least)
+        met = live.select("lang", F.substring("term", 1, length).alias("prefix"), (F.octet_length("term") <= length).alias("complete"), "block", each)
+        counted = met.distinct().groupBy("lang", "prefix", "complete").agg(F.sum(F.when(F.col("doc") < 0, p.least).otherwise(1)).alias("docs")).where(F.col("docs") >= p.least)
         counted = materialize(counted.select("lang", "prefix", "complete"), "prefixes")
         terms = counted.where("complete").select("lang", F.col("prefix").alias("term"))
         found = terms if found is None else found.unionAll(terms)
@@ -149,9 +173,10 @@ def pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
     terms that both hold are met term by term. ``counts``: (lang, term, held: array of (source, n, p, p0)), ``groups``: (lang,
     source, p0, v, n_terms)."""
     x, y = F.col("x"), F.col("y")
-    met = counts.select("lang", "held", F.explode("held").alias("x")).select("lang", "x", F.explode("held").alias("y")).where(x["source"] != y["source"])
-    more = gap(x["p"], y["p"]) - gap(x["p"], y["p0"]) - gap(x["p0"], y["p"]) + gap(x["p0"], y["p0"])
-    both = met.select("lang", x["source"].alias("source"), y["source"].alias("item"), more.alias("value"))
+    met = counts.select("lang", "held", F.posexplode("held").alias("at", "x")).select("lang", "x", F.explode(F.slice("held", F.col("at") + 2, F.size("held"))).alias("y"))
+    more = lambda a, b: gap(a["p"], b["p"]) - gap(a["p"], b["p0"]) - gap(a["p0"], b["p"]) + gap(a["p0"], b["p0"])
+    each = met.groupBy("lang", x["source"].alias("s"), y["source"].alias("t")).agg(F.sum(more(x, y)).alias("st"), F.sum(more(y, x)).alias("ts"))
+    both = each.select("lang", F.explode(F.array(F.struct(F.col("s").alias("source"), F.col("t").alias("item"), F.col("st").alias("value")), F.struct(F.col("t").alias("source"), F.col("s").alias("item"), F.col("ts").alias("value")))).alias("e")).select("lang", "e.*")
     same = counts.select("lang", F.explode("held").alias("x")).groupBy("lang", x["source"].alias("source"), x["p"].alias("p")).agg(F.count(F.lit(1)).alias("k"))
     other = groups.select("lang", F.col("source").alias("item"), "p0")
     one = materialize(same, "shares").join(_small(other), "lang").where("source <> item")
@@ -171,16 +196,19 @@ def audit(docs: DataFrame, p: Params = Params()) -> DataFrame:
     values are ranked by the bytes of the item. Very long texts are split into terms by slices; an empty table gives an empty
     result. Counts up to 10^18 and sums of shares are exact.
     """
-    none = F.lit("")
+    none, zero = F.lit(""), F.lit(0).cast("long")
     named = docs.select(F.coalesce(docs["lang"].cast("string"), none).alias("lang"), F.coalesce(docs["source"].cast("string"), none).alias("source"), F.coalesce(docs["text"].cast("string"), none).alias("text"))
-    blocks = materialize(fill_partitions(named).mapInArrow(lambda it: _blocks(p.least, it), BLOCKS), "term-blocks")
-    kept = kept_terms(blocks.where("docs IS NOT NULL"), p)
-    counts = checked_semi(blocks.where("docs IS NULL").select("lang", "source", "term", "n"), kept, ["lang", "term"], kept.count())
-    counts = materialize(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "term-counts")
+    numbers = named.select("lang", "source").distinct().withColumn("number", F.row_number().over(W.orderBy("lang", "source")))
+    numbers = materialize(numbers, "term-numbers")
+    numbered = named.join(_small(numbers), ["lang", "source"]).select("lang", "number", "text")
+    blocks = materialize(fill_partitions(numbered).mapInArrow(lambda it: _blocks(p.least, it), BLOCKS), "term-blocks")
+    kept = kept_terms(blocks, p)
+    counts = checked_semi(blocks.select("lang", "term", "groups", "counts"), kept, ["lang", "term"], kept.count())
+    counts = counts.select("lang", "term", F.explode(F.arrays_zip("groups", "counts")).alias("x")).groupBy("lang", "term", F.col("x.groups").alias("number")).agg(F.sum("x.counts").alias("n"))
+    counts = materialize(counts.join(_small(numbers.select("number", "source")), "number").select("lang", "source", "term", "n"), "term-counts")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_terms"))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    zero = F.lit(0).cast("long")
-    groups = named.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
+    groups = numbers.select("lang", "source").join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("n", zero).alias("n"), F.coalesce("n_terms", zero).alias("n_terms"), F.coalesce("v", zero).alias("v"))
     groups = groups.withColumn("total", F.nullif(F.col("n") + F.col("v"), zero)).withColumn("p0", share(zero, F.col("total"), p.scale))
     groups = materialize(groups, "term-groups")

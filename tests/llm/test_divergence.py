@@ -70,14 +70,16 @@ def test_edges_against_dense_form(spark):
     assert got(df.limit(0)) == set()
 
 
-def test_small_blocks(spark, monkeypatch):
-    """Blocks of a few documents: the lists of documents are cut at the threshold."""
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    few = divergence._Block(3)
+def test_small_blocks(spark):
+    """Lists of documents are cut at the threshold; blocks of a few documents give the same result."""
+    few = divergence._Block()
     for k in range(9):
-        few.add("en", "s", b"the word" + b" w%d" % k)
-    rows = {(r["term"], r["source"]): (r["n"], r["docs"]) for b in few.rows(7) for r in b.to_pylist()}
-    assert rows[b"the", None] == (None, [0, 1, 2]) and rows[b"the", "s"] == (9, None)
+        few.add(k % 2, b"the word the" + b" w%d" % k)
+    few.add(1, b"")
+    rows = {r["term"]: r for b in few.rows(7, "en", 3) for r in b.to_pylist()}
+    assert rows[b"the"] == {"block": 7, "lang": "en", "term": b"the", "docs": [0, 1, 2], "groups": [0, 1], "counts": [10, 8]}
+    assert len(rows) == 3
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert got(df.repartition(40)) == plain([(r.text, r.lang, r.source) for r in df.collect()])
 
 
