@@ -2,9 +2,10 @@
 
 Equal vectors are one class. Each class lives in the cell of its nearest centroid and is lent to every cell near whose
 border it lies: if x lives in cell c and cos(x, y) reaches the cosine of an angle t, then for y, living in cell d,
-``y.d - y.c <= sin(t) * |d - c| * u``, u being the part of |d - c| seen along a direction square to x. u is at most 1;
-for directions in general it is about 1/sqrt(dimensions), and ``z`` such deviations are allowed (z >= sqrt(dimensions)
-makes the bound certain). Cells are compared home rows against all rows, in blocks of bounded size, so a cell of any size
+``y.d - y.c <= sin(t) * |d - c| * u``, u being the part of |d - c| seen along the direction in which x and y differ. u is at most
+1; for directions spread over all dimensions it is about 1/sqrt(dimensions), and ``z`` such deviations are allowed at least
+(z >= sqrt(dimensions) makes the bound certain). Real vectors spread over fewer, so u is also measured: between sampled rows
+of a cell and the centroids next to it, and ``spread`` of these are within the bound. Cells are compared home rows against all rows, in blocks of bounded size, so a cell of any size
 is spread over tasks. Blocks return sums of links and a spanning set of edges, never the pairs.
 """
 
@@ -30,12 +31,40 @@ class Params:
     cells: int = 0  # number of cells; 0: half the root of the number of rows
     max_cells: int = 4_096
     z: float = 2.5
+    spread: float = 0.995  # part of the sampled directions that the border takes in
     block: int = 1_024  # rows on each side of a product
 
 
-def _assign(c: np.ndarray, p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def border(x: np.ndarray, c: np.ndarray, p: Params) -> float:
+    """u: how far along the way to a neighbouring centroid two rows of a cell differ, from sampled unit rows; 1 where the sample
+    says too little."""
+    least = min(1.0, p.z / np.sqrt(c.shape[1]))
+    if len(c) < 2 or least >= 1:
+        return 1.0
+    s = x @ c.T
+    home = s.argmax(axis=1)
+    order = np.argsort(home, kind="stable")
+    i, j = order[:-1], order[1:]
+    same = home[i] == home[j]
+    apart = x[i] - x[j]
+    size = np.linalg.norm(apart, axis=1)
+    use = same & (size > 1e-6)
+    if use.sum() < 200:
+        return 1.0
+    i, apart = i[use], apart[use] / size[use][:, None]
+    seen = []
+    s[np.arange(len(x)), home] = -2
+    for _ in range(min(3, len(c) - 1)):
+        other = s[i].argmax(axis=1)
+        s[i, other] = -2
+        way = c[other] - c[home[i]]
+        seen.append(np.abs(np.einsum("ij,ij->i", apart, way)) / np.maximum(np.linalg.norm(way, axis=1), 1e-12))
+    return float(min(1.0, max(least, np.quantile(np.concatenate(seen), p.spread))))
+
+
+def _assign(c: np.ndarray, u: float, p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gaps = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
-    u = min(1.0, p.z / np.sqrt(c.shape[1])) * np.sqrt(1 - p.cosine**2)
+    u = u * np.sqrt(1 - p.cosine**2)
     for b in batches:
         if not b.num_rows:
             continue
@@ -120,8 +149,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
 
 
 def _links(classes: DataFrame, n: int, p: Params) -> DataFrame:
-    c = spherical_kmeans(unit(sample(classes, "id", p.sample_rows)), p.cells or max(1, min(p.max_cells, round(n**0.5 / 2))))
-    placed = fill_partitions(classes.select("id", "m", "v")).mapInArrow(lambda it: _assign(c, p, it), "id long, m long, v array<double>, home int, cells array<int>")
+    x = unit(sample(classes, "id", p.sample_rows))
+    c = spherical_kmeans(x, p.cells or max(1, min(p.max_cells, round(n**0.5 / 2))))
+    u = border(x, c, p)
+    placed = fill_partitions(classes.select("id", "m", "v")).mapInArrow(lambda it: _assign(c, u, p, it), "id long, m long, v array<double>, home int, cells array<int>")
     placed = materialize(placed, "vector-cells")
     # blocks of each cell; the table has at most max_cells rows
     size = placed.select(F.explode("cells").alias("cell"), "home").groupBy("cell").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("home") == F.col("cell")).alias("own"))

@@ -127,3 +127,26 @@ def test_search_by_length(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, ann.search(df, F.col("vec_id") % 20 == 0).collect()))
     assert got == [(20, 1, 1, 0.9), (40, 1, 3, 4.5), (40, 2, 2, 3.0)]
+
+
+@pytest.mark.parametrize("rank", [3, 5, 8, 12, 64])
+def test_links_of_vectors_of_low_rank(spark, rank):
+    """Registered parameters on vectors that lie in few of 64 dimensions, or in a narrow cone (12): nearly all links, all groups."""
+    rng = np.random.default_rng(rank)
+    basis = np.linalg.qr(rng.standard_normal((64, rank)))[0]
+    x = rng.standard_normal((2_500, rank)) @ basis.T + (1.2 * basis[:, 0] * rank**0.5 if rank == 12 else 0)
+    x = np.concatenate([x, x[:300] + 0.3 * np.linalg.norm(x[:300], axis=1, keepdims=True) * (lambda e: e / np.linalg.norm(e, axis=1, keepdims=True))(rng.standard_normal((300, rank)) @ basis.T)])
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = near.sum(axis=1)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * want.sum() and all(r.n_links <= want[i] for i, r in got.items())
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    assert [got[i].component_id for i in range(len(x))] == label.tolist()
