@@ -9,8 +9,9 @@ cut, across line ends, into windows of words that start at winnowed places: of e
 with the least hash of its two words. A passage of at least ``window + spread + 1`` words is cut at the same places wherever
 it stands, so each of its repeats shares a window with it; equal windows are one class, like equal paragraphs.
 
-In each component, overlapping units of a text are one place; the first place (smallest doc_id, then position) stays, the
-others are cut out. A window is cut together with all words around it that are the same, word by word, around the first
+In each component the units of the document with the first place (smallest doc_id, then position) stay, those of the others are
+cut out; so a repeat inside one document alone stays too. With ``within`` overlapping units of a text are one place, and all
+places but the first are cut. A window is cut together with all words around it that are the same, word by word, around the first
 place of its class.
 """
 
@@ -48,6 +49,7 @@ class Params:
     den: int = 10
     recall: float = 0.98  # wanted chance that two units at the threshold collide
     rows: int = 2  # hashes in a band
+    within: bool = False  # whether repeats inside one document are cut as well
 
     @property
     def bands(self) -> int:
@@ -269,11 +271,13 @@ def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
     top = many.groupBy("component").agg(F.min("first").alias("own"))
     classes = materialize(many.select("id", "component", "first").join(top, "component"), "unit-kept")
     found = units.join(F.broadcast(classes) if classes.count() <= 200_000 else classes, "id")
-    place = W.partitionBy("component", "doc_id", "copy").orderBy("start", F.col("stop").desc())
-    reach = F.max("stop").over(place.rowsBetween(W.unboundedPreceding, -1))
-    apart = reach.isNull() | (reach <= F.col("start"))
-    found = found.withColumn("apart", apart.cast("int")).withColumn("place", F.sum("apart").over(place.rowsBetween(W.unboundedPreceding, 0)))
-    stays = (F.col("place") == 1) & (F.col("doc_id") == F.col("own.doc_id")) & (F.col("copy") == F.col("own.copy"))
+    stays = (F.col("doc_id") == F.col("own.doc_id")) & (F.col("copy") == F.col("own.copy"))
+    if p.within:
+        place = W.partitionBy("component", "doc_id", "copy").orderBy("start", F.col("stop").desc())
+        reach = F.max("stop").over(place.rowsBetween(W.unboundedPreceding, -1))
+        apart = reach.isNull() | (reach <= F.col("start"))
+        found = found.withColumn("apart", apart.cast("int")).withColumn("place", F.sum("apart").over(place.rowsBetween(W.unboundedPreceding, 0)))
+        stays = (F.col("place") == 1) & stays
     gone = materialize(found.where(~stays).select("doc_id", "copy", "start", "stop", "whole", "first", F.col("own.doc_id").alias("kept_doc_id")), "unit-gone")
     alone = F.col("whole") | (F.col("first") == F.struct("doc_id", "copy", "start"))
     spans = gone.where(alone).select("doc_id", "copy", "start", "stop", "kept_doc_id")

@@ -84,7 +84,7 @@ def test_whole_passages_go_across_line_ends(spark):
 def test_against_all_pairs(spark):
     """Components of line units by brute force on real rows: the cut lines are those of all but the first place."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    p = Params(long_line=10**9, recall=0.99999)
+    p = Params(long_line=10**9, recall=0.99999, within=True)
     units = []
     for r in df.collect():
         for k, line in enumerate(r.text.lower().encode().split(b"\n")):
@@ -117,6 +117,17 @@ def test_against_all_pairs(spark):
     assert got == want
 
 
+def test_repeats_inside_one_document_stay_unless_asked_for(spark):
+    rng = random.Random(12)
+    a, b = " ".join(prose(rng, 60)), " ".join(prose(rng, 60))
+    texts = {1: f"{a}\nx\n{a}", 2: " ".join(prose(rng, 80)), 3: f"{b}\n{b}", 4: f"y {b}\nz\n{b} {b}"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_paragraphs(df).collect()}
+    assert got == {**texts, 4: "z"}  # a line like the kept one goes whole
+    got = {r.doc_id: r.text for r in dedup_paragraphs(df, Params(within=True)).collect()}
+    assert got == {1: f"{a}\nx", 2: texts[2], 3: b, 4: "z"}
+
+
 def test_edges(spark):
     line = " ".join(f"v{i}" for i in range(30))
     rows = [(None, line, "a"), (3, line, "b"), (2, line, None), (2, line, None), (5, None, "c"), (6, "", "d"), (7, "z " * 60_000, "e"), (8, line + "\n" + line, "f")]
