@@ -19,6 +19,8 @@ from pageknow.llm.shingles import PartEnum, overlap, set_digest, shingle_sets
 from pageknow.llm.simjoin import SAMPLE, link_buckets
 
 CHUNK = 400_000
+#: Sets that a task remembers to sign copies once; it signs the copies of others again.
+SEEN = 400_000
 #: Signatures are cut to 48 bits, which shuffle in fewer bytes; of 10^13 rows one in 30 then meets another by chance, and
 #: what meets is verified.
 SIG_BITS = np.uint64(2**64 - 2**16)
@@ -73,7 +75,7 @@ def sign_batches(pe: PartEnum, k: int, batches: Iterator[pa.RecordBatch]) -> Ite
         for s in shingle_sets(_texts(b), k):
             if len(s) and (d := set_digest(s)[0]) not in seen:
                 fresh[d] = s
-                if len(seen) < 2_000_000:
+                if len(seen) < SEEN:
                     seen.add(d)
         ids = np.array(list(fresh), dtype=np.int64)
         sigs, at = pe.sign(list(fresh.values()))

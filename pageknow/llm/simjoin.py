@@ -24,11 +24,13 @@ from pageknow.llm.common import BROADCAST_ROWS, materialize, slices
 from pageknow.llm.graph import connected_components
 
 BLOCK = 512
+#: and at most so many elements, about; a block of large sets has fewer members.
+BLOCK_ELEMENTS = 400_000
 #: An open bucket with at most so many pairs across components has them verified one by one, before and after its members
 #: are signed anew.
 FEW = (200, 1_000)
 #: Cells of the matrices that a task holds.
-CELLS = 20_000_000
+CELLS = 4_000_000
 #: One document of so many is signed beforehand to find the hot signatures, those that hold at least HOT rows of it.
 SAMPLE = 64
 HOT = 64
@@ -116,8 +118,10 @@ def _compare(num: int, den: int, table: pa.Table) -> pa.Table:
 
 
 def link_clumps(clumps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) inside clumps (id, clump) by exact similarity of their sets (id, elements), as spanning edges."""
-    blocks = clumps.groupBy("clump").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    """Links (a, b) inside clumps (id, clump) by exact similarity of their sets (id, elements), as spanning edges. Blocks are
+    bounded by members and by elements, so a task holds two blocks of bounded size whatever the sets are (a set is never split)."""
+    sized = clumps.join(sets.select("id", (F.octet_length("elements") / 8).alias("size")), "id")
+    blocks = sized.groupBy("clump").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("nb"))
     x = clumps.join(blocks, "clump").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).join(sets, "id")
     x = x.select("clump", "id", "elements", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     x = x.select("clump", "id", "elements", "block", F.greatest("block", "o").alias("p"), F.least("block", "o").alias("q"))
