@@ -36,7 +36,7 @@ LONG_WORD = 512
 #: Entries of the per-worker memo before it is emptied.
 MEMO_WORDS = 250_000
 #: The same where texts are not decoded; entries are smaller.
-IDS_WORDS = 250_000
+IDS_WORDS = 600_000
 
 
 @dataclass(frozen=True)
