@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pageknow.functions.lexicon import HIGH_VALUE_TERMS, INDEX_STOPWORDS, QUERY_EXPANSIONS, SEARCH_STOPWORDS
 from pageknow.functions.text import terms, text_or_empty
 from pageknow.operators.words import find
+from pageknow.sources.commits import append, read, scratch
 
 
 #: A dictionary of at most so many keys is looked for key by key; a larger one by ``words.find``.
@@ -124,18 +123,23 @@ MAX_QUERY_ROWS = 20_000
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", match: str | None = None) -> DataFrame:
     """(query_id, rank, id, score) by exact squared distance d, score 1 / (1 + d) rounded to 6 places; with ``match`` only rows
     whose column equals the query's. The stated query set is counted; beyond MAX_QUERY_ROWS it is dealt by hash into blocks
-    of about half as many, and each block meets all rows."""
+    of about half as many; each block meets all rows, and its result is written, so the plan does not grow with the queries."""
     n = queries.count()
     q = queries.select(F.col(id_).alias("query_id"), F.col(vector).alias("q"), *([F.col(match).alias("m")] if match else []))
     on = F.col(match) == F.col("m") if match else F.lit(True)
     d = F.aggregate(F.zip_with(vector, "q", lambda a, b: (a.cast("double") - b.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x)
-    blocks = 1 if n <= MAX_QUERY_ROWS else -(-2 * n // MAX_QUERY_ROWS)
-    of = F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks))
-    parts = [q if blocks == 1 else q.where(of == i) for i in range(blocks)]
-    met = [vectors.join(F.broadcast(x), on & (F.col(id_) != F.col("query_id"))).select("query_id", F.col(id_), F.round(1 / (1 + d), 6).alias("score")) for x in parts]
-    got = reduce(DataFrame.unionAll, met)
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), id_)
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        met = vectors.join(F.broadcast(block), on & (F.col(id_) != F.col("query_id"))).select("query_id", F.col(id_), F.round(1 / (1 + d), 6).alias("score"))
+        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    if n <= MAX_QUERY_ROWS:
+        return best(q)
+    blocks, root = -(-2 * n // MAX_QUERY_ROWS), scratch(vectors.sparkSession, "dense-topk")
+    for i in range(blocks):
+        append(best(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), root, i)
+    return read(vectors.sparkSession, root)
 
 
 def with_fallback(first: DataFrame, second: DataFrame, query: str = "query_id") -> DataFrame:
