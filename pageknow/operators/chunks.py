@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.functions.text import WS, lines, text_or_empty
+from pageknow.functions.text import WS, bind, lines, text_or_empty
 
-STATE = "struct<out: array<string>, cur: string>"
+#: Paragraphs that are folded at a time: the chunks closed before are copied once for so many.
+SLICE = 64
 
 
 def pack(text: Column, size: int = 900, overlap: int = 120, bounded: bool = False) -> Column:
@@ -23,8 +24,20 @@ def pack(text: Column, size: int = 900, overlap: int = 120, bounded: bool = Fals
         new_cur = F.when(fits, both).when(cur != "", tail).otherwise(F.substring(p, size - overlap + 1, 1 << 30))
         return F.struct(new_out.alias("out"), new_cur.alias("cur"))
 
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-    packed = F.aggregate(lines(text), zero, step, lambda s: F.when(s["cur"] != "", F.array_append(s["out"], s["cur"])).otherwise(s["out"]))
+    none = F.array().cast("array<string>")
+
+    def fold(s: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(none.alias("out"), s["cur"].alias("cur")), step)
+        return bind(done, lambda d: F.struct(F.when(F.size(d["out"]) > 0, F.array_append(s["out"], d["out"])).otherwise(s["out"]).alias("out"), d["cur"].alias("cur")))
+
+    def slices(ps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(ps) - 1), F.lit(SLICE)), lambda i: F.slice(ps, i + 1, F.lit(SLICE)))
+
+    def finish(s: Column) -> Column:
+        return bind(F.flatten(s["out"]), lambda out: F.when(s["cur"] != "", F.array_append(out, s["cur"])).otherwise(out))
+
+    zero = F.struct(F.array().cast("array<array<string>>").alias("out"), F.lit("").alias("cur"))
+    packed = F.aggregate(bind(lines(text), slices), zero, fold, finish)
     if not bounded:
         return packed
     stride = size - overlap
