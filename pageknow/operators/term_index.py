@@ -32,9 +32,10 @@ MICRO = 1_000_000
 
 
 def write_rows(rows: DataFrame, root: str) -> int:
-    """Write (keys .., terms, weights, norm, bonus, a_0 ..) and the chunks a term occurs in as the next version of an index."""
+    """Write (keys .., terms, weights, norm, bonus, a_0 ..) and the chunks a term occurs in as the next version of an index. Rows of
+    one length are spread by their terms, so a length that many share is no hot task."""
     spark = rows.sparkSession
-    n = publish(rows.repartitionByRange("norm").sortWithinPartitions("norm"), f"{root}/rows")
+    n = publish(rows.repartitionByRange("norm", F.xxhash64("terms")).sortWithinPartitions("norm"), f"{root}/rows")
     stored = current(spark, f"{root}/rows", version=n)
     df = stored.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     parts = publish(df, f"{root}/terms")
