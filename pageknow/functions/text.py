@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Characters that count as white space in Unicode text.
 SPACE = r"\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS = f"[{SPACE}]"
+#: The same characters as a plain text, for trimming.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Where a text breaks into lines.
 LINE_BREAK = r"\r\n|[\n\r\x{000B}\x{000C}\x{001C}-\x{001E}\x{0085}\x{2028}\x{2029}]"
 #: What a comparison key leaves out: everything but letters, digits and the underscore, in any script.
@@ -27,7 +29,7 @@ def squeeze(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def text_or_empty(c: Column) -> Column:
@@ -103,5 +105,5 @@ def terms(c: Column, stopwords: Iterable[str], least: int = 2, digits: bool = Tr
     got = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(f"[a-z0-9]{{{least},}}"), 0)
     if not stop and digits:
         return got
-    keep = lambda x: (~x.isin(*stop) if stop else F.lit(True)) & (F.lit(True) if digits else ~x.rlike("^[0-9]+$"))
+    keep = lambda x: (~x.isin(*stop) if stop else F.lit(True)) & (F.lit(True) if digits else F.ltrim(x, F.lit("0123456789")) != "")
     return F.filter(got, keep)

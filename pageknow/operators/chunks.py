@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.functions.text import WS, bind, lines, text_or_empty
+from pageknow.functions.text import SPACES, bind, lines, text_or_empty
 
 #: Paragraphs that are folded at a time: the chunks closed before are copied once for so many.
 SLICE = 64
@@ -18,7 +18,7 @@ def pack(text: Column, size: int = 900, overlap: int = 120, bounded: bool = Fals
     def step(s: Column, p: Column) -> Column:
         cur, out = s["cur"], s["out"]
         both = F.when(cur == "", p).otherwise(F.concat(cur, F.lit("\n"), p))
-        tail = F.regexp_replace(F.concat(F.right(cur, F.lit(overlap)) if overlap else F.lit(""), F.lit("\n"), p), f"^{WS}+", "")
+        tail = F.ltrim(F.concat(F.right(cur, F.lit(overlap)) if overlap else F.lit(""), F.lit("\n"), p), F.lit(SPACES))
         fits = F.length(both) <= size
         new_out = F.when(fits, out).when(cur != "", F.array_append(out, cur)).otherwise(F.array_append(out, F.left(p, F.lit(size))))
         new_cur = F.when(fits, both).when(cur != "", tail).otherwise(F.substring(p, size - overlap + 1, 1 << 30))

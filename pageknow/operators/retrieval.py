@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pageknow.functions.lexicon import HIGH_VALUE_TERMS, INDEX_STOPWORDS, QUERY_EXPANSIONS, SEARCH_STOPWORDS
 from pageknow.functions.text import terms, text_or_empty
 from pageknow.operators.words import find
-from pageknow.sources.commits import append, read, scratch
+from pageknow.sources.commits import append, read, scratch, written
 
 
 #: A dictionary of at most so many keys is looked for key by key; a larger one by ``words.find``.
@@ -39,36 +41,54 @@ def expand_queries(queries: DataFrame, dictionary: DataFrame | None = None, phra
     return out.withColumn("terms", F.array_sort(F.array_distinct(F.concat(terms(F.col(text), SEARCH_STOPWORDS), extra, more)))).select(*base, "terms")
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 1.0, filters: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+#: Query terms that are sent to all tasks; more of them are joined by term.
+TASK_TERMS = 500_000
+#: One of so many chunks is scored first, for what the k-th score of a query is at least.
+FIRST_OF = 64
+
+
+def _sent(query_terms: DataFrame) -> DataFrame:
+    """The terms of a stated query set; up to TASK_TERMS of them go to all tasks, where chunks meet them in place."""
+    return F.broadcast(query_terms) if query_terms.limit(TASK_TERMS + 1).count() <= TASK_TERMS else query_terms
+
+
+def _best(q: DataFrame, rows: DataFrame, score: Callable[[DataFrame, DataFrame], DataFrame], query: str, keys: list[str], k: int, part: str | None) -> DataFrame:
+    """(query, rank, ..): the ``k`` rows of ``score(q, rows)`` of the largest score, ties by keys. With ``part``, a column of ``rows``, the
+    rows of some of its values are scored first: a query's k-th score among them is one that the others must reach, so only few
+    pairs are sorted and shuffled."""
+    order = W.partitionBy(query).orderBy(F.col("score").desc(), *keys)
+
+    def top(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    got = score(_sent(q), rows)
+    if part is not None:
+        some = score(_sent(q), rows.where(F.pmod(F.xxhash64(part), F.lit(FIRST_OF)) == 0))
+        least = written(top(some).where(F.col("rank") == k).select(query, F.col("score").alias("least")), "least")
+        got = got.join(F.broadcast(least), query, "left").where(F.col("least").isNull() | (F.col("score") >= F.col("least")))
+    return top(got)
+
+
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 1.0, filters: dict[str, tuple[str, float]] | None = None, part: str | None = None) -> DataFrame:
     """(query_id, rank, chunk_key, chunk_index, score, matched): distinct shared terms, bonuses for equal metadata
     (``filters``: query column -> (chunk column, bonus)), 0.4 per high-value term, bonus by page type.
 
     ``queries``: (query_id, terms array, filter columns); ``chunks``: (chunk_key, chunk_index, text[, page_type, filter
-    columns]). Ties: smaller chunk_index, then chunk_key.
+    columns]). Ties: smaller chunk_index, then chunk_key. ``part``: a column of ``chunks`` that follows from chunk_key; chunks dealt
+    by it are scored where they are. See also ``_best``.
     """
-    filters = filters or {}
-    q = queries.select("query_id", F.explode("terms").alias("term"))
-    cols = [c for c in chunks.columns if c in {"page_type", *[c for c, _ in filters.values()]}]
-    c = chunks.select("chunk_key", "chunk_index", F.explode(F.array_distinct(terms(F.col("text"), SEARCH_STOPWORDS))).alias("term"))
-    c = c.join(q.select("term").distinct(), "term", "left_semi")
-    base = F.count(F.lit(1)) + 0.4 * F.count_if(F.col("term").isin(*HIGH_VALUE_TERMS))
-    got = q.join(c, "term").groupBy("query_id", "chunk_key", "chunk_index").agg(F.count(F.lit(1)).alias("matched"), base.cast("double").alias("base"))
-    # Only candidates that the bonuses can still lift among the first k go on to the joins for them.
-    most = sum(max(0.0, bonus) for _, bonus in filters.values()) + (0.6 if "page_type" in cols else 0.0)
-    kth = F.nth_value("base", k).over(W.partitionBy("query_id").orderBy(F.col("base").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    got = got.where(F.col("base") + most + 1e-6 >= min_score).withColumn("kth", kth).where(F.col("kth").isNull() | (F.col("base") + most + 1e-6 >= F.col("kth")))
-    if filters:
-        got = got.join(queries.select("query_id", *[F.col(a).alias(f"q_{a}") for a in filters]), "query_id")
-    if cols:
-        got = got.join(chunks.select("chunk_key", "chunk_index", *[F.col(x).alias(f"c_{x}") for x in cols]), ["chunk_key", "chunk_index"])
-    score = F.col("base")
-    for a, (b, bonus) in filters.items():
-        score = score + F.when(F.lower(f"q_{a}") == F.lower(f"c_{b}"), bonus).otherwise(0.0)
-    if "page_type" in cols:
-        score = score + F.when(F.col("c_page_type") == "faq_cleaned", 0.6).when(F.col("c_page_type") == "faq", 0.3).otherwise(0.0)
-    got = got.withColumn("score", F.round(score, 6)).where(F.col("score") >= min_score)
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_index", "chunk_key")
-    return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_key", "chunk_index", "score", "matched")
+    filters, held = filters or {}, ["chunk_key", "chunk_index", *([part] if part else [])]
+    q = queries.select("query_id", F.explode("terms").alias("term"), *[F.lower(a).alias(f"q_{a}") for a in filters])
+    page = F.when(F.col("page_type") == "faq_cleaned", 0.6).when(F.col("page_type") == "faq", 0.3).otherwise(0.0) if "page_type" in chunks.columns else F.lit(0.0)
+
+    def score(q: DataFrame, rows: DataFrame) -> DataFrame:
+        c = rows.select(*held, page.alias("page"), *[F.lower(b).alias(f"c_{a}") for a, (b, _) in filters.items()], F.explode(F.array_distinct(terms(F.col("text"), SEARCH_STOPWORDS))).alias("term"))
+        more = sum((F.when(F.col(f"q_{a}") == F.col(f"c_{a}"), bonus).otherwise(0.0) for a, (_, bonus) in filters.items()), F.col("page"))
+        base = F.count(F.lit(1)) + 0.4 * F.count_if(F.col("term").isin(*HIGH_VALUE_TERMS))
+        got = c.join(q, "term").groupBy("query_id", *held).agg(F.count(F.lit(1)).alias("matched"), F.round(base.cast("double") + F.max(more), 6).alias("score"))
+        return got.where(F.col("score") >= min_score)
+
+    return _best(q, chunks, score, "query_id", ["chunk_index", "chunk_key"], k, part).select("query_id", "rank", "chunk_key", "chunk_index", "score", "matched")
 
 
 def sparse_index(chunks: DataFrame, keys: list[str], text: str = "text", max_terms: int = 80) -> DataFrame:
@@ -88,13 +108,14 @@ def sparse_vectors(index: DataFrame, keys: list[str]) -> DataFrame:
 
 def cosine_topk(query_index: DataFrame, index: DataFrame, query_key: str, keys: list[str], k: int = 5) -> DataFrame:
     """(query, rank, keys, score): k chunks of the largest cosine over shared terms, score above 0, rounded to 6 places; ties
-    by keys. Terms are joined on their hash partitions; common terms are the skew that adaptive execution splits."""
+    by keys. An index that is dealt by one of its keys is scored where it is."""
+    def score(q: DataFrame, rows: DataFrame) -> DataFrame:
+        c = rows.select(*keys, "term", F.col("tf").alias("tc"), F.col("norm").alias("nc"))
+        dot = c.join(q, "term").groupBy(query_key, *keys).agg(F.sum(F.col("tq") * F.col("tc")).alias("dot"), F.max("nq").alias("nq"), F.max("nc").alias("nc"))
+        return dot.withColumn("score", F.round(F.col("dot") / (F.col("nq") * F.col("nc")), 6)).where("score > 0")
+
     q = query_index.select(query_key, "term", F.col("tf").alias("tq"), F.col("norm").alias("nq"))
-    c = index.select(*keys, "term", F.col("tf").alias("tc"), F.col("norm").alias("nc"))
-    dot = q.join(c, "term").groupBy(query_key, *keys).agg(F.sum(F.col("tq") * F.col("tc")).alias("dot"), F.max("nq").alias("nq"), F.max("nc").alias("nc"))
-    got = dot.withColumn("score", F.round(F.col("dot") / (F.col("nq") * F.col("nc")), 6)).where("score > 0")
-    w = W.partitionBy(query_key).orderBy(F.col("score").desc(), *keys)
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_key, "rank", *keys, "score")
+    return _best(q, index, score, query_key, keys, k, keys[0]).select(query_key, "rank", *keys, "score")
 
 
 def term_slot(term: Column, dimensions: int) -> Column:

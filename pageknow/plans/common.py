@@ -10,13 +10,24 @@ from pageknow.functions.lexicon import INDEX_STOPWORDS, SEARCH_STOPWORDS
 from pageknow.functions.text import LINE_BREAK, NOT_WORD, WS
 from pageknow.sources.commits import scratch
 
-__all__ = ["quoted", "scratch", "sql_chunks", "sql_contains", "sql_found", "sql_hits", "sql_index_terms", "sql_key", "sql_lines", "sql_split", "sql_squeeze", "sql_strip", "sql_terms", "sql_truncate", "table"]
+__all__ = ["documents", "quoted", "scratch", "sql_chunks", "sql_contains", "sql_found", "sql_hits", "sql_index_terms", "sql_key", "sql_lines", "sql_split", "sql_squeeze", "sql_strip", "sql_terms", "sql_truncate", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Documents of one partition, about: what is derived from so many fits a task's memory.
+PART_ROWS = 1_000
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents dealt by ``doc_id``, however few files or row groups hold them: all cores work on the texts, and grouping what
+    is derived from a document needs no further shuffle. The count reads footers only."""
+    d = table(spark, sf_dir, "documents")
+    return d.repartition(max(spark.sparkContext.defaultParallelism, -(-d.count() // PART_ROWS)), "doc_id")
+
+
 def quoted(words: Iterable[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 

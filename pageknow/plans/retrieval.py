@@ -14,7 +14,8 @@ from pageknow.operators import prompts as P
 from pageknow.operators import retrieval as R
 from pageknow.operators import term_index as T
 from pageknow.operators import words as W_
-from pageknow.plans.common import quoted, scratch, sql_chunks, sql_index_terms, sql_squeeze, sql_terms, sql_truncate, table
+from pageknow.plans.common import documents, quoted, scratch, sql_chunks, sql_index_terms, sql_squeeze, sql_terms, sql_truncate, table
+from pageknow.sources.commits import written
 
 KEY = ["doc_id", "chunk_index"]
 #: A dictionary of search expansions drawn from the prose of the driver tables.
@@ -22,7 +23,7 @@ DICTIONARY = (("the ", "thing other"), ("que ", "which that"), ("und ", "and als
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chunk_table(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return C.chunk_table(documents(spark, sf_dir).select("doc_id", "lang", "source", "text"))
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", terms(F.col("text"), SEARCH_STOPWORDS).alias("a"), terms(F.col("text"), INDEX_STOPWORDS, digits=False).alias("b"))
+    t = documents(spark, sf_dir).select("doc_id", terms(F.col("text"), SEARCH_STOPWORDS).alias("a"), terms(F.col("text"), INDEX_STOPWORDS, digits=False).alias("b"))
     return t.select("doc_id", F.size("a").alias("n_search"), F.size(F.array_distinct("a")).alias("n_distinct"), F.size("b").alias("n_index"), F.md5(F.array_join("a", " ")).alias("terms_md5"))
 
 
@@ -50,7 +51,7 @@ def _keyed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _keyed_chunks(spark, sf_dir)
     q = _queries(spark, sf_dir).withColumn("want", F.concat(F.lit("SRC"), (F.col("query_id") % 20).cast("string")))
-    return R.keyword_search(q, c, k=5, min_score=2.0, filters={"want": ("source", 4.0)})
+    return R.keyword_search(q, c, k=5, min_score=2.0, filters={"want": ("source", 4.0)}, part="doc_id")
 
 
 def sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def sparse_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hash_embed(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "slot", F.round("weight", 6).alias("weight"))
+    return R.hash_embed(documents(spark, sf_dir), ["doc_id"]).select("doc_id", "slot", F.round("weight", 6).alias("weight"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,14 +106,14 @@ def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of the lexicon that are in each document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    d = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
     got = W_.find(d, _lexicon(spark, sf_dir))
     return got.select("doc_id", F.size("found").alias("n_words"), F.md5(F.array_join("found", " ")).alias("words_md5"))
 
 
 def word_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label with the most words in each document, and the first one."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    d = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
     h = W_.label_hits(d, _lexicon(spark, sf_dir), ["doc_id"])
     return h.groupBy("doc_id").agg(F.max(F.struct("hits", "label")).alias("m"), F.min(F.struct("first", "label")).alias("f"), F.sum("hits").alias("hits")).select("doc_id", F.col("m.label").alias("label"), F.col("m.hits").alias("label_hits"), F.col("f.label").alias("first_label"), "hits")
 
@@ -129,7 +130,8 @@ def query_expand_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic hits of at least 0.2, with keyword hits for the passages that have none."""
-    first = sparse_cosine_topk(spark, sf_dir).where("score >= 0.2").select(F.col("item_id").alias("query_id"), "rank", F.concat_ws("_", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")).alias("chunk_key"), "score")
+    hits = written(sparse_cosine_topk(spark, sf_dir), "hits")  # used twice
+    first = hits.where("score >= 0.2").select(F.col("item_id").alias("query_id"), "rank", F.concat_ws("_", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")).alias("chunk_key"), "score")
     return R.with_fallback(first, keyword_search(spark, sf_dir).select("query_id", "rank", "chunk_key", "score"))
 
 
@@ -151,8 +153,9 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir)
-    hits = sparse_cosine_topk(spark, sf_dir).join(c.select(*KEY, "text", "source"), KEY)
+    best = written(sparse_cosine_topk(spark, sf_dir), "hits")
+    d = documents(spark, sf_dir).select("doc_id", "source", "text").join(best.select("doc_id").distinct(), "doc_id", "left_semi")  # only these are cut again
+    hits = best.join(C.chunk_table(d), KEY)
     q = table(spark, sf_dir, "benchmark")
     return P.assemble(q, hits.withColumnRenamed("text", "chunk"), "item_id", "text", "rank", "source", "chunk", 10, 900).select("item_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("n_chars"))
 

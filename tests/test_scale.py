@@ -1,8 +1,23 @@
 """Steps that must not put much data in one task or shuffle what is derived from a text."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from pageknow.functions.text import SPACES, WS, strip
+from pageknow.operators import retrieval as R
 from pageknow.operators import term_index as T
+from pageknow.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def keys_of_exchanges(df):
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df))
 
 
 def test_index_rows_of_one_length_are_spread(spark, tmp_path):
@@ -15,3 +30,29 @@ def test_index_rows_of_one_length_are_spread(spark, tmp_path):
     n = [r["count"] for r in spark.read.parquet(f"{tmp_path}/rows/attempts/*").groupBy(F.input_file_name()).count().collect()]
     assert sum(n) == 4_000 and max(n) < 2_000
 
+
+def test_terms_of_documents_are_counted_where_they_are(spark):
+    assert [k.split("#")[0] for k in keys_of_exchanges(QUERIES["sparse_index"](spark, SF))] == ["doc_id"]
+
+
+def test_chunks_are_scored_where_they_are(spark):
+    for name in ("sparse_cosine_topk", "keyword_search"):
+        keys = keys_of_exchanges(QUERIES[name](spark, SF))
+        assert not any(k.startswith(("term#", "chunk_key#")) or ("doc_id#" in k and "," in k.rsplit(", ", 1)[0]) for k in keys), keys
+
+
+def test_first_scores_only_save_work(spark):
+    """With and without the chunks that are scored first, also where those hold fewer than k hits."""
+    q = spark.createDataFrame([(1, ["aa", "bb", "cc"]), (2, ["zz"])], "query_id long, terms array<string>")
+    words = ["aa bb cc", "aa bb", "aa", "zz", "none"]
+    rows = [(f"d{i // 2}", f"d{i // 2}_{i % 2}", i % 2, words[i * 7 % 5] if i % 9 else "zz aa") for i in range(800)]
+    c = spark.createDataFrame(rows, "doc string, chunk_key string, chunk_index int, text string")
+    for k in (3, 100, 900):
+        want = R.keyword_search(q, c, k).collect()
+        assert len(want) > k or k == 900
+        assert sorted(R.keyword_search(q, c, k, part="doc").collect()) == sorted(want)
+
+
+def test_strip_takes_off_what_the_class_of_white_space_takes_off(spark):
+    df = spark.createDataFrame([(chr(i) + "a b" + chr(i),) for i in range(1, 0x3100)] + [(SPACES + "a" + SPACES,), ("",), (None,)], "x string")
+    assert df.where(~strip(F.col("x")).eqNullSafe(F.regexp_replace("x", f"^{WS}+|{WS}+$", ""))).count() == 0
