@@ -17,9 +17,10 @@ def decided(evidence: DataFrame, quality: DataFrame | None, key: str = "evidence
     outer blanks. Of an id given twice the last row by ``order`` counts; rows with a blank id count for none."""
     if quality is None:
         return evidence.withColumn("decision", F.lit("keep"))
-    rows = quality.where(F.trim(text_or_empty(F.col(key).cast("string"))) != "")
-    last = rows.groupBy(key).agg(F.max_by(F.lower(F.trim("quality_decision")), order).alias("__d"))
-    return evidence.join(last, key, "left").withColumn("decision", F.coalesce("__d", F.lit("missing"))).drop("__d")
+    h = F.xxhash64(F.col(key).cast("string"))  # sorted by a number first, and once: ids are dealt before they are met
+    rows = quality.where(F.trim(text_or_empty(F.col(key).cast("string"))) != "").select(h.alias("__h"), key, F.lower(F.trim("quality_decision")).alias("__d"), order)
+    last = rows.repartition("__h", key).groupBy("__h", key).agg(F.max_by("__d", order).alias("__d"))
+    return evidence.withColumn("__h", h).join(last, ["__h", key], "left").select(*evidence.columns, F.coalesce("__d", F.lit("missing")).alias("decision"))
 
 
 def ordered_top(rows: DataFrame, keys: list[str], kind: str, value: Column, order: list[Column], n: int = 3, sep: str = " | ", chars: int = 360) -> DataFrame:
@@ -31,24 +32,30 @@ def ordered_top(rows: DataFrame, keys: list[str], kind: str, value: Column, orde
     return x.groupBy(*keys, kind).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__m.__v"))), lambda s: s["__v"]), sep).alias("joined"))
 
 
-def enrich(tasks: DataFrame, evidence: DataFrame, keys: list[str], quality: DataFrame | None = None, n: int = 3) -> DataFrame:
+def enrich(tasks: DataFrame, evidence: DataFrame, keys: list[str], quality: DataFrame | None = None, n: int = 3, chars: int = 360) -> DataFrame:
     """Every task with counts, evidence types and the first n values of each field of its usable evidence.
 
     ``evidence``: (keys, evidence_id, evidence_type, evidence_text, normalized_value, confidence, updated_at); rows of type
-    source_context do not count. Both sides are keyed alike, so the evidence is aggregated before the one join.
+    source_context do not count. Both sides are keyed alike, so the evidence is aggregated before the one join; it is dealt by
+    task once, for counts and values alike (see ``ordered_top``).
     """
     e = decided(evidence.where("evidence_type <> 'source_context'"), quality)
-    good = e.where("decision = 'keep'")
-    counts = e.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("candidate_evidence_count"), F.count_if(F.col("decision") == "keep").alias("usable_evidence_count"), F.count_if(F.col("decision") == "reject").alias("rejected_evidence_count"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("decision") == "keep", F.col("evidence_type")))), ", ").alias("evidence_types"),
-    )
     rank = F.coalesce(F.element_at(F.create_map(*[x for p in (("high", 0), ("medium", 1), ("low", 2)) for x in (F.lit(p[0]), F.lit(p[1]))]), F.col("confidence")), F.lit(3))
     value = F.when(F.col("evidence_type") == "action_url", F.coalesce(F.nullif(text_or_empty(F.col("normalized_value")), F.lit("")), F.col("evidence_text"))).otherwise(F.col("evidence_text"))
-    tops = ordered_top(good, keys, "evidence_type", value, [rank, F.col("updated_at"), F.col("evidence_id")], n)
-    wide = tops.groupBy(*keys).pivot("evidence_type", list(FIELDS)).agg(F.first("joined"))
-    wide = wide.select(*keys, *[F.col(k).alias(v) for k, v in FIELDS.items()])
-    out = tasks.join(counts, keys, "left").join(wide, keys, "left")
+    x = e.select(*keys, "evidence_type", "decision", F.nullif(F.when(F.col("decision") == "keep", truncate(value, chars)), F.lit("")).alias("__v"), F.struct(rank.alias("a"), F.col("updated_at"), F.col("evidence_id")).alias("__o"))
+    x = x.repartition(*[F.col(k) for k in keys]).groupBy(*keys, "evidence_type", "decision", F.lower("__v").alias("__l")).agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct("__o", "__v")).alias("__m"))
+    x = x.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "evidence_type").orderBy(F.col("__l").isNull(), "__m")))
+    keep = F.col("decision") == "keep"
+
+    def first(kind: str) -> Column:
+        some = F.when((F.col("evidence_type") == kind) & F.col("__l").isNotNull() & (F.col("__r") <= n), F.struct("__r", F.col("__m.__v").alias("v")))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(some)), lambda s: s["v"]), " | ")
+
+    per_task = x.groupBy(*keys).agg(
+        F.sum("__n").alias("candidate_evidence_count"), F.sum(F.when(keep, F.col("__n")).otherwise(0)).alias("usable_evidence_count"), F.sum(F.when(F.col("decision") == "reject", F.col("__n")).otherwise(0)).alias("rejected_evidence_count"),
+        F.array_join(F.sort_array(F.collect_set(F.when(keep, F.col("evidence_type")))), ", ").alias("evidence_types"), *[first(k).alias(v) for k, v in FIELDS.items()],
+    )
+    out = tasks.join(per_task, keys, "left")
     nums = ("candidate_evidence_count", "usable_evidence_count", "rejected_evidence_count")
     out = out.na.fill(0, list(nums)).na.fill("", ["evidence_types", *FIELDS.values()])
     c, u, r = (F.col(x) for x in nums)

@@ -56,3 +56,14 @@ def test_first_scores_only_save_work(spark):
 def test_strip_takes_off_what_the_class_of_white_space_takes_off(spark):
     df = spark.createDataFrame([(chr(i) + "a b" + chr(i),) for i in range(1, 0x3100)] + [(SPACES + "a" + SPACES,), ("",), (None,)], "x string")
     assert df.where(~strip(F.col("x")).eqNullSafe(F.regexp_replace("x", f"^{WS}+|{WS}+$", ""))).count() == 0
+
+
+def test_evidence_is_read_once_for_counts_and_values(spark):
+    """Once for the evidence and once for the decisions."""
+    assert plan(QUERIES["enrich_entities"](spark, SF)).count("l_orderkey#") > 0
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", plan(QUERIES["enrich_entities"](spark, SF)))) == 2
+
+
+def test_texts_are_dealt_before_they_are_searched(spark):
+    for name in ("pattern_extract", "word_find", "word_labels"):
+        assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF)), name
