@@ -9,7 +9,7 @@ from pageknow.functions import lexicon as L
 from pageknow.functions.text import found, lines
 from pageknow.operators import evidence as E
 from pageknow.operators import qa as Q
-from pageknow.plans.common import quoted, sql_contains, sql_found, sql_hits, sql_key, sql_lines, sql_squeeze, table
+from pageknow.plans.common import documents, quoted, sql_contains, sql_found, sql_hits, sql_key, sql_lines, sql_squeeze, table
 from pageknow.plans.retrieval import QA, _qa
 
 #: Word lists drawn from the prose of the driver tables, in the roles of the domain lists.
@@ -80,7 +80,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pattern_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._]+@[A-Za-z0-9.]+"), 0))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(E.urls(F.col("text")), " ").alias("urls"), F.array_join(E.fees(F.col("text"), FEE), " ").alias("numbers"), F.array_join(mail, " ").alias("mails"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(E.urls(F.col("text")), " ").alias("urls"), F.array_join(E.fees(F.col("text"), FEE), " ").alias("numbers"), F.array_join(mail, " ").alias("mails"))
 
 
 def sentence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def sentence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     cat = F.when(F.col("lang") == "en", "registration").when(F.col("lang") == "fr", "payment").otherwise("")
     return d.select("doc_id", F.col("source").alias("owner"), F.substring_index("text", "\n", 1).alias("question"), F.col("text").alias("answer"), cat.alias("category"), F.concat(F.lit("https://docs.example/"), F.col("source")).alias("source_url"))
 
