@@ -83,6 +83,14 @@ def sign_batches(pe: PartEnum, k: int, batches: Iterator[pa.RecordBatch]) -> Ite
             yield _rows([sigs[c : c + CHUNK] & SIG_BITS], [ids[at[c : c + CHUNK]]])
 
 
+def _bound(pe: PartEnum, k: int, crowded: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id) of the texts whose sets need a crowded signature."""
+    for b in slices(batches):
+        sets = [s for s in shingle_sets(_texts(b), k) if len(s)]
+        ids = [set_digest(s)[0] for s, y in zip(sets, pe.bound_to(sets, crowded, SIG_BITS), strict=True) if y]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], ["id"])
+
+
 def _rows(sigs: list, ids: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], ["sig", "id"])
 
@@ -127,15 +135,25 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     def signed(some: DataFrame) -> DataFrame:
         return fill_partitions(some).mapInArrow(lambda it: sign_batches(PartEnum(num, den), k, it), "sig long, id long")
 
-    def sets_of(ids: DataFrame, once: bool = True) -> DataFrame:
+    def texts_of(ids: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Texts that hold those of the classes, the classes (doc_id, id) and their number."""
         reps = materialize(classes.join(ids, classes["d1"] == ids["id"]).select(F.col("rep").alias("doc_id"), "id"), "ngram-needed")
         n = reps.agg(F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("all")).first()
         texts = checked_semi(docs, reps.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", n.known)
         if n.known < n.all:  # classes of rows without a doc_id
             texts = texts.unionByName(docs.where("doc_id IS NULL"))
+        return texts, reps, n.all
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        texts, reps, n = texts_of(ids)
         sets = texts.mapInArrow(lambda it: _sets(k, it), "id long, elements binary")
-        sets = sets.join(reps.select("id"), "id", "left_semi")
-        return materialize(sets.dropDuplicates(["id"]), "ngram-sets") if once else sets
+        sets = materialize(checked_semi(sets, reps.select("id"), "id", n), "ngram-sets")
+        # only a doc_id that repeats gives a set twice; the ids are looked at before whole sets are shuffled
+        twice = sets.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return sets if twice.isEmpty() else materialize(sets.dropDuplicates(["id"]), "ngram-sets")
+
+    def bound_to(ids: DataFrame, crowded: np.ndarray) -> DataFrame:
+        return texts_of(ids)[0].mapInArrow(lambda it: _bound(PartEnum(num, den), k, crowded, it), "id long")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "ngram-candidates")
@@ -150,7 +168,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
         return verify_pairs(pairs, sets, num, den)
 
     sample = signed(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0))
-    links = link_buckets(signed(docs), sample, verify, sets_of, num, den)
+    links = link_buckets(signed(docs), sample, verify, sets_of, num, den, bound_to)
     comp = connected_components(links)
     named = classes.join(comp, classes["d1"] == comp["id"], "left").withColumn("root", F.coalesce("component", "d1"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -204,12 +204,12 @@ def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     def signed(some: DataFrame) -> DataFrame:
         return fill_partitions(some).mapInArrow(lambda it: _signed(p, it), "sig long, id long")
 
-    def sets_of(ids: DataFrame, once: bool = True) -> DataFrame:
+    def sets_of(ids: DataFrame) -> DataFrame:
         need = materialize(owners.join(ids, "id"), "unit-needed")
         asked = need.groupBy("doc_id").agg(F.collect_list("id").alias("asked"))  # at most one document's paragraphs
         from_docs = docs.join(F.broadcast(asked) if need.count() <= BROADCAST_ROWS else asked, "doc_id").select("text", "asked")
         sets = from_docs.mapInArrow(lambda it: _unit_sets(p, it), "id long, elements binary")
-        return materialize(sets.dropDuplicates(["id"]), "unit-sets") if once else sets
+        return materialize(sets.dropDuplicates(["id"]), "unit-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "unit-pairs")

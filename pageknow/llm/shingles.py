@@ -22,7 +22,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 60_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -96,8 +96,9 @@ class PartEnum:
     domain of hashes is cut into ``first`` partitions of three parts each; with ``2 * (first - slack) > k`` at least
     ``slack + 1`` of the partitions hold at most one difference, hence agree in two of their three parts: one signature
     per partition and dropped part. Partitions in which a set has almost nothing give signatures that say little; a set
-    may leave out up to ``slack / 2`` of them, and if it has more it leaves out none. A set signs for its own band and for
-    those of larger partners.
+    may leave out up to ``slack / 2`` of them, and if it has more it leaves out none. What is left of this allowance it may
+    spend on partitions that turn out to be shared by many (``bound_to``). A set signs for its own band and for those of
+    larger partners.
     """
 
     GROWTH = 1.3
@@ -134,15 +135,35 @@ class PartEnum:
 
     def sign(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(signatures, places of their sets in the list)."""
+        got, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for (i, r), at in self._by_band(sets).items():
+            sigs, use = self._partitions([sets[n] for n in at], i, r)
+            got.append(sigs[use].ravel())
+            places.append(np.repeat(np.array(at), 3 * use.sum(1)))
+        return np.concatenate(got), np.concatenate(places)
+
+    def bound_to(self, sets: list[np.ndarray], crowded: np.ndarray, bits: np.uint64) -> np.ndarray:
+        """Whether each set needs one of the ``crowded`` signatures (sorted, cut to ``bits``). A set does not if in each of its bands
+        the partitions with a crowded signature and those it left out are no more than ``slack / 2``: with any similar set it
+        then agrees in another partition, of whose signatures none is crowded."""
+        out = np.zeros(len(sets), dtype=bool)
+        for (i, r), at in self._by_band(sets).items():
+            sigs, use = self._partitions([sets[n] for n in at], i, r)
+            sigs &= bits
+            place = np.minimum(np.searchsorted(crowded, sigs), max(0, len(crowded) - 1))
+            hit = (crowded[place] == sigs).any(2) & use if len(crowded) else np.zeros(use.shape, dtype=bool)
+            out[at] |= hit.any(1) & ((hit | ~use).sum(1) > self.plan(r)[1] // 2)
+        return out
+
+    def _by_band(self, sets: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
         by: dict[tuple[int, int], list[int]] = {}
         for n, s in enumerate(sets):
             for band in self.bands_of(len(s)) if len(s) else ():
                 by.setdefault(band, []).append(n)
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        got = [none, *(self._sign([sets[n] for n in at], np.array(at), i, r) for (i, r), at in by.items())]
-        return np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+        return by
 
-    def _sign(self, sets: list[np.ndarray], at: np.ndarray, band: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+    def _partitions(self, sets: list[np.ndarray], band: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each set and partition the three signatures, and whether the set uses the partition."""
         first, slack = self.plan(r)
         parts = 3 * first
         s = np.concatenate(sets)
@@ -159,4 +180,4 @@ class PartEnum:
             use = ~(weak & spare[:, None])
             tag = np.uint64(band) * np.uint64(1 << 40) + np.arange(first, dtype=np.uint64) * np.uint64(4)
             out = [mixed(mixed(h[:, :, i] + tag + np.uint64(d)) * _A + h[:, :, j]) for d, (i, j) in enumerate(((1, 2), (0, 2), (0, 1)))]
-        return np.stack(out, axis=2)[use].ravel(), np.repeat(at, 3 * use.sum(1))
+        return np.stack(out, axis=2), use

@@ -2,8 +2,9 @@
 
 Members that share a signature are candidates. Each is first verified against the smallest member of its bucket.
 Components are then formed, and a bucket whose members all fell into one component is done. An open bucket with a bounded
-number of pairs across components has those verified. The members of larger open buckets are signed anew, once each, by
-their first elements: sets of similarity t share an element among the first ``(1 - t) * size + 1`` of either, in any order
+number of pairs across components has those verified. Larger open buckets are crowded. A member that meets all its similar
+sets in other buckets as well leaves the crowded ones; the caller's signatures say which (``bound_to``). The others
+are signed anew, once each, by their first elements: sets of similarity t share an element among the first ``(1 - t) * size + 1`` of either, in any order
 that is the same for all. In the order used here the elements that many of these sets hold come last, the commonest at the
 very end, so sets that only have a passage or a template in common no longer meet. What is open after that is compared in
 blocks of bounded size: a task counts the common elements of two blocks by a matrix product over the elements that occur
@@ -40,6 +41,8 @@ SAMPLE_AGAIN, HOT_AGAIN = 8, 16
 MOST_HOT = 50_000
 #: Elements that are put last when sets are signed anew, at most.
 LATE = 200_000
+#: Up to so many crowded signatures are sent to the tasks; beyond, all their members are signed anew.
+MOST_CROWDED = 1_000_000
 #: Rows of a hot signature are dealt into so many cells.
 SALTS = 64
 
@@ -172,11 +175,15 @@ def _sign_first(late: np.ndarray, num: int, den: int, batches: Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), b.column("id").take(pa.array(at))], ["sig", "id"])
 
 
-def link_buckets(signed: DataFrame, sample: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[..., DataFrame], num: int, den: int) -> DataFrame:
+def link_buckets(
+    signed: DataFrame, sample: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int,
+    bound_to: Callable[[DataFrame, np.ndarray], DataFrame] | None = None,
+) -> DataFrame:
     """Links (a, b) that hold all connections between similar ids.
 
     ``signed``: (sig, id), ``sample``: the same of a sample. ``verify``: candidate pairs (a < b, distinct) to those that
-    link. ``sets_of``: distinct (id) to (id, elements), written; with ``once=False`` not written, and ids may repeat.
+    link. ``sets_of``: distinct (id) to (id, elements), written. ``bound_to``: of members (id) of crowded buckets those that
+    need one of the crowded signatures (sorted, unsigned) to meet all their similar sets; without it, all do.
     """
     def check(rows_: DataFrame) -> DataFrame:
         return materialize(verify(rows_.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), "links")
@@ -207,13 +214,18 @@ def link_buckets(signed: DataFrame, sample: DataFrame, verify: Callable[[DataFra
     if rows.isEmpty():
         return links
     ids = materialize(rows.select("id").distinct(), "open-ids")
-    sets = sets_of(ids, once=False)
+    crowded = rows.select("sig").distinct().limit(MOST_CROWDED + 1)
+    if bound_to is not None and (sigs := crowded.toArrow().column(0).to_numpy().view(np.uint64)).size <= MOST_CROWDED:
+        ids = materialize(bound_to(ids, np.sort(sigs)).distinct(), "bound-ids")
+        if ids.isEmpty():
+            return links
+    sets = sets_of(ids)
     late = common_elements(sets)
 
     def again(some: DataFrame) -> DataFrame:
         return some.mapInArrow(lambda it: _sign_first(late, num, den, it), "sig long, id long")
 
-    some = sets_of(ids.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_AGAIN)) == 0), once=False)
+    some = sets.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_AGAIN)) == 0)
     rows, links = settle(shared(again(sets), again(some), HOT_AGAIN), links, FEW[1])
     if rows.isEmpty():
         return links

@@ -136,6 +136,53 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, jaccard_classes(df).collect())) == brute(rows)
 
 
+def with_passage(n, size, seed):
+    """Texts that share a fifth of their words in one passage, and copies of every tenth with a few words changed."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(size // 5)]
+    for j in range(n):
+        own = [f"u{j}_{i}" for i in range(size - size // 5)]
+        yield " ".join(passage + own)
+        if j % 10 == 0:
+            for _ in range(rng.randrange(1, 22)):
+                own[rng.randrange(len(own))] = "x"
+            yield " ".join(passage + own)
+
+
+def test_few_members_of_crowded_buckets_are_signed_again(spark, monkeypatch):
+    """A set that meets its similar ones elsewhere leaves the crowded buckets; the links stay whole."""
+    monkeypatch.setattr(simjoin, "FEW", (3, 1_000))
+    seen, again = [], []
+    write, count = simjoin.materialize, simjoin.common_elements
+    monkeypatch.setattr(simjoin, "materialize", lambda df, label: seen.append(write(df, label)) or seen[-1] if label == "open-ids" else write(df, label))
+    monkeypatch.setattr(simjoin, "common_elements", lambda sets: again.append(sets.count()) or count(sets))
+    rows = list(enumerate(with_passage(200, 800, 3)))
+    got = sorted(map(tuple, jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()))
+    assert got == brute(rows) and any(d != c for d, _, c in got)
+    open_ids = seen[0].count()
+    assert open_ids > 50 and sum(again) < open_ids / 3, (open_ids, again)
+
+
+def test_sets_that_leave_crowded_signatures_meet_elsewhere():
+    rng = np.random.default_rng(7)
+    pe, every = PartEnum(85, 100), np.uint64(2**64 - 1)
+    free = 0
+    for n in (20, 90, 300, 700, 1500):
+        for _ in range(10):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = a[rng.permutation(n)[: n - int(0.15 * n)]]  # as unlike as may be
+            b = np.sort(b)
+            both = np.intersect1d(pe.signatures(a), pe.signatures(b))
+            for k in (1, 3, len(both)):
+                crowded = np.sort(rng.choice(both, min(k, len(both)), replace=False))
+                bound = pe.bound_to([a, b], crowded, every)
+                assert bound.all() or len(both) > len(crowded)
+                free += (~bound).any()
+                if k == len(both):
+                    assert bound.all()
+    assert free > 20 and not pe.bound_to([a, b], np.zeros(0, np.uint64), every).any()
+
+
 def test_common_elements():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(9)]
