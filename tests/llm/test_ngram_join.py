@@ -2,9 +2,10 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pageknow.llm import graph, ngram_join, simjoin
+from pageknow.llm import common, graph, ngram_join, simjoin
 from pageknow.llm.graph import connected_components
 from pageknow.llm.ngram_join import counts, jaccard_classes, least_difference, one_per_class
 from pageknow.llm.queries import OP8_SQL
@@ -183,6 +184,13 @@ def test_sets_that_leave_crowded_signatures_meet_elsewhere():
     assert free > 20 and not pe.bound_to([a, b], np.zeros(0, np.uint64), every).any()
 
 
+def test_memory_is_released_after_the_last_batch(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "release", lambda: done.append(1))
+    it = common.slices(iter([pa.record_batch({"x": list(range(700))})] * 2))
+    assert [(b.num_rows, len(done)) for b in it] == [(512, 0), (188, 0)] * 2 and len(done) == 1
+
+
 def test_common_elements():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(9)]
