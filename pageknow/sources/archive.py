@@ -1,4 +1,8 @@
-"""Page archive: one text per page, ``key: value`` lines, a line ``---``, then the body."""
+"""Page archive: one text per page, ``key: value`` lines, a line ``---``, then the body.
+
+An archive is a folder with a file a page, or, where pages are many, one of bundles: text files of many records each, which end
+with a control character, the page's name in the first line of a record.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,8 @@ from pageknow.functions.lexicon import BLOCK_MARKERS
 from pageknow.functions.text import LINE_BREAK, bind, first_hit, strip, text_or_empty
 
 MARK = "\n---\n"
+#: Ends a record of a bundle; inside a record it is written as ESCAPE and "r", ESCAPE itself as ESCAPE and "p".
+RECORD, ESCAPE = "\x1e", "\x10"
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -16,16 +22,36 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("raw_file"), F.col("value").alias("raw"))
 
 
-def read_parsed(spark: SparkSession, path: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(pages, rejects) of a folder of archived pages: (raw_file, fields .., body), and (raw_file, error) of files without a
-    header or without one of the fields."""
+def write_bundles(pages: DataFrame, path: str) -> None:
+    """Pages (raw_file, raw) as bundles, a file for each partition of ``pages``. A null text is an empty one; of a name only the
+    first line counts."""
+    coded = lambda c: F.replace(F.replace(text_or_empty(c), F.lit(ESCAPE), F.lit(ESCAPE + "p")), F.lit(RECORD), F.lit(ESCAPE + "r"))
+    name = F.substring_index(coded(F.col("raw_file")), "\n", 1)
+    pages.select(F.concat(name, F.lit("\n"), coded(F.col("raw"))).alias("value")).write.option("lineSep", RECORD).text(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """(raw_file, raw) of a folder of bundles; large ones are read in parts."""
+    plain = lambda c: F.replace(F.replace(c, F.lit(ESCAPE + "r"), F.lit(RECORD)), F.lit(ESCAPE + "p"), F.lit(ESCAPE))
+    x, at = spark.read.option("lineSep", RECORD).text(path), F.instr("value", "\n")
+    return x.where(at > 0).select(plain(F.left("value", at - 1)).alias("raw_file"), plain(F.substring(F.col("value"), at + 1, F.length("value"))).alias("raw"))
+
+
+def parsed(archive: DataFrame, fields: list[str]) -> DataFrame:
+    """(raw_file, fields .., body, error) of archived pages (raw_file, raw); an error, else empty, names a missing header or
+    the fields that lack."""
     header, body = parse(F.col("raw"))
-    x = read_archive(spark, path).withColumns({"__h": header, "body": body})
+    x = archive.withColumns({"__h": header, "body": body})
     lacking = F.array_compact(F.array(*[F.when(F.element_at("__h", f).isNull(), F.lit(f)) for f in fields]))
     error = F.when(F.size("__h") == 0, "no_header").when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.array_join(lacking, ", "))).otherwise("")
-    x = x.withColumn("error", error)
-    pages = x.where("error = ''").select("raw_file", *[F.element_at("__h", f).alias(f) for f in fields], "body")
-    return pages, x.where("error <> ''").select("raw_file", "error")
+    return x.select("raw_file", *[F.element_at("__h", f).alias(f) for f in fields], "body", error.alias("error"))
+
+
+def read_parsed(spark: SparkSession, path: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pages, rejects) of a folder of archived pages: (raw_file, fields .., body), and (raw_file, error) of files without a
+    header or without one of the fields."""
+    x = parsed(read_archive(spark, path), fields)
+    return x.where("error = ''").drop("error"), x.where("error <> ''").select("raw_file", "error")
 
 
 def to_archive(header: dict[str, Column], body: Column) -> Column:

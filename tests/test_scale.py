@@ -67,3 +67,19 @@ def test_evidence_is_read_once_for_counts_and_values(spark):
 def test_texts_are_dealt_before_they_are_searched(spark):
     for name in ("pattern_extract", "word_find", "word_labels"):
         assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF)), name
+
+
+def test_archived_pages_are_kept_in_bundles(spark, tmp_path):
+    """A file for many pages, whatever characters a page holds."""
+    from pageknow.sources import archive as A
+
+    raw = ["", None, "url: u\n---\nbody", "a\x1eb\x10c\x10r\x10p\n\n", "\r\nx\r", "\x1e", "\x10", "no mark", "ü  \n"]
+    rows = [(f"p{i}\x1e", raw[i % len(raw)]) for i in range(3_000)]
+    A.write_bundles(spark.createDataFrame(rows, "raw_file string, raw string").repartition(4), f"{tmp_path}/b")
+    assert len([p for p in (tmp_path / "b").iterdir() if p.suffix == ".txt"]) == 4
+    assert sorted(map(tuple, A.read_bundles(spark, f"{tmp_path}/b").collect())) == sorted((n, r or "") for n, r in rows)
+
+
+def test_archive_read_writes_no_folder_a_page(spark):
+    files = QUERIES["archive_read"](spark, SF).inputFiles()
+    assert files and not any("page_id=" in f for f in files)
