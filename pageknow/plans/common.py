@@ -10,7 +10,7 @@ from pageknow.functions.lexicon import INDEX_STOPWORDS, SEARCH_STOPWORDS
 from pageknow.functions.text import LINE_BREAK, NOT_WORD, WS
 from pageknow.sources.commits import scratch
 
-__all__ = ["documents", "quoted", "scratch", "sql_chunks", "sql_contains", "sql_found", "sql_hits", "sql_index_terms", "sql_key", "sql_lines", "sql_split", "sql_squeeze", "sql_strip", "sql_terms", "sql_truncate", "table"]
+__all__ = ["dealt", "documents", "quoted", "scratch", "sql_chunks", "sql_contains", "sql_found", "sql_hits", "sql_index_terms", "sql_key", "sql_lines", "sql_split", "sql_squeeze", "sql_strip", "sql_terms", "sql_truncate", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,12 @@ PART_ROWS = 1_000
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents dealt by ``doc_id``, however few files or row groups hold them: all cores work on the texts, and grouping what
     is derived from a document needs no further shuffle. The count reads footers only."""
-    d = table(spark, sf_dir, "documents")
-    return d.repartition(max(spark.sparkContext.defaultParallelism, -(-d.count() // PART_ROWS)), "doc_id")
+    return dealt(table(spark, sf_dir, "documents"), "doc_id", PART_ROWS)
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` dealt by ``key`` into parts of about ``rows`` rows, at least one a core."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), key)
 
 
 def quoted(words: Iterable[str]) -> str:

@@ -83,3 +83,10 @@ def test_archived_pages_are_kept_in_bundles(spark, tmp_path):
 def test_archive_read_writes_no_folder_a_page(spark):
     files = QUERIES["archive_read"](spark, SF).inputFiles()
     assert files and not any("page_id=" in f for f in files)
+
+
+def test_users_are_dealt_before_they_become_tasks(spark):
+    """Tasks of users are grouped in parts of bounded size, so no exchange stands between the users and their tasks' groups."""
+    found = plan(QUERIES["reminders"](spark, SF))
+    assert "REPARTITION_BY_NUM" in found
+    assert not any(re.search(r"task_(id|code)#", k) and "c_custkey" in k for k in keys_of_exchanges(QUERIES["reminders"](spark, SF)))
