@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import BROADCAST_ROWS, materialize
+from pageknow.llm.common import BROADCAST_ROWS, discard, materialize
 
 
 #: An id with so many edges is a hub; in large tables more are needed, so that there are at most BROADCAST_ROWS hubs.
@@ -51,8 +51,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = materialize(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     rows = e.count()
     for _ in range(max_rounds):
-        e = _large_star(e, rows).where("u <> v").distinct()
-        e = materialize(_small_star(e if rows < HUB else materialize(e, "stars"), rows).where("u <> v").distinct(), "stars")
+        if not rows:
+            break
+        large = _large_star(e, rows).where("u <> v").distinct()
+        large = large if rows < HUB else materialize(large, "stars")
+        e, before = materialize(_small_star(large, rows).where("u <> v").distinct(), "stars"), e
+        discard(before, large)
         if _are_stars(e):
             break
     else:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import checked_semi, fill_partitions, materialize, slices, text_key, without
+from pageknow.llm.common import checked_semi, discard, fill_partitions, materialize, slices, text_key, without
 from pageknow.llm.graph import connected_components
 from pageknow.llm.shingles import PartEnum, overlap, set_digest, shingle_sets
 from pageknow.llm.simjoin import SAMPLE, link_buckets
@@ -150,29 +150,38 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
         sets = materialize(checked_semi(sets, reps.select("id"), "id", n), "ngram-sets")
         # only a doc_id that repeats gives a set twice; the ids are looked at before whole sets are shuffled
         twice = sets.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return sets if twice.isEmpty() else materialize(sets.dropDuplicates(["id"]), "ngram-sets")
+        discard(reps)
+        if twice.isEmpty():
+            return sets
+        one = materialize(sets.dropDuplicates(["id"]), "ngram-sets")
+        discard(sets)
+        return one
 
     def bound_to(ids: DataFrame, crowded: np.ndarray) -> DataFrame:
         return texts_of(ids)[0].mapInArrow(lambda it: _bound(PartEnum(num, den), k, crowded, it), "id long")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "ngram-candidates")
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct(), "ngram-candidate-ids")
+    def verify(every: DataFrame) -> DataFrame:
+        ids = materialize(every.select(F.explode(F.array("a", "b")).alias("d1")).distinct(), "ngram-candidate-ids")
         some = checked_semi(classes, ids, "d1", ids.count())
         x = some.select(F.col("d1").alias("a"), F.col("n").alias("nx"), F.col("counts").alias("cx"))
         y = some.select(F.col("d1").alias("b"), F.col("n").alias("ny"), F.col("counts").alias("cy"))
         near = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-        met = pairs.join(x, "a").join(y, "b").where(near)
+        met = every.join(x, "a").join(y, "b").where(near)
         pairs = materialize(met.mapInArrow(lambda it: _may_link(num, den, it), "a long, b long"), "ngram-pairs")
+        discard(ids)
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        return verify_pairs(pairs, sets, num, den)
+        links = materialize(verify_pairs(pairs, sets, num, den), "links")
+        discard(pairs, sets)
+        return links
 
     sample = signed(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0))
     links = link_buckets(signed(docs), sample, verify, sets_of, num, den, bound_to)
     comp = connected_components(links)
     named = classes.join(comp, classes["d1"] == comp["id"], "left").withColumn("root", F.coalesce("component", "d1"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rows, materialize(named.select("d1", "root").join(names, "root").select("d1", "root", "component_id"), "ngram-components")
+    named = materialize(named.select("d1", "root").join(names, "root").select("d1", "root", "component_id"), "ngram-components")
+    discard(classes)
+    return rows, named
 
 
 def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -196,6 +205,7 @@ def one_per_class(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     many = full.groupBy("root", "row").agg(F.count(F.lit(1)).alias("k"))
     first = many.groupBy("root").agg(F.min("row").alias("first"), F.sum("k").alias("n")).where("n > 1")
     some = materialize(many.join(first, "root").select("row.doc_id", "row.key", (F.col("row") == F.col("first")).alias("stays"), "k"), "ngram-drop")
+    discard(rows, classes)
     again = some.where("stays AND k > 1")
     kept = without(docs, some.where("NOT stays OR k > 1"))
     if again.isEmpty():

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import BROADCAST_ROWS, checked_semi, fill_partitions, materialize, slices
+from pageknow.llm.common import BROADCAST_ROWS, checked_semi, discard, fill_partitions, materialize, slices
 from pageknow.llm.graph import connected_components
 from pageknow.llm.ngram_join import _rows, verify_pairs
 from pageknow.llm.shingles import mixed, word_hashes
@@ -209,14 +209,20 @@ def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
         asked = need.groupBy("doc_id").agg(F.collect_list("id").alias("asked"))  # at most one document's paragraphs
         from_docs = docs.join(F.broadcast(asked) if need.count() <= BROADCAST_ROWS else asked, "doc_id").select("text", "asked")
         sets = from_docs.mapInArrow(lambda it: _unit_sets(p, it), "id long, elements binary")
-        return materialize(sets.dropDuplicates(["id"]), "unit-sets")
+        one = materialize(sets.dropDuplicates(["id"]), "unit-sets")
+        discard(need)
+        return one
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "unit-pairs")
-        return verify_pairs(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), p.num, p.den)
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        links = materialize(verify_pairs(pairs, sets, p.num, p.den), "links")
+        discard(sets)
+        return links
 
     sample = signed(docs.where(F.pmod(F.xxhash64("doc_id", "copy"), F.lit(SAMPLE)) == 0))
-    return connected_components(link_buckets(signed(docs), sample, verify, sets_of, p.num, p.den))
+    comp = materialize(connected_components(link_buckets(signed(docs), sample, verify, sets_of, p.num, p.den)), "unit-components")
+    discard(owners)
+    return comp
 
 
 def same_spans(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
@@ -257,7 +263,9 @@ def extended(windows: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     x = texts.select("doc_id", "copy", F.col("text").alias("x"))
     y = texts.select(F.col("doc_id").alias("first_doc"), F.col("copy").alias("first_copy"), F.col("text").alias("y"))
     met = seeds.join(x, ["doc_id", "copy"]).join(y, ["first_doc", "first_copy"]).select("doc_id", "copy", "first_doc", "seeds", "x", "y")
-    return met.mapInArrow(lambda it: _extend(p.window, it), "doc_id long, copy long, start int, stop int, kept_doc_id long")
+    spans = materialize(met.mapInArrow(lambda it: _extend(p.window, it), "doc_id long, copy long, start int, stop int, kept_doc_id long"), "unit-spans")
+    discard(seeds, need, texts)
+    return spans
 
 
 def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -279,6 +287,7 @@ def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
         found = found.withColumn("apart", apart.cast("int")).withColumn("place", F.sum("apart").over(place.rowsBetween(W.unboundedPreceding, 0)))
         stays = (F.col("place") == 1) & stays
     gone = materialize(found.where(~stays).select("doc_id", "copy", "start", "stop", "whole", "first", F.col("own.doc_id").alias("kept_doc_id")), "unit-gone")
+    discard(units, comp, many, classes)
     alone = F.col("whole") | (F.col("first") == F.struct("doc_id", "copy", "start"))
     spans = gone.where(alone).select("doc_id", "copy", "start", "stop", "kept_doc_id")
     return spans.unionAll(extended(gone.where(~alone).select("doc_id", "copy", "start", "first"), docs, p))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import BROADCAST_ROWS, materialize, slices
+from pageknow.llm.common import BROADCAST_ROWS, discard, materialize, slices
 from pageknow.llm.graph import connected_components
 
 BLOCK = 512
@@ -53,17 +53,18 @@ def hot_signatures(sample: DataFrame, least: int) -> DataFrame:
     return n.orderBy(F.col("n").desc(), "sig").limit(MOST_HOT).select("sig")
 
 
-def shared(signed: DataFrame, sample: DataFrame, least: int) -> DataFrame:
-    """(sig, id, hub, hot): distinct members of signatures that at least two ids share, and the smallest one. A hot signature
-    is dealt into cells, whose smallest members are joined afterwards."""
-    hot = materialize(hot_signatures(sample, least), "hot").withColumn("hot", F.lit(True))
-    dealt = signed.join(F.broadcast(hot), "sig", "left").withColumn("cell", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+def shared(signed: DataFrame, sample: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(sig, id, hub, hot): distinct members of signatures that at least two ids share, and the smallest one; and the written
+    table they are read from. A hot signature is dealt into cells, whose smallest members are joined afterwards."""
+    hot = materialize(hot_signatures(sample, least), "hot")
+    dealt = signed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left").withColumn("cell", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     w = W.partitionBy("sig", "cell")
     some = dealt.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("hot OR lo <> hi")
     some = materialize(some.select("sig", "cell", "id", F.col("lo").alias("hub"), "hot").distinct(), "met")
+    discard(hot)
     split = some.where("hot")
     hubs = split.groupBy("sig").agg(F.min("hub").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("sig", F.col("lo").alias("hub"))
-    return some.where("hot IS NULL").select("sig", "id", "hub", "hot").unionAll(split.select("sig", "id", "hot").join(F.broadcast(hubs), "sig").select("sig", "id", "hub", "hot"))
+    return some.where("hot IS NULL").select("sig", "id", "hub", "hot").unionAll(split.select("sig", "id", "hot").join(F.broadcast(hubs), "sig").select("sig", "id", "hub", "hot")), some
 
 
 def spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,12 +182,17 @@ def link_buckets(
 ) -> DataFrame:
     """Links (a, b) that hold all connections between similar ids.
 
-    ``signed``: (sig, id), ``sample``: the same of a sample. ``verify``: candidate pairs (a < b, distinct) to those that
-    link. ``sets_of``: distinct (id) to (id, elements), written. ``bound_to``: of members (id) of crowded buckets those that
+    ``signed``: (sig, id), ``sample``: the same of a sample. ``verify``: written candidate pairs (a < b, distinct) to those that
+    link, written. ``sets_of``: distinct (id) to (id, elements), written. ``bound_to``: of members (id) of crowded buckets those that
     need one of the crowded signatures (sorted, unsigned) to meet all their similar sets; without it, all do.
     """
-    def check(rows_: DataFrame) -> DataFrame:
-        return materialize(verify(rows_.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), "links")
+    none = signed.sparkSession.createDataFrame([], "a long, b long")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.distinct(), "candidates")
+        found = none if pairs.isEmpty() else verify(pairs)
+        discard(pairs)
+        return found
 
     def open_rows(rows_: DataFrame, links_: DataFrame) -> DataFrame:
         """Rows of the buckets that still hold several components, and the number of pairs across these."""
@@ -200,16 +206,19 @@ def link_buckets(
         mates = mates.groupBy("sig").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("across"))
         kept = ["sig", "id", "hub", "hot", "c", "across"]
         both = cold.select(*kept).unionAll(split.join(F.broadcast(mates), "sig").select(*kept))
-        return materialize(both.where("across > 0"), "open")
+        both = materialize(both.where("across > 0"), "open")
+        discard(comp)
+        return both
 
-    def settle(rows_: DataFrame, links_: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    def settle(met: tuple[DataFrame, DataFrame], links_: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
         """Links so far and the rows of the buckets that are open with too many pairs."""
-        links_ = links_.unionAll(check(rows_))
+        rows_, written = met
+        links_ = links_.unionAll(check(rows_.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))))
         rows_ = open_rows(rows_, links_)
-        links_ = links_.unionAll(materialize(verify(_across(rows_.where(F.col("across") <= few)).distinct()), "links"))
+        discard(written)
+        links_ = links_.unionAll(check(_across(rows_.where(F.col("across") <= few))))
         return rows_.where(F.col("across") > few).select("sig", "id", "hub", "hot"), links_
 
-    none = signed.sparkSession.createDataFrame([], "a long, b long")
     rows, links = settle(shared(signed, sample, HOT), none, FEW[0])
     if rows.isEmpty():
         return links
@@ -226,10 +235,14 @@ def link_buckets(
         return some.mapInArrow(lambda it: _sign_first(late, num, den, it), "sig long, id long")
 
     some = sets.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_AGAIN)) == 0)
-    rows, links = settle(shared(again(sets), again(some), HOT_AGAIN), links, FEW[1])
+    met = shared(again(sets), again(some), HOT_AGAIN)
+    discard(sets)
+    rows, links = settle(met, links, FEW[1])
     if rows.isEmpty():
         return links
     clumps = connected_components(rows.where("id <> hub").select("hub", "id").distinct(), "hub", "id").withColumnRenamed("component", "clump")
     clumps = materialize(clumps, "clumps")
-    found = link_clumps(clumps, sets_of(clumps.select("id")), num, den)
-    return links.unionAll(materialize(found, "links"))
+    sets = sets_of(clumps.select("id"))
+    found = materialize(link_clumps(clumps, sets, num, den), "links")
+    discard(sets)
+    return links.unionAll(found)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import fill_partitions, materialize, slices
+from pageknow.llm.common import discard, fill_partitions, materialize, slices
 
 #: Lists of terms that may stand for each other; the first of each is neutral. Fixed values.
 IDENTITY_TERMS = (
@@ -120,6 +120,7 @@ def train(labelled: DataFrame, p: Params = Params()) -> Model:
     rows = materialize(rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism), "toxicity-sample")
     total = rows.agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     if not total.n or total.pos in (0, total.n):
+        discard(rows)
         return Model({}, 0.0)
     pos, neg = total.pos, total.n - total.pos
     counts = rows.mapInArrow(_emit, "feature string, y int").groupBy("feature").agg(F.sum("y").alias("a"), F.count("y").alias("k"))
@@ -131,6 +132,7 @@ def train(labelled: DataFrame, p: Params = Params()) -> Model:
     index = {r.feature: i for i, r in enumerate(best.collect())}
     prior = float(np.log(pos / neg))
     if not index:
+        discard(rows, counts)
         return Model({}, prior)
     others = mined_swaps(counts, p) | swaps_of(p.groups)
     got = rows.mapInArrow(lambda it: _present(index, it), "y int, f array<int>").toArrow()
@@ -138,6 +140,7 @@ def train(labelled: DataFrame, p: Params = Params()) -> Model:
     swaps = rows.mapInArrow(lambda it: _swapped(index, others, it), "lost array<int>, gained array<int>").groupBy("lost", "gained").agg(F.count(F.lit(1)).alias("n"))
     swaps = swaps.orderBy(F.col("n").desc(), "lost", "gained").limit(p.max_swaps).toArrow()
     lost, gained = _coordinates(swaps.column("lost")), _coordinates(swaps.column("gained"))
+    discard(rows, counts)
     often = swaps.column("n").to_numpy().astype(float)
     w, b = fit(i, j, got.column("y").to_numpy().astype(float), len(index), prior, lost, gained, often, p)
     return Model({k: float(w[n]) for k, n in index.items() if abs(w[n]) > 1e-4}, float(b), int(often.sum()))
