@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,10 @@ PIECE_CHARS = 32_768
 LONG_WORD = 512
 #: Entries of the per-worker memo before it is emptied.
 MEMO_WORDS = 250_000
-#: The same where texts are not decoded; entries are smaller.
+#: The same of ids alone; entries are smaller.
 IDS_WORDS = 600_000
+#: Bytes of ids that are decoded at once, if they are not of one text.
+DECODE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -283,6 +286,29 @@ def encode_ids(path: str, text: bytes) -> bytes:
     return b"".join(map(_ids_memo(path).__getitem__, text.split()))
 
 
+@lru_cache(maxsize=4)
+def _spaced(path: str) -> pa.Array:
+    """Of each id its token and a space; an empty token is not told apart from a word without tokens."""
+    return pa.array([t + b" " for t in _pieces_of(path)], pa.large_binary())
+
+
+def decode_all(path: str, ids: list[bytes]) -> Iterator[bytes]:
+    """Decoded texts of lists of ids, as bytes: the tokens of all of them are taken side by side, some lists at a time."""
+    at = 0
+    while at < len(ids):
+        end, n = at + 1, len(ids[at])
+        while end < len(ids) and n + len(ids[end]) <= DECODE_BYTES:
+            n += len(ids[end])
+            end += 1
+        taken = pc.take(_spaced(path), pa.array(np.frombuffer(b"".join(ids[at:end]), "<u4")))
+        cut = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids[at:end]])])
+        edge = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][cut] if n else cut
+        text = memoryview(taken.buffers()[2]) if n else b""
+        for a, b in zip(edge, edge[1:], strict=False):
+            yield bytes(text[a : max(a, b - 1)])
+        at = end
+
+
 def _digest(ids: bytes, decoded: bytes) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
@@ -294,11 +320,12 @@ DIGESTS = Outcome(_digest, (("n_tokens", "long", pa.int64()), ("ids_sha256", "st
 def _whole(path: str, batches: Iterator[pa.RecordBatch], keep: list[str], outcome: Outcome) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = [t or b"" for t in batch.column("__text").cast(pa.binary()).to_pylist()]
-        rows = [outcome.of(*encode_words(path, t)) if outcome.decoded else outcome.of(encode_ids(path, t), b"") for t in texts]
+        ids = [encode_ids(path, t) for t in texts]
+        rows = [outcome.of(*x) for x in zip(ids, decode_all(path, ids), strict=True)] if outcome.decoded else [outcome.of(i, b"") for i in ids]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *outcome.columns(rows)], [*keep, *outcome.names])
 
 
-def _encode_pieces(path: str, batches: Iterator[pa.RecordBatch], decoded: bool) -> Iterator[pa.RecordBatch]:
+def _encode_pieces(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each piece: the words between its first and last white space, and the two open ends. A piece without white space
     is all open; it is encoded here, so that the parts of long unsplit text are encoded in parallel, as (ids, starts, ends)."""
     for batch in batches:
@@ -307,46 +334,41 @@ def _encode_pieces(path: str, batches: Iterator[pa.RecordBatch], decoded: bool)
             found = [m.start() for m in (re.search(r"[ \t-\r]", text), re.search(r"[ \t-\r][^ \t-\r]*\Z", text)) if m]
             if found:
                 head, body, tail = text[: found[0]], text[found[0] : found[1] + 1], text[found[1] + 1 :]
-                done = encode_words(path, body.encode()) if decoded else (encode_ids(path, body.encode()), b"")
-                out.append((head, *done, tail, True))
+                out.append((head, encode_ids(path, body.encode()), tail, True))
             else:
                 tokens = tree_encode(path, text) if _safe_to_halve(text) else []
-                out.append((text, np.asarray(tokens, dtype="<i8").tobytes(), b"", "", False))
+                out.append((text, np.asarray(tokens, dtype="<i8").tobytes(), "", False))
         cols = [batch.column("__key"), batch.column("no")]
-        cols += [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary(), pa.string(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays(cols, ["__key", "no", "head", "ids", "decoded", "tail", "cut"])
+        cols += [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.string(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays(cols, ["__key", "no", "head", "ids", "tail", "cut"])
 
 
 def _assemble(path: str, table: pa.Table, outcome: Outcome) -> pa.Table:
     """Pieces of one text in order: the open ends meet across the cut and are encoded as the one word they are."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("no", "head", "ids", "decoded", "tail", "cut")), strict=True))
-    memo, ids, decoded, open_word = _memo(path), [], [], []
-
-    def add(i: bytes, d: bytes) -> None:
-        ids.append(i)
-        if d:
-            decoded.append(d)
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("no", "head", "ids", "tail", "cut")), strict=True))
+    memo, ids, open_word = _memo(path), [], []
 
     def close() -> None:
         word = "".join(p[0] for p in open_word)
         if len(word) > LONG_WORD and _safe_to_halve(word):
             parts = [(p, done if done is not None else tree_encode(path, p)) for p, done in open_word if p]
-            add(*memo.pack([t for t, _, _ in tree_join(path, parts)]))
+            ids.append(memo.pack([t for t, _, _ in tree_join(path, parts)])[0])
         else:
-            add(*encode_words(path, word.encode()))
+            ids.append(encode_ids(path, word.encode()))
         open_word.clear()
 
-    for _, head, i, d, tail, cut in rows:
+    for _, head, i, tail, cut in rows:
         if cut:
             open_word.append((head, None))
             close()
-            add(i, d)
+            ids.append(i)
             open_word.append((tail, None))
         else:
             tokens = np.frombuffer(i, dtype="<i8").reshape(-1, 3).tolist()
             open_word.append((head, [tuple(t) for t in tokens] if tokens else None))
     close()
-    got = outcome.columns([outcome.of(b"".join(ids), b" ".join(decoded))])
+    all_ids = b"".join(ids)
+    got = outcome.columns([outcome.of(all_ids, next(decode_all(path, [all_ids])) if outcome.decoded else b"")])
     return pa.table([pa.array([table.column("__key")[0].as_py()]), *got], ["__key", *outcome.names])
 
 
@@ -378,7 +400,7 @@ def encode_documents(
         )).alias("no", "piece"))
     )
     done = (
-        pieces.mapInArrow(lambda it: _encode_pieces(path, it, outcome.decoded), "__key string, no int, head string, ids binary, decoded binary, tail string, cut boolean")
+        pieces.mapInArrow(lambda it: _encode_pieces(path, it), "__key string, no int, head string, ids binary, tail string, cut boolean")
         .groupBy("__key").applyInArrow(lambda t: _assemble(path, t, outcome), f"__key string, {outcome.ddl}")
     )
     joined = long.drop("__text").join(done, "__key").select(*held, *new)

@@ -67,3 +67,18 @@ def test_empty_and_real(spark):
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(df, PATH, keep=["doc_id"], piece_chars=2000).collect()}
     for r in df.collect():
         assert got[r.doc_id] == want(r.text)
+
+
+def test_texts_are_decoded_from_ids_together(monkeypatch):
+    monkeypatch.setattr(bpe, "DECODE_BYTES", 40)
+    bpe._MEMOS.clear()
+    bpe._IDS.clear()
+    texts = ["", "plain words only, here.", " ", "more of the words (again)!", "x" * 50, "", "the end"]
+    ids = [bpe.encode_ids(PATH, t.encode()) for t in texts]
+    want_ids = [TOK.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids] == want_ids
+    assert [d.decode() for d in bpe.decode_all(PATH, ids)] == [TOK.decode(w, skip_special_tokens=False) for w in want_ids]
+    assert list(bpe.decode_all(PATH, [])) == []
+    batch = bpe.pa.record_batch([bpe.pa.array(["some other plain words", None])], ["__text"])
+    (out,) = bpe._whole(PATH, iter([batch]), [], bpe.DIGESTS)
+    assert out.to_pylist()[1]["n_tokens"] == 0 and not any(b"plain" in w or b"words" in w for w in bpe._memo(PATH))
