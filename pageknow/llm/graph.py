@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageknow.llm.common import BROADCAST_ROWS, discard, materialize
-
+from pageknow.llm.common import BROADCAST_ROWS, discard, held, materialize
 
+#: Rounds over at most so many edges are planned once, for a number of partitions that fits them. Adaptive plans start two or
+#: more threads of the driver for each shuffle, which stay for a minute; many short rounds fill its memory with them.
+SMALL, PART_EDGES = 400_000, 50_000
 #: An id with so many edges is a hub; in large tables more are needed, so that there are at most BROADCAST_ROWS hubs.
 HUB = 1_000
 
@@ -50,16 +52,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     loops = e.where("u = v").select("u", "v")
     e = materialize(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     rows = e.count()
-    for _ in range(max_rounds):
-        if not rows:
-            break
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": 4 + rows // PART_EDGES}
+    with held(e.sparkSession, fixed if rows <= SMALL else {}):
+        e = _stars(e, rows, max_rounds)
+    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component"))
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots).unionAll(loops.toDF("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def _stars(e: DataFrame, rows: int, max_rounds: int) -> DataFrame:
+    """Of ``rows`` written edges (u, v), u > v, those from each id to the least of its component."""
+    for _ in range(max_rounds if rows else 0):
         large = _large_star(e, rows).where("u <> v").distinct()
         large = large if rows < HUB else materialize(large, "stars")
         e, before = materialize(_small_star(large, rows).where("u <> v").distinct(), "stars"), e
         discard(before, large)
         if _are_stars(e):
-            break
-    else:
+            return e
+    if rows:
         raise RuntimeError("components did not settle")
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots).unionAll(loops.toDF("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
+    return e
