@@ -17,7 +17,6 @@ place of its class.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +29,11 @@ from pyspark.sql import functions as F
 from pageknow.llm.common import BROADCAST_ROWS, checked_semi, discard, fill_partitions, materialize, slices
 from pageknow.llm.graph import connected_components
 from pageknow.llm.ngram_join import _rows, verify_pairs
-from pageknow.llm.shingles import mixed, word_hashes
+from pageknow.llm.shingles import batch_words, mixed
 from pageknow.llm.simjoin import SAMPLE, link_buckets
 
-#: Words that are worked on at once.
-PART_WORDS = 100_000
-
-WORD = re.compile(rb"[^ \t-\r]+")
+#: Bytes of text that are worked on at once.
+PART_BYTES = 700_000
 
 
 @dataclass(frozen=True)
@@ -80,28 +77,25 @@ class Layout:
 
 def layouts(texts: list[bytes | None], p: Params) -> Iterator[Layout]:
     """The batch in parts of bounded size (a text is never split)."""
-    words: list[bytes] = []
-    rows: list[tuple[int, int, int, int]] = []
-    long: list[tuple[int, int, int]] = []
-
-    def part() -> Layout:
-        return Layout(word_hashes(words), *np.array(rows, dtype=np.int64).reshape(-1, 4).T, *np.array(long, dtype=np.int64).reshape(-1, 3).T)
-
-    for k, text in enumerate(texts):
-        base = len(words)
-        for line in (text or b"").lower().split(b"\n"):
-            w = line.split()
-            if len(w) >= p.window:
-                rows.append((len(words), len(words) + len(w), k, base))
-            words += w
-        if len(words) - base >= p.long_line:
-            long.append((base, len(words), k))
-        if len(words) >= PART_WORDS:
-            if rows or long:
-                yield part()
-            words, rows, long = [], [], []
-    if rows or long:
-        yield part()
+    def part(some: list[bytes], k: int) -> Layout:
+        words, start, text, joined = batch_words(some)
+        ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+        line = np.searchsorted(start, np.concatenate([[0], ends, [len(joined)]]))
+        first, stop = (x[np.diff(line) >= p.window] for x in (line[:-1], line[1:]))
+        of = np.searchsorted(text, first, side="right") - 1
+        long = np.flatnonzero(np.diff(text) >= p.long_line)
+        return Layout(words, first, stop, of + k, text[of], text[long], text[long + 1], long + k)
+
+    some: list[bytes] = []
+    size = 0
+    for k, text in enumerate(texts, 1):
+        some.append((text or b"").lower())
+        size += len(some[-1])
+        if size >= PART_BYTES or k == len(texts):
+            at = part(some, k - len(some))
+            if len(at.start) or len(at.long_start):
+                yield at
+            some, size = [], 0
 
 
 def window_starts(at: Layout, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +108,16 @@ def window_starts(at: Layout, p: Params) -> tuple[np.ndarray, np.ndarray]:
     n = at.long_stop - at.long_start - p.window + 1 - p.spread + 1
     runs = np.repeat(at.long_start - np.cumsum(n) + n, n) + np.arange(n.sum())
     view = np.lib.stride_tricks.sliding_window_view(g, p.spread)
-    picked = [view[runs[k : k + 100_000]].argmin(axis=1) + runs[k : k + 100_000] for k in range(0, len(runs), 100_000)]
-    first = np.unique(np.concatenate(picked))
+    least, width = g, 1
+    while width < p.spread:
+        by = min(width, p.spread - width)
+        least, width = np.minimum(least[:-by], least[by:]), width + by
+    # a run whose first place is not its least has the same one as the next run, unless what enters there is less
+    own = least[runs] == g[runs]
+    looked = np.ones(len(runs), dtype=bool)
+    looked[:-1] = (np.diff(runs) != 1) | (least[runs[1:]] < least[runs[:-1]])
+    looked = runs[looked & ~own]
+    first = np.unique(np.concatenate([runs[own], view[looked].argmin(axis=1) + looked]))
     return first, np.searchsorted(at.long_start, first, side="right") - 1
 
 
@@ -158,7 +160,8 @@ def _texts(b: pa.RecordBatch) -> list[bytes | None]:
 
 
 def _units(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs and windows: (doc_id, copy, start, stop, id, whole); start and stop count the words of the text."""
+    """Paragraphs and windows: (doc_id, copy, start, stop, id, whole, sigs); start and stop count the words of the text. sigs:
+    signatures of a paragraph, empty for windows; equal ones of a part sign once."""
     for b in slices(batches):
         doc, copy = b.column("doc_id").to_numpy(), b.column("copy").to_numpy()
         for at in layouts(_texts(b), p):
@@ -168,21 +171,13 @@ def _units(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             whole = np.arange(len(first)) < len(at.start)
             text, base = np.concatenate([at.text, at.long_text[of]]), np.concatenate([at.base, at.long_start[of]])
             ids = digests(g, first, stop, p.shingle).view(np.int64)
-            cols = [doc[text], copy[text], (first - base).astype(np.int32), (stop - base).astype(np.int32), ids, whole]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "copy", "start", "stop", "id", "whole"])
-
-
-def _signed(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, id) of the paragraphs; equal ones of a part sign once."""
-    bands = p.bands
-    for b in slices(batches):
-        for at in layouts(_texts(b), p):
-            if not len(at.start):
-                continue
-            g = shingle_hashes(at.words, p.shingle)
-            ids, one = np.unique(digests(g, at.start, at.stop, p.shingle), return_index=True)
-            sigs = band_signatures(g, at.start, at.stop, p.shingle, bands, p.rows)[one]
-            yield _rows([sigs.ravel()], [np.repeat(ids.view(np.int64), bands)])
+            cols = [pa.array(c) for c in (doc[text], copy[text], (first - base).astype(np.int32), (stop - base).astype(np.int32), ids, whole)]
+            one = np.sort(np.unique(ids[whole], return_index=True)[1])
+            n = np.zeros(len(first) + 1, dtype=np.int32)
+            n[one + 1] = p.bands
+            sigs = band_signatures(g, first[one], stop[one], p.shingle, p.bands, p.rows) if len(one) else np.zeros(0, np.uint64)
+            cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum(n, dtype=np.int32)), pa.array(sigs.ravel().view(np.int64))))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "copy", "start", "stop", "id", "whole", "sigs"])
 
 
 def _unit_sets(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,11 +194,9 @@ def _unit_sets(p: Params, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """(id, component) of classes of paragraphs that link with another class."""
+    signed = units.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "id", "doc_id", "copy")
     owners = materialize(units.where("whole").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "unit-owners")
 
-    def signed(some: DataFrame) -> DataFrame:
-        return fill_partitions(some).mapInArrow(lambda it: _signed(p, it), "sig long, id long")
-
     def sets_of(ids: DataFrame) -> DataFrame:
         need = materialize(owners.join(ids, "id"), "unit-needed")
         asked = need.groupBy("doc_id").agg(F.collect_list("id").alias("asked"))  # at most one document's paragraphs
@@ -219,33 +212,36 @@ def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
         discard(sets)
         return links
 
-    sample = signed(docs.where(F.pmod(F.xxhash64("doc_id", "copy"), F.lit(SAMPLE)) == 0))
-    comp = materialize(connected_components(link_buckets(signed(docs), sample, verify, sets_of, p.num, p.den)), "unit-components")
+    sample = signed.where(F.pmod(F.xxhash64("doc_id", "copy"), F.lit(SAMPLE)) == 0).select("sig", "id")
+    comp = materialize(connected_components(link_buckets(signed.select("sig", "id"), sample, verify, sets_of, p.num, p.den)), "unit-components")
     discard(owners)
     return comp
 
 
-def same_spans(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+def same_spans(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Of windows that start at words i of ``x`` and j of ``y``: the longest spans of ``x`` around them whose words are those
     of ``y`` at the same distance. A window that is not the same word by word is a span of its own."""
     out: set[tuple[int, int]] = set()
-    by: dict[int, list[int]] = {}
-    for i, j in seeds:
-        by.setdefault(j - i, []).append(i)
-    for d, starts in by.items():
+    apart = j - i
+    for d in np.unique(apart).tolist():
+        starts = i[apart == d]
         lo, hi = max(0, -d), min(len(x), len(y) - d)
         other = np.concatenate([[lo - 1], lo + np.flatnonzero(x[lo:hi] != y[lo + d : hi + d]), [hi]])
-        for i in starts:
-            k = int(np.searchsorted(other, i))
-            a, b = int(other[k - 1]) + 1, int(other[k])
-            out.add((a, b) if b >= i + window else (i, i + window))
+        k = np.searchsorted(other, starts)
+        a, b = other[k - 1] + 1, other[k]
+        same = b >= starts + window
+        out.update(zip(np.where(same, a, starts).tolist(), np.where(same, b, starts + window).tolist(), strict=True))
     return sorted(out)
 
 
 def _extend(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        x, y = ([word_hashes((t or b"").lower().split()) for t in b.column(c).cast(pa.binary()).to_pylist()] for c in ("x", "y"))
-        spans = [same_spans(p, q, [(s["i"], s["j"]) for s in seeds], window) for p, q, seeds in zip(x, y, b.column("seeds").to_pylist(), strict=True)]
+        sides = [batch_words([(t or b"").lower() for t in b.column(c).cast(pa.binary()).to_pylist()]) for c in ("x", "y")]
+        (x, _, ex, _), (y, _, ey, _) = sides
+        edge = b.column("seeds").offsets.to_numpy()
+        i, j = (b.column("seeds").flatten().field(c).to_numpy() for c in ("i", "j"))
+        edge = edge - edge[0]
+        spans = [same_spans(x[ex[k] : ex[k + 1]], y[ey[k] : ey[k + 1]], i[edge[k] : edge[k + 1]], j[edge[k] : edge[k + 1]], window) for k in range(b.num_rows)]
         at = pa.array(np.repeat(np.arange(len(spans)), [len(s) for s in spans]), pa.int64())
         cols = [b.column(c).take(at) for c in ("doc_id", "copy")] + [pa.array([e[n] for s in spans for e in s], pa.int32()) for n in (0, 1)]
         yield pa.RecordBatch.from_arrays([*cols, b.column("first_doc").take(at)], ["doc_id", "copy", "start", "stop", "kept_doc_id"])
@@ -271,14 +267,14 @@ def extended(windows: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
 def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, copy, start, stop, kept_doc_id): the spans to cut out, as words of the text, and a document that holds the
     words at an earlier place. ``docs``: (doc_id, copy, text), doc_id not null."""
-    units = materialize(fill_partitions(docs).mapInArrow(lambda it: _units(p, it), "doc_id long, copy long, start int, stop int, id long, whole boolean"), "units")
+    units = materialize(fill_partitions(docs).mapInArrow(lambda it: _units(p, it), "doc_id long, copy long, start int, stop int, id long, whole boolean, sigs array<long>"), "units")
     comp = unit_components(units, docs, p)
     # classes that are alone and have one unit need no further look: only the others are joined
     many = units.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "copy", "start")).alias("first"))
     many = materialize(many.join(comp, "id", "left").where("k > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id")), "unit-classes")
     top = many.groupBy("component").agg(F.min("first").alias("own"))
     classes = materialize(many.select("id", "component", "first").join(top, "component"), "unit-kept")
-    found = units.join(F.broadcast(classes) if classes.count() <= 200_000 else classes, "id")
+    found = units.drop("sigs").join(F.broadcast(classes) if classes.count() <= 200_000 else classes, "id")
     stays = (F.col("doc_id") == F.col("own.doc_id")) & (F.col("copy") == F.col("own.copy"))
     if p.within:
         place = W.partitionBy("component", "doc_id", "copy").orderBy("start", F.col("stop").desc())
@@ -293,14 +289,31 @@ def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return spans.unionAll(extended(gone.where(~alone).select("doc_id", "copy", "start", "first"), docs, p))
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same words as spans that do not meet, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """``text`` without the words (first, end); a line that loses all of its words goes."""
-    gone = {i for a, b in spans for i in range(a, b)}
-    out, at = [], 0
+    out, at, k, spans = [], 0, 0, _merged(spans)
     for line in text.split(b"\n"):
-        words = WORD.findall(line)
-        left = [w for i, w in enumerate(words, at) if i not in gone]
-        at += len(words)
+        words = line.split()
+        end, left, done = at + len(words), [], at
+        while k < len(spans) and spans[k][0] < end:
+            left += words[done - at : max(done, spans[k][0]) - at]
+            done = min(end, spans[k][1])
+            if spans[k][1] > end:
+                break
+            k += 1
+        left += words[done - at :]
+        at = end
         if len(left) < len(words):
             line = b" ".join(left)
             if not line:
@@ -316,7 +329,7 @@ def _apply(keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             s = [(x["start"], x["stop"]) for x in spans or []]
             new = cut_spans(t, s) if s else t
             texts.append(None if new is None else new.decode())
-            removed.append(0 if t is None else len(t.split()) - len(new.split()))
+            removed.append(len(t.split()) - len(new.split()) if s else 0)
         yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(texts, pa.string()), pa.array(removed, pa.int64())], [*keep, "new_text", "removed_words"])
 
 
@@ -335,9 +348,12 @@ def dedup_paragraphs(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # rows that repeat a doc_id are told apart by their text; equal rows share their cuts
     base = base.withColumn("__copy", F.xxhash64("__text"))
     plain = base.where("__id IS NOT NULL AND __text IS NOT NULL").select(F.col("__id").alias("doc_id"), F.col("__copy").alias("copy"), F.col("__text").alias("text"))
-    cut = removals(plain, p).groupBy("doc_id", "copy").agg(
-        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("__spans"), F.sort_array(F.collect_set("kept_doc_id")).alias("kept_doc_ids"),
-    )
+    cut = removals(plain, p).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kept_doc_id"))).alias("all"))
+    # of a span the least of the documents that hold it counts; the others are cut there themselves
+    before = lambda i, c: F.get(F.col("all"), i - 1)[c]
+    cut = cut.withColumn("all", F.filter("all", lambda x, i: (i == 0) | (before(i, "start") != x["start"]) | (before(i, "stop") != x["stop"])))
+    spans = F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+    cut = cut.select("doc_id", "copy", spans.alias("__spans"), F.array_sort(F.array_distinct("all.kept_doc_id")).alias("kept_doc_ids"))
     cut = materialize(cut, "unit-cuts")
     n = cut.agg(F.coalesce(F.sum(F.size("__spans") + F.size("kept_doc_ids")), F.lit(0))).first()[0]
     side = F.broadcast(cut) if n <= 200_000 else cut

@@ -20,27 +20,61 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _S31)
 
 
-class _Words(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 60_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-_WORDS = _Words()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+#: Bytes whose words are hashed at once.
+SPAN = 1 << 18
+#: Longer words, in bytes, are hashed one by one.
+LONG_WORD = 64
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base for each place of a span, and what they are multiplied by to get 1."""
+    base = 0x2545F4914F6CDD1D | 3
+    up, down = (np.full(SPAN, x, dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def text_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text, runs of other than ASCII white space, and the places of their first bytes."""
+    data = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(np.diff(_SPACE[data], prepend=True, append=True))
+    start, stop = at[::2], at[1::2]
+    h, k = np.zeros(len(start), dtype=np.uint64), 0
+    up, down = _powers()
+    with np.errstate(over="ignore"):
+        while k < len(start):
+            a = start[k]
+            end = max(k + 1, int(np.searchsorted(stop, a + SPAN, side="right")))
+            if (b := stop[end - 1]) - a <= SPAN:
+                acc = np.zeros(b - a + 1, dtype=np.uint64)
+                np.cumsum(_BYTE[data[a:b]] * up[: b - a], out=acc[1:])
+                h[k:end] = (acc[stop[k:end] - a] - acc[start[k:end] - a]) * down[start[k:end] - a]
+            k = end
+        h = mixed(h + (stop - start).astype(np.uint64) * _A)
+    for k in np.flatnonzero(stop - start > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(text[start[k] : stop[k]])
+    return h, start
+
+
+def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Word hashes of texts side by side, the places of their first bytes, of each text the number of its first word (and of all
+    words, at the end), and the joined texts, between which stands a line end."""
+    joined = b"\n".join(texts)
+    words, start = text_words(joined)
+    edge = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    return words, start, np.searchsorted(start, edge), joined
 
 
 def shingle_set(text: bytes | None, k: int, lower: bool = True) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; fewer words: the whole sequence as one; no words: empty.
 
     Words are runs of other than ASCII white space; A-Z are lower-cased."""
-    words = (text or b"").lower().split() if lower else (text or b"").split()
-    return shingles_of(word_hashes(words), k)
+    text = text or b""
+    return shingles_of(text_words(text.lower() if lower else text)[0], k)
 
 
 def shingles_of(w: np.ndarray, k: int) -> np.ndarray:
@@ -57,17 +91,16 @@ def shingles_of(w: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     """``shingle_set`` of many texts at once."""
-    words = [(t or b"").lower().split() for t in texts]
-    w = word_hashes([x for ws in words for x in ws])
+    w, _, edge, _ = batch_words([(t or b"").lower() for t in texts])
     g = np.zeros(0, dtype=np.uint64)
     if len(w) >= k:
         with np.errstate(over="ignore"):
             g = np.full(len(w) - k + 1, k, dtype=np.uint64)
             for i in range(k):
                 g = mixed(g * _A + w[i : len(w) - k + 1 + i])
-    out, at = [], 0
-    for ws in words:
-        n = len(ws)
+    out = []
+    for at, end in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+        n = end - at
         s = np.sort(g[at : at + n - k + 1]) if n >= k else shingles_of(w[at : at + n], k)
         if n > k:
             new = np.empty(len(s), dtype=bool)
@@ -75,7 +108,6 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
             np.not_equal(s[1:], s[:-1], out=new[1:])
             s = s[new]
         out.append(s)
-        at += n
     return out
 
 

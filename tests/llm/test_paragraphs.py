@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from pageknow.llm import simjoin
-from pageknow.llm.paragraphs import Params, band_signatures, dedup_paragraphs, layouts, tune_bands, window_starts
+from pageknow.llm.paragraphs import Params, _units, band_signatures, cut_spans, dedup_paragraphs, layouts, tune_bands, window_starts
+from pageknow.llm.shingles import mixed, text_words
 
 P = Params()
 
@@ -160,3 +162,36 @@ def test_no_run_of_fifty_words_is_left_in_two_documents(spark):
     assert later and later <= {r.doc_id for r in out if r.n_removed}
     assert fifty_word_runs({r.doc_id: r.text for r in out}) == {}
     assert all(r.text == before[r.doc_id] for r in out if not r.n_removed)
+
+
+def test_windows_start_at_the_least_place_of_each_run():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a b", "c", "d e f", "\n"]) for _ in range(rng.randrange(200))).encode() for _ in range(40)]
+    for at in layouts(texts, P):
+        g = mixed(at.words[:-1] + at.words[1:] * np.uint64(3))
+        want = {i + int(g[i : i + P.spread].argmin()) for a, b in zip(at.long_start, at.long_stop, strict=True) for i in range(a, b - P.window - P.spread + 2)}
+        assert window_starts(at, P)[0].tolist() == sorted(want)
+
+
+def test_units_bring_the_signatures_of_their_paragraphs():
+    line = " ".join(prose(random.Random(6), 30))
+    batch = pa.record_batch([[1, 2], [0, 0], [line + "\n" + line, "a " * 60]], ["doc_id", "copy", "text"])
+    (out,) = _units(P, iter([batch]))
+    rows = out.to_pylist()
+    assert [len(r["sigs"]) for r in rows if r["whole"] and r["doc_id"] == 1] == [P.bands, 0]
+    assert all(r["sigs"] == [] for r in rows if not r["whole"])
+
+
+def test_word_hashes_do_not_depend_on_the_place(monkeypatch):
+    words = [b"a", b"ab", b"ba", b"\x1c", b"w" * 64, b"w" * 65, b"v" * 300_000, b"\xc3\xa9t\xc3\xa9"]
+    alone = [int(text_words(w)[0][0]) for w in words]
+    assert len(set(alone)) == len(words)
+    text = b"\n ".join(words * 3) + b" "
+    h, start = text_words(text)
+    assert h.tolist() == alone * 3 and [text[i : i + 2] for i in start.tolist()[:2]] == [b"a\n", b"ab"]
+    assert not len(text_words(b"")[0]) and not len(text_words(b" \n")[0])
+
+
+def test_cut_spans_may_meet_and_cross_lines():
+    assert cut_spans(b"a  b c\nd\n\ne f", [(1, 3), (2, 4), (5, 6)]) == b"a\n\ne"
+    assert cut_spans(b"a  b\nc", [(2, 3)]) == b"a  b"
