@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageknow.llm.common import fill_partitions, materialize
-from pageknow.llm.graph import connected_components
+from pageknow.llm.graph import components
 from pageknow.llm.vectors import matrix, sample, spherical_kmeans, unit, valid
 
 
@@ -138,7 +138,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     if found is None:
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialize(found, "vector-links")
-    comp = connected_components(found, "id", "root")
+    comp = components(found, "id", "root")
     named = classes.select("id", "rep", "m").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))

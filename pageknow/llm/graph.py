@@ -1,12 +1,17 @@
-"""Connected components by alternating large-star and small-star steps; nothing is collected but one flag a round."""
+"""Connected components: few edges are settled on the driver, others by alternating large-star and small-star steps, of which
+nothing is collected but one flag a round."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageknow.llm.common import BROADCAST_ROWS, discard, held, materialize
 
+#: At most so many edges, of 16 bytes, are collected; a round of steps costs several jobs, whatever it holds.
+FEW = 200_000
 #: Rounds over at most so many edges are planned once, for a number of partitions that fits them. Adaptive plans start two or
 #: more threads of the driver for each shuffle, which stay for a minute; many short rounds fill its memory with them.
 SMALL, PART_EDGES = 400_000, 50_000
@@ -45,6 +50,31 @@ def _are_stars(e: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("points").alias("points"), F.max("root").alias("root")).where("points > 1 OR points + root > 1").isEmpty()
 
 
+def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of edges and of each the smallest id reachable."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    return ids, ids[label]
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``connected_components`` of written edges; at most FEW are collected and settled without a round."""
+    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+    if e.count() > FEW:
+        return connected_components(edges, a, b)
+    got = e.toArrow()
+    ids, roots = labels(got.column("u").to_numpy(), got.column("v").to_numpy())
+    return e.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "component": pa.array(roots, pa.int64())}))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in ``edges``: the smallest id reachable. Ids are longs; edges with a null are ignored,
     loops and repeated edges do no harm, an empty table gives an empty result."""

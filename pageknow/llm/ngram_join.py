@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageknow.llm.common import checked_semi, discard, fill_partitions, materialize, slices, text_key, without
-from pageknow.llm.graph import connected_components
+from pageknow.llm.graph import components
 from pageknow.llm.shingles import PartEnum, overlap, set_digest, shingle_sets
-from pageknow.llm.simjoin import SAMPLE, link_buckets
+from pageknow.llm.simjoin import SAMPLE, Sets, in_part, link_buckets
 
 CHUNK = 400_000
 #: Sets that a task remembers to sign copies once; it signs the copies of others again.
@@ -24,6 +24,11 @@ SEEN = 400_000
 #: Signatures are cut to 48 bits, which shuffle in fewer bytes; of 10^13 rows one in 30 then meets another by chance, and
 #: what meets is verified.
 SIG_BITS = np.uint64(2**64 - 2**16)
+#: Signatures are shuffled in so many parts at most, one after the other, each with about so many elements of sets at least. For
+#: each part all texts are signed again.
+PARTS, PART_ELEMENTS = 3, 20_000_000
+#: Up to so many doc_ids are sent to the tasks that sign some sets anew; beyond, all sets are signed anew.
+MOST_IDS = 2_000_000
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
@@ -67,8 +72,9 @@ def _may_link(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def sign_batches(pe: PartEnum, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, id) of each text, id being the first half of the set's digest; copies within a task sign once."""
+def sign_batches(pe: PartEnum, k: int, batches: Iterator[pa.RecordBatch], part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """(sig, id) of each text in one of ``parts`` of the signatures, id being the first half of the set's digest; copies within
+    a task sign once."""
     seen: set[int] = set()
     for b in slices(batches):
         fresh = {}
@@ -79,6 +85,8 @@ def sign_batches(pe: PartEnum, k: int, batches: Iterator[pa.RecordBatch]) -> Ite
                     seen.add(d)
         ids = np.array(list(fresh), dtype=np.int64)
         sigs, at = pe.sign(list(fresh.values()))
+        here = in_part(sigs, part, parts)
+        sigs, at = sigs[here], at[here]
         for c in range(0, len(sigs), CHUNK):
             yield _rows([sigs[c : c + CHUNK] & SIG_BITS], [ids[at[c : c + CHUNK]]])
 
@@ -95,6 +103,19 @@ def _rows(sigs: list, ids: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], ["sig", "id"])
 
 
+def _among(doc_ids: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows without a doc_id or with one of ``doc_ids`` (sorted)."""
+    for b in batches:
+        if doc_ids is None:
+            yield b
+            continue
+        own = b.column("doc_id")
+        d = own.fill_null(0).to_numpy()
+        near = np.minimum(np.searchsorted(doc_ids, d), max(0, len(doc_ids) - 1))
+        met = doc_ids[near] == d if len(doc_ids) else np.zeros(len(d), dtype=bool)
+        yield b.filter(pa.array(met | own.is_null().to_numpy(zero_copy_only=False)))
+
+
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         sets = [s for s in shingle_sets(_texts(b), k) if len(s)]
@@ -131,9 +152,11 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     rows = materialize(fill_partitions(keyed).mapInArrow(lambda it: _digests(k, it), "doc_id long, key long, n_shingles long, d1 long, counts binary"), "ngram-digests")
     classes = rows.where("d1 IS NOT NULL").groupBy("d1").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
     classes = materialize(classes, "ngram-classes")
+    elements = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = min(PARTS, 1 + elements // PART_ELEMENTS)
 
-    def signed(some: DataFrame) -> DataFrame:
-        return fill_partitions(some).mapInArrow(lambda it: sign_batches(PartEnum(num, den), k, it), "sig long, id long")
+    def signed(some: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+        return fill_partitions(some).mapInArrow(lambda it: sign_batches(PartEnum(num, den), k, it, part, parts), "sig long, id long")
 
     def texts_of(ids: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         """Texts that hold those of the classes, the classes (doc_id, id) and their number."""
@@ -157,8 +180,19 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
         discard(sets)
         return one
 
+    def holders(ids: DataFrame) -> np.ndarray | None:
+        """The sorted doc_ids of texts that hold the sets of the classes; none if they are too many."""
+        reps = classes.join(ids, classes["d1"] == ids["id"], "left_semi").where("rep IS NOT NULL").select("rep")
+        got = np.unique(reps.limit(MOST_IDS + 1).toArrow().column(0).to_numpy())
+        return got if len(got) <= MOST_IDS else None
+
     def bound_to(ids: DataFrame, crowded: np.ndarray) -> DataFrame:
-        return texts_of(ids)[0].mapInArrow(lambda it: _bound(PartEnum(num, den), k, crowded, it), "id long")
+        some = holders(ids)
+        return fill_partitions(docs).mapInArrow(lambda it: _bound(PartEnum(num, den), k, crowded, _among(some, it)), "id long")
+
+    def sets_again(ids: DataFrame) -> Sets:
+        some = holders(ids)
+        return Sets(fill_partitions(docs), ("doc_id", "text"), lambda it: _sets(k, _among(some, it)))
 
     def verify(every: DataFrame) -> DataFrame:
         ids = materialize(every.select(F.explode(F.array("a", "b")).alias("d1")).distinct(), "ngram-candidate-ids")
@@ -175,8 +209,8 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
         return links
 
     sample = signed(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0))
-    links = link_buckets(signed(docs), sample, verify, sets_of, num, den, bound_to)
-    comp = connected_components(links)
+    links = link_buckets([signed(docs, p, parts) for p in range(parts)], sample, verify, sets_of, num, den, bound_to, sets_again)
+    comp = components(links)
     named = classes.join(comp, classes["d1"] == comp["id"], "left").withColumn("root", F.coalesce("component", "d1"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(named.select("d1", "root").join(names, "root").select("d1", "root", "component_id"), "ngram-components")

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pageknow.llm.common import BROADCAST_ROWS, checked_semi, discard, fill_partitions, materialize, slices
-from pageknow.llm.graph import connected_components
+from pageknow.llm.graph import components
 from pageknow.llm.ngram_join import _rows, verify_pairs
 from pageknow.llm.shingles import batch_words, mixed
 from pageknow.llm.simjoin import SAMPLE, link_buckets
@@ -213,7 +213,7 @@ def unit_components(units: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
         return links
 
     sample = signed.where(F.pmod(F.xxhash64("doc_id", "copy"), F.lit(SAMPLE)) == 0).select("sig", "id")
-    comp = materialize(connected_components(link_buckets(signed.select("sig", "id"), sample, verify, sets_of, p.num, p.den)), "unit-components")
+    comp = materialize(components(link_buckets(signed.select("sig", "id"), sample, verify, sets_of, p.num, p.den)), "unit-components")
     discard(owners)
     return comp
 

@@ -6,7 +6,8 @@ number of pairs across components has those verified. Larger open buckets are cr
 sets in other buckets as well leaves the crowded ones; the caller's signatures say which (``bound_to``). The others
 are signed anew, once each, by their first elements: sets of similarity t share an element among the first ``(1 - t) * size + 1`` of either, in any order
 that is the same for all. In the order used here the elements that many of these sets hold come last, the commonest at the
-very end, so sets that only have a passage or a template in common no longer meet. What is open after that is compared in
+very end, so sets that only have a passage or a template in common no longer meet. These sets may be computed anew wherever
+they are used (``Sets``), so that no table of them is kept. What is open after that is compared in
 blocks of bounded size: a task counts the common elements of two blocks by a matrix product over the elements that occur
 twice, and returns a spanning set of the links.
 """
@@ -14,6 +15,8 @@ twice, and returns a spanning set of the links.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pageknow.llm.common import BROADCAST_ROWS, discard, materialize, slices
-from pageknow.llm.graph import connected_components
+from pageknow.llm.graph import components
 
 BLOCK = 512
 #: and at most so many elements, about; a block of large sets has fewer members.
@@ -47,24 +50,55 @@ MOST_CROWDED = 1_000_000
 SALTS = 64
 
 
+@dataclass(frozen=True)
+class Sets:
+    """Sets (id, elements) that ``of`` makes of the batches of ``rows`` in the task that uses them; ``keys`` tell rows apart."""
+
+    rows: DataFrame
+    keys: tuple[str, ...] = ("id",)
+    of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter
+
+    def then(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        of = self.of
+        return self.rows.mapInArrow(lambda it: f(of(it)), schema)
+
+    def some(self, one_of: int) -> Sets:
+        return Sets(self.rows.where(F.pmod(F.xxhash64(*self.keys), F.lit(one_of)) == 0), self.keys, self.of)
+
+    def count(self) -> int:
+        return self.then(lambda it: (b.select(["id"]) for b in it), "id long").count()
+
+
+def in_part(sigs: np.ndarray, part: int, parts: int) -> np.ndarray | slice:
+    """Which signatures are in a part; a part is shuffled at a time."""
+    return (sigs >> np.uint64(32)) % np.uint64(parts) == part if parts > 1 else slice(None)
+
+
 def hot_signatures(sample: DataFrame, least: int) -> DataFrame:
     """(sig): those with at least ``least`` signed rows in a sample."""
     n = sample.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return n.orderBy(F.col("n").desc(), "sig").limit(MOST_HOT).select("sig")
 
 
-def shared(signed: DataFrame, sample: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def shared(signed: list[DataFrame], sample: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """(sig, id, hub, hot): distinct members of signatures that at least two ids share, and the smallest one; and the written
-    table they are read from. A hot signature is dealt into cells, whose smallest members are joined afterwards."""
+    tables they are read from. ``signed`` are parts that share no signature, taken one after the other, so only one is in shuffle files.
+    A hot signature is dealt into cells, whose smallest members are joined afterwards."""
     hot = materialize(hot_signatures(sample, least), "hot")
-    dealt = signed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left").withColumn("cell", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    w = W.partitionBy("sig", "cell")
-    some = dealt.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("hot OR lo <> hi")
-    some = materialize(some.select("sig", "cell", "id", F.col("lo").alias("hub"), "hot").distinct(), "met")
+    written = [_met(part, hot) for part in signed]
     discard(hot)
+    some = reduce(DataFrame.unionAll, written)
     split = some.where("hot")
     hubs = split.groupBy("sig").agg(F.min("hub").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("sig", F.col("lo").alias("hub"))
-    return some.where("hot IS NULL").select("sig", "id", "hub", "hot").unionAll(split.select("sig", "id", "hot").join(F.broadcast(hubs), "sig").select("sig", "id", "hub", "hot")), some
+    return some.where("hot IS NULL").select("sig", "id", "hub", "hot").unionAll(split.select("sig", "id", "hot").join(F.broadcast(hubs), "sig").select("sig", "id", "hub", "hot")), written
+
+
+def _met(signed: DataFrame, hot: DataFrame) -> DataFrame:
+    """Of each signature and cell the distinct members and the smallest one, written; without those that are alone."""
+    dealt = signed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left").withColumn("cell", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    w = W.partitionBy("sig", "cell")
+    some = dealt.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w)}).where("hot OR lo <> hi")
+    return materialize(some.select("sig", "cell", "id", F.col("lo").alias("hub"), "hot").distinct(), "met")
 
 
 def spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,10 +181,10 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(e[n > 1]), pa.array(n[n > 1])], ["element", "n"])
 
 
-def common_elements(sets: DataFrame) -> np.ndarray:
+def common_elements(sets: Sets) -> np.ndarray:
     """The elements that most sets (id, elements) hold, the rarer first. At most LATE of them reach the driver, and only what
     repeats within a batch is counted: which ones these are decides what the work costs, not what it results in."""
-    e = sets.mapInArrow(_frequent, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+    e = sets.then(_frequent, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
     e = e.orderBy(F.col("n").desc(), "element").limit(LATE).select("element")
     return e.toArrow().column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
@@ -167,26 +201,29 @@ def first_elements(s: np.ndarray, last: np.ndarray, rank: np.ndarray, num: int,
     return first
 
 
-def _sign_first(late: np.ndarray, num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign_first(late: np.ndarray, num: int, den: int, part: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rank = np.argsort(late, kind="stable")
     last = late[rank]
     for b in slices(batches):
         sigs = [first_elements(np.frombuffer(e, np.uint64), last, rank, num, den) for e in b.column("elements").to_pylist()]
+        sigs = [s[in_part(s, part, parts)] for s in sigs] or [np.zeros(0, np.uint64)]
         at = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), b.column("id").take(pa.array(at))], ["sig", "id"])
 
 
 def link_buckets(
-    signed: DataFrame, sample: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int,
-    bound_to: Callable[[DataFrame, np.ndarray], DataFrame] | None = None,
+    signed: DataFrame | list[DataFrame], sample: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int,
+    bound_to: Callable[[DataFrame, np.ndarray], DataFrame] | None = None, sets_again: Callable[[DataFrame], Sets] | None = None,
 ) -> DataFrame:
     """Links (a, b) that hold all connections between similar ids.
 
-    ``signed``: (sig, id), ``sample``: the same of a sample. ``verify``: written candidate pairs (a < b, distinct) to those that
+    ``signed``: (sig, id), or its parts without a common signature, ``sample``: the same of a sample. ``verify``: written candidate pairs (a < b, distinct) to those that
     link, written. ``sets_of``: distinct (id) to (id, elements), written. ``bound_to``: of members (id) of crowded buckets those that
-    need one of the crowded signatures (sorted, unsigned) to meet all their similar sets; without it, all do.
+    need one of the crowded signatures (sorted, unsigned) to meet all their similar sets; without it, all do. ``sets_again``: like
+    ``sets_of``, for the sets that are signed anew, but nothing is written; others may be among them.
     """
-    none = signed.sparkSession.createDataFrame([], "a long, b long")
+    signed = signed if isinstance(signed, list) else [signed]
+    none = sample.sparkSession.createDataFrame([], "a long, b long")
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), "candidates")
@@ -196,7 +233,7 @@ def link_buckets(
 
     def open_rows(rows_: DataFrame, links_: DataFrame) -> DataFrame:
         """Rows of the buckets that still hold several components, and the number of pairs across these."""
-        comp = materialize(connected_components(links_), "components")
+        comp = materialize(components(links_), "components")
         named = rows_.join(F.broadcast(comp) if comp.count() <= BROADCAST_ROWS else comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         one, all_ = W.partitionBy("sig", "c"), W.partitionBy("sig")
         cold = named.where("hot IS NULL").repartition("sig").withColumn("k", F.count(F.lit(1)).over(one))
@@ -210,38 +247,42 @@ def link_buckets(
         discard(comp)
         return both
 
-    def settle(met: tuple[DataFrame, DataFrame], links_: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
-        """Links so far and the rows of the buckets that are open with too many pairs."""
+    def settle(met: tuple[DataFrame, list[DataFrame]], links_: DataFrame, few: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The rows of the buckets that are open with too many pairs, links so far, and the written table of the rows."""
         rows_, written = met
         links_ = links_.unionAll(check(rows_.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))))
         rows_ = open_rows(rows_, links_)
-        discard(written)
+        discard(*written)
         links_ = links_.unionAll(check(_across(rows_.where(F.col("across") <= few))))
-        return rows_.where(F.col("across") > few).select("sig", "id", "hub", "hot"), links_
+        return rows_.where(F.col("across") > few).select("sig", "id", "hub", "hot"), links_, rows_
 
-    rows, links = settle(shared(signed, sample, HOT), none, FEW[0])
+    rows, links, table = settle(shared(signed, sample, HOT), none, FEW[0])
     if rows.isEmpty():
+        discard(table)
         return links
     ids = materialize(rows.select("id").distinct(), "open-ids")
     crowded = rows.select("sig").distinct().limit(MOST_CROWDED + 1)
     if bound_to is not None and (sigs := crowded.toArrow().column(0).to_numpy().view(np.uint64)).size <= MOST_CROWDED:
         ids = materialize(bound_to(ids, np.sort(sigs)).distinct(), "bound-ids")
         if ids.isEmpty():
+            discard(table)
             return links
-    sets = sets_of(ids)
+    discard(table)
+    sets = sets_again(ids) if sets_again is not None else Sets(sets_of(ids))
     late = common_elements(sets)
 
-    def again(some: DataFrame) -> DataFrame:
-        return some.mapInArrow(lambda it: _sign_first(late, num, den, it), "sig long, id long")
+    def again(some: Sets, part: int = 0, parts: int = 1) -> DataFrame:
+        return some.then(lambda it: _sign_first(late, num, den, part, parts, it), "sig long, id long")
 
-    some = sets.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_AGAIN)) == 0)
-    met = shared(again(sets), again(some), HOT_AGAIN)
-    discard(sets)
-    rows, links = settle(met, links, FEW[1])
+    met = shared([again(sets, k, len(signed)) for k in range(len(signed))], again(sets.some(SAMPLE_AGAIN)), HOT_AGAIN)
+    discard(sets.rows)
+    rows, links, table = settle(met, links, FEW[1])
     if rows.isEmpty():
+        discard(table)
         return links
-    clumps = connected_components(rows.where("id <> hub").select("hub", "id").distinct(), "hub", "id").withColumnRenamed("component", "clump")
+    clumps = components(rows.where("id <> hub").select("hub", "id").distinct(), "hub", "id").withColumnRenamed("component", "clump")
     clumps = materialize(clumps, "clumps")
+    discard(table)
     sets = sets_of(clumps.select("id"))
     found = materialize(link_clumps(clumps, sets, num, den), "links")
     discard(sets)
