@@ -50,18 +50,22 @@ def _are_stars(e: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("points").alias("points"), F.max("root").alias("root")).where("points > 1 OR points + root > 1").isEmpty()
 
 
-def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of edges and of each the smallest id reachable."""
-    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    i, j = at[: len(u)], at[len(u) :]
-    label = np.arange(len(ids))
+def join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Changes labels, of each position the least one known to be reachable, by edges between positions i and j."""
     while len(i):
         a, b = label[i], label[j]
         apart = a != b
         i, j, a, b = i[apart], j[apart], a[apart], b[apart]
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while (label[label] != label).any():
-            label = label[label]
+            label[:] = label[label]
+
+
+def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of edges and of each the smallest id reachable."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = np.arange(len(ids))
+    join(label, at[: len(u)], at[len(u) :])
     return ids, ids[label]
 
 

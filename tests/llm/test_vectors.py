@@ -41,6 +41,38 @@ def test_links_against_all_pairs(spark):
     assert got == {i: (int(want_n[i]), int(want_c[i]), int(want_c[i]) == i) for i in range(len(x))}
 
 
+def test_vectors_are_not_shuffled_for_each_block_they_meet(spark, monkeypatch):
+    """Small blocks that all meet: the rows that are written and shuffled do not grow with the blocks; links are whole, in mixed
+    precision, in cells of many equal-angled rows, and with a group that fills several blocks."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1200, 24))
+    x[:500] = x[0] + 0.2 * rng.normal(size=(500, 24))
+    x[600:] = x[600:].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = {}
+    write = embed_dedup.materialize
+    monkeypatch.setattr(embed_dedup, "materialize", lambda d, label: seen.setdefault(label, write(d, label)))
+    monkeypatch.setattr(embed_dedup, "discard", lambda *t: None)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, p=embed_dedup.Params(block=16)).collect()}
+    want_n, want_c = brute_links(x)
+    assert got == {i: (int(want_n[i]), int(want_c[i])) for i in range(len(x))}
+    blocks = seen["vector-blocks"].selectExpr("length(id) / 8 AS n", "length(v) AS size").collect()
+    assert len(blocks) > 8 and sum(b.n for b in blocks) == 1200 and sum(b["size"] for b in blocks) <= 1200 * 24 * 8
+
+
+def test_cells_too_far_apart_do_not_meet():
+    rng = np.random.default_rng(2)
+    c = rng.normal(size=(40, 3))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    n = rng.integers(0, 30, 40)
+    n[3] = 500
+    packs = embed_dedup.layout(c, n, 100)
+    assert sorted(np.concatenate([at for at, _ in packs]).tolist()) == np.flatnonzero(n).tolist()
+    assert all(n[at].sum() <= 100 and b == 1 or at.tolist() == [3] and b == 5 for at, b in packs)
+    near = embed_dedup._near(c, np.full(40, 0.1), np.arange(40), np.arange(40), 0.45)
+    assert 0.02 < near.mean() < 0.5 and near.diagonal().all()
+
+
 def test_sql_on_real_rows(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
