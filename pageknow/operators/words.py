@@ -19,8 +19,9 @@ from pageknow.sources.commits import written
 
 #: A list of at most so many words goes to the tasks.
 TASK_WORDS = 300_000
-#: Texts that are sampled to find rare runs; decides what the work costs only.
-SAMPLE = 2_000
+#: Runs are counted in one text of so many, where the texts are, and of these at most RUNS, the commonest, reach the driver; a task
+#: holds about TASK_RUNS. Decides what the work costs only.
+ONE_OF, RUNS, TASK_RUNS = 16, 200_000, 1_000_000
 
 
 def runs(text: str, lengths: tuple[int, ...] = (3,)) -> np.ndarray:
@@ -38,11 +39,27 @@ def anchors(words: list[str], seen: dict[int, int]) -> np.ndarray:
     return np.array([least(w) for w in words], dtype=np.int64)
 
 
+def _run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, n): in how many texts a run is; a run that is put out early comes again."""
+    r, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            new = np.concatenate([runs(t, (1, 2, 3)) for t in b.column("text").slice(k, 256).to_pylist()])
+            r, at = np.unique(np.concatenate([r, new]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, np.ones(len(new), np.int64)]), len(r)).astype(np.int64)
+            if len(r) > TASK_RUNS:
+                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(n)], ["run", "n"])
+                r, n = r[:0], n[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(n)], ["run", "n"])
+
+
 def _sampled(texts: DataFrame) -> dict[int, int]:
-    """Runs of a sample of texts and in how many of them they are."""
-    got = texts.select(F.left("text", F.lit(20_000)).alias("t"), F.xxhash64("text").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    r, n = np.unique(np.concatenate([runs(x.t, (1, 2, 3)) for x in got]) if got else np.zeros(0, np.int64), return_counts=True)
-    return dict(zip(r.tolist(), n.tolist(), strict=True))
+    """The commonest runs of a sample of texts and in how many of them they are. No text reaches the driver."""
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(ONE_OF)) == 0).select(F.left("text", F.lit(20_000)).alias("text"))
+    few = some.coalesce(some.sparkSession.sparkContext.defaultParallelism)  # their runs are much the same
+    got = few.mapInArrow(_run_counts, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    got = got.orderBy(F.col("n").desc(), "run").limit(RUNS).toArrow()  # the best of a task are shuffled, not sent to the driver
+    return dict(zip(got.column("run").to_pylist(), got.column("n").to_pylist(), strict=True))
 
 
 class _List:

@@ -90,3 +90,36 @@ def test_users_are_dealt_before_they_become_tasks(spark):
     found = plan(QUERIES["reminders"](spark, SF))
     assert "REPARTITION_BY_NUM" in found
     assert not any(re.search(r"task_(id|code)#", k) and "c_custkey" in k for k in keys_of_exchanges(QUERIES["reminders"](spark, SF)))
+
+
+def sent_to_driver(spark, group, run):
+    """Bytes of results that the tasks of ``run`` sent to the driver."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).resultSize() for s in stages)
+
+
+def many_texts(spark):
+    """2,000 texts of about 10 KB in eight parts."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(1_200)), lambda i: F.concat(F.lit("w"), F.pmod(F.col("id") * 31 + i * i, F.lit(4_000)).cast("string"), F.lit("xx")))
+    return spark.range(0, 2_000, 1, 8).select("id", F.array_join(words, " ").alias("text"))
+
+
+def test_texts_that_are_searched_do_not_reach_the_driver(spark):
+    from pageknow.operators import words as W
+
+    texts = many_texts(spark)
+    lexicon = spark.range(0, 4_000, 7).select(F.concat(F.lit(" w"), F.col("id").cast("string"), F.lit("xx")).alias("word"))
+    for most in (300_000, 10):
+        out = []
+        sent = sent_to_driver(spark, f"find-{most}", lambda most=most, out=out: out.append(W.find(texts, lexicon, task_words=most)))
+        assert sent < 2_000_000, sent
+        r = out[0].where("id = 17").first()
+        assert r.found == sorted({f" w{(17 * 31 + i * i) % 4_000}xx" for i in range(1, 1_201) if (17 * 31 + i * i) % 4_000 % 7 == 0})
