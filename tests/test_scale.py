@@ -123,3 +123,15 @@ def test_texts_that_are_searched_do_not_reach_the_driver(spark):
         assert sent < 2_000_000, sent
         r = out[0].where("id = 17").first()
         assert r.found == sorted({f" w{(17 * 31 + i * i) % 4_000}xx" for i in range(1, 1_201) if (17 * 31 + i * i) % 4_000 % 7 == 0})
+
+
+def test_texts_that_are_labelled_do_not_reach_the_driver(spark):
+    from pageknow.operators import words as W
+
+    lexicon = spark.range(0, 4_000, 7).select(F.concat(F.lit("l"), F.pmod("id", F.lit(3)).cast("string")).alias("label"), F.concat(F.lit(" w"), F.col("id").cast("string"), F.lit("xx")).alias("word"), F.col("id").cast("int").alias("seq"))
+    out = []
+    sent = sent_to_driver(spark, "labels", lambda: out.append(W.label_hits(many_texts(spark), lexicon, ["id"])))
+    assert sent < 2_000_000, sent
+    held = {(17 * 31 + i * i) % 4_000 for i in range(1, 1_201)}
+    of = {f"l{k}": [w for w in held if w % 7 == 0 and w % 3 == k] for k in range(3)}
+    assert {(r.label, r.hits, r.first) for r in out[0].where("id = 17").collect()} == {(k, len(v), min(v)) for k, v in of.items() if v}
